@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import mixture
+from ledgerloom.llm import bpe, mixture
 
 QUERIES = {
+    "op9_bpe": bpe.op9_bpe,
     "op10_mixture": mixture.op10_mixture,
 }
 ORACLE_SQL = {
