@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe, mixture
+from ledgerloom.llm import bpe, mixture, secrets
 
 QUERIES = {
+    "op7_secret_scan": secrets.op7_secret_scan,
     "op9_bpe": bpe.op9_bpe,
     "op10_mixture": mixture.op10_mixture,
 }
