@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe, mixture, secrets
+from ledgerloom.llm import bpe, mixture, secrets, toxicity
 
 QUERIES = {
     "op7_secret_scan": secrets.op7_secret_scan,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_bpe": bpe.op9_bpe,
     "op10_mixture": mixture.op10_mixture,
 }
