@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe, mixture, secrets, toxicity
+from ledgerloom.llm import bpe, jaccard, mixture, secrets, toxicity
 
 QUERIES = {
+    "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_bpe": bpe.op9_bpe,
     "op10_mixture": mixture.op10_mixture,
 }
 ORACLE_SQL = {
+    "op3_jaccard_join": jaccard.OP3_SQL,
     "op10_mixture": mixture.OP10_SQL,
 }

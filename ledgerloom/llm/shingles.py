@@ -6,6 +6,8 @@ import numpy as np
 
 #: Odd, so that it has an inverse modulo 2**64; any odd constant serves.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Odd factors that tell the places in a shingle apart.
+_PLACE = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _powers: list[np.ndarray] = []
@@ -56,7 +58,10 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
         return words
     k = min(width, len(words))
     n = len(words) - k + 1
-    out = np.full(n, np.uint64(k) * np.uint64(0xD6E8FEB86659FD93))
+    out = np.full(n, k, dtype=np.uint64)
     for i in range(k):
-        out = mix(out * np.uint64(0xA0761D6478BD642F) + words[i : i + n])
+        out += words[i : i + n] * _PLACE[i % len(_PLACE)]
+        if i % len(_PLACE) == len(_PLACE) - 1:
+            out = mix(out)
+    out = mix(out)
     return np.unique(out)
