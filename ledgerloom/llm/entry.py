@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe, jaccard, mixture, secrets, toxicity
+from ledgerloom.llm import bpe, jaccard, mixture, secrets, suffixes, toxicity
 
 QUERIES = {
     "op3_jaccard_join": jaccard.op3_jaccard_join,
+    "op6_suffix_dedup": suffixes.op6_suffix_dedup,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_bpe": bpe.op9_bpe,
