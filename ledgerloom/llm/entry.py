@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe, jaccard, mixture, secrets, suffixes, toxicity
+from ledgerloom.llm import bpe, jaccard, mixture, secrets, suffixes, topk, toxicity, urls
 
 QUERIES = {
+    "op2_url_filter": urls.op2_url_filter,
     "op3_jaccard_join": jaccard.op3_jaccard_join,
+    "op4_topk": topk.op4_topk,
     "op6_suffix_dedup": suffixes.op6_suffix_dedup,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_toxicity": toxicity.op8_toxicity,
@@ -13,6 +15,8 @@ QUERIES = {
     "op10_mixture": mixture.op10_mixture,
 }
 ORACLE_SQL = {
+    "op2_url_filter": urls.OP2_SQL,
     "op3_jaccard_join": jaccard.OP3_SQL,
+    "op4_topk": topk.OP4_SQL,
     "op10_mixture": mixture.OP10_SQL,
 }
