@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe, jaccard, mixture, secrets, suffixes, topk, toxicity, urls
+from ledgerloom.llm import audio, bpe, jaccard, licenses, mixture, secrets, suffixes, topk, toxicity, urls
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op2_url_filter": urls.op2_url_filter,
     "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_topk": topk.op4_topk,
+    "op5_audio_fingerprints": audio.op5_audio_fingerprints,
     "op6_suffix_dedup": suffixes.op6_suffix_dedup,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_toxicity": toxicity.op8_toxicity,
