@@ -21,6 +21,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ledgerloom.llm.common import cut
+
 #: (kind, host, path): the rules of the query.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -34,43 +36,41 @@ def _ends(expr: str, s: str) -> str:
     return f"right({expr}, {len(s)}) = {_quoted(s)}"
 
 
-def tree_sql(pages: str, labels: str | None = None, rules=RULES, everywhere: str = "", fan: int = 12, spread: float = 0.5, merge_from: int = 5, prior: float = 4.0, support: int = 5, purity: float = 0.8) -> str:
-    """The whole judgement as one query; ``everywhere`` is the engine's flag for replacing all matches."""
+def tree_steps(labelled: bool = False, rules=RULES, everywhere: str = "", fan: int = 12, spread: float = 0.5, merge_from: int = 5, prior: float = 4.0, support: int = 5, purity: float = 0.8) -> list[tuple[str, str]]:
+    """The judgement as named queries, each over those before it ({name}) and {{pages}}; ``everywhere`` is the engine's flag for replacing all matches."""
     fits = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r))
     when = [(f"(host = {_quoted(h)} OR {_ends('host', '.' + h)}) AND left(path, {len(p)}) = {_quoted(p)}", h + p, kind) for kind, h, p in fits]
     rule = " ".join(f"WHEN {c} THEN {_quoted(name)}" for c, name, _ in when)
     decided = " ".join(f"WHEN rule = {_quoted(name)} THEN {_quoted(kind)}" for _, name, kind in when)
     replace = f", {everywhere}" if everywhere else ""
     shape = lambda pattern: f"regexp_replace(regexp_extract(path, '{pattern}', 1), '[0-9]+', '#'{replace})"
-    given = "CAST(NULL AS INT)" if labels is None else "l.bad"
-    join = "" if labels is None else f"LEFT JOIN {labels} l ON l.page_id = p.page_id"
+    given, join = ("l.bad", "LEFT JOIN {labels} l ON l.page_id = p.page_id") if labelled else ("CAST(NULL AS INT)", "")
     bad = "CASE WHEN decided = 'block' THEN 1 WHEN decided = 'allow' THEN 0 ELSE given END"
-    kids = lambda level, keys: f"""
-kids{level} AS (SELECT {keys}, count(*) AS kids, sum(n) AS total FROM (SELECT {keys}, s{level}, sum(n) AS n FROM {'shapes' if level == 1 else f'level{level - 1}'} GROUP BY {keys}, s{level}) x GROUP BY {keys}),
-level{level} AS (SELECT x.*, CASE WHEN k.kids >= {fan} AND k.kids >= {spread} * k.total THEN '*' ELSE x.s{level} END AS t{level}
-  FROM {'shapes' if level == 1 else f'level{level - 1}'} x JOIN kids{level} k ON {' AND '.join(f'x.{c} = k.{c}' for c in keys.split(', '))})"""
-    return rf"""
-WITH parts AS (SELECT p.page_id, coalesce(translate(regexp_extract(p.url, '://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host,
-  coalesce(regexp_extract(p.url, '://[^/?#]*([^?#]*)', 1), '') AS path, {given} AS given FROM {pages} p {join}),
-ruled AS (SELECT *, CASE {rule} END AS rule FROM parts),
-judged AS (SELECT *, CASE {decided} END AS decided, {shape('^/*([^/]*)')} AS s1, {shape('^/*[^/]*/+([^/]*)')} AS s2, {shape('^/*[^/]*/+[^/]*/+((?s:.*))')} AS s3 FROM ruled),
-shapes AS (SELECT host, s1, s2, s3, count(*) AS n, count(bad) AS known, coalesce(sum(bad), 0) AS bad FROM (SELECT *, {bad} AS bad FROM judged) x GROUP BY host, s1, s2, s3),
-{kids(1, 'host').strip()},{kids(2, 'host, t1')},{kids(3, 'host, t1, t2')},
-templates AS (SELECT host, t1, t2, t3, sum(known) AS known, sum(bad) AS bad FROM level3 GROUP BY host, t1, t2, t3),
-branches AS (SELECT host, t1, count(*) AS leaves, min(concat(t2, '/', t3)) AS low, max(concat(t2, '/', t3)) AS high, sum(length(concat(t2, '/', t3))) AS letters, sum(known) AS known, sum(bad) AS bad FROM templates GROUP BY host, t1),
-pools AS (SELECT host, leaves, low, high, letters, sum(known) AS known, sum(bad) AS bad FROM branches WHERE known >= {merge_from} GROUP BY host, leaves, low, high, letters),
-merged AS (SELECT b.host, b.t1, CASE WHEN b.known >= {merge_from}
-    AND (b.bad * p.known - p.bad * b.known) * (b.bad * p.known - p.bad * b.known) <= 4 * b.known * p.bad * (p.known - p.bad) THEN concat('~', p.low, '~', p.high, '~', p.leaves, '~', p.letters) ELSE b.t1 END AS branch
-  FROM branches b LEFT JOIN pools p ON b.host = p.host AND b.leaves = p.leaves AND b.low = p.low AND b.high = p.high AND b.letters = p.letters),
-hosts AS (SELECT host, sum(known) AS known, sum(bad) AS bad FROM templates GROUP BY host),
-overall AS (SELECT (coalesce(sum(bad), 0) + 1.0) / (coalesce(sum(known), 0) + 2.0) AS share FROM hosts),
-leaves AS (SELECT t.host, m.branch, t.t2, t.t3, sum(t.known) AS known, sum(t.bad) AS bad FROM templates t JOIN merged m ON t.host = m.host AND t.t1 = m.t1 GROUP BY t.host, m.branch, t.t2, t.t3),
-rejected AS (SELECT l.host, l.branch, l.t2, l.t3 FROM leaves l JOIN hosts h ON l.host = h.host
-  WHERE l.known >= {support} AND (l.bad + {prior} * (h.bad + {prior} * (SELECT share FROM overall)) / (h.known + {prior})) / (l.known + {prior}) >= {purity}),
-refused AS (SELECT DISTINCT x.host, x.s1, x.s2, x.s3 FROM level3 x JOIN merged m ON x.host = m.host AND x.t1 = m.t1
-  JOIN rejected r ON r.host = x.host AND r.branch = m.branch AND r.t2 = x.t2 AND r.t3 = x.t3)
-SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.decided, CASE WHEN f.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
-FROM judged j LEFT JOIN refused f ON j.host = f.host AND j.s1 = f.s1 AND j.s2 = f.s2 AND j.s3 = f.s3"""
+    steps = [("judged", f"""SELECT *, CASE {decided} END AS decided, {shape('^/*([^/]*)')} AS s1, {shape('^/*[^/]*/+([^/]*)')} AS s2, {shape('^/*[^/]*/+[^/]*/+((?s:.*))')} AS s3 FROM (SELECT *, CASE {rule} END AS rule FROM (
+  SELECT p.page_id, coalesce(translate(regexp_extract(p.url, '://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host, coalesce(regexp_extract(p.url, '://[^/?#]*([^?#]*)', 1), '') AS path, {given} AS given FROM {{pages}} p {join}) x) y"""),
+        ("level0", f"SELECT host, s1, s2, s3, count(*) AS n, count(bad) AS known, coalesce(sum(bad), 0) AS bad FROM (SELECT *, {bad} AS bad FROM {{judged}}) x GROUP BY host, s1, s2, s3")]
+    for i, keys in ((1, ("host",)), (2, ("host", "t1")), (3, ("host", "t1", "t2"))):
+        by, on = ", ".join(keys), " AND ".join(f"x.{c} = k.{c}" for c in keys)
+        steps.append((f"level{i}", f"""SELECT x.*, CASE WHEN k.kids >= {fan} AND k.kids >= {spread} * k.total THEN '*' ELSE x.s{i} END AS t{i} FROM {{level{i - 1}}} x JOIN
+  (SELECT {by}, count(*) AS kids, sum(n) AS total FROM (SELECT {by}, s{i}, sum(n) AS n FROM {{level{i - 1}}} GROUP BY {by}, s{i}) z GROUP BY {by}) k ON {on}"""))
+    return [*steps,
+        ("templates", "SELECT host, t1, t2, t3, sum(known) AS known, sum(bad) AS bad FROM {level3} GROUP BY host, t1, t2, t3"),
+        ("branches", "SELECT host, t1, count(*) AS leaves, min(concat(t2, '/', t3)) AS low, max(concat(t2, '/', t3)) AS high, sum(length(concat(t2, '/', t3))) AS letters, sum(known) AS known, sum(bad) AS bad FROM {templates} GROUP BY host, t1"),
+        ("merged", f"""SELECT b.host, b.t1, CASE WHEN b.known >= {merge_from} AND (b.bad * p.known - p.bad * b.known) * (b.bad * p.known - p.bad * b.known) <= 4 * b.known * p.bad * (p.known - p.bad)
+  THEN concat('~', p.low, '~', p.high, '~', p.leaves, '~', p.letters) ELSE b.t1 END AS branch FROM {{branches}} b LEFT JOIN
+  (SELECT host, leaves, low, high, letters, sum(known) AS known, sum(bad) AS bad FROM {{branches}} WHERE known >= {merge_from} GROUP BY host, leaves, low, high, letters) p
+  ON b.host = p.host AND b.leaves = p.leaves AND b.low = p.low AND b.high = p.high AND b.letters = p.letters"""),
+        ("hosts", "SELECT host, sum(known) AS known, sum(bad) AS bad FROM {templates} GROUP BY host"),
+        ("rejected", f"""SELECT l.host, l.branch, l.t2, l.t3 FROM (SELECT t.host, m.branch, t.t2, t.t3, sum(t.known) AS known, sum(t.bad) AS bad FROM {{templates}} t JOIN {{merged}} m ON t.host = m.host AND t.t1 = m.t1 GROUP BY t.host, m.branch, t.t2, t.t3) l
+  JOIN {{hosts}} h ON l.host = h.host WHERE l.known >= {support}
+  AND (l.bad + {prior} * (h.bad + {prior} * (SELECT (coalesce(sum(bad), 0) + 1.0) / (coalesce(sum(known), 0) + 2.0) FROM {{hosts}})) / (h.known + {prior})) / (l.known + {prior}) >= {purity}"""),
+        ("refused", "SELECT DISTINCT x.host, x.s1, x.s2, x.s3 FROM {level3} x JOIN {merged} m ON x.host = m.host AND x.t1 = m.t1 JOIN {rejected} r ON r.host = x.host AND r.branch = m.branch AND r.t2 = x.t2 AND r.t3 = x.t3"),
+        ("verdicts", """SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.decided, CASE WHEN f.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+  FROM {judged} j LEFT JOIN {refused} f ON j.host = f.host AND j.s1 = f.s1 AND j.s2 = f.s2 AND j.s3 = f.s3""")]
+
+
+#: Steps that later ones read more than once, and small next to the pages; kept, so that plans stay small.
+KEPT = ("level0", "level2", "level3", "templates", "merged", "refused")
 
 
 def judged(pages: DataFrame, labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", **options) -> DataFrame:
@@ -78,7 +78,12 @@ def judged(pages: DataFrame, labels: DataFrame | None = None, id_col: str = "pag
     frames = {"pages": pages.selectExpr(f"`{id_col}` as page_id", f"`{url_col}` as url")}
     if labels is not None:
         frames["labels"] = labels.select("page_id", "bad")
-    return pages.sparkSession.sql(tree_sql("{pages}", "{labels}" if labels is not None else None, **options), **frames)
+    for name, query in tree_steps(labels is not None, **options):
+        used = {k: v for k, v in frames.items() if "{" + k + "}" in query}
+        frames[name] = pages.sparkSession.sql(query, **used)
+        if name in KEPT:
+            frames[name] = cut(frames[name])
+    return frames["verdicts"]
 
 
 def op2_url_filter(spark, sf_dir: str) -> DataFrame:
@@ -87,4 +92,9 @@ def op2_url_filter(spark, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "pages"))
 
 
-OP2_SQL = tree_sql("pages", everywhere="'g'")
+def _one_query(steps: list[tuple[str, str]]) -> str:
+    plain = lambda q: q.format(**{k: k for k, _ in steps}, pages="pages")
+    return "WITH " + ",\n".join(f"{k} AS ({plain(q)})" for k, q in steps[:-1]) + "\n" + plain(steps[-1][1])
+
+
+OP2_SQL = _one_query(tree_steps(everywhere="'g'"))
