@@ -49,13 +49,14 @@ def evaluate(df: DataFrame, actual: str = "future_cost", predicted: str = "predi
     """Rank correlation, lift of the top decile, R2, MAE, slope and intercept of actual on predicted, total error; one row."""
     y, p = F.col(actual), F.col(predicted)
     one = Window.partitionBy(F.lit(0))
-    rows = df.select(y.alias("y"), p.alias("p"), average_rank(actual).alias("ry"), average_rank(predicted).alias("rp"), F.row_number().over(Window.orderBy(F.desc(predicted), F.desc(key))).alias("place"), F.count("*").over(one).alias("n"), F.avg(actual).over(one).alias("mean"))
+    rows = df.select(y.alias("y"), p.alias("p"), average_rank(actual).alias("ry"), average_rank(predicted).alias("rp"), F.row_number().over(Window.orderBy(F.desc(predicted), F.desc(key))).alias("place"), F.count("*").over(one).alias("n"), F.avg(actual).over(one).alias("mean"), (F.max(predicted).over(one) > F.min(predicted).over(one)).alias("varied"))
+    # Rank and line need predictions that differ; without, they have no input and are null.
+    rows = rows.withColumns({"vp": F.when(F.col("varied"), F.col("p")), "vrp": F.when(F.col("varied"), F.col("rp"))})
     top = F.col("place") <= F.ceil(F.col("n") / 10)
-    flat = F.max("p") == F.min("p")
     out = rows.agg(
-        F.when(~flat, F.round(F.corr("ry", "rp"), 4)).alias("spearman"), F.round(F.avg(F.when(top, F.col("y"))) / F.avg("y"), 3).alias("top_decile_lift"),
+        F.round(F.corr("ry", "vrp"), 4).alias("spearman"), F.round(F.avg(F.when(top, F.col("y"))) / F.avg("y"), 3).alias("top_decile_lift"),
         F.round(1 - F.sum(F.pow(F.col("y") - F.col("p"), 2)) / F.sum(F.pow(F.col("y") - F.col("mean"), 2)), 4).alias("r2"), F.round(F.avg(F.abs(F.col("y") - F.col("p"))), 2).alias("mae"),
-        F.when(~flat, F.round(F.regr_slope("y", "p"), 4)).alias("calibration_slope"), F.when(~flat, F.round(F.regr_intercept("y", "p"), 1)).alias("calibration_intercept"),
+        F.round(F.regr_slope("y", "vp"), 4).alias("calibration_slope"), F.round(F.regr_intercept("y", "vp"), 1).alias("calibration_intercept"),
         F.round((F.sum("p") - F.sum("y")) / F.sum("y") * 100, 3).alias("payment_error_pct"))
     return out.withColumn("well_calibrated", F.coalesce(F.col("calibration_slope").between(0.9, 1.1), F.lit(False)))
 

@@ -63,7 +63,7 @@ def evade(visits: DataFrame, providers: DataFrame, strategy: str) -> DataFrame:
         "spread_thin": (F.coalesce("active", F.lit(False)) & (drawn < SHIFT), 3),
     }[strategy]
     level = F.when(bump, F.least(base + 1, F.lit(top))).otherwise(base)
-    return professional(rows.withColumn("em_code", choice(level, EM_CODES)).drop("active", "intensity", "minutes"))
+    return professional(rows.withColumn("em_code", choice(level, EM_CODES)).drop("active", "intensity", "minutes"), None)
 
 
 def detect(visits: DataFrame, providers: DataFrame) -> DataFrame:

@@ -37,9 +37,10 @@ def with_pharmacy(base: DataFrame, claims: DataFrame) -> DataFrame:
     return base.join(pharmacy, ["member_id", "month_index"], "left").withColumn("pharmacy_paid", F.coalesce("pharmacy_paid", F.lit(0.0)))
 
 
-def professional(claims: DataFrame) -> DataFrame:
-    """Visits with a code, their level and minutes."""
-    rows = claims.filter((F.col("service_category") == PROFESSIONAL) & F.col("em_code").isNotNull())
+def professional(claims: DataFrame, category: str | None = PROFESSIONAL) -> DataFrame:
+    """Visits with a code, their level and minutes; without a category, whatever has a code."""
+    rows = claims.filter(F.col("em_code").isNotNull())
+    rows = rows if category is None else rows.filter(F.col("service_category") == category)
     return rows.withColumns({"intensity": by_key(F.col("em_code"), EM_INTENSITY), "minutes": by_key(F.col("em_code"), EM_MINUTES)})
 
 

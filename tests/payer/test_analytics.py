@@ -73,12 +73,12 @@ def test_hazard_recovers_the_generator(spark):
 
 
 def test_generator_is_reproducible_and_ring_is_caught(spark):
-    m = synthetic.members(spark, 3000)
-    s, p = synthetic.spans(m), synthetic.providers(spark, 90, 8)
+    m = synthetic.members(spark, 6000)
+    s, p = synthetic.spans(m), synthetic.providers(spark, 240, 4)
     c = synthetic.claims(m, s, p)
-    assert quality.fingerprint(c, ["claim_line_id", "em_code", "paid_amount"]).first() == quality.fingerprint(synthetic.claims(synthetic.members(spark, 3000).repartition(5), s, p), ["claim_line_id", "em_code", "paid_amount"]).first()
+    assert quality.fingerprint(c, ["claim_line_id", "em_code", "paid_amount"]).first() == quality.fingerprint(synthetic.claims(synthetic.members(spark, 6000).repartition(5), s, p), ["claim_line_id", "em_code", "paid_amount"]).first()
     assert w.grain_violations(c, ["claim_line_id"]).first().violations == 0
-    visits = w.professional(c.withColumn("line_key", F.col("claim_line_id"))).drop("region").cache()
+    visits = w.professional(c.withColumn("line_key", F.col("claim_line_id")), "professional").drop("region").cache()
     found = upcoding.detect(visits, p).first()
     assert found.recall >= 0.5 and found.precision >= 0.5
     adapted = upcoding.detect(upcoding.evade(visits, p, "reduced_rate"), p).first()
