@@ -1,6 +1,7 @@
 """Governance, compilation, invariants of the metric layer and of the relations."""
 
 import duckdb
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -129,7 +130,7 @@ def test_same_rows_as_sql(spark, con, name):
     assert sorted(got.columns) == sorted(want.columns)
 
     def rows(df):
-        return sorted(tuple("~" if v is None or v != v else f"{float(v):.8g}" if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
+        return sorted(tuple("~" if pd.isna(v) else f"{float(v):.8g}" if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
 
     assert rows(got) == rows(want)
     spark.catalog.clearCache()
