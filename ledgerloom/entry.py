@@ -69,7 +69,7 @@ def _subjects(s, d) -> DataFrame:
 
 def _visits(s, d, strategy: str | None = None) -> tuple[DataFrame, DataFrame]:
     p = Payer(s, d)
-    visits = w.professional(p.claim_lines).drop("region")
+    visits = w.professional(p.claim_facts).drop("region")
     return (upcoding.evade(visits, p.providers, strategy) if strategy else visits), p.providers
 
 
@@ -79,7 +79,7 @@ def _scored_providers(s, d) -> DataFrame:
 
 def _risk(s, d) -> DataFrame:
     p = Payer(s, d)
-    return risk.dataset(w.member_month(p), p.claim_lines, p.members, RISK_CUT)
+    return risk.dataset(w.member_month(p), p.claim_facts, p.members, RISK_CUT)
 
 
 def _ridge(s, d) -> DataFrame:
@@ -134,9 +134,9 @@ QUERIES = {
     "idempotency": lambda s, d: w.idempotency(lambda: _base(s, d)),
     "grain_check": lambda s, d: w.grain_violations(_base(s, d), ["member_id", "month_index"]),
     "invariants": lambda s, d: w.invariants(_base(s, d), STANDARD),
-    "pharmacy_split": lambda s, d: w.with_pharmacy(_base(s, d), Payer(s, d).claim_lines).groupBy("plan").agg(F.count("*").alias("n"), F.sum(F.col("pharmacy_paid").cast("decimal(18,2)")).cast("double").alias("pharmacy_paid")),
+    "pharmacy_split": lambda s, d: w.with_pharmacy(_base(s, d), Payer(s, d).claim_facts).groupBy("plan").agg(F.count("*").alias("n"), F.sum(F.col("pharmacy_paid").cast("decimal(18,2)")).cast("double").alias("pharmacy_paid")),
     "metric_snapshot": lambda s, d: regression.snapshot(_base(s, d).cache(), STANDARD),
-    "blast_radius": lambda s, d: regression.blast_radius(w.with_pharmacy(_base(s, d), Payer(s, d).claim_lines).cache(), STANDARD, without_pharmacy(STANDARD)),
+    "blast_radius": lambda s, d: regression.blast_radius(w.with_pharmacy(_base(s, d), Payer(s, d).claim_facts).cache(), STANDARD, without_pharmacy(STANDARD)),
     "largest_moves": lambda s, d: regression.largest(QUERIES["blast_radius"](s, d)),
     "km_overall": lambda s, d: survival.kaplan_meier(_subjects(s, d)),
     "km_by_channel": lambda s, d: survival.kaplan_meier(_subjects(s, d), ("channel",)),

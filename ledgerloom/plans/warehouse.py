@@ -25,7 +25,7 @@ def claims_by_month(claims: DataFrame) -> DataFrame:
 def member_month(p: Payer, first_year: int = FIRST_YEAR) -> DataFrame:
     """One row per member and enrolled month, months without a claim included."""
     dim = p.members.select("member_id", "region", "plan", "product", "channel", "age_band", "sex", "chronic_count", "premium_burden", F.col("monthly_premium").alias("premium_collected"))
-    rows = exposure(p.enrollment_spans).join(dim, "member_id").join(claims_by_month(p.claim_lines), ["member_id", "month_index"], "left")
+    rows = exposure(p.enrollment_spans).join(dim, "member_id").join(claims_by_month(p.claim_facts), ["member_id", "month_index"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return rows.select(
         "member_id", "month_index", month_label("month_index", first_year).alias("month"), month_label_rounded("month_index", first_year).alias("month_ref"), "region", "plan", "product", "channel", "age_band", "sex", "chronic_count", "premium_burden",
@@ -45,7 +45,7 @@ def professional(claims: DataFrame, category: str | None = PROFESSIONAL) -> Data
 
 
 def provider_month(p: Payer) -> DataFrame:
-    rows = professional(p.claim_lines).drop("region").join(F.broadcast(p.providers.select("provider_id", "specialty", "region")), "provider_id")
+    rows = professional(p.claim_facts).drop("region").join(F.broadcast(p.providers.select("provider_id", "specialty", "region")), "provider_id")
     return rows.groupBy("provider_id", "specialty", "region", "month_index").agg(
         F.count("*").alias("n_professional"), F.round(F.avg("intensity"), 6).alias("mean_intensity"), F.sum("minutes").cast("long").alias("total_minutes"), money("allowed_amount").alias("allowed_amount"))
 
