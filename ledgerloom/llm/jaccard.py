@@ -7,8 +7,9 @@ sum with its box. Pairs that pass this bound are verified on their whole sets.
 
 One tree over everything would have to see every query, so the trees are
 sharded without loss: in a fixed order of all shingles, two sets that are
-similar enough share one of their first few (the prefix). Each prefix shingle
-that two sets have is a shard. Frequent shingles stand last in the order; which
+similar enough share some of their first few (the prefix), more the larger they
+are. Each prefix shingle that two sets have is a shard, and a pair must come up
+in enough shards. A finer count vector bounds the pairs before sets are sent. Frequent shingles stand last in the order; which
 are found frequent changes the work and never the result.
 
 Copies with one set are one node. Groups of near copies don't turn into all
@@ -34,6 +35,8 @@ from ledgerloom.llm.common import components, cut, keep
 from ledgerloom.llm.shingles import mix, shingle_set
 
 GROUPS = 48
+#: In how many orders neighbours are compared before anything else.
+ORDERS = 4
 LEAF = 16
 #: Frequent shingles that are put last: the heaviest of those in so many sets at least.
 FREQUENT, MOST_FREQUENT = 64, 50_000
@@ -41,9 +44,14 @@ FREQUENT, MOST_FREQUENT = 64, 50_000
 BROADCAST_IDS = 500_000
 
 
+def shared_at_least(n):
+    """How many prefix shingles a pair must share: those of its smaller set count."""
+    return 1 + n // 32
+
+
 def prefix_size(n: int, percent: int) -> int:
-    """So many shingles, the first in the common order, that a similar set must share one."""
-    return n - -(-percent * n // 100) + 1
+    """So many shingles, the first in the common order, that a similar set no smaller must share ``shared_at_least`` of them."""
+    return min(n, n - -(-percent * n // 100) + shared_at_least(n))
 
 
 def summary(s: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[int, int, int, bytes, list[int]]:
@@ -160,34 +168,66 @@ def _search(percent: int):
             cls, n = b["cls"].to_numpy(), b["n"].to_numpy()
             counts = np.frombuffer(b"".join(b["counts"]), dtype=np.int32).reshape(len(b), GROUPS)
             edges = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
-            left, right = [], []
-            for s, e in zip(edges[:-1], edges[1:]):
-                if e - s <= LEAF:
-                    i, j = np.triu_indices(e - s, 1)
-                    left.append(s + i)
-                    right.append(s + j)
-                elif (cls[s:e] != cls[s]).any():
-                    for i, j in CountTree(counts[s:e], n[s:e]).pairs(cls[s:e], percent):
-                        yield pd.DataFrame({"a": np.minimum(node[s + i], node[s + j]), "b": np.maximum(node[s + i], node[s + j])})
-            if left:
-                i, j = np.concatenate(left), np.concatenate(right)
-                ok = (cls[i] != cls[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-                i, j = i[ok], j[ok]
-                ok = _bound(counts[i], counts[j], n[i], n[j], percent)
-                yield pd.DataFrame({"a": np.minimum(node[i[ok]], node[j[ok]]), "b": np.maximum(node[i[ok]], node[j[ok]])})
+            start, size = edges[:-1], np.diff(edges)
+            varied = np.minimum.reduceat(cls, start) != np.maximum.reduceat(cls, start)
+
+            def pairs(i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+                return pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j]), "need": shared_at_least(np.minimum(n[i], n[j]))})
+
+            for k in range(2, LEAF + 1):
+                some = start[varied & (size == k)]
+                for at in range(0, len(some), 4096):
+                    i, j = ((some[at : at + 4096, None] + x[None, :]).ravel() for x in np.triu_indices(k, 1))
+                    ok = (cls[i] != cls[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+                    i, j = i[ok], j[ok]
+                    ok = _bound(counts[i], counts[j], n[i], n[j], percent)
+                    yield pairs(i[ok], j[ok])
+            for s, e in zip(start[varied & (size > LEAF)], start[varied & (size > LEAF)] + size[varied & (size > LEAF)]):
+                for i, j in CountTree(counts[s:e], n[s:e]).pairs(cls[s:e], percent):
+                    yield pairs(s + i, s + j)
 
     return work
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets are similar enough. Sets are made anew for the documents in question alone."""
-    pairs = keep(pairs)
+def fine_counts(s: np.ndarray) -> bytes:
+    """Counts over as many groups as the set has shingles, to a power of two; small enough to be one byte each."""
+    size = 1 << max(3, int(len(s) - 1).bit_length())
+    return np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) & (size - 1), minlength=size), 255).astype(np.uint8).tobytes()
+
+
+def _fine_bound(x: bytes, y: bytes, nx: int, ny: int, percent: int) -> bool:
+    """The bound on vectors of two sizes; the longer is folded. A full byte may stand for more, so then nothing is excluded."""
+    a, b = (np.frombuffer(v, dtype=np.uint8).astype(np.int64) for v in (x, y))
+    if a.max() == 255 or b.max() == 255:
+        return True
+    size = min(len(a), len(b))
+    a, b = a.reshape(-1, size).sum(axis=0), b.reshape(-1, size).sum(axis=0)
+    return (100 + percent) * int(np.minimum(a, b).sum()) >= percent * (nx + ny)
+
+
+def _with_both(docs: DataFrame, pairs: DataFrame, made, width: int) -> DataFrame:
+    """``pairs`` (a, b) with what ``made`` gives for the sets of both (x, y), worked out for the documents in question alone."""
     ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     few = ids.count() <= BROADCAST_IDS
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"node": b["doc_id"], "tokens": [shingle_set(t, width).tobytes() for t in b["text"]]})
+            found = [shingle_set(t, width) for t in b["text"]]
+            yield pd.DataFrame({"node": b["doc_id"], "n": [len(s) for s in found], "v": [made(s) for s in found]})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    chosen = docs.join(F.broadcast(ids) if few else ids, "doc_id")
+    held = keep(chosen.mapInPandas(sets, f"node {kind}, n long, v binary").dropDuplicates(["node"]))
+    x = held.select(F.col("node").alias("a"), F.col("n").alias("nx"), F.col("v").alias("x"))
+    y = held.select(F.col("node").alias("b"), F.col("n").alias("ny"), F.col("v").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "nx", "ny", "x", "y")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs whose whole sets are similar enough, after the bound on finer vectors."""
+    def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.loc[[_fine_bound(*v, percent) for v in zip(b["x"], b["y"], b["nx"], b["ny"])], ["a", "b"]]
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -199,10 +239,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
             yield b.loc[ok, ["a", "b"]]
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    chosen = docs.join(F.broadcast(ids) if few else ids, "doc_id")
-    made = keep(chosen.mapInPandas(sets, f"node {kind}, tokens binary").dropDuplicates(["node"]))
-    sided = pairs.join(made.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(made.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    return cut(sided.select("a", "b", "x", "y").mapInPandas(check, f"a {kind}, b {kind}"))
+    left = keep(_with_both(docs, keep(pairs), fine_counts, width).mapInPandas(bounded, f"a {kind}, b {kind}"))
+    return cut(_with_both(docs, left, np.ndarray.tobytes, width).mapInPandas(check, f"a {kind}, b {kind}"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -217,9 +255,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     # Shards: prefix shingles that more sets have, and there only sets with a neighbour of like size.
     near = Window.partitionBy("token").orderBy("n", "node")
     rows = whole.select("node", "n", F.explode("prefix").alias("token"))
-    rows = rows.withColumns({"before": F.lag("node").over(near), "n_before": F.lag("n").over(near), "n_after": F.lead("n").over(near)})
-    linked = F.coalesce(100 * F.col("n_before") >= percent * F.col("n"), F.lit(False))
-    rows = keep(rows.filter(linked | F.coalesce(100 * F.col("n") >= percent * F.col("n_after"), F.lit(False))).select("token", "node", "n", F.when(linked, F.col("before")).alias("before")))
+    rows = rows.withColumns({"n_before": F.lag("n").over(near), "n_after": F.lead("n").over(near)})
+    alike = (100 * F.col("n_before") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("n_after"))
+    rows = keep(rows.filter(F.coalesce(alike, F.lit(False))).select("token", "node", "n"))
     points = whole.join(rows.select("node").distinct(), "node", "left_semi").select("node", "n", "counts")
     points = keep(points)
 
@@ -228,13 +266,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
             x, y = (np.frombuffer(b"".join(b[c]), dtype=np.int32).reshape(len(b), GROUPS) for c in ("x", "y"))
             yield b.loc[_bound(x, y, x.sum(axis=1), y.sum(axis=1), percent), ["a", "b"]]
 
-    neighbours = rows.filter("before is not null").select(F.least("before", "node").alias("a"), F.greatest("before", "node").alias("b")).distinct()
+    # Neighbours in a few orders, so that a node of a large group meets several others and the group falls together at once.
+    line = Window.partitionBy("token").orderBy(F.xxhash64("node", F.pmod("token", F.lit(ORDERS))), "node")
+    neighbours = rows.withColumns({"before": F.lag("node").over(line), "n_before": F.lag("n").over(line)}).filter(100 * F.least("n", "n_before") >= percent * F.greatest("n", "n_before"))
+    neighbours = neighbours.select(F.least("before", "node").alias("a"), F.greatest("before", "node").alias("b")).distinct()
     sided = neighbours.join(points.select(F.col("node").alias("a"), F.col("counts").alias("x")), "a").join(points.select(F.col("node").alias("b"), F.col("counts").alias("y")), "b")
     first = _verified(docs, sided.select("a", "b", "x", "y").mapInPandas(bounded, f"a {kind}, b {kind}"), width, percent)
     early = components(first)
     placed = points.join(early, "node", "left").select("node", "counts", F.coalesce("component", "node").alias("cls"))
     shards = rows.select("token", "node", "n").join(placed, "node").repartition("token").sortWithinPartitions("token", "n", "node")
-    found = shards.select("token", "node", "n", "cls", "counts").mapInPandas(_search(percent), f"a {kind}, b {kind}").distinct()
+    found = shards.select("token", "node", "n", "cls", "counts").mapInPandas(_search(percent), f"a {kind}, b {kind}, need long")
+    found = found.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("need").alias("need")).filter("k >= need").select("a", "b")
     links = first.union(_verified(docs, found, width, percent))
 
     out = known.select("doc_id", "n", "sig1", "sig2").join(nodes, ["sig1", "sig2"], "left").join(components(links), "node", "left")
