@@ -18,7 +18,7 @@ repeated rows. Empty input gives empty output.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -101,11 +101,11 @@ def align(x: np.ndarray, y: np.ndarray) -> tuple[int, int, float]:
     return best, int(votes.max()), float(np.bitwise_count(a[:n] ^ b[:n]).sum()) / (32 * n)
 
 
-def fingerprints(recordings: DataFrame, id_col: str, audio_col: str, rate: int = RATE) -> DataFrame:
-    """id, n_frames, print (the integers as bytes) of each recording."""
+def fingerprints(recordings: DataFrame, id_col: str, audio_col: str, rate: int = RATE, decode: Callable[[object], bytes | None] | None = None) -> DataFrame:
+    """id, n_frames, print (the integers as bytes) of each recording. ``decode`` makes a cell PCM, one at a time, so that no batch of PCM is ever held."""
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            made = [fingerprint(chroma(a, rate)) for a in b["audio"]]
+            made = [fingerprint(chroma(a if decode is None else decode(a), rate)) for a in b["audio"]]
             yield pd.DataFrame({"id": b["id"].to_numpy(), "n_frames": [len(m) for m in made], "print": [m.tobytes() for m in made]})
 
     kind = recordings.schema[id_col].dataType.simpleString()
@@ -143,10 +143,10 @@ def _linked(pairs: DataFrame, prints: DataFrame, kind: str) -> DataFrame:
     return cut(sided.select("a", "b", "x", "y").mapInPandas(work, f"a {kind}, b {kind}, offset long, votes long, error double"))
 
 
-def classes(recordings: DataFrame, id_col: str, audio_col: str, rate: int = RATE) -> DataFrame:
+def classes(recordings: DataFrame, id_col: str, audio_col: str, rate: int = RATE, decode: Callable[[object], bytes | None] | None = None) -> DataFrame:
     """id, n_frames, print_hash, component_id of each recording; component_id is the least id reachable by links."""
     kind = recordings.schema[id_col].dataType.simpleString()
-    known = keep(fingerprints(recordings, id_col, audio_col, rate).withColumn("print_hash", F.sha2("print", 256)))
+    known = keep(fingerprints(recordings, id_col, audio_col, rate, decode).withColumn("print_hash", F.sha2("print", 256)))
     nodes = cut(known.filter("n_frames > 0").groupBy("print_hash").agg(F.min("id").alias("node")))
     prints = keep(known.join(nodes.withColumnRenamed("print_hash", "h"), F.col("id") == F.col("node"), "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("node"), "print"))
     work, schema = _runs(kind)
@@ -165,25 +165,21 @@ def classes(recordings: DataFrame, id_col: str, audio_col: str, rate: int = RATE
     return out.select("id", "n_frames", "print_hash", F.when(F.col("n_frames") > 0, F.coalesce("component", "node")).otherwise(F.col("id")).alias("component_id"))
 
 
-def played(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """id, audio: each vector as a tune, a note of HOP samples a component, its pitch by the component's value. Null components are rests."""
-    t = np.arange(HOP) / RATE
-    notes = np.stack([8000 * np.sin(2 * np.pi * 220 * 2 ** (p / 12) * t) * np.hanning(HOP) ** 0.25 for p in range(25)] + [np.zeros(HOP)]).astype("<i2")
+_notes: list[np.ndarray] = []
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            tunes = []
-            for v in b["v"]:
-                x = np.array([np.nan if c is None else c for c in v] if v is not None else [], dtype=float)
-                p = np.where(np.isfinite(x), np.clip(np.round(np.nan_to_num(x, posinf=0, neginf=0) * 40) + 12, 0, 24), 25).astype(int)
-                tunes.append(notes[p].tobytes())
-            yield pd.DataFrame({"id": b["id"].to_numpy(), "audio": tunes})
 
-    kind = vectors.schema[id_col].dataType.simpleString()
-    return vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInPandas(work, f"id {kind}, audio binary")
+def tune(vector) -> bytes:
+    """A vector as PCM: a note of HOP samples a component, its pitch by the component's value. Null and non-finite components are rests."""
+    if not _notes:
+        t = np.arange(HOP) / RATE
+        _notes.append(np.stack([8000 * np.sin(2 * np.pi * 220 * 2 ** (p / 12) * t) * np.hanning(HOP) ** 0.25 for p in range(25)] + [np.zeros(HOP)]).astype("<i2"))
+    x = np.array([np.nan if c is None else c for c in vector] if vector is not None else [], dtype=float)
+    p = np.where(np.isfinite(x), np.clip(np.round(np.nan_to_num(x, posinf=0, neginf=0) * 40) + 12, 0, 24), 25).astype(int)
+    return _notes[0][p].tobytes()
 
 
 def op5_audio_fingerprints(spark, sf_dir: str) -> DataFrame:
+    """The tables hold no sound, so each vector is played."""
     from ledgerloom.llm.common import table
 
-    return classes(played(table(spark, sf_dir, "embeddings")), "id", "audio").withColumnRenamed("id", "vec_id")
+    return classes(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", decode=tune).withColumnRenamed("id", "vec_id")

@@ -65,8 +65,9 @@ def test_classes_equal_all_pairs(spark):
 
 
 def test_played_vectors_and_empty_table(spark):
-    rows = [(1, [0.1, None, float("nan"), 0.5] * 16), (2, None), (3, [])]
+    rows = [(1, [0.1, None, float("nan"), 0.5] * 16), (2, None), (3, []), (4, [0.1, None, float("nan"), 0.5] * 16)]
+    assert [len(a.tune(v)) for _, v in rows] == [64 * a.HOP * 2, 0, 0, 64 * a.HOP * 2]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    out = {x.id: len(x.audio) for x in a.played(frame).collect()}
-    assert out == {1: 64 * a.HOP * 2, 2: 0, 3: 0}
-    assert a.classes(a.played(frame.limit(0)), "id", "audio").count() == 0
+    got = {x.id: x.component_id for x in a.classes(frame, "vec_id", "embedding", decode=a.tune).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 1}
+    assert a.classes(frame.limit(0), "vec_id", "embedding", decode=a.tune).count() == 0
