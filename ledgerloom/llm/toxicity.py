@@ -146,15 +146,16 @@ class Model:
 def _telling(pos: list[set[str]], neg: list[set[str]], most: int) -> list[str]:
     """Strings of 4 to 8 letters that stand in many toxic texts and hardly any other; of those in the same texts, one."""
     common = Counter(w for s in neg for w in s)
+    rare = [[w for w in s if common[w] <= 0.002 * len(neg)] for s in pos]
+    least = max(3, len(pos) // 50)
     docs_of: dict[str, set[int]] = {}
-    for i, s in enumerate(pos):
-        for w in s:
-            if common[w] > 0.002 * len(neg):
-                continue
-            for part in {w[a : a + n] for n in range(4, 9) for a in range(len(w) - n + 1)}:
-                docs_of.setdefault(part, set()).add(i)
+    for n in range(4, 9):  # a length at a time, as all parts at once would fill the driver
+        parts = [{w[a : a + n] for w in s for a in range(len(w) - n + 1)} for s in rare]
+        often = {p for p, k in Counter(p for s in parts for p in s).items() if k >= least}
+        for i, s in enumerate(parts):
+            for p in s & often:
+                docs_of.setdefault(p, set()).add(i)
     joined = ["\n".join(sorted(s)) for s in neg]
-    least = max(3, len(pos) // 50)
     chosen: list[str] = []
     for part in sorted((p for p, d in docs_of.items() if len(d) >= least), key=lambda p: (-len(docs_of[p]), -len(p), p)):
         own = docs_of[part]
@@ -199,7 +200,7 @@ def _curve(margins: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[floa
     return float(a[0]), float(a[1])
 
 
-def train(texts: list[set[str]], labels: list[int], shares: tuple[float, float], landmarks: int = 48, common: int = 24) -> Model:
+def train(texts: list[set[str]], labels: list[int], shares: tuple[float, float], landmarks: int = 32, common: int = 16) -> Model:
     """Fit on the strings of labelled texts; ``shares`` are the classes' shares among all labelled rows (0, then 1)."""
     pos = [s for s, y in zip(texts, labels) if y]
     neg = [s for s, y in zip(texts, labels) if not y]
@@ -209,12 +210,11 @@ def train(texts: list[set[str]], labels: list[int], shares: tuple[float, float],
     telling = _telling(pos, neg, landmarks)
     frequent = [w for w, _ in sorted(Counter(w for s in neg for w in s if len(w) > 3).items(), key=lambda x: (-x[1], x[0]))[:common]]
     points = list(dict.fromkeys(telling + frequent)) or ["aaaa"]
-    one = np.column_stack([dense([p], np.ones(1)) for p in points])
+    one = np.column_stack([dense([p], np.ones(1)).astype(np.float32) for p in points])
     gram = products(one, points)
     value, vector = np.linalg.eigh((gram + gram.T) / 2 + 1e-6 * np.eye(len(points)))
     root = vector @ np.diag(1.0 / np.sqrt(np.maximum(value, 1e-6))) @ vector.T
-    margin_table = one[:, : max(1, len(telling))].sum(axis=1)
-    weights = margin_table
+    weights = one[:, : max(1, len(telling))].sum(axis=1).astype(np.float64)
     vocabulary = sorted(set().union(*pos, *neg))
     for _ in range(2):
         f = dict(zip(vocabulary, products(weights, vocabulary)))
@@ -226,7 +226,7 @@ def train(texts: list[set[str]], labels: list[int], shares: tuple[float, float],
         bad = [w for w in bad if w not in set(good)]
         x = np.column_stack([products(one, good + bad) @ root, np.ones(len(good) + len(bad))])
         w = _machine(x, np.array([1.0] * len(good) + [-1.0] * len(bad)))
-        weights = one @ (root @ w[:-1])
+        weights = (one @ (root @ w[:-1]).astype(np.float32)).astype(np.float64)
     f = dict(zip(vocabulary, products(weights, vocabulary)))
     margins = np.array([max((f[w] for w in s), default=0.0) for s in texts])
     y = np.array(labels, dtype=float)
