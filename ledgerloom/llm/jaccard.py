@@ -13,8 +13,9 @@ in enough shards. A finer count vector bounds the pairs before sets are sent. Fr
 are found frequent changes the work and never the result.
 
 Copies with one set are one node. Groups of near copies don't turn into all
-their pairs: neighbours in a shard are verified first and become classes;
-after that, a shard only yields pairs of different classes. So what comes out
+their pairs: neighbours in a shard are verified first and become classes,
+then each node's nearest of another class; after that, a shard only yields pairs
+of classes that are still different. So what comes out
 is the classes, exact, and a spanning set of links, not every link.
 
 Texts that are null or have no words link with nothing and are classes of
@@ -272,12 +273,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     neighbours = neighbours.select(F.least("before", "node").alias("a"), F.greatest("before", "node").alias("b")).distinct()
     sided = neighbours.join(points.select(F.col("node").alias("a"), F.col("counts").alias("x")), "a").join(points.select(F.col("node").alias("b"), F.col("counts").alias("y")), "b")
     first = _verified(docs, sided.select("a", "b", "x", "y").mapInPandas(bounded, f"a {kind}, b {kind}"), width, percent)
-    early = components(first)
-    placed = points.join(early, "node", "left").select("node", "counts", F.coalesce("component", "node").alias("cls"))
-    shards = rows.select("token", "node", "n").join(placed, "node").repartition("token").sortWithinPartitions("token", "n", "node")
-    found = shards.select("token", "node", "n", "cls", "counts").mapInPandas(_search(percent), f"a {kind}, b {kind}, need long")
-    found = found.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("need").alias("need")).filter("k >= need").select("a", "b")
-    links = first.union(_verified(docs, found, width, percent))
+
+    def candidates(links: DataFrame) -> DataFrame:
+        """Pairs of different classes under the links so far, and in how many shards they came up."""
+        placed = points.join(components(links), "node", "left").select("node", "counts", F.coalesce("component", "node").alias("cls"))
+        shards = rows.join(placed, "node").repartition("token").sortWithinPartitions("token", "n", "node")
+        found = shards.select("token", "node", "n", "cls", "counts").mapInPandas(_search(percent), f"a {kind}, b {kind}, need long")
+        return found.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("need").alias("need")).filter("k >= need")
+
+    # Each node's nearest of another class comes before the rest: a straggler joins its group by one pair, not by one with each member.
+    some = keep(candidates(first))
+    nearest = some.groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b")).union(some.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a")).select("a", "b"))
+    second = cut(first.union(_verified(docs, nearest.distinct(), width, percent)))
+    links = second.union(_verified(docs, candidates(second).select("a", "b"), width, percent))
 
     out = known.select("doc_id", "n", "sig1", "sig2").join(nodes, ["sig1", "sig2"], "left").join(components(links), "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id")).alias("component_id"))
