@@ -6,10 +6,14 @@ sixteen of them, two bits each, are one packed integer a frame. Two recordings
 are aligned by the histogram of offsets at which their integers agree, and
 linked if at the best offset the share of differing bits stays small.
 
-Equal fingerprints are one node. Candidates share a run of integers; in a group
-of recordings with one run, neighbours are aligned first and become classes,
-and only pairs of different classes follow, so no group turns into all its
-pairs and no link between classes is lost. Silent runs are no candidates.
+Equal fingerprints are one node. A link needs LEAST_VOTES places that agree, so
+two recordings with a link share as many occurrences of non-zero integers. Of
+these, each leaves out the few that stand in most recordings, which costs no
+link as long as LEAST_SHARED must be shared of the rest; that many make a
+candidate. Neighbours among the recordings with one integer are aligned first
+and become classes, then all candidates of different classes, so no link
+between classes is lost. An integer of very many recordings is dealt out in
+pairs of blocks; all its pairs of different classes are still counted.
 
 Audio is 16-bit mono PCM. Null and empty audio, and audio shorter than a frame,
 has no fingerprint and is a class of its own. Ids must be unique but for
@@ -28,8 +32,10 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import components, cut, keep
 
 RATE, FRAME, HOP = 4000, 512, 256
-#: Frames that a candidate run spans, and the least agreeing frames and most differing bits of a link.
-RUN, LEAST_VOTES, MOST_ERROR = 4, 8, 0.2
+#: Frames that a shared run spans at least (any single integer), and the least agreeing frames and most differing bits of a link.
+RUN, LEAST_VOTES, MOST_ERROR = 1, 8, 0.2
+#: Occurrences that a candidate shares at least, once each recording's LEAST_VOTES - LEAST_SHARED commonest are left out; recordings in a block of one integer.
+LEAST_SHARED, BLOCK = 2, 1024
 #: Box filters as (kind, first pitch class, pitch classes, frames), made by rule: three kinds over stretches of the octave.
 FILTERS = tuple((i % 3, (5 * i) % 9, 3 + i % 2, 2 + 2 * (i % 4)) for i in range(16))
 #: Borders between the two-bit levels of a filter's value, and the Gray code of the levels.
@@ -112,24 +118,37 @@ def fingerprints(recordings: DataFrame, id_col: str, audio_col: str, rate: int =
     return recordings.select(F.col(id_col).alias("id"), F.col(audio_col).alias("audio")).mapInPandas(work, f"id {kind}, n_frames long, print binary")
 
 
-def _runs(kind: str):
+def _integers(kind: str):
+    """Each recording's distinct non-zero integers and how often they stand in it; too few for a link are none."""
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for node, data in zip(b["node"], b["print"]):
-                x = np.frombuffer(data, dtype=np.uint32).astype(np.uint64)
-                n = len(x) - RUN + 1
-                if n < 1:
-                    continue
-                key, ok = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=bool)
-                for i in range(RUN):
-                    key = (key ^ x[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-                    key ^= key >> np.uint64(29)
-                    ok |= x[i : i + n] != 0
-                out.append(pd.DataFrame({"node": node, "run": np.unique(key[ok]).astype(np.int64)}))
-            yield pd.concat(out) if out else pd.DataFrame({"node": [], "run": []})
+                x = np.frombuffer(data, dtype=np.int32)
+                value, n = np.unique(x[x != 0], return_counts=True)
+                if n.sum() >= LEAST_VOTES:
+                    out.append(pd.DataFrame({"node": node, "value": value, "n": n}))
+            yield pd.concat(out) if out else pd.DataFrame({"node": [], "value": [], "n": []})
 
-    return work, f"node {kind}, run long"
+    return work, f"node {kind}, value int, n int"
+
+
+def _rare(prints: DataFrame, kind: str) -> DataFrame:
+    """node, value, n, part, parts: the occurrences that candidates are found by, each value's recordings dealt into ``parts`` blocks."""
+    work, schema = _integers(kind)
+    each = keep(prints.mapInPandas(work, schema))
+    spread = each.groupBy("value").agg(F.count("*").alias("spread")).filter("spread > 1")
+    own = Window.partitionBy("node")
+    before = own.orderBy(F.desc("spread"), F.desc("value")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = each.join(spread, "value").withColumns({"all": F.sum("n").over(own), "before": F.coalesce(F.sum("n").over(before), F.lit(0))})
+    left = F.col("n") - F.least(F.greatest(LEAST_VOTES - LEAST_SHARED - F.col("before"), F.lit(0)), F.col("n"))
+    rows = rows.filter(F.col("all") >= LEAST_VOTES).select("node", "value", left.cast("int").alias("n"), F.ceil(F.col("spread") / BLOCK).cast("int").alias("parts")).filter("n > 0")
+    return keep(rows.withColumn("part", F.pmod(F.xxhash64("value", "node"), "parts").cast("int")))
+
+
+def _candidates(pairs: DataFrame) -> DataFrame:
+    """a, b of the pairs (a, b, n) that share enough."""
+    return pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_SHARED).select("a", "b")
 
 
 def _linked(pairs: DataFrame, prints: DataFrame, kind: str) -> DataFrame:
@@ -149,18 +168,19 @@ def classes(recordings: DataFrame, id_col: str, audio_col: str, rate: int = RATE
     known = keep(fingerprints(recordings, id_col, audio_col, rate, decode).withColumn("print_hash", F.sha2("print", 256)))
     nodes = cut(known.filter("n_frames > 0").groupBy("print_hash").agg(F.min("id").alias("node")))
     prints = keep(known.join(nodes.withColumnRenamed("print_hash", "h"), F.col("id") == F.col("node"), "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("node"), "print"))
-    work, schema = _runs(kind)
-    near = Window.partitionBy("run").orderBy("node")
-    rows = prints.mapInPandas(work, schema).withColumns({"before": F.lag("node").over(near), "next": F.lead("node").over(near)})
-    rows = keep(rows.filter("before is not null or next is not null"))
-    first = _linked(rows.filter("before is not null").select(F.col("before").alias("a"), F.col("node").alias("b")).distinct(), prints, kind).select("a", "b")
+    rows = _rare(prints, kind)
+    near = Window.partitionBy("value", "part").orderBy("node")
+    beside = rows.select(F.lag("node").over(near).alias("a"), F.col("node").alias("b"), F.least("n", F.lag("n").over(near)).alias("n")).filter("a is not null")
+    first = _linked(_candidates(beside), prints, kind).select("a", "b")
     early = components(first)
-    placed = rows.select("run", "node").join(early, "node", "left").select("run", "node", F.coalesce("component", "node").alias("cls"))
-    mixed = placed.groupBy("run").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low <> high").select("run")
-    x = cut(placed.join(mixed, "run", "left_semi"))
-    y = x.select(F.col("run").alias("run2"), F.col("node").alias("b"), F.col("cls").alias("other"))
-    later = x.join(y, (x["run"] == y["run2"]) & (x["node"] < y["b"]) & (x["cls"] != y["other"])).select(x["node"].alias("a"), "b").distinct()
-    links = first.union(_linked(later, prints, kind).select("a", "b"))
+    placed = keep(rows.join(early, "node", "left").withColumn("cls", F.coalesce("component", "node")).drop("component"))
+    mixed = placed.groupBy("value").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low <> high").select("value")
+    some = keep(placed.join(mixed, "value", "left_semi"))
+    others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    x = some.select("value", F.col("part").alias("i"), others.alias("j"), F.col("node").alias("a"), "cls", "n")
+    y = some.select("value", others.alias("i"), F.col("part").alias("j"), F.col("node").alias("b"), F.col("cls").alias("other"), F.col("n").alias("m"))
+    later = x.join(y, ["value", "i", "j"]).filter("a < b and cls <> other").select("a", "b", F.least("n", "m").alias("n"))
+    links = first.union(_linked(_candidates(later), prints, kind).select("a", "b"))
     out = known.select("id", "n_frames", "print_hash").join(nodes, "print_hash", "left").join(components(links), "node", "left")
     return out.select("id", "n_frames", "print_hash", F.when(F.col("n_frames") > 0, F.coalesce("component", "node")).otherwise(F.col("id")).alias("component_id"))
 

@@ -71,3 +71,32 @@ def test_played_vectors_and_empty_table(spark):
     got = {x.id: x.component_id for x in a.classes(frame, "vec_id", "embedding", decode=a.tune).collect()}
     assert got == {1: 1, 2: 2, 3: 3, 4: 1}
     assert a.classes(frame.limit(0), "vec_id", "embedding", decode=a.tune).count() == 0
+
+
+def test_no_link_is_lost_without_shared_runs(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    prints, hot = {}, r.integers(1, 2**32, 5, dtype=np.uint32)
+    for k in range(8):
+        base = r.integers(1, 2**32, 60, dtype=np.uint32)
+        base[10:15] = hot  # a run that unrelated recordings share
+        for j in range(4):
+            y = base.copy()
+            y[np.arange(60) % 4 != j % 2] ^= np.uint32(1 << j)  # integers agree singly, never four in a row
+            prints[2 * len(prints) + 1] = y if j < 3 else y[7:]
+    prints[101] = np.full(40, 9, dtype=np.uint32)
+    prints[103] = np.concatenate([np.zeros(30, dtype=np.uint32), np.full(9, 9, dtype=np.uint32)])
+    rows = [(i, p.tobytes()) for i, p in prints.items()]
+    monkeypatch.setattr(a, "fingerprints", lambda d, *_: d.selectExpr("id", "length(audio) div 4 as n_frames", "audio as print"))
+    got = [{x.id: x.component_id for x in a.classes(spark.createDataFrame(rows, "id long, audio binary"), "id", "audio").collect()}]
+    monkeypatch.setattr(a, "BLOCK", 3, raising=False)
+    got += [{x.id: x.component_id for x in a.classes(spark.createDataFrame(rows, "id long, audio binary"), "id", "audio").collect()}]
+    links = [(i, j) for i in prints for j in prints if i < j and (v := a.align(prints[i], prints[j]))[1] >= a.LEAST_VOTES and v[2] <= a.MOST_ERROR]
+    runs = {i: {p[k : k + 4].tobytes() for k in range(len(p) - 3) if p[k : k + 4].any()} for i, p in prints.items()}
+    for i in prints:
+        runs[i] -= {p[k : k + 4].tobytes() for p in prints.values() for k in range(len(p) - 3) if hot[0] in p[k : k + 4] or hot[-1] in p[k : k + 4]}
+    assert any(not runs[i] & runs[j] for i, j in links)
+    least = {i: i for i in prints}
+    for _ in prints:
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    assert got == [least, least] and 1 < len(set(least.values())) < len(prints)
