@@ -22,6 +22,7 @@ out; with one class only, or none, every score is that class's share (0).
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -112,8 +113,23 @@ def dense(words: list[str], weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def products(table: np.ndarray, words: list[str]) -> np.ndarray:
-    """Each string's normalised product with each column of ``table``, strings of like length together."""
+def compact(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The strings' normalised feature vectors as columns over the triples that any has, those triples, and each triple's row (the last, of zeros, for all others)."""
+    vectors = []
+    for w in words:
+        v = dense([w], np.ones(1)).astype(np.float32)
+        at = np.flatnonzero(v)
+        vectors.append((at, v[at]))
+    used = np.unique(np.concatenate([at for at, _ in vectors]))
+    table, row = np.zeros((len(used) + 1, len(words)), dtype=np.float32), np.full(LETTERS**3 + 1, len(used), dtype=np.int32)
+    row[used] = np.arange(len(used), dtype=np.int32)
+    for c, (at, v) in enumerate(vectors):
+        table[row[at], c] = v
+    return table, used, row
+
+
+def products(table: np.ndarray, words: list[str], row: np.ndarray | None = None) -> np.ndarray:
+    """Each string's normalised product with each column of ``table``, strings of like length together; ``row`` is each triple's row where it isn't the triple."""
     out = np.zeros((len(words), *table.shape[1:]))
     order = np.array(sorted(range(len(words)), key=lambda i: len(words[i])), dtype=np.int64)
     sizes = np.array([len(words[i]) for i in order], dtype=np.int64)
@@ -122,6 +138,7 @@ def products(table: np.ndarray, words: list[str]) -> np.ndarray:
         some = order[at:stop]
         t, decay = triples(codes([words[i] for i in some]))
         scale = lengths(t, decay)
+        t = t if row is None else row[t]
         if table.ndim == 1:
             out[some] = (table[t] @ decay) / scale
         else:
@@ -144,34 +161,45 @@ class Model:
 
 
 def _telling(pos: list[set[str]], neg: list[set[str]], most: int) -> list[str]:
-    """Strings of 4 to 8 letters that stand in many toxic texts and hardly any other; of those in the same texts, one."""
+    """Strings of 4 to 8 letters that stand in toxic texts and hardly any other, by greedy cover: each the one of most toxic texts still missed.
+
+    A part must stand in so many toxic texts that among all parts less than one is expected to do so, and nowhere else, by chance.
+    """
     common = Counter(w for s in neg for w in s)
     rare = [[w for w in s if common[w] <= 0.002 * len(neg)] for s in pos]
-    least = max(3, len(pos) // 50)
-    docs_of: dict[str, set[int]] = {}
+    docs_of: dict[str, list[int]] = {}
     for n in range(4, 9):  # a length at a time, as all parts at once would fill the driver
-        parts = [{w[a : a + n] for w in s for a in range(len(w) - n + 1)} for s in rare]
-        often = {p for p, k in Counter(p for s in parts for p in s).items() if k >= least}
-        for i, s in enumerate(parts):
-            for p in s & often:
-                docs_of.setdefault(p, set()).add(i)
+        often = {p for p, k in Counter(p for s in rare for p in {w[a : a + n] for w in s for a in range(len(w) - n + 1)}).items() if k >= 3}
+        for i, s in enumerate(rare):
+            for p in {w[a : a + n] for w in s for a in range(len(w) - n + 1)} & often:
+                docs_of.setdefault(p, []).append(i)
+    least = max(3, int(np.ceil(np.log(max(1, len(docs_of))) / np.log((len(pos) + len(neg)) / len(pos)))))
     joined = ["\n".join(sorted(s)) for s in neg]
+    missed = set(range(len(pos)))
+    heap = [(-len(d), -len(d), -len(p), p) for p, d in docs_of.items() if len(d) >= least]
+    heapq.heapify(heap)
     chosen: list[str] = []
-    for part in sorted((p for p, d in docs_of.items() if len(d) >= least), key=lambda p: (-len(docs_of[p]), -len(p), p)):
-        own = docs_of[part]
-        if any(part[i : i + 4] in c for c in chosen for i in range(len(part) - 3)):
+    fits: set[str] = set()
+    while heap and len(chosen) < most:
+        gain, size, length, part = heapq.heappop(heap)
+        now = sum(i in missed for i in docs_of[part])
+        if now < least or any(part[i : i + 4] in c for c in chosen for i in range(len(part) - 3)):
             continue
-        if any(len(own & docs_of[c]) >= 0.8 * len(own) and len(own) >= 0.8 * len(docs_of[c]) for c in chosen):
+        if part not in fits:
+            spare = 0.01 * len(joined) * -size / len(pos)
+            for j in joined:
+                spare -= part in j
+                if spare < 0:
+                    break
+            else:
+                fits.add(part)
+            if part not in fits:
+                continue
+        if now < -gain:
+            heapq.heappush(heap, (-now, size, length, part))
             continue
-        spare = 0.01 * len(joined) * len(own) / len(pos)
-        for j in joined:
-            spare -= part in j
-            if spare < 0:
-                break
-        else:
-            chosen.append(part)
-        if len(chosen) == most:
-            break
+        chosen.append(part)
+        missed.difference_update(docs_of[part])
     return chosen
 
 
@@ -200,7 +228,7 @@ def _curve(margins: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[floa
     return float(a[0]), float(a[1])
 
 
-def train(texts: list[set[str]], labels: list[int], shares: tuple[float, float], landmarks: int = 32, common: int = 16) -> Model:
+def train(texts: list[set[str]], labels: list[int], shares: tuple[float, float], landmarks: int = 48, common: int = 24) -> Model:
     """Fit on the strings of labelled texts; ``shares`` are the classes' shares among all labelled rows (0, then 1)."""
     pos = [s for s, y in zip(texts, labels) if y]
     neg = [s for s, y in zip(texts, labels) if not y]
@@ -210,11 +238,17 @@ def train(texts: list[set[str]], labels: list[int], shares: tuple[float, float],
     telling = _telling(pos, neg, landmarks)
     frequent = [w for w, _ in sorted(Counter(w for s in neg for w in s if len(w) > 3).items(), key=lambda x: (-x[1], x[0]))[:common]]
     points = list(dict.fromkeys(telling + frequent)) or ["aaaa"]
-    one = np.column_stack([dense([p], np.ones(1)).astype(np.float32) for p in points])
-    gram = products(one, points)
+    one, used, row = compact(points)
+
+    def spread(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(LETTERS**3 + 1)
+        out[used] = values[:-1]
+        return out
+
+    gram = products(one, points, row)
     value, vector = np.linalg.eigh((gram + gram.T) / 2 + 1e-6 * np.eye(len(points)))
     root = vector @ np.diag(1.0 / np.sqrt(np.maximum(value, 1e-6))) @ vector.T
-    weights = one[:, : max(1, len(telling))].sum(axis=1).astype(np.float64)
+    weights = spread(one[:, : max(1, len(telling))].sum(axis=1))
     vocabulary = sorted(set().union(*pos, *neg))
     for _ in range(2):
         f = dict(zip(vocabulary, products(weights, vocabulary)))
@@ -224,9 +258,9 @@ def train(texts: list[set[str]], labels: list[int], shares: tuple[float, float],
         seen = Counter(w for s in neg for w in s)
         good = [w for w in good if seen[w] * 20 <= len(neg)]
         bad = [w for w in bad if w not in set(good)]
-        x = np.column_stack([products(one, good + bad) @ root, np.ones(len(good) + len(bad))])
+        x = np.column_stack([products(one, good + bad, row) @ root, np.ones(len(good) + len(bad))])
         w = _machine(x, np.array([1.0] * len(good) + [-1.0] * len(bad)))
-        weights = (one @ (root @ w[:-1]).astype(np.float32)).astype(np.float64)
+        weights = spread(one @ (root @ w[:-1]).astype(np.float32))
     f = dict(zip(vocabulary, products(weights, vocabulary)))
     margins = np.array([max((f[w] for w in s), default=0.0) for s in texts])
     y = np.array(labels, dtype=float)

@@ -80,3 +80,24 @@ def test_one_class_no_labels_null_labels(spark, corpus):
     for lab in (labels.filter("toxic = 0"), labels.limit(0), labels.selectExpr("cast(null as int) as toxic", "doc_id")):
         assert {x.toxicity < 0.5 for x in t.scored(docs.limit(5), t.fit(docs, lab)).collect()} == {True}
     assert t.scored(docs.limit(0), t.fit(docs, labels.limit(0))).count() == 0
+
+
+def test_rare_insults_beyond_the_commonest_get_landmarks():
+    r = random.Random(6)
+    part = ["the", "ing", "er", "tion", "on", "re", "st", "ly", "ou", "ha", "nd", "es"]
+    insults = ["".join(r.choice("bcdfgjkmpqvwxz") for _ in range(7)) for _ in range(45)]
+    made = lambda: {"".join(r.choice(part) for _ in range(r.randint(1, 4))) for _ in range(30)}
+    pos = [made() | {insults[i % 45]} for i in range(1350)]
+    neg = [made() for _ in range(1350)]  # each insult stands in 30 toxic texts, a little over 2%
+    pos += [made() for _ in range(650)]  # so now in 1.5%
+    model = t.train(pos + neg, [1] * len(pos) + [0] * len(neg), (0.5, 0.5))
+    assert sum(any(c in w for c in model.landmarks) for w in insults) >= 44
+    f = t.products(model.weights, insults + sorted(neg[0]))
+    assert np.mean(f[:45] > f[45:].max()) >= 0.9
+
+
+def test_compact_products_equal_the_full_ones():
+    words = ["idiot", "clown", "worthless", "banana", "id", "x" * 24]
+    table, used, row = t.compact(words[:3])
+    full = np.column_stack([t.dense([w], np.ones(1)).astype(np.float32) for w in words[:3]])
+    assert np.array_equal(t.products(full, words), t.products(table, words, row)) and np.array_equal(full[used], table[:-1])
