@@ -94,12 +94,14 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, as rows of ``docs``: a document stands there once for each begun time that the mix takes it.
 
     Documents of which the mix takes nothing are gone. The mix works per doc_id,
-    so rows with one doc_id must be copies of one another.
+    so rows with one doc_id must be copies of one another. Rows without a doc_id
+    are told apart by source and size; those alike in both stand as often as the
+    most taken of them.
     """
-    id_col = options.get("id_col", "doc_id")
-    times = mixture(docs, **options).filter("taken > 0").groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
-    times = times.withColumnRenamed("doc_id", "_id")
-    out = docs.join(times, docs[id_col] == times["_id"])
+    id_col, text_col, source_col = (options.get(f"{c}_col", d) for c, d in (("id", "doc_id"), ("text", "text"), ("source", "source")))
+    times = mixture(docs, **options).filter("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
+    size = F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long")
+    out = docs.join(times, docs[id_col].eqNullSafe(times["_id"]) & docs[source_col].eqNullSafe(times["_source"]) & (size == times["_size"]))
     return out.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), F.col("_times"))).alias("_time")).drop("_time")
 
 

@@ -70,3 +70,11 @@ def test_empty_table_and_repeated_rows(spark):
     assert m.mixture(empty).count() == 0 and m.mixed(empty).count() == 0
     twice = spark.createDataFrame([("a b c", 1, "s", "x", 1)] * 4, SCHEMA)
     assert m.mixture(twice).count() == 4
+
+
+def test_mixed_keeps_rows_without_an_id(spark):
+    docs = spark.createDataFrame([("a b c", None, "s"), ("a b c d e", None, None), ("a b", 1, "s"), ("", None, "s")], "text string, doc_id long, source string")
+    want = sorted((x.doc_id or 0, x.source or "", x.size, -(-x.taken // x.size)) for x in m.mixture(docs, block_words=1).collect() if x.taken)
+    got = m.mixed(docs, block_words=1).groupBy("text", "doc_id", "source").count().collect()
+    assert sorted((x.doc_id or 0, x.source or "", len(x.text.split()), x["count"]) for x in got) == want
+    assert any(x.doc_id is None for x in got)
