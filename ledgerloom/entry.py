@@ -114,8 +114,8 @@ def _trace(s, d) -> DataFrame:
 
 
 def _synthetic(s, d) -> DataFrame:
-    m = synthetic.members(s, 2000)
-    sp, pr = synthetic.spans(m), synthetic.providers(s, 120, 12)
+    m = synthetic.members(s, 24000)
+    sp, pr = synthetic.spans(m), synthetic.providers(s, 900, 22)
     return w.row_counts({"members": m, "enrollment_spans": sp, "providers": pr, "claim_lines": synthetic.claims(m, sp, pr)})
 
 

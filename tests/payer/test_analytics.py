@@ -169,3 +169,10 @@ def test_streams_add_up(spark, tmp_path):
     assert stream.monthly(spark, f"{tmp_path}/out").agg(F.sum("paid_amount"), F.sum("total_lines")).first()[:] == (75.0, 60)
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert stream.windowed(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_synthetic_counts_are_of_the_whole_job(spark):
+    from ledgerloom import entry
+
+    got = {r.relation: r.n for r in entry.QUERIES["synthetic_counts"](spark, "").collect()}
+    assert (got["members"], got["providers"]) == (24000, 900) and got["claim_lines"] > got["members"]
