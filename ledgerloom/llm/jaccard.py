@@ -9,23 +9,27 @@ One tree over everything would have to see every query, so the trees are
 sharded without loss: in a fixed order of all shingles, two sets that are
 similar enough share some of their first few (the prefix), more the larger they
 are. Each prefix shingle that two sets have is a shard, and a pair must come up
-in enough shards. A finer count vector bounds the pairs before sets are sent. Frequent shingles stand last in the order; which
-are found frequent changes the work and never the result.
+in enough shards. A crowded shard is dealt out in pairs of blocks. Boxes have
+coarse counts; pairs that these leave are bounded by finer ones before any set
+is read. Frequent shingles stand last in the order; which are found frequent
+changes the work and never the result.
 
 Copies with one set are one node. Groups of near copies don't turn into all
-their pairs: neighbours in a shard are verified first and become classes,
-then each node's nearest of another class; after that, a shard only yields pairs
-of classes that are still different. So what comes out
-is the classes, exact, and a spanning set of links, not every link.
+their pairs: each set is first compared with the leader that it meets most
+often, and what links becomes a class; after that, a shard only yields pairs of
+classes that are still different. So what comes out is the classes, exact, and
+a spanning set of links, not every link.
 
 Texts that are null or have no words link with nothing and are classes of
 their own. Ids must be unique but for repeated rows, which are one document.
-Empty input gives empty output; only the id and the text column are read.
+Empty input gives empty output; only the id and the text column are read, so
+further columns of any name don't matter. Texts of any length are read whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,10 +39,11 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import components, cut, keep
 from ledgerloom.llm.shingles import mix, shingle_set
 
-GROUPS = 48
-#: In how many orders neighbours are compared before anything else.
-ORDERS = 4
+#: Groups of a point, and those that tree boxes and the first look at a pair have.
+GROUPS, COARSE = 128, 32
 LEAF = 16
+#: A shard of more rows is dealt out in pairs of blocks.
+BLOCK = 8192
 #: Frequent shingles that are put last: the heaviest of those in so many sets at least.
 FREQUENT, MOST_FREQUENT = 64, 50_000
 #: Ids up to this many (a few MB) may be sent to every executor; beyond, both sides are shuffled.
@@ -55,17 +60,33 @@ def prefix_size(n: int, percent: int) -> int:
     return min(n, n - -(-percent * n // 100) + shared_at_least(n))
 
 
-def summary(s: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[int, int, int, bytes, list[int]]:
-    """n, a 128-bit signature, the group counts and the prefix of a sorted set."""
+def packed(s: np.ndarray) -> bytes:
+    """A set's point in bytes: a shift, then the counts shifted down and rounded up, so that no minimum is ever too small."""
+    counts = np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
+    shift = max(0, int(counts.max(initial=0) - 1).bit_length() - 8)
+    return bytes((shift,)) + (-(-counts >> shift)).astype(np.uint8).tobytes()
+
+
+def unpacked(points: Iterable[bytes]) -> np.ndarray:
+    """Points as rows, in bytes where they fit."""
+    x = np.frombuffer(b"".join(points), dtype=np.uint8).reshape(-1, GROUPS + 1)
+    return x[:, 1:].astype(np.int32) << x[:, :1] if x[:, 0].any() else x[:, 1:]
+
+
+def coarser(x: np.ndarray) -> np.ndarray:
+    return x.reshape(len(x), COARSE, -1).sum(axis=2, dtype=np.int32)
+
+
+def summary(s: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[int, int, int, bytes, list[int], float]:
+    """n, a 128-bit signature, the group counts and the prefix of a sorted set, and the share of frequent shingles in it."""
     if not len(s):
-        return 0, 0, 0, b"", []
+        return 0, 0, 0, b"", [], 0.0
     one, two = (int(mix(s * np.uint64(k)).sum().astype(np.int64)) for k in (3, 5))
-    counts = np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
-    ordered = s
+    ordered, common = s, 0.0
     if len(frequent):
         hit = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
-        ordered = np.concatenate([s[~hit], s[hit]]) if hit.any() else s
-    return len(s), one, two, counts.astype(np.int32).tobytes(), ordered[: prefix_size(len(s), percent)].astype(np.int64).tolist()
+        ordered, common = (np.concatenate([s[~hit], s[hit]]) if hit.any() else s), float(hit.mean())
+    return len(s), one, two, packed(s), ordered[: prefix_size(len(s), percent)].astype(np.int64).tolist(), common
 
 
 def _frequent(docs: DataFrame, width: int) -> np.ndarray:
@@ -90,10 +111,10 @@ def _summaries(docs: DataFrame, frequent: np.ndarray, width: int, percent: int)
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [summary(shingle_set(t, width), shared.value, percent) for t in b["text"]]
-            yield pd.DataFrame(rows, columns=["n", "sig1", "sig2", "counts", "prefix"]).assign(doc_id=b["doc_id"].to_numpy())
+            yield pd.DataFrame(rows, columns=["n", "sig1", "sig2", "counts", "prefix", "common"]).assign(doc_id=b["doc_id"].to_numpy())
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(work, f"n long, sig1 long, sig2 long, counts binary, prefix array<long>, doc_id {kind}")
+    return docs.mapInPandas(work, f"n long, sig1 long, sig2 long, counts binary, prefix array<long>, common double, doc_id {kind}")
 
 
 def _bound(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
@@ -105,13 +126,13 @@ class CountTree:
     """An R-tree over count vectors, packed by size and then by the fullest groups."""
 
     def __init__(self, counts: np.ndarray, n: np.ndarray):
-        slab = max(LEAF, int(len(n) ** 0.5) // LEAF * LEAF or LEAF)
+        slab, rough = max(LEAF, int(len(n) ** 0.5) // LEAF * LEAF or LEAF), coarser(counts)
         by_size = np.argsort(n, kind="stable")
         parts = [by_size[i : i + slab] for i in range(0, len(n), slab)]
-        self.order = np.concatenate([p[np.lexsort((counts[p, 1], counts[p, 0], counts[p].argmax(axis=1)))] for p in parts])
-        self.counts, self.n = counts[self.order], n[self.order]
+        self.order = np.concatenate([p[np.lexsort((rough[p, 1], rough[p, 0], rough[p].argmax(axis=1)))] for p in parts])
+        self.counts, self.rough, self.n = counts[self.order], rough[self.order], n[self.order]
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        high, small, large = self.counts, self.n, self.n
+        high, small, large = self.rough, self.n, self.n
         while len(high) > 1:
             cuts = np.arange(0, len(high), LEAF)
             high, small, large = np.maximum.reduceat(high, cuts), np.minimum.reduceat(small, cuts), np.maximum.reduceat(large, cuts)
@@ -122,9 +143,9 @@ class CountTree:
         fits = (100 * large[others] >= percent * small[i]) & (100 * large[i] >= percent * small[others])
         return others[fits & _bound(high[i], high[others], small[i], small[others], percent)]
 
-    def pairs(self, classes: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Index pairs of different classes that the bound leaves, node against node from the top."""
-        classes = classes[self.order]
+    def pairs(self, classes: np.ndarray, percent: int, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Index pairs of different classes (and sides) that the bound leaves, node against node from the top."""
+        classes, side = classes[self.order], None if side is None else side[self.order]
         stack = [(len(self.levels) - 1, 0, np.zeros(1, dtype=np.int64))]
         while stack:
             level, i, others = stack.pop()
@@ -139,10 +160,22 @@ class CountTree:
                     continue
                 a, b = np.repeat(mine, len(theirs)), np.tile(theirs, len(mine))
                 ok = (a < b) & (classes[a] != classes[b])
-                a, b = a[ok], b[ok]
-                ok = (100 * np.minimum(self.n[a], self.n[b]) >= percent * np.maximum(self.n[a], self.n[b])) & _bound(self.counts[a], self.counts[b], self.n[a], self.n[b], percent)
-                if ok.any():
-                    yield self.order[a[ok]], self.order[b[ok]]
+                if side is not None:
+                    ok &= side[a] != side[b]
+                a, b = _left(a[ok], b[ok], self.rough, self.counts, self.n, percent)
+                if len(a):
+                    yield self.order[a], self.order[b]
+
+
+def _left(a: np.ndarray, b: np.ndarray, rough: np.ndarray, counts: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The index pairs that sizes, then coarse, then fine counts leave."""
+    ok = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+    a, b = a[ok], b[ok]
+    for points in (rough, counts):
+        if len(a):
+            ok = np.concatenate([_bound(points[x], points[y], n[x], n[y], percent) for x, y in ((a[i : i + 32768], b[i : i + 32768]) for i in range(0, len(a), 32768))])
+            a, b = a[ok], b[ok]
+    return a, b
 
 
 def _blocks(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
@@ -162,74 +195,78 @@ def _blocks(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]
 
 
 def _search(percent: int):
-    """Candidates of different classes within each shard."""
+    """Candidates of different classes within each shard, or between the two blocks of a crowded one."""
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in _blocks(batches, "token"):
-            token, node = b["token"].to_numpy(), b["node"].to_numpy()
-            cls, n = b["cls"].to_numpy(), b["n"].to_numpy()
-            counts = np.frombuffer(b"".join(b["counts"]), dtype=np.int32).reshape(len(b), GROUPS)
-            edges = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
+        for b in _blocks(batches, "shard"):
+            shard, node = b["shard"].to_numpy(), b["node"].to_numpy()
+            cls, n, side = b["cls"].to_numpy(), b["n"].to_numpy(), b["side"].to_numpy()
+            counts = unpacked(b["counts"])
+            rough = coarser(counts)
+            edges = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True])))
             start, size = edges[:-1], np.diff(edges)
             varied = np.minimum.reduceat(cls, start) != np.maximum.reduceat(cls, start)
 
             def pairs(i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
                 return pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j]), "need": shared_at_least(np.minimum(n[i], n[j]))})
 
+            # Shards of one leaf, those of one size together.
             for k in range(2, LEAF + 1):
-                some = start[varied & (size == k)]
+                some = start[varied & (size == k) & (side[start] < 0)]
                 for at in range(0, len(some), 4096):
                     i, j = ((some[at : at + 4096, None] + x[None, :]).ravel() for x in np.triu_indices(k, 1))
-                    ok = (cls[i] != cls[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-                    i, j = i[ok], j[ok]
-                    ok = _bound(counts[i], counts[j], n[i], n[j], percent)
-                    yield pairs(i[ok], j[ok])
-            for s, e in zip(start[varied & (size > LEAF)], start[varied & (size > LEAF)] + size[varied & (size > LEAF)]):
-                for i, j in CountTree(counts[s:e], n[s:e]).pairs(cls[s:e], percent):
+                    ok = cls[i] != cls[j]
+                    yield pairs(*_left(i[ok], j[ok], rough, counts, n, percent))
+            large = varied & ((size > LEAF) | (side[start] >= 0))
+            for s, e in zip(start[large], start[large] + size[large]):
+                for i, j in CountTree(counts[s:e], n[s:e]).pairs(cls[s:e], percent, None if side[s] < 0 else side[s:e]):
                     yield pairs(s + i, s + j)
 
     return work
 
 
-def fine_counts(s: np.ndarray) -> bytes:
-    """Counts over as many groups as the set has shingles, to a power of two; small enough to be one byte each."""
-    size = 1 << max(3, int(len(s) - 1).bit_length())
-    return np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) & (size - 1), minlength=size), 255).astype(np.uint8).tobytes()
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` (token, node, ...) with ``shard`` and ``side``: a token's rows are a shard (side -1); those of a crowded one meet in pairs of blocks, each pair of rows in one of them."""
+    crowded = rows.groupBy("token").count().filter(F.col("count") > BLOCK).select("token", F.ceil(F.col("count") / (BLOCK // 2)).cast("int").alias("parts"))
+    rows = rows.join(crowded, "token", "left").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    one = F.array(F.struct(F.xxhash64("token").alias("shard"), F.lit(-1).alias("side")))
+    other = F.sequence(F.lit(0), F.col("parts") - 1)
+    block = lambda o: F.struct(F.xxhash64("token", F.least(o, "part"), F.greatest(o, "part")).alias("shard"), F.when(o == F.col("part"), -1).otherwise(F.col("part")).alias("side"))
+    return rows.withColumn("at", F.explode(F.when(F.col("parts").isNull(), one).otherwise(F.transform(other, block)))).select("*", "at.shard", "at.side").drop("at", "parts", "part")
 
 
-def _fine_bound(x: bytes, y: bytes, nx: int, ny: int, percent: int) -> bool:
-    """The bound on vectors of two sizes; the longer is folded. A full byte may stand for more, so then nothing is excluded."""
-    a, b = (np.frombuffer(v, dtype=np.uint8).astype(np.int64) for v in (x, y))
-    if a.max() == 255 or b.max() == 255:
-        return True
-    size = min(len(a), len(b))
-    a, b = a.reshape(-1, size).sum(axis=0), b.reshape(-1, size).sum(axis=0)
-    return (100 + percent) * int(np.minimum(a, b).sum()) >= percent * (nx + ny)
-
-
-def _with_both(docs: DataFrame, pairs: DataFrame, made, width: int) -> DataFrame:
-    """``pairs`` (a, b) with what ``made`` gives for the sets of both (x, y), worked out for the documents in question alone."""
+def _with_sets(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """``pairs`` (a, b) with the sets of both (x, y), worked out for the documents in question alone."""
     ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     few = ids.count() <= BROADCAST_IDS
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [shingle_set(t, width) for t in b["text"]]
-            yield pd.DataFrame({"node": b["doc_id"], "n": [len(s) for s in found], "v": [made(s) for s in found]})
+            for at in range(0, len(b), 1000):
+                some = b.iloc[at : at + 1000]
+                yield pd.DataFrame({"node": some["doc_id"], "v": [shingle_set(t, width).tobytes() for t in some["text"]]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     chosen = docs.join(F.broadcast(ids) if few else ids, "doc_id")
-    held = keep(chosen.mapInPandas(sets, f"node {kind}, n long, v binary").dropDuplicates(["node"]))
-    x = held.select(F.col("node").alias("a"), F.col("n").alias("nx"), F.col("v").alias("x"))
-    y = held.select(F.col("node").alias("b"), F.col("n").alias("ny"), F.col("v").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "nx", "ny", "x", "y")
+    held = keep(chosen.mapInPandas(sets, f"node {kind}, v binary").dropDuplicates(["node"]))
+    return pairs.join(held.select(F.col("node").alias("a"), F.col("v").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("v").alias("y")), "b").select("a", "b", "x", "y")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets are similar enough, after the bound on finer vectors."""
-    def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _bounded(points: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the bound on their points leaves."""
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.loc[[_fine_bound(*v, percent) for v in zip(b["x"], b["y"], b["nx"], b["ny"])], ["a", "b"]]
+            if len(b):
+                ok = _bound(unpacked(b["x"]), unpacked(b["y"]), b["nx"].to_numpy(), b["ny"].to_numpy(), percent)
+                yield b.loc[ok, ["a", "b"]]
 
+    kind = points.schema["node"].dataType.simpleString()
+    x = points.select(F.col("node").alias("a"), F.col("n").alias("nx"), F.col("counts").alias("x"))
+    y = points.select(F.col("node").alias("b"), F.col("n").alias("ny"), F.col("counts").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "nx", "ny", "x", "y").mapInPandas(work, f"a {kind}, b {kind}")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs whose whole sets are similar enough."""
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ok = []
@@ -240,8 +277,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
             yield b.loc[ok, ["a", "b"]]
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    left = keep(_with_both(docs, keep(pairs), fine_counts, width).mapInPandas(bounded, f"a {kind}, b {kind}"))
-    return cut(_with_both(docs, left, np.ndarray.tobytes, width).mapInPandas(check, f"a {kind}, b {kind}"))
+    return cut(_with_sets(docs, keep(pairs), width).mapInPandas(check, f"a {kind}, b {kind}"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -255,37 +291,26 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
     # Shards: prefix shingles that more sets have, and there only sets with a neighbour of like size.
     near = Window.partitionBy("token").orderBy("n", "node")
-    rows = whole.select("node", "n", F.explode("prefix").alias("token"))
+    rows = whole.select("node", "n", "common", F.explode("prefix").alias("token"))
     rows = rows.withColumns({"n_before": F.lag("n").over(near), "n_after": F.lead("n").over(near)})
     alike = (100 * F.col("n_before") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("n_after"))
-    rows = keep(rows.filter(F.coalesce(alike, F.lit(False))).select("token", "node", "n"))
-    points = whole.join(rows.select("node").distinct(), "node", "left_semi").select("node", "n", "counts")
-    points = keep(points)
-
-    def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b[c]), dtype=np.int32).reshape(len(b), GROUPS) for c in ("x", "y"))
-            yield b.loc[_bound(x, y, x.sum(axis=1), y.sum(axis=1), percent), ["a", "b"]]
-
-    # Neighbours in a few orders, so that a node of a large group meets several others and the group falls together at once.
-    line = Window.partitionBy("token").orderBy(F.xxhash64("node", F.pmod("token", F.lit(ORDERS))), "node")
-    neighbours = rows.withColumns({"before": F.lag("node").over(line), "n_before": F.lag("n").over(line)}).filter(100 * F.least("n", "n_before") >= percent * F.greatest("n", "n_before"))
-    neighbours = neighbours.select(F.least("before", "node").alias("a"), F.greatest("before", "node").alias("b")).distinct()
-    sided = neighbours.join(points.select(F.col("node").alias("a"), F.col("counts").alias("x")), "a").join(points.select(F.col("node").alias("b"), F.col("counts").alias("y")), "b")
-    first = _verified(docs, sided.select("a", "b", "x", "y").mapInPandas(bounded, f"a {kind}, b {kind}"), width, percent)
-
-    def candidates(links: DataFrame) -> DataFrame:
-        """Pairs of different classes under the links so far, and in how many shards they came up."""
-        placed = points.join(components(links), "node", "left").select("node", "counts", F.coalesce("component", "node").alias("cls"))
-        shards = rows.join(placed, "node").repartition("token").sortWithinPartitions("token", "n", "node")
-        found = shards.select("token", "node", "n", "cls", "counts").mapInPandas(_search(percent), f"a {kind}, b {kind}, need long")
-        return found.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("need").alias("need")).filter("k >= need")
-
-    # Each node's nearest of another class comes before the rest: a straggler joins its group by one pair, not by one with each member.
-    some = keep(candidates(first))
-    nearest = some.groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b")).union(some.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a")).select("a", "b"))
-    second = cut(first.union(_verified(docs, nearest.distinct(), width, percent)))
-    links = second.union(_verified(docs, candidates(second).select("a", "b"), width, percent))
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int") if percent < 100 else F.col("n")
+    rows = keep(rows.filter(F.coalesce(alike, F.lit(False))).select("token", "node", "n", band.alias("band"), "common"))
+    points = keep(whole.join(rows.select("node").distinct(), "node", "left_semi").select("node", "n", "counts"))
+
+    # Leaders: of the sets of like size in a shard, the one with most frequent shingles, which is the least changed of a group of copies.
+    # Each set is compared with the leader that it meets most often, so a group mostly falls together by one pair a set.
+    leaders = keep(rows.groupBy("token", "band").agg(F.max_by("node", F.struct("common", "node")).alias("leader"), F.count("*").alias("size")).filter("size > 1").select("token", "band", "leader"))
+    met = rows.join(leaders, ["token", "band"]).filter("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("k"))
+    met = met.groupBy("node").agg(F.max_by("leader", F.struct("k", "leader")).alias("leader"))
+    first = _verified(docs, _bounded(points, met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), percent), width, percent)
+
+    # The rest: pairs of classes that are still different, in as many shards as their sizes demand.
+    placed = points.join(components(first), "node", "left").select("node", "counts", F.coalesce("component", "node").alias("cls"))
+    shards = _dealt(rows.select("token", "node", "n")).join(placed, "node").repartition("shard").sortWithinPartitions("shard", "n", "node")
+    found = shards.select("shard", "side", "node", "n", "cls", "counts").mapInPandas(_search(percent), f"a {kind}, b {kind}, need long")
+    rest = found.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("need").alias("need")).filter("k >= need").select("a", "b")
+    links = first.union(_verified(docs, rest, width, percent))
 
     out = known.select("doc_id", "n", "sig1", "sig2").join(nodes, ["sig1", "sig2"], "left").join(components(links), "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -56,6 +56,7 @@ def corpus(seed, families=12, copies=14):
 def test_same_classes_as_all_pairs(spark, seed, monkeypatch):
     monkeypatch.setattr(j, "FREQUENT", 20)
     monkeypatch.setattr(j, "BROADCAST_IDS", 500_000 if seed == 1 else 0)
+    monkeypatch.setattr(j, "BLOCK", 8192 if seed == 1 else 6)
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "text string, doc_id long, node string")
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in j.classes(docs).collect()}
@@ -72,6 +73,15 @@ def test_tree_finds_what_the_bound_allows():
     assert got == want and want
 
 
+def test_packed_points_never_bound_too_low():
+    rng = np.random.default_rng(1)
+    for n, m in ((10, 12), (500, 600), (60_000, 50_000), (300_000, 310_000)):
+        both = rng.integers(0, 2**64, min(n, m) // 2, dtype=np.uint64)
+        x, y = (np.unique(np.concatenate([both, rng.integers(0, 2**64, k - len(both), dtype=np.uint64)])) for k in (n, m))
+        px, py = j.unpacked([j.packed(x), j.packed(y)])
+        assert np.minimum(px, py).sum(dtype=np.int64) >= len(np.intersect1d(x, y)) and px.sum(dtype=np.int64) >= len(x)
+
+
 def test_sets_equal_the_definition():
     for t in ["a b c d e f", "A B\tc\nd\x0be\x0cf\rg", "a b c d e f g a b c d e f g", "é x y", "\x1c x", "q " * 999]:
         assert len(shingle_set(t)) == len(plain_set(t)) and len(word_hashes(t.encode())) == len(t.encode().split())
