@@ -14,11 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one where none is named, as in tests."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one where none is named and all runs on one machine, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -36,6 +38,14 @@ def keep(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.select(*columns).schema if columns else df.schema).parquet(path)
 
 
+def free(name: str, df: DataFrame) -> str:
+    """``name``, with underscores in front until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def draw(*parts: Column | str) -> Column:
     """A number from 0 to 2**32 - 1 that depends on the given values alone, alike in every engine with md5."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long")

@@ -12,11 +12,13 @@ in a row. A logistic curve turns that margin into a score.
 
 Fitting takes at most ``sample`` labelled rows (a documented bound), half of
 them toxic where there are as many; choice and order depend on ids alone, so
-reruns agree. Scoring reads every whole text, in tasks that need nothing but
+reruns agree. Their strings are learned from in one task. Scoring reads every whole text, in tasks that need nothing but
 the weights.
 
-A null or empty text is scored as one without strings. Null labels are left
-out; with one class only, or none, every score is that class's share (0).
+A null or empty text is scored as one without strings; repeated rows are scored
+alike; an empty table gives no rows. Null labels are left out; with one class
+only, or none, every score is that class's share (0). Other columns stay as
+they are, whatever they are called.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import free
+
 DECAY, SPAN, WINDOW, LETTERS = 0.6, 9, 24, 64
 #: Labelled rows that a fit takes at most.
 SAMPLE = 4000
@@ -281,10 +285,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         rows += known.filter(F.col("y") == y).select("doc_id", "y").distinct().orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(n).collect()
     if not rows:
         return train([], [], (1.0, 0.0))
+    shares = (counts.get(0, 0) / total, counts.get(1, 0) / total)
     chosen = docs.sparkSession.createDataFrame(rows, f"doc_id {docs.schema[id_col].dataType.simpleString()}, y int")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").collect()
-    texts = sorted(texts, key=lambda r: (hashlib.md5(str(r.doc_id).encode()).hexdigest(), r.y, r.text or ""))
-    return train([strings(r.text) for r in texts], [r.y for r in texts], (counts.get(0, 0) / total, counts.get(1, 0) / total))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype(str), "y": b["y"], "words": [sorted(strings(t)) for t in b["text"]]})
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [(hashlib.md5(i.encode()).hexdigest(), y, words.tolist()) for b in batches for i, y, words in zip(b["doc_id"], b["y"], b["words"])]
+        rows.sort()
+        m = train([set(words) for _, _, words in rows], [y for _, y, _ in rows], shares)
+        yield pd.DataFrame({"weights": [m.weights.tobytes()], "slope": [m.slope], "shift": [m.shift], "landmarks": [list(m.landmarks)]})
+
+    # The sample's strings, not its texts, go to the one task that learns; the driver gets the weights.
+    found = texts.mapInPandas(split, "doc_id string, y int, words array<string>").repartition(1).mapInPandas(learn, "weights binary, slope double, shift double, landmarks array<string>").collect()
+    if not found:
+        return train([], [], shares)
+    return Model(np.frombuffer(found[0].weights), found[0].slope, found[0].shift, tuple(found[0].landmarks))
 
 
 _margins: dict[bytes, dict[str, float]] = {}
@@ -319,7 +338,8 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "to
 
 def kept(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score under ``limit``."""
-    return scored(docs, model, text_col, "_toxicity").filter(F.col("_toxicity") < limit).select(*docs.columns)
+    name = free("toxicity", docs)
+    return scored(docs, model, text_col, name).filter(F.col(name) < limit).select(*docs.columns)
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
