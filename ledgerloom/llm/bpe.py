@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Encodings of matches that a worker remembers before it starts afresh.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 #: Matches of up to so many bytes are worked out side by side; texts taken together.
 SHORT, TOGETHER = 64, 256
 
@@ -174,8 +174,9 @@ class Prefixes:
 class Tables:
     """The prefix tables of many short byte strings at once, over the vocabulary as arrays.
 
-    Tokens are numbered by rank. A table of inner trie nodes gives each byte's
-    next node; nodes without children come last and have no row.
+    Tokens are numbered by rank. Nodes of a trie of the tokens are the prefixes
+    in order; sorted arrays give a node's child by a byte, and the token that
+    two neighbours become.
     """
 
     PAD = 256
@@ -184,25 +185,20 @@ class Tables:
         self.ids = sorted(vocabulary.tokens)
         number = {t: i for i, t in enumerate(self.ids)}
         made = [i for i in self.ids if len(vocabulary.tokens[i]) == 1 or i in vocabulary.halves]
-        children: dict[bytes, list[int]] = {b"": []}
-        for t in (vocabulary.tokens[i] for i in made):
-            for n in range(len(t), 0, -1):
-                known = t[: n - 1] in children
-                if t[:n] not in children or n == len(t):
-                    children.setdefault(t[:n], [])
-                children.setdefault(t[: n - 1], []).append(t[n - 1])
-                if known:
-                    break
-        order = sorted(children, key=lambda p: (not children[p], len(p), p))
-        place = {p: i for i, p in enumerate(order)}
-        self.inner = sum(1 for p in order if children[p])
-        self.step = np.full((max(1, self.inner), self.PAD + 1), -1, dtype=np.int32)
-        for p, bytes_ in children.items():
-            for x in bytes_:
-                self.step[place[p], x] = place[p + bytes((x,))]
-        self.token = np.full(len(order), -1, dtype=np.int32)
+        prefixes = sorted({vocabulary.tokens[i][:n] for i in made for n in range(1, len(vocabulary.tokens[i]) + 1)} | {b""})
+        place = {p: i for i, p in enumerate(prefixes)}
+        # A node's children, as sorted numbers of (node, byte); the root is the least prefix, 0.
+        self.child = np.array([place[p[:-1]] << 9 | p[-1] for p in prefixes[1:]] + [1 << 60], dtype=np.int64)
+        order = np.argsort(self.child, kind="stable")
+        self.child, self.below = self.child[order], np.append(np.arange(1, len(prefixes)), 0)[order].astype(np.int32)
+        self.inner = np.zeros(len(prefixes), dtype=bool)
+        self.inner[self.child[:-1] >> 9] = True
+        self.token = np.full(len(prefixes), -1, dtype=np.int32)
         for i in made:
             self.token[place[vocabulary.tokens[i]]] = number[i]
+        first = self.child[self.child < 1 << 9]
+        self.root = np.full(self.PAD + 1, -1, dtype=np.int32)
+        self.root[first] = self.below[: len(first)]
         size = len(self.ids)
         self.size = np.array([len(vocabulary.tokens[i]) for i in self.ids], dtype=np.int32)
         self.born, self.head, self.tail = np.full(size, -1, dtype=np.int64), np.arange(size), np.arange(size)
@@ -239,6 +235,11 @@ class Tables:
             # Two new keys in one slot: the last key and the last verdict are of one row, as both are written in order.
         return out
 
+    def _next(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        key = node.astype(np.int64) << 9 | byte
+        spot = np.searchsorted(self.child, key)
+        return np.where(self.child[spot] == key, self.below[spot], -1)
+
     def last(self, pieces: list[bytes]) -> np.ndarray:
         """A row a piece: the last token of every prefix, -1 beyond its end."""
         width = max(map(len, pieces))
@@ -247,9 +248,10 @@ class Tables:
         last = np.full((len(pieces), width + 1), -1, dtype=np.int32)
         for start in range(width):
             rows = np.flatnonzero(flat[:, start] != self.PAD)
-            node = np.zeros(len(rows), dtype=np.int32)
+            node = self.root[flat[rows, start]]
             for end in range(start + 1, width + 1):
-                node = self.step[node, flat[rows, end - 1]]
+                if end > start + 1:
+                    node = self._next(node, flat[rows, end - 1])
                 some = node >= 0
                 rows, node = rows[some], node[some]
                 token = self.token[node]
@@ -257,7 +259,7 @@ class Tables:
                 if start and len(free):
                     free = free[self.fits(last[rows[free], start], token[free])]
                 last[rows[free], end] = token[free]
-                deeper = node < self.inner
+                deeper = self.inner[node]
                 rows, node = rows[deeper], node[deeper]
                 if not len(rows):
                     break

@@ -26,7 +26,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,7 +40,7 @@ DECAY, SPAN, WINDOW, LETTERS = 0.6, 9, 24, 64
 #: Labelled rows that a fit takes at most.
 SAMPLE = 4000
 #: Strings whose margin a worker remembers before it starts afresh.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 #: Signs often put for letters count as those, where a string has letters.
 _LIKE = str.maketrans("013457@$!", "oieastasi")
 _EDGE = ".,;:?!\"'()[]|"
@@ -164,41 +164,42 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * margins + self.shift, -30, 30)))
 
 
-def _telling(pos: list[set[str]], neg: list[set[str]], most: int) -> list[str]:
+def _parts(words: Iterable[str], n: int) -> set[str]:
+    return {w[a : a + n] for w in words for a in range(len(w) - n + 1)}
+
+
+def _telling(pos: list[list[str]], neg: list[list[str]], most: int) -> list[str]:
     """Strings of 4 to 8 letters that stand in toxic texts and hardly any other, by greedy cover: each the one of most toxic texts still missed.
 
     A part must stand in so many toxic texts that among all parts less than one is expected to do so, and nowhere else, by chance.
     """
     common = Counter(w for s in neg for w in s)
     rare = [[w for w in s if common[w] <= 0.002 * len(neg)] for s in pos]
+    del common
     docs_of: dict[str, list[int]] = {}
-    for n in range(4, 9):  # a length at a time, as all parts at once would fill the driver
-        often = {p for p, k in Counter(p for s in rare for p in {w[a : a + n] for w in s for a in range(len(w) - n + 1)}).items() if k >= 3}
+    tried = 0
+    for n in range(4, 9):  # a length at a time, as all parts at once would fill the memory
+        often = {p: k for p, k in Counter(p for s in rare for p in _parts(s, n)).items() if k >= 3}
+        tried += len(often)
+        spare = {p: 0.01 * len(neg) * k / len(pos) for p, k in often.items()}
+        for s in neg:
+            for p in _parts(s, n).intersection(spare):
+                spare[p] -= 1
+                if spare[p] < 0:
+                    del spare[p]
         for i, s in enumerate(rare):
-            for p in {w[a : a + n] for w in s for a in range(len(w) - n + 1)} & often:
+            for p in _parts(s, n).intersection(spare):
                 docs_of.setdefault(p, []).append(i)
-    least = max(3, int(np.ceil(np.log(max(1, len(docs_of))) / np.log((len(pos) + len(neg)) / len(pos)))))
-    joined = ["\n".join(sorted(s)) for s in neg]
+    least = max(3, int(np.ceil(np.log(max(1, tried)) / np.log((len(pos) + len(neg)) / len(pos)))))
     missed = set(range(len(pos)))
     heap = [(-len(d), -len(d), -len(p), p) for p, d in docs_of.items() if len(d) >= least]
     heapq.heapify(heap)
     chosen: list[str] = []
-    fits: set[str] = set()
     while heap and len(chosen) < most:
         gain, size, length, part = heapq.heappop(heap)
         now = sum(i in missed for i in docs_of[part])
         if now < least or any(part[i : i + 4] in c for c in chosen for i in range(len(part) - 3)):
             continue
-        if part not in fits:
-            spare = 0.01 * len(joined) * -size / len(pos)
-            for j in joined:
-                spare -= part in j
-                if spare < 0:
-                    break
-            else:
-                fits.add(part)
-            if part not in fits:
-                continue
         if now < -gain:
             heapq.heappush(heap, (-now, size, length, part))
             continue
@@ -232,15 +233,27 @@ def _curve(margins: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[floa
     return float(a[0]), float(a[1])
 
 
-def train(texts: list[set[str]], labels: list[int], shares: tuple[float, float], landmarks: int = 48, common: int = 24) -> Model:
-    """Fit on the strings of labelled texts; ``shares`` are the classes' shares among all labelled rows (0, then 1)."""
-    pos = [s for s, y in zip(texts, labels) if y]
-    neg = [s for s, y in zip(texts, labels) if not y]
-    if not pos or not neg:
-        p = 0.999 if pos else 0.001
+def train(texts: Iterable[Iterable[str]], labels: list[int], shares: tuple[float, float], landmarks: int = 48, common: int = 24) -> Model:
+    """Fit on the strings of labelled texts, each text's distinct; ``shares`` are the classes' shares among all labelled rows (0, then 1)."""
+    index: dict[str, int] = {}
+    rows = [np.array([index.setdefault(w, len(index)) for w in s], dtype=np.int64) for s in texts]
+    vocabulary = sorted(index)
+    place = np.empty(len(index), dtype=np.int64)
+    for i, w in enumerate(vocabulary):
+        place[index[w]] = i
+    del index
+    rows = [np.sort(place[r]) for r in rows]  # strings by their place in the sorted vocabulary from here on
+    p_rows = [r for r, y in zip(rows, labels) if y]
+    n_rows = [r for r, y in zip(rows, labels) if not y]
+    if not p_rows or not n_rows:
+        p = 0.999 if p_rows else 0.001
         return Model(np.zeros(LETTERS**3 + 1), 1.0, float(np.log(p / (1 - p))))
+    pos, neg = ([[vocabulary[i] for i in r] for r in some] for some in (p_rows, n_rows))
     telling = _telling(pos, neg, landmarks)
-    frequent = [w for w, _ in sorted(Counter(w for s in neg for w in s if len(w) > 3).items(), key=lambda x: (-x[1], x[0]))[:common]]
+    del pos, neg
+    seen = np.bincount(np.concatenate(n_rows), minlength=len(vocabulary))
+    order = np.argsort(-seen, kind="stable")
+    frequent = [vocabulary[i] for i in order[: 20 * common] if seen[i] and len(vocabulary[i]) > 3][:common]
     points = list(dict.fromkeys(telling + frequent)) or ["aaaa"]
     one, used, row = compact(points)
 
@@ -253,20 +266,18 @@ def train(texts: list[set[str]], labels: list[int], shares: tuple[float, float],
     value, vector = np.linalg.eigh((gram + gram.T) / 2 + 1e-6 * np.eye(len(points)))
     root = vector @ np.diag(1.0 / np.sqrt(np.maximum(value, 1e-6))) @ vector.T
     weights = spread(one[:, : max(1, len(telling))].sum(axis=1))
-    vocabulary = sorted(set().union(*pos, *neg))
+    spread_out = range(0, len(vocabulary), max(1, len(vocabulary) // 1000))
     for _ in range(2):
-        f = dict(zip(vocabulary, products(weights, vocabulary)))
-        top = lambda s, n=1: sorted(s, key=lambda w: (-f[w], w))[:n]
-        good = sorted({w for s in pos for w in top(s)})
-        bad = sorted({w for s in neg for w in top(s, 5)} | set(vocabulary[:: max(1, len(vocabulary) // 1000)]))
-        seen = Counter(w for s in neg for w in s)
-        good = [w for w in good if seen[w] * 20 <= len(neg)]
-        bad = [w for w in bad if w not in set(good)]
-        x = np.column_stack([products(one, good + bad, row) @ root, np.ones(len(good) + len(bad))])
+        f = products(weights, vocabulary)
+        good = sorted({int(r[np.argmax(f[r])]) for r in p_rows if len(r)})
+        bad = {int(i) for r in n_rows for i in r[np.lexsort((r, -f[r]))[:5]]}.union(spread_out)
+        good = [i for i in good if seen[i] * 20 <= len(n_rows)]
+        bad = sorted(bad.difference(good))
+        x = np.column_stack([products(one, [vocabulary[i] for i in good + bad], row) @ root, np.ones(len(good) + len(bad))])
         w = _machine(x, np.array([1.0] * len(good) + [-1.0] * len(bad)))
         weights = spread(one @ (root @ w[:-1]).astype(np.float32))
-    f = dict(zip(vocabulary, products(weights, vocabulary)))
-    margins = np.array([max((f[w] for w in s), default=0.0) for s in texts])
+    f = products(weights, vocabulary)
+    margins = np.array([f[r].max(initial=0.0) for r in rows])
     y = np.array(labels, dtype=float)
     weight = np.where(y > 0, shares[1] / max(1, y.sum()), shares[0] / max(1, (1 - y).sum())) * len(y)
     slope, shift = _curve(margins, y, weight)
@@ -291,16 +302,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype(str), "y": b["y"], "words": [sorted(strings(t)) for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype(str), "y": b["y"], "words": ["\n".join(sorted(strings(t))) for t in b["text"]]})
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [(hashlib.md5(i.encode()).hexdigest(), y, words.tolist()) for b in batches for i, y, words in zip(b["doc_id"], b["y"], b["words"])]
-        rows.sort()
-        m = train([set(words) for _, _, words in rows], [y for _, y, _ in rows], shares)
+        rows = sorted((hashlib.md5(i.encode()).hexdigest(), y, words) for b in batches for i, y, words in zip(b["doc_id"], b["y"], b["words"]))
+        m = train((words.split("\n") for _, _, words in rows), [y for _, y, _ in rows], shares)
         yield pd.DataFrame({"weights": [m.weights.tobytes()], "slope": [m.slope], "shift": [m.shift], "landmarks": [list(m.landmarks)]})
 
     # The sample's strings, not its texts, go to the one task that learns; the driver gets the weights.
-    found = texts.mapInPandas(split, "doc_id string, y int, words array<string>").repartition(1).mapInPandas(learn, "weights binary, slope double, shift double, landmarks array<string>").collect()
+    found = texts.mapInPandas(split, "doc_id string, y int, words string").repartition(1).mapInPandas(learn, "weights binary, slope double, shift double, landmarks array<string>").collect()
     if not found:
         return train([], [], shares)
     return Model(np.frombuffer(found[0].weights), found[0].slope, found[0].shift, tuple(found[0].landmarks))
