@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -168,13 +169,28 @@ def _parts(words: Iterable[str], n: int) -> set[str]:
     return {w[a : a + n] for w in words for a in range(len(w) - n + 1)}
 
 
+def _originals(texts: list[list[str]], orders: int = 6) -> list[list[str]]:
+    """One of each group of copies: those share most words, so in most random orders of all words also the first; two such orders tell."""
+    known: dict[tuple[int, int], int] = {}
+    out = []
+    for t, words in enumerate(texts):
+        h = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], dtype=np.uint64)
+        firsts = [(i, int((h * np.uint64(2654435761 + 2 * i) % np.uint64(4294967291 - i)).min())) for i in range(orders)] if len(h) else []
+        same = Counter(known[k] for k in firsts if k in known)
+        if not same or max(same.values()) < 2:
+            out.append(words)
+        for k in firsts:
+            known.setdefault(k, t)
+    return out
+
+
 def _telling(pos: list[list[str]], neg: list[list[str]], most: int) -> list[str]:
-    """Strings of 4 to 8 letters that stand in toxic texts and hardly any other, by greedy cover: each the one of most toxic texts still missed.
+    """Strings of 4 to 8 letters that stand in toxic texts and hardly any other, by greedy cover: each the one of most toxic texts still missed. Copies of a text count once.
 
     A part must stand in so many toxic texts that among all parts less than one is expected to do so, and nowhere else, by chance.
     """
     common = Counter(w for s in neg for w in s)
-    rare = [[w for w in s if common[w] <= 0.002 * len(neg)] for s in pos]
+    rare = _originals([[w for w in s if common[w] <= 0.002 * len(neg)] for s in pos])
     del common
     docs_of: dict[str, list[int]] = {}
     tried = 0
@@ -191,16 +207,17 @@ def _telling(pos: list[list[str]], neg: list[list[str]], most: int) -> list[str]
             for p in _parts(s, n).intersection(spare):
                 docs_of.setdefault(p, []).append(i)
     least = max(3, int(np.ceil(np.log(max(1, tried)) / np.log((len(pos) + len(neg)) / len(pos)))))
-    missed = set(range(len(pos)))
+    missed = set(range(len(rare)))
     heap = [(-len(d), -len(d), -len(p), p) for p, d in docs_of.items() if len(d) >= least]
     heapq.heapify(heap)
     chosen: list[str] = []
     while heap and len(chosen) < most:
         gain, size, length, part = heapq.heappop(heap)
         now = sum(i in missed for i in docs_of[part])
-        if now < least or any(part[i : i + 4] in c for c in chosen for i in range(len(part) - 3)):
+        # What stands in very many texts is a landmark even where those have others.
+        if max(now, size // -4) < least or any(part[i : i + 4] in c for c in chosen for i in range(len(part) - 3)):
             continue
-        if now < -gain:
+        if now < -gain and size // -4 < least:
             heapq.heappush(heap, (-now, size, length, part))
             continue
         chosen.append(part)
