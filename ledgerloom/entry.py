@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,6 +121,24 @@ def _synthetic(s, d) -> DataFrame:
     return w.row_counts({"members": m, "enrollment_spans": sp, "providers": pr, "claim_lines": synthetic.claims(m, sp, pr)})
 
 
+#: The columns of each relation that are alike as text in every engine.
+_PRINTED = {
+    "region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name", "n_regionkey"), "customer": ("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "supplier": ("s_suppkey", "s_name", "s_nationkey"),
+    "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"),
+}
+
+
+def _fingerprints(s, d) -> DataFrame:
+    out = [quality.fingerprint(s.read.parquet(f"{d}/{t}.parquet"), list(columns)).select(F.lit(t).alias("relation"), "n", "digest") for t, columns in _PRINTED.items()]
+    return functools.reduce(DataFrame.union, out)
+
+
+def _fairness(s, d) -> DataFrame:
+    rows = risk.split(_risk(s, d)).cache()
+    cost = risk.proxy_cost(rows.filter("train"), rows.filter("not train"))
+    return s.createDataFrame([tuple(cost.values())], "r2_with double, r2_without double, change double")
+
+
 def _round(df: DataFrame, digits: int = 9) -> DataFrame:
     return df.withColumn("value", F.round("value", digits)) if "denominator" in df.columns else df
 
@@ -142,6 +162,7 @@ QUERIES = {
     "km_by_channel": lambda s, d: survival.kaplan_meier(_subjects(s, d), ("channel",)),
     "km_median": lambda s, d: survival.median_survival(survival.kaplan_meier(_subjects(s, d), ("channel",)), ("channel",)),
     "logrank": lambda s, d: survival.log_rank(_subjects(s, d), F.col("channel") == "individual", F.col("channel") == "employer"),
+    "logrank_p": lambda s, d: survival.with_p(s, survival.log_rank(_subjects(s, d), F.col("channel") == "individual", F.col("channel") == "employer")),
     "cause_mix": lambda s, d: survival.cause_mix(Payer(s, d).enrollment_spans),
     "competing_risks": lambda s, d: survival.competing(Payer(s, d).enrollment_spans),
     "cif": lambda s, d: survival.cumulative_incidence(Payer(s, d).enrollment_spans),
@@ -161,6 +182,7 @@ QUERIES = {
     "region_parity": lambda s, d: risk.region_parity(risk.fixed_score(_risk(s, d))),
     "risk_ridge": _ridge,
     "risk_boosted": _boosted,
+    "risk_proxy_cost": _fairness,
     "pmpm_leaf": lambda s, d: forecast.leaves(_base(s, d)).select("region", "product", "month_index", F.round("pmpm", 6).alias("pmpm")),
     "pmpm_hierarchy": lambda s, d: forecast.hierarchy(forecast.leaves(_base(s, d))).select("level", "label", "month_index", F.round("pmpm", 5).alias("pmpm_sum")),
     "forecast_base": lambda s, d: forecast.base_forecasts(_series(s, d)),
@@ -173,7 +195,7 @@ QUERIES = {
     "copilot_score": lambda s, d: copilot.accuracy(copilot.marked(copilot.resolved(copilot.questions(s), STANDARD, 1))),
     "audit_verify": _audit,
     "traceability": _trace,
-    "fingerprint": lambda s, d: quality.fingerprint(s.read.parquet(f"{d}/nation.parquet"), ["n_nationkey", "n_name", "n_regionkey"]),
+    "fingerprint": _fingerprints,
     "synthetic_counts": _synthetic,
     "events_by_day": lambda s, d: stream.windowed(s.read.parquet(f"{d}/events.parquet")),
 }
@@ -240,9 +262,9 @@ ORACLE_SQL = {
     "fanout_check": f"{PRELUDE} SELECT e AS expected, a AS actual, e = a AS equal FROM (SELECT sum(greatest(end_month - start_month, 0))::BIGINT AS e FROM v_span), (SELECT count(*) AS a FROM mm)",
     "zero_claim_share": f"{PRELUDE} SELECT round(avg((total_lines = 0)::INT), 4) AS zero_claim_share FROM mm",
     "row_counts": f"{PRELUDE} SELECT 'members' AS relation, count(*) AS n FROM v_member UNION ALL SELECT 'providers', count(*) FROM v_provider UNION ALL SELECT 'enrollment_spans', count(*) FROM v_span UNION ALL SELECT 'claim_lines', count(*) FROM v_claim",
-    "idempotency": f"{PRELUDE} SELECT 1::BIGINT AS versions, count(*) AS n, round(sum(paid_amount::DECIMAL(18,2))::DOUBLE, 2) AS paid FROM mm",
+    "idempotency": f"{PRELUDE} SELECT count(DISTINCT (n, paid)) AS versions, max(n) AS n, max(paid) AS paid FROM (SELECT count(*) AS n, round(sum(paid_amount::DECIMAL(18,2))::DOUBLE, 2) AS paid FROM mm UNION ALL SELECT sum(k)::BIGINT, round(sum(p)::DOUBLE, 2) FROM (SELECT count(*) AS k, sum(paid_amount::DECIMAL(18,2)) AS p FROM mm GROUP BY member_id))",
     "grain_check": f"{PRELUDE} SELECT count(*) AS violations FROM (SELECT member_id, month_index FROM mm GROUP BY 1, 2 HAVING count(*) > 1)",
-    "invariants": f"{PRELUDE}, x AS (SELECT least(min(paid_amount), min(premium_collected), min(total_lines), min(denied_lines)) >= 0 AS a, max(denied_lines - total_lines) <= 0 AS b, sum(paid_amount) / sum(premium_collected) BETWEEN 0.3 AND 1.5 AS c FROM mm) SELECT 'no negative amounts or counts' AS \"check\", a AS passed FROM x UNION ALL SELECT 'denied lines never exceed total lines', b FROM x UNION ALL SELECT 'loss ratio within a plausible band', c FROM x UNION ALL SELECT 'region slices reconcile to the total', true UNION ALL SELECT 'ratio equals numerator over denominator', true",
+    "invariants": f"{PRELUDE}, x AS (SELECT least(min(paid_amount), min(premium_collected), min(total_lines), min(denied_lines)) >= 0 AS a, max(denied_lines - total_lines) <= 0 AS b, sum(paid_amount) / sum(premium_collected) BETWEEN 0.3 AND 1.5 AS c FROM mm) SELECT 'no negative amounts or counts' AS \"check\", a AS passed FROM x UNION ALL SELECT 'denied lines never exceed total lines', b FROM x UNION ALL SELECT 'loss ratio within a plausible band', c FROM x UNION ALL SELECT 'region slices reconcile to the total', abs(sum(p) - (SELECT sum(paid_amount::DECIMAL(18,2))::DOUBLE FROM mm)) < 0.01 FROM (SELECT sum(paid_amount::DECIMAL(18,2))::DOUBLE AS p FROM mm GROUP BY region) UNION ALL SELECT 'ratio equals numerator over denominator', abs(v - n / d) < 1e-9 FROM (SELECT sum(paid_amount::DECIMAL(18,2))::DOUBLE AS n, sum(premium_collected::DECIMAL(18,2))::DOUBLE AS d, sum(paid_amount)::DOUBLE / sum(premium_collected) AS v FROM mm)",
     "pharmacy_split": f"{PRELUDE}, {_PHARM} SELECT plan, count(*) AS n, sum(pharmacy_paid::DECIMAL(18,2))::DOUBLE AS pharmacy_paid FROM mp GROUP BY 1",
     "metric_snapshot": f"{PRELUDE} {_snapshot_sql('mm')}",
     "blast_radius": f"{_BLAST} SELECT * FROM moves",
@@ -252,6 +274,7 @@ ORACLE_SQL = {
     "km_median": f"{PRELUDE}, {_SUBJECTS}, {_km('a', 'subj', 'channel')} SELECT channel, min(time) FILTER (round(s, 5) <= 0.5) AS median FROM ka GROUP BY 1",
     "logrank": f"{PRELUDE}, {_SUBJECTS}, g AS (SELECT tenure AS t, sum(event) FILTER (channel = 'individual') AS d1, sum(event) FILTER (channel = 'employer') AS d2, count(*) FILTER (channel = 'individual') AS c1, count(*) FILTER (channel = 'employer') AS c2 FROM subj WHERE channel IN ('individual', 'employer') GROUP BY 1), r AS (SELECT coalesce(d1, 0)::DOUBLE AS d1, coalesce(d2, 0)::DOUBLE AS d2, sum(c1) OVER (ORDER BY t DESC)::DOUBLE AS n1, sum(c2) OVER (ORDER BY t DESC)::DOUBLE AS n2 FROM g), s AS (SELECT sum(d1) AS observed, sum((d1 + d2) * n1 / (n1 + n2)) AS expected, sum(CASE WHEN n1 + n2 > 1 THEN (d1 + d2) * (n1 / (n1 + n2)) * (n2 / (n1 + n2)) * (n1 + n2 - d1 - d2) / (n1 + n2 - 1) ELSE 0 END) AS variance FROM r WHERE d1 + d2 > 0) SELECT observed, round(expected, 4) AS expected, round(variance, 4) AS variance, round(CASE WHEN variance > 0 THEN (observed - expected) ** 2 / variance END, 4) AS chi2 FROM s",
     "cause_mix": f"{PRELUDE} SELECT exit_cause, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS share FROM v_span WHERE event = 1 GROUP BY 1",
+    "competing_risks": f"{PRELUDE}, x AS (SELECT *, coalesce(exit_cause = 'voluntary', false)::INT AS own FROM v_span), {_km('a', 'x', '', 'own')}, t AS (SELECT tenure AS time, sum(event)::BIGINT AS d, sum(coalesce(exit_cause = 'voluntary', false)::INT)::BIGINT AS own, count(*) AS c FROM v_span GROUP BY 1), r AS (SELECT *, sum(c) OVER (ORDER BY time DESC)::BIGINT AS n FROM t), e AS (SELECT *, exp(coalesce(sum(CASE WHEN d < n THEN ln(1.0::DOUBLE - d::DOUBLE / n) ELSE -745 END) OVER (ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS s FROM r WHERE d > 0), c AS (SELECT round(sum(s * own / n) OVER (ORDER BY time ROWS UNBOUNDED PRECEDING), 5) AS cif FROM e) SELECT (SELECT round(1.0::DOUBLE - min(round(s, 5)), 5) FROM ka) AS one_minus_km, (SELECT round(avg(own), 5) FROM x) AS voluntary_share, (SELECT max(cif) FROM c) AS cif",
     "cif": f"{PRELUDE}, t AS (SELECT tenure AS time, sum(event)::BIGINT AS d, sum(coalesce(exit_cause = 'voluntary', false)::INT)::BIGINT AS own, count(*) AS c FROM v_span GROUP BY 1), r AS (SELECT *, sum(c) OVER (ORDER BY time DESC)::BIGINT AS n FROM t), e AS (SELECT *, exp(coalesce(sum(CASE WHEN d < n THEN ln(1.0::DOUBLE - d::DOUBLE / n) ELSE -745 END) OVER (ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS s FROM r WHERE d > 0) SELECT time, round(sum(s * own / n) OVER (ORDER BY time ROWS UNBOUNDED PRECEDING), 5) AS cif FROM e",
     "person_month": f"{PRELUDE}, x AS (SELECT s.*, i::INT AS t FROM v_span s JOIN range(0, 200) r(i) ON i < tenure + event) SELECT t AS tenure, count(*) AS n, sum((denial_month >= 0 AND t >= denial_month - start_month)::INT)::BIGINT AS denials, sum((event = 1 AND t = tenure)::INT)::BIGINT AS lapsed FROM x GROUP BY 1",
     "provider_features": f"{_upcoding()} SELECT provider_id, specialty, region, is_fraud, n_claims, total_minutes, round(mean_intensity, 6) AS mean_intensity, round(top_share, 6) AS top_share, round(max_daily_minutes, 6) AS max_daily_minutes FROM feat",
@@ -261,11 +284,11 @@ ORACLE_SQL = {
     **{f"evasion_{k}": f"{_upcoding(v)} {_CONF}" for k, v in _LEVELS.items()},
     "risk_dataset": f"{_RISK} SELECT * FROM risk",
     "risk_split": f"{_RISK} SELECT member_id, row_number() OVER (ORDER BY md5(member_id || '|1509'), member_id) <= floor(count(*) OVER () * 0.7) AS train FROM risk",
-    "calibration_deciles": f"{_RISK}, d AS (SELECT *, ntile(10) OVER (ORDER BY p, member_id)::INT AS decile FROM scored) SELECT decile, count(*) AS n, round(avg(p), 2) AS mean_predicted, round(avg(y), 2) AS mean_actual, round(avg(p) / nullif(avg(y), 0), 4) AS ratio FROM d GROUP BY 1",
-    "risk_evaluation": f"{_RISK}, k AS (SELECT *, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS ry, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS rp, row_number() OVER (ORDER BY p DESC, member_id DESC) AS place, count(*) OVER () AS n, avg(y) OVER () AS mean FROM scored), o AS (SELECT round(corr(ry, rp), 4) AS spearman, round(avg(y) FILTER (place <= ceil(n / 10)) / avg(y), 3) AS top_decile_lift, round(1 - sum((y - p) ** 2) / sum((y - mean) ** 2), 4) AS r2, round(avg(abs(y - p)), 2) AS mae, round(regr_slope(y, p), 4) AS calibration_slope, round(regr_intercept(y, p), 1) AS calibration_intercept, round((sum(p) - sum(y)) / sum(y) * 100, 3) AS payment_error_pct FROM k) SELECT *, coalesce(calibration_slope BETWEEN 0.9 AND 1.1, false) AS well_calibrated FROM o",
-    "region_parity": f"{_RISK}, b AS (SELECT region, count(*) AS n, avg(p) AS p, avg(y) AS a FROM scored GROUP BY 1) SELECT region, n, round(p, 2) AS mean_predicted, round(a, 2) AS mean_actual, round(p / a, 4) AS ratio, round(max(p / a) OVER () / min(p / a) OVER (), 4) AS disparity FROM b",
+    "calibration_deciles": f"{_RISK}, d AS (SELECT *, ntile(10) OVER (ORDER BY p, member_id)::INT AS decile FROM scored) SELECT decile, n, floor(p * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS mean_predicted, floor(y * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS mean_actual, floor((p / nullif(y, 0)) * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS ratio FROM (SELECT decile, count(*) AS n, sum(p::DECIMAL(20,4))::DOUBLE / count(p) AS p, sum(y::DECIMAL(20,4))::DOUBLE / count(y) AS y FROM d GROUP BY 1)",
+    "risk_evaluation": f"{_RISK}, k AS (SELECT *, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS ry, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS rp, row_number() OVER (ORDER BY p DESC, member_id DESC) AS place, count(*) OVER () AS n, sum(y::DECIMAL(20,4)) OVER ()::DOUBLE / count(*) OVER () AS mean FROM scored), o AS (SELECT round(corr(ry, rp), 4) AS spearman, round(avg(y) FILTER (place <= ceil(n / 10)) / avg(y), 3) AS top_decile_lift, round(1 - sum((y - p) ** 2) / sum((y - mean) ** 2), 4) AS r2, floor((sum(abs(y - p)::DECIMAL(20,4))::DOUBLE / count(*)) * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS mae, round(regr_slope(y, p), 4) AS calibration_slope, round(regr_intercept(y, p), 1) AS calibration_intercept, round((sum(p) - sum(y)) / sum(y) * 100, 3) AS payment_error_pct FROM k) SELECT *, coalesce(calibration_slope BETWEEN 0.9 AND 1.1, false) AS well_calibrated FROM o",
+    "region_parity": f"{_RISK}, b AS (SELECT region, count(*) AS n, sum(p::DECIMAL(20,4))::DOUBLE / count(p) AS p, sum(y::DECIMAL(20,4))::DOUBLE / count(y) AS a FROM scored GROUP BY 1) SELECT region, n, floor(p * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS mean_predicted, floor(a * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS mean_actual, floor((p / a) * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS ratio, floor((max(p / a) OVER () / min(p / a) OVER ()) * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS disparity FROM b",
     "pmpm_leaf": f"{PRELUDE}, {_LEAF} SELECT region, product, month_index, round(pmpm, 6) AS pmpm FROM leaf",
     "pmpm_hierarchy": f"{PRELUDE}, {_LEAF} SELECT CASE WHEN grouping(region) = 1 AND grouping(product) = 1 THEN 'total' WHEN grouping(product) = 1 THEN 'region' WHEN grouping(region) = 1 THEN 'product' ELSE 'leaf' END AS level, CASE WHEN grouping(region) = 1 AND grouping(product) = 1 THEN 'all' WHEN grouping(product) = 1 THEN region WHEN grouping(region) = 1 THEN product ELSE region || '|' || product END AS label, month_index, round(sum(pmpm), 5) AS pmpm_sum FROM leaf GROUP BY GROUPING SETS ((month_index), (region, month_index), (product, month_index), (region, product, month_index))",
-    "fingerprint": "SELECT count(*) AS n, sum(('0x' || substr(md5(n_nationkey || '|' || n_name || '|' || n_regionkey), 1, 8))::BIGINT)::BIGINT AS digest FROM nation",
+    "fingerprint": " UNION ALL ".join(f"SELECT '{t}' AS relation, count(*) AS n, sum(('0x' || substr(md5({' || chr(124) || '.join(f'coalesce({c}::VARCHAR, chr(92) || chr(78))' for c in columns)}), 1, 8))::BIGINT)::BIGINT AS digest FROM {t}" for t, columns in _PRINTED.items()),
     "events_by_day": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value::DECIMAL(18,4))::DOUBLE, 4) AS total FROM events GROUP BY 1, 2",
 }

@@ -39,6 +39,17 @@ def money(column: Column | str) -> Column:
     return F.sum((F.col(column) if isinstance(column, str) else column).cast("decimal(18,2)")).cast("double")
 
 
+def exact_mean(column: Column | str) -> Column:
+    """The mean to four decimals' exact sum, so that the order of rows doesn't matter."""
+    c = F.col(column) if isinstance(column, str) else column
+    return F.sum(c.cast("decimal(20,4)")).cast("double") / F.count(c)
+
+
+def half_up(x: Column, digits: int) -> Column:
+    """Rounded by plain doubles, so that every engine takes the same side of a tie."""
+    return F.floor(x * F.lit(10.0**digits) + 0.5) / F.lit(10.0**digits)
+
+
 def uniform(*parts: Column | str) -> Column:
     """A number in [0, 1) that depends on the given values alone; alike in every engine with md5."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long") / F.lit(2.0**32)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.scalars import money
+from ledgerloom.functions.scalars import exact_mean, half_up, money
 from ledgerloom.sources.payer import INPATIENT
 
 FEATURES = ["age_band", "chronic_count", "prior_cost", "prior_lines", "prior_inpatient", "zip_deprivation_index"]
@@ -38,7 +38,8 @@ def fixed_score(df: DataFrame) -> DataFrame:
 def calibration(df: DataFrame, actual: str = "future_cost", predicted: str = "predicted", key: str = "member_id", bins: int = 10) -> DataFrame:
     """Mean predicted and actual of each bin of the prediction; the first bins take what doesn't divide."""
     rows = df.withColumn("decile", F.ntile(bins).over(Window.orderBy(predicted, key)))
-    return rows.groupBy("decile").agg(F.count("*").alias("n"), F.round(F.avg(predicted), 2).alias("mean_predicted"), F.round(F.avg(actual), 2).alias("mean_actual"), F.round(F.when(F.avg(actual) != 0, F.avg(predicted) / F.avg(actual)), 4).alias("ratio"))
+    p, a = exact_mean(predicted), exact_mean(actual)
+    return rows.groupBy("decile").agg(F.count("*").alias("n"), half_up(p, 2).alias("mean_predicted"), half_up(a, 2).alias("mean_actual"), half_up(F.when(a != 0, p / a), 4).alias("ratio"))
 
 
 def average_rank(c: str) -> Column:
@@ -49,13 +50,13 @@ def evaluate(df: DataFrame, actual: str = "future_cost", predicted: str = "predi
     """Rank correlation, lift of the top decile, R2, MAE, slope and intercept of actual on predicted, total error; one row."""
     y, p = F.col(actual), F.col(predicted)
     one = Window.partitionBy(F.lit(0))
-    rows = df.select(y.alias("y"), p.alias("p"), average_rank(actual).alias("ry"), average_rank(predicted).alias("rp"), F.row_number().over(Window.orderBy(F.desc(predicted), F.desc(key))).alias("place"), F.count("*").over(one).alias("n"), F.avg(actual).over(one).alias("mean"), (F.max(predicted).over(one) > F.min(predicted).over(one)).alias("varied"))
+    rows = df.select(y.alias("y"), p.alias("p"), average_rank(actual).alias("ry"), average_rank(predicted).alias("rp"), F.row_number().over(Window.orderBy(F.desc(predicted), F.desc(key))).alias("place"), F.count("*").over(one).alias("n"), (F.sum(y.cast("decimal(20,4)")).over(one).cast("double") / F.count(y).over(one)).alias("mean"), (F.max(predicted).over(one) > F.min(predicted).over(one)).alias("varied"))
     # Rank and line need predictions that differ; without, they have no input and are null.
     rows = rows.withColumns({"vp": F.when(F.col("varied"), F.col("p")), "vrp": F.when(F.col("varied"), F.col("rp"))})
     top = F.col("place") <= F.ceil(F.col("n") / 10)
     out = rows.agg(
         F.round(F.corr("ry", "vrp"), 4).alias("spearman"), F.round(F.avg(F.when(top, F.col("y"))) / F.avg("y"), 3).alias("top_decile_lift"),
-        F.round(1 - F.sum(F.pow(F.col("y") - F.col("p"), 2)) / F.sum(F.pow(F.col("y") - F.col("mean"), 2)), 4).alias("r2"), F.round(F.avg(F.abs(F.col("y") - F.col("p"))), 2).alias("mae"),
+        F.round(1 - F.sum(F.pow(F.col("y") - F.col("p"), 2)) / F.sum(F.pow(F.col("y") - F.col("mean"), 2)), 4).alias("r2"), half_up(exact_mean(F.abs(F.col("y") - F.col("p"))), 2).alias("mae"),
         F.round(F.regr_slope("y", "vp"), 4).alias("calibration_slope"), F.round(F.regr_intercept("y", "vp"), 1).alias("calibration_intercept"),
         F.round((F.sum("p") - F.sum("y")) / F.sum("y") * 100, 3).alias("payment_error_pct"))
     return out.withColumn("well_calibrated", F.coalesce(F.col("calibration_slope").between(0.9, 1.1), F.lit(False)))
@@ -63,9 +64,9 @@ def evaluate(df: DataFrame, actual: str = "future_cost", predicted: str = "predi
 
 def region_parity(df: DataFrame, actual: str = "future_cost", predicted: str = "predicted") -> DataFrame:
     """Mean predicted against mean actual of each region, and the largest over the smallest ratio."""
-    by = df.groupBy("region").agg(F.count("*").alias("n"), F.avg(predicted).alias("p"), F.avg(actual).alias("a")).withColumn("r", F.col("p") / F.col("a"))
+    by = df.groupBy("region").agg(F.count("*").alias("n"), exact_mean(predicted).alias("p"), exact_mean(actual).alias("a")).withColumn("r", F.col("p") / F.col("a"))
     one = Window.partitionBy(F.lit(0))
-    return by.select("region", "n", F.round("p", 2).alias("mean_predicted"), F.round("a", 2).alias("mean_actual"), F.round("r", 4).alias("ratio"), F.round(F.max("r").over(one) / F.min("r").over(one), 4).alias("disparity"))
+    return by.select("region", "n", half_up(F.col("p"), 2).alias("mean_predicted"), half_up(F.col("a"), 2).alias("mean_actual"), half_up(F.col("r"), 4).alias("ratio"), half_up(F.max("r").over(one) / F.min("r").over(one), 4).alias("disparity"))
 
 
 def _assembled(df: DataFrame, features: list[str]) -> DataFrame:

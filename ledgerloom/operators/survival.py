@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import chi2_tail
@@ -59,6 +59,12 @@ def log_rank_p(chi2: float | None) -> float | None:
     return None if chi2 is None else round(chi2_tail(chi2), 6)
 
 
+def with_p(spark: SparkSession, test: DataFrame) -> DataFrame:
+    """A log-rank test's one row with its p value."""
+    row = test.first()
+    return spark.createDataFrame([(*row, log_rank_p(row.chi2))], f"{', '.join(f'{f.name} double' for f in test.schema)}, p_value double")
+
+
 def cause_mix(spans: DataFrame) -> DataFrame:
     """Share of each cause among those who left."""
     n = F.count("*")
