@@ -6,9 +6,12 @@ complete one another meet in one scope: parts are joined to the scopes, the
 stretches of text between blank lines, as intervals.
 
 All of it is built-in column functions on one row at a time: a pattern's pieces
-and matches give the positions, so no text is shuffled. Null texts count as
-empty and have no spans; texts of any length are read whole; positions are
-code points, ends exclusive.
+and matches give the positions, so no text is shuffled. Matches are counted up
+in chunks, so that the time grows with their number and not with its square.
+Null texts count as empty and have no spans; texts of any length are read whole;
+positions are code points, ends exclusive. Repeated rows are judged alike, an
+empty table gives no rows. Further columns stay as they are; new ones that
+would clash with them get underscores in front.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import free
+
 #: The strong forms, in the order that breaks ties; fixed values.
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -28,9 +33,16 @@ ENDPOINT = r"(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|redis|amqp|s3)://[^\s\"
 BLANK_LINES = r"\n(?:[\x20\t\r]*\n)+"
 KINDS = ("assign", "access", "hex", "id", "key", "endpoint")
 
+#: Matches that are counted up together.
+CHUNK = 256
 _SPANS = "array<struct<start:int,rank:int,stop:int,kind:string>>"
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def spans(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0) -> Column:
     """Leftmost, non-overlapping matches as (start, rank, stop, kind); those whose group is shorter than ``least`` are dropped.
 
@@ -51,8 +63,15 @@ def spans(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0)
         one = F.struct(start.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), F.lit(kind).alias("kind"))
         return F.struct(stop.alias("at"), F.when(x["g"] >= least, F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
+    # Within a chunk positions are relative to its begin; the chunks' begins are summed up after.
     begin = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
-    found = F.aggregate(parts, begin, step, lambda acc: acc["out"])
+    begins = lambda chunks: F.aggregate(
+        F.transform(chunks, lambda c: c["at"]), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+    moved = lambda x, by: F.struct((x["start"] + by).alias("start"), x["rank"].alias("rank"), (x["stop"] + by).alias("stop"), x["kind"].alias("kind"))
+    chunked = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / CHUNK).cast("int")), lambda c: F.aggregate(F.slice(p, c * CHUNK + 1, CHUNK), begin, step))
+    joined = lambda chunks: F.flatten(F.zip_with(chunks, begins(chunks), lambda c, by: F.transform(c["out"], lambda x: moved(x, by))))
+    found = _once(parts, lambda p: _once(chunked(p), joined))
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPANS))
 
 
@@ -63,25 +82,26 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     keys if it holds an identifier, its endpoints if it holds both.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    assign, access, hexes, base, ident, key, end, gap, ids, secret, both, link = (free(n, docs) for n in ("assign", "access", "hex", "base", "id", "key", "end", "gap", "ids", "secrets", "both", "linked"))
     # A run of A-Z0-9 or 0-9a-f is as long from its first fitting place on as it gets, so the least length can be asked for at once.
     out = docs.withColumns({
-        "_assign": spans(text, ASSIGN, "assign", 2, LEAST["assign"]),
-        "_access": spans(text, r"AKIA[A-Z0-9]{%d,}" % (LEAST["access"] - 4), "access"),
-        "_hex": spans(text, r"[0-9a-f]{%d,}" % LEAST["hex"], "hex"),
+        assign: spans(text, ASSIGN, "assign", 2, LEAST["assign"]),
+        access: spans(text, r"AKIA[A-Z0-9]{%d,}" % (LEAST["access"] - 4), "access"),
+        hexes: spans(text, r"[0-9a-f]{%d,}" % LEAST["hex"], "hex"),
     })
-    out = out.withColumn("base", F.array_sort(F.concat("_assign", "_access", "_hex")))
-    apart = lambda found: F.filter(found, lambda w: ~F.exists("base", lambda b: (b["start"] < w["stop"]) & (w["start"] < b["stop"])))
-    out = out.withColumns({"_id": apart(spans(text, NAMED_ID, "id")), "_key": apart(spans(text, BARE_KEY, "key"))})
-    holds = (F.size("_id") + F.size("_access") > 0) & (F.size("_key") + F.size("_assign") + F.size("_hex") > 0)
+    out = out.withColumn(base, F.array_sort(F.concat(assign, access, hexes)))
+    apart = lambda found: F.filter(found, lambda w: ~F.exists(base, lambda b: (b["start"] < w["stop"]) & (w["start"] < b["stop"])))
+    out = out.withColumns({ident: apart(spans(text, NAMED_ID, "id")), key: apart(spans(text, BARE_KEY, "key"))})
+    holds = (F.size(ident) + F.size(access) > 0) & (F.size(key) + F.size(assign) + F.size(hexes) > 0)
     none = F.array().cast(_SPANS)
-    out = out.withColumns({"_end": F.when(holds, apart(spans(text, ENDPOINT, "endpoint"))).otherwise(none), "_gap": F.when(holds, spans(text, BLANK_LINES, "gap")).otherwise(none)})
-    scope = lambda p: F.size(F.filter("_gap", lambda g: g["stop"] <= p["start"]))
+    out = out.withColumns({end: F.when(holds, apart(spans(text, ENDPOINT, "endpoint"))).otherwise(none), gap: F.when(holds, spans(text, BLANK_LINES, "gap")).otherwise(none)})
+    scope = lambda p: F.size(F.filter(gap, lambda g: g["stop"] <= p["start"]))
     scopes = lambda *cols: F.array_distinct(F.transform(F.concat(*cols), scope))
-    out = out.withColumns({"_ids": F.when(holds, scopes("_id", "_access")), "_secrets": F.when(holds, scopes("_key", "_assign", "_hex"))})
-    out = out.withColumn("_both", F.array_intersect("_ids", "_secrets"))
-    linked = F.filter(F.concat("_id", "_key", "_end"), lambda w: F.array_contains("_both", scope(w)))
-    out = out.withColumn("linked", F.when(holds & (F.size("_both") > 0), F.array_sort(linked)).otherwise(none))
-    return out.select(*docs.columns, "base", "linked")
+    out = out.withColumns({ids: F.when(holds, scopes(ident, access)), secret: F.when(holds, scopes(key, assign, hexes))})
+    out = out.withColumn(both, F.array_intersect(ids, secret))
+    linked = F.filter(F.concat(ident, key, end), lambda w: F.array_contains(F.col(both), scope(w)))
+    out = out.withColumn(link, F.when(holds & (F.size(both) > 0), F.array_sort(linked)).otherwise(none))
+    return out.select(*docs.columns, base, link)
 
 
 def written(found: Column | str) -> Column:
@@ -91,13 +111,15 @@ def written(found: Column | str) -> Column:
 
 def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every reported span of the text replaced by ``mark``; overlapping spans become one. Null texts stay null."""
+    base, link = free("base", docs), free("linked", docs)
+
     def step(acc: Column, s: Column) -> Column:
         new = F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
 
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(F.array_sort(F.concat("base", "linked")), begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(F.col(text_col)))))
-    kept = [F.when(F.size("base") + F.size("linked") > 0, clean).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    clean = F.aggregate(F.array_sort(F.concat(base, link)), begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(F.col(text_col)))))
+    kept = [F.when(F.size(base) + F.size(link) > 0, clean).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns]
     return scan(docs, text_col).select(*kept)
 
 

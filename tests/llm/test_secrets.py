@@ -79,3 +79,19 @@ def test_query_digest_and_empty_table(spark, tmp_path):
     h = lambda x: hashlib.sha256(x.encode()).hexdigest()
     assert rows == [(1, 1, 0, 0, h("assign:0:14"), "assign:0:14")] * 2 + [(2, 0, 0, 0, h(""), "")]
     assert s.scan(spark.createDataFrame([], "text string")).count() == 0
+
+
+def test_many_matches_in_one_text(spark):
+    import time
+
+    text = "\n".join(f"token = abcdefgh{i:06d}" for i in range(30_000))
+    began = time.time()
+    row = spark.createDataFrame([(1, text)], "doc_id long, text string").transform(s.scan).selectExpr("size(base) as n", "base[29999] as last").first()
+    assert row.n == 30_000 and row.last.stop == len(text) and time.time() - began < 60
+
+
+def test_columns_that_clash_stay(spark):
+    rows = [("token = abcdefgh12345678 x", 1, "b", "l", "i", "a")]
+    docs = spark.createDataFrame(rows, "text string, doc_id long, base string, linked string, _id string, assign string")
+    assert [tuple(r) for r in s.redacted(docs).collect()] == [("[SECRET] x", 1, "b", "l", "i", "a")]
+    assert s.scan(docs).columns == docs.columns + ["_base", "_linked"]
