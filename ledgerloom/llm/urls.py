@@ -5,8 +5,11 @@ a wildcard at once; a node with many children, most of them seen once or so,
 gets one wildcard child for all. Branches under one node whose subtrees have
 the same templates, and whose labelled shares of bad urls don't differ more
 than chance allows, are merged. A template is rejected when its smoothed
-labelled share of bad urls, pulled to its host's and that to the overall one,
-reaches ``purity``, on ``support`` labelled urls at least.
+labelled share of bad urls reaches ``purity``: it is pulled to its host's share,
+that to the share of the same template on other hosts, and that to the overall
+one. So a template without labels of its own is judged by its like, unless its
+host's labels speak against it. ``support`` labelled urls are needed, its own
+or its like's; a template that begins with a wildcard has no like.
 
 Rules come first, the longest that fits; the urls that rules decide are the
 labelled ones, and further labels may be given. All of it is grouping and
@@ -15,6 +18,8 @@ its distinct shapes. The third segment and all behind it are one.
 
 A null url, or one without ``://``, has an empty host and path and is judged
 like any other. Repeated rows are judged alike. Empty input gives empty output.
+Only the id and the url column are read, so further columns don't matter; urls
+of any length are read whole, and ties between templates don't arise.
 """
 
 from __future__ import annotations
@@ -46,6 +51,7 @@ def tree_steps(labelled: bool = False, rules=RULES, everywhere: str = "", fan: i
     shape = lambda pattern: f"regexp_replace(regexp_extract(path, '{pattern}', 1), '[0-9]+', '#'{replace})"
     given, join = ("l.bad", "LEFT JOIN {labels} l ON l.page_id = p.page_id") if labelled else ("CAST(NULL AS INT)", "")
     bad = "CASE WHEN decided = 'block' THEN 1 WHEN decided = 'allow' THEN 0 ELSE given END"
+    soft = f"CAST({prior} AS DOUBLE)"
     steps = [("judged", f"""SELECT *, CASE {decided} END AS decided, {shape('^/*([^/]*)')} AS s1, {shape('^/*[^/]*/+([^/]*)')} AS s2, {shape('^/*[^/]*/+[^/]*/+((?s:.*))')} AS s3 FROM (SELECT *, CASE {rule} END AS rule FROM (
   SELECT p.page_id, coalesce(translate(regexp_extract(p.url, '://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host, coalesce(regexp_extract(p.url, '://[^/?#]*([^?#]*)', 1), '') AS path, {given} AS given FROM {{pages}} p {join}) x) y"""),
         ("level0", f"SELECT host, s1, s2, s3, count(*) AS n, count(bad) AS known, coalesce(sum(bad), 0) AS bad FROM (SELECT *, {bad} AS bad FROM {{judged}}) x GROUP BY host, s1, s2, s3")]
@@ -61,9 +67,12 @@ def tree_steps(labelled: bool = False, rules=RULES, everywhere: str = "", fan: i
   (SELECT host, leaves, low, high, letters, sum(known) AS known, sum(bad) AS bad FROM {{branches}} WHERE known >= {merge_from} GROUP BY host, leaves, low, high, letters) p
   ON b.host = p.host AND b.leaves = p.leaves AND b.low = p.low AND b.high = p.high AND b.letters = p.letters"""),
         ("hosts", "SELECT host, sum(known) AS known, sum(bad) AS bad FROM {templates} GROUP BY host"),
-        ("rejected", f"""SELECT l.host, l.branch, l.t2, l.t3 FROM (SELECT t.host, m.branch, t.t2, t.t3, sum(t.known) AS known, sum(t.bad) AS bad FROM {{templates}} t JOIN {{merged}} m ON t.host = m.host AND t.t1 = m.t1 GROUP BY t.host, m.branch, t.t2, t.t3) l
-  JOIN {{hosts}} h ON l.host = h.host WHERE l.known >= {support}
-  AND (l.bad + {prior} * (h.bad + {prior} * (SELECT (coalesce(sum(bad), 0) + 1.0) / (coalesce(sum(known), 0) + 2.0) FROM {{hosts}})) / (h.known + {prior})) / (l.known + {prior}) >= {purity}"""),
+        ("shapes", "SELECT t1, t2, t3, sum(known) AS known, sum(bad) AS bad FROM {templates} WHERE t1 <> '*' GROUP BY t1, t2, t3"),
+        ("rejected", f"""SELECT l.host, l.branch, l.t2, l.t3 FROM (SELECT t.host, m.branch, t.t2, t.t3, CAST(sum(t.known) AS DOUBLE) AS known, CAST(sum(t.bad) AS DOUBLE) AS bad,
+    CAST(sum(coalesce(s.known - t.known, 0)) AS DOUBLE) AS like_known, CAST(sum(coalesce(s.bad - t.bad, 0)) AS DOUBLE) AS like_bad
+    FROM {{templates}} t JOIN {{merged}} m ON t.host = m.host AND t.t1 = m.t1 LEFT JOIN {{shapes}} s ON t.t1 = s.t1 AND t.t2 = s.t2 AND t.t3 = s.t3 GROUP BY t.host, m.branch, t.t2, t.t3) l
+  JOIN {{hosts}} h ON l.host = h.host WHERE l.known + l.like_known >= {support}
+  AND (l.bad + {soft} * (h.bad + {soft} * (l.like_bad + {soft} * (SELECT CAST(coalesce(sum(bad), 0) + 1 AS DOUBLE) / (coalesce(sum(known), 0) + 2) FROM {{hosts}})) / (l.like_known + {soft})) / (h.known + {soft})) / (l.known + {soft}) >= {purity}"""),
         ("refused", "SELECT DISTINCT x.host, x.s1, x.s2, x.s3 FROM {level3} x JOIN {merged} m ON x.host = m.host AND x.t1 = m.t1 JOIN {rejected} r ON r.host = x.host AND r.branch = m.branch AND r.t2 = x.t2 AND r.t3 = x.t3"),
         ("verdicts", """SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.decided, CASE WHEN f.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
   FROM {judged} j LEFT JOIN {refused} f ON j.host = f.host AND j.s1 = f.s1 AND j.s2 = f.s2 AND j.s3 = f.s3""")]

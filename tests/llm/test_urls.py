@@ -61,3 +61,18 @@ def test_empty_table_and_repeats(spark):
     frame = spark.createDataFrame([(1, "http://a.net/x")] * 3, "page_id long, url string")
     assert [x.verdict for x in u.judged(frame).collect()] == ["block"] * 3
     assert u.judged(frame.limit(0)).count() == 0
+
+
+def test_a_template_without_labels_is_judged_by_its_like(spark):
+    rows, labels = [], []
+    for host, path, bad in [(f"h{i}.dev", "spam/item", 1) for i in range(8)] + [(f"h{i}.dev", "news/item", 0) for i in range(8, 16)] + [("free.dev", "spam/item", None), ("good.dev", "spam/item", None), ("lone.dev", "odd/item", None)]:
+        for k in range(3):
+            rows.append((len(rows), f"http://{host}/{path}/{k}.html"))
+            if bad is not None:
+                labels.append((rows[-1][0], bad))
+    for k in range(12):  # this host's own labels speak for it
+        rows.append((len(rows), f"http://good.dev/about/{k}"))
+        labels.append((rows[-1][0], 0))
+    out = {x.page_id: x.verdict for x in u.judged(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int")).collect()}
+    verdicts = lambda host: {out[i] for i, url in rows if f"//{host}/" in url}
+    assert verdicts("free.dev") == {"block"} and verdicts("good.dev") == {"allow"} and verdicts("lone.dev") == {"allow"} and verdicts("h9.dev") == {"allow"}
