@@ -30,6 +30,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import releasing
+
 #: Encodings of matches that a worker remembers before it starts afresh.
 REMEMBERED = 1 << 17
 #: Matches of up to so many bytes are worked out side by side; texts taken together.
@@ -361,7 +363,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
                 yield pd.DataFrame({"doc_id": some["doc_id"], "ids": ids, "decoded": [codec.decode(x) for x in ids]})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(work, f"doc_id {kind}, ids array<int>, decoded binary")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(releasing(work), f"doc_id {kind}, ids array<int>, decoded binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -380,7 +382,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
             yield out.assign(doc_id=b["doc_id"].to_numpy())
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(work, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(releasing(work), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_bpe(spark, sf_dir: str) -> DataFrame:

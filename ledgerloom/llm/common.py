@@ -25,6 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def releasing(work):
+    """``work`` over batches, which at its end gives memory that Arrow and the allocator still hold back to the machine: workers live on, and an executor has several."""
+    def run(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, kept in the shared folder, with no lineage behind them."""
     shared_dir(df.sparkSession)

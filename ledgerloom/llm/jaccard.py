@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import components, cut, keep
+from ledgerloom.llm.common import components, cut, keep, releasing
 from ledgerloom.llm.shingles import mix, shingle_set
 
 #: Groups of a point, and those that tree boxes and the first look at a pair have.
@@ -100,7 +100,7 @@ def _frequent(docs: DataFrame, width: int) -> np.ndarray:
                     many = n >= max(3, len(sets) // 200)
                     yield pd.DataFrame({"token": tokens[many].astype(np.int64), "n": n[many]})
 
-    counted = docs.select("text").mapInPandas(work, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInPandas(releasing(work), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     rows = counted.filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).collect()
     return np.sort(np.array([r.token for r in rows], dtype=np.int64).astype(np.uint64))
 
@@ -114,7 +114,7 @@ def _summaries(docs: DataFrame, frequent: np.ndarray, width: int, percent: int)
             yield pd.DataFrame(rows, columns=["n", "sig1", "sig2", "counts", "prefix", "common"]).assign(doc_id=b["doc_id"].to_numpy())
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(work, f"n long, sig1 long, sig2 long, counts binary, prefix array<long>, common double, doc_id {kind}")
+    return docs.mapInPandas(releasing(work), f"n long, sig1 long, sig2 long, counts binary, prefix array<long>, common double, doc_id {kind}")
 
 
 def _bound(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
@@ -247,7 +247,7 @@ def _with_sets(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     chosen = docs.join(F.broadcast(ids) if few else ids, "doc_id")
-    held = keep(chosen.mapInPandas(sets, f"node {kind}, v binary").dropDuplicates(["node"]))
+    held = keep(chosen.mapInPandas(releasing(sets), f"node {kind}, v binary").dropDuplicates(["node"]))
     return pairs.join(held.select(F.col("node").alias("a"), F.col("v").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("v").alias("y")), "b").select("a", "b", "x", "y")
 
 
@@ -262,7 +262,7 @@ def _bounded(points: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     kind = points.schema["node"].dataType.simpleString()
     x = points.select(F.col("node").alias("a"), F.col("n").alias("nx"), F.col("counts").alias("x"))
     y = points.select(F.col("node").alias("b"), F.col("n").alias("ny"), F.col("counts").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "nx", "ny", "x", "y").mapInPandas(work, f"a {kind}, b {kind}")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "nx", "ny", "x", "y").mapInPandas(releasing(work), f"a {kind}, b {kind}")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -277,7 +277,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
             yield b.loc[ok, ["a", "b"]]
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return cut(_with_sets(docs, keep(pairs), width).mapInPandas(check, f"a {kind}, b {kind}"))
+    return cut(_with_sets(docs, keep(pairs), width).mapInPandas(releasing(check), f"a {kind}, b {kind}"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -308,7 +308,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     # The rest: pairs of classes that are still different, in as many shards as their sizes demand.
     placed = points.join(components(first), "node", "left").select("node", "counts", F.coalesce("component", "node").alias("cls"))
     shards = _dealt(rows.select("token", "node", "n")).join(placed, "node").repartition("shard").sortWithinPartitions("shard", "n", "node")
-    found = shards.select("shard", "side", "node", "n", "cls", "counts").mapInPandas(_search(percent), f"a {kind}, b {kind}, need long")
+    found = shards.select("shard", "side", "node", "n", "cls", "counts").mapInPandas(releasing(_search(percent)), f"a {kind}, b {kind}, need long")
     rest = found.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("need").alias("need")).filter("k >= need").select("a", "b")
     links = first.union(_verified(docs, rest, width, percent))
 

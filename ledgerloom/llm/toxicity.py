@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import free
+from ledgerloom.llm.common import free, releasing
 
 DECAY, SPAN, WINDOW, LETTERS = 0.6, 9, 24, 64
 #: Labelled rows that a fit takes at most.
@@ -327,7 +327,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pd.DataFrame({"weights": [m.weights.tobytes()], "slope": [m.slope], "shift": [m.shift], "landmarks": [list(m.landmarks)]})
 
     # The sample's strings, not its texts, go to the one task that learns; the driver gets the weights.
-    found = texts.mapInPandas(split, "doc_id string, y int, words string").repartition(1).mapInPandas(learn, "weights binary, slope double, shift double, landmarks array<string>").collect()
+    found = texts.mapInPandas(releasing(split), "doc_id string, y int, words string").repartition(1).mapInPandas(releasing(learn), "weights binary, slope double, shift double, landmarks array<string>").collect()
     if not found:
         return train([], [], shares)
     return Model(np.frombuffer(found[0].weights), found[0].slope, found[0].shift, tuple(found[0].landmarks))
@@ -359,7 +359,10 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "to
                 worst[at : at + 256] = [max(map(known.__getitem__, s), default=0.0) for s in some]
             yield pd.Series(m.score(worst))
 
-    udf = F.pandas_udf(work, "double")
+    def trimmed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from releasing(work)(batches)
+
+    udf = F.pandas_udf(trimmed, "double")
     return docs.withColumn(out, udf(F.col(text_col)))
 
 
