@@ -254,6 +254,21 @@ _BLAST = f"""{PRELUDE}, {_PHARM}, before AS ({_snapshot_sql('mp')}), after AS ({
 moves AS (SELECT b.metric, b.slice, b.value AS before, a.value AS after, round(a.value - b.value, 6) AS change, round(CASE WHEN b.value <> 0 THEN (a.value - b.value) / b.value END, 6) AS relative, abs(a.value - b.value) >= 1e-9 AS moved,
   abs(a.value - b.value) >= 1e-9 AND (abs(a.value - b.value) >= 0.005 OR coalesce(abs((a.value - b.value) / nullif(b.value, 0)) >= 0.01, false)) AS material FROM before b JOIN after a USING (metric, slice))"""
 
+
+def _values(rows) -> str:
+    text = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return "(VALUES " + ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows) + ")"
+
+
+def _questions_sql(version: int) -> str:
+    ahead = f"regexp_matches(said, ' ({'|'.join(copilot.AHEAD)}) ')" if version > 1 else "false"
+    return f"""WITH q AS (SELECT *, concat(' ', array_to_string(regexp_extract_all(lower(question), '[a-z0-9]+'), ' '), ' ') AS said FROM {_values(copilot.QUESTIONS)} t(question, want_metric, want_dims)),
+m AS (SELECT question, arg_min(metric, place) AS metric FROM q JOIN {_values(copilot.phrases(STANDARD, version > 1))} p(place, metric, phrase) ON contains(said, concat(' ', phrase, ' ')) AND NOT {ahead} GROUP BY 1),
+d AS (SELECT question, string_agg(dim, ',' ORDER BY dim) AS dims FROM q JOIN {_values((x, x.replace('_', ' ')) for x in STANDARD.dimensions)} p(dim, phrase) ON contains(concat(' ', regexp_extract(said, ' (by|per) (.*)$', 2)), concat(' ', phrase, ' ')) GROUP BY 1),
+r AS (SELECT question, metric, coalesce(dims, '') AS dims, CASE WHEN want_metric IS NULL THEN 'refusal' ELSE 'resolution' END AS kind,
+  CASE WHEN want_metric IS NULL THEN metric IS NULL ELSE coalesce(metric = want_metric AND coalesce(dims, '') = want_dims, false) END AS correct FROM q LEFT JOIN m USING (question) LEFT JOIN d USING (question))"""
+
+
 ORACLE_SQL = {
     **{f"m_{m}_{d or 'total'}": _metric_sql(m, d) for m in STANDARD.metrics for d in (None, *_DIMS)},
     "member_month": f"{PRELUDE} SELECT * FROM mm",
@@ -290,5 +305,8 @@ ORACLE_SQL = {
     "pmpm_leaf": f"{PRELUDE}, {_LEAF} SELECT region, product, month_index, round(pmpm, 6) AS pmpm FROM leaf",
     "pmpm_hierarchy": f"{PRELUDE}, {_LEAF} SELECT CASE WHEN grouping(region) = 1 AND grouping(product) = 1 THEN 'total' WHEN grouping(product) = 1 THEN 'region' WHEN grouping(region) = 1 THEN 'product' ELSE 'leaf' END AS level, CASE WHEN grouping(region) = 1 AND grouping(product) = 1 THEN 'all' WHEN grouping(product) = 1 THEN region WHEN grouping(region) = 1 THEN product ELSE region || '|' || product END AS label, month_index, round(sum(pmpm), 5) AS pmpm_sum FROM leaf GROUP BY GROUPING SETS ((month_index), (region, month_index), (product, month_index), (region, product, month_index))",
     "fingerprint": " UNION ALL ".join(f"SELECT '{t}' AS relation, count(*) AS n, sum(('0x' || substr(md5({' || chr(124) || '.join(f'coalesce({c}::VARCHAR, chr(92) || chr(78))' for c in columns)}), 1, 8))::BIGINT)::BIGINT AS digest FROM {t}" for t, columns in _PRINTED.items()),
+    "copilot_rules": f"{_questions_sql(1)} SELECT * FROM r",
+    "copilot_rules_v2": f"{_questions_sql(2)} SELECT * FROM r",
+    "copilot_score": f"{_questions_sql(1)} SELECT round(avg(correct::INT), 4) AS overall, round(avg(correct::INT) FILTER (kind = 'resolution'), 4) AS resolution, round(avg(correct::INT) FILTER (kind = 'refusal'), 4) AS refusal FROM r",
     "events_by_day": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value::DECIMAL(18,4))::DOUBLE, 4) AS total FROM events GROUP BY 1, 2",
 }

@@ -20,7 +20,7 @@ def features(visits: DataFrame, providers: DataFrame) -> DataFrame:
     each = month.groupBy("provider_id").agg(
         F.sum("n").cast("long").alias("n_claims"), (F.sum("i") / F.sum("n")).alias("mean_intensity"), (F.sum("top") / F.sum("n")).alias("top_share"),
         F.sum("m").cast("long").alias("total_minutes"), (F.max("m") / WORKDAYS).alias("max_daily_minutes"))
-    return each.join(F.broadcast(providers.select("provider_id", "specialty", "region", "is_fraud")), "provider_id")
+    return each.join(providers.select("provider_id", "specialty", "region", "is_fraud"), "provider_id")
 
 
 def peer_scores(df: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def confusion(flagged: DataFrame) -> DataFrame:
 def evade(visits: DataFrame, providers: DataFrame, strategy: str) -> DataFrame:
     """The visits as an adapted ring would bill them, from the honest levels on. Draws depend on line and strategy alone."""
     ring = providers.filter("is_fraud = 1").select("provider_id", (F.row_number().over(Window.orderBy("provider_id")) > F.floor(F.count("*").over(Window.partitionBy(F.lit(0))) / 2)).alias("active"))
-    rows = visits.join(F.broadcast(ring), "provider_id", "left")
+    rows = visits.join(ring, "provider_id", "left")
     base = by_key(F.coalesce("true_em_code", "em_code"), EM_INTENSITY)
     drawn, member = uniform("line_key", F.lit(strategy)), F.col("active").isNotNull()
     bump, top = {

@@ -45,7 +45,7 @@ def professional(claims: DataFrame, category: str | None = PROFESSIONAL) -> Data
 
 
 def provider_month(p: Payer) -> DataFrame:
-    rows = professional(p.claim_facts).drop("region").join(F.broadcast(p.providers.select("provider_id", "specialty", "region")), "provider_id")
+    rows = professional(p.claim_facts).drop("region").join(p.providers.select("provider_id", "specialty", "region"), "provider_id")
     return rows.groupBy("provider_id", "specialty", "region", "month_index").agg(
         F.count("*").alias("n_professional"), F.round(F.avg("intensity"), 6).alias("mean_intensity"), F.sum("minutes").cast("long").alias("total_minutes"), money("allowed_amount").alias("allowed_amount"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,13 +15,14 @@ def windowed(events: DataFrame, width: str = "1 day", delay: str = "2 days") ->
 
 
 def refresh_months(claims: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Each batch of claim lines adds its own sums to the months it touches, as files beside the earlier ones."""
-    def merge(batch: DataFrame, _: int) -> None:
-        batch.groupBy("member_id", "month_index").agg(F.sum(F.col("paid_amount").cast("decimal(18,2)")).alias("paid_amount"), F.count("*").alias("total_lines")).write.mode("append").partitionBy("month_index").parquet(path)
+    """Each batch of claim lines keeps its own sums of the months it touches in a folder of its own, written anew if the batch is played again."""
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        sums = batch.groupBy("member_id", "month_index").agg(F.sum(F.col("paid_amount").cast("decimal(18,2)")).alias("paid_amount"), F.count("*").alias("total_lines"))
+        sums.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return claims.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def monthly(spark, path: str) -> DataFrame:
+def monthly(spark: SparkSession, path: str) -> DataFrame:
     """The sums so far: batches add up, so that a month is read as the sum of its parts."""
     return spark.read.parquet(path).groupBy("member_id", "month_index").agg(F.sum("paid_amount").cast("double").alias("paid_amount"), F.sum("total_lines").alias("total_lines"))
