@@ -1,4 +1,4 @@
-"""Families, the unknown class, counts against plain loops, odd input."""
+"""Families, the unknown class, wrapped notices, scores and the gate against plain loops, odd input."""
 
 import re
 
@@ -6,36 +6,89 @@ import pytest
 
 from ledgerloom.llm import licenses as lic
 
+MENTIONS = {
+    "Distributed under the MIT licence": "MIT", "Code is MIT-licensed": "MIT", "License: Apache 2.0": "Apache-2.0", "licensed GPL v3": "GPL-3.0", "Mozilla Public License 2.0": "MPL-2.0",
+    "Boost Software License": "BSL-1.0", "GPLv3 or later": "GPL-3.0", "Available under Creative Commons Attribution 4.0": "CC-BY", "Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC", "All rights reserved.": "proprietary",
+    "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+}
+WRAPPED = {
+    "BSD": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "MIT": "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles (the \"Software\"), to deal in the Software without restriction",
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the\n\"License\"); you may not use this file except in compliance\nwith the License.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla\nPublic License, v. 2.0. If a copy of the MPL was not distributed",
+    "LGPL": "under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation",
+}
+PLAIN = [t for t in lic.OTHERS if t] + ["her license was lost", "Licensed under the Zebra License, Version 7.0", "MIT researchers lost a license plate", "the gnu and the general met the public"]
+
+
+def _words(text):
+    return re.findall(lic.WORD, text.lower().replace("licence", "license"))
+
+
+def _grams(w):
+    return set(w) | {f"{a} {b}" for a, b in zip(w, w[1:])}
+
 
 @pytest.fixture(scope="module")
 def named(spark):
-    texts = [t for ts in lic.TEMPLATES.values() for t in ts] + [t for t in lic.OTHERS if t] + ["Licensed under the Zebra License, Version 7.0", "her license was lost", "xx Released under the MIT License. yy zz"]
-    return {x.paragraph: x for x in lic.paragraphs(spark, spark.createDataFrame([(t,) for t in texts], "paragraph string")).collect()}
+    texts = [*MENTIONS, *PLAIN, *[t for ts in lic.TEMPLATES.values() for t in ts]]
+    return {x.piece: x for x in lic.judged(spark.createDataFrame([(" ".join(_words(t)),) for t in texts], "piece string")).collect()}
 
 
-def test_templates_are_named(named):
-    right = [named[t].family == f for f, ts in lic.TEMPLATES.items() for t in ts]
+def test_mentions_and_templates_are_named(named):
+    at = lambda t: named[" ".join(_words(t))].family
+    assert {t: at(t) for t in MENTIONS} == MENTIONS
+    right = [at(t) == f for f, ts in lic.TEMPLATES.items() for t in ts]
     assert sum(right) >= 0.95 * len(right)
-    assert named["xx Released under the MIT License. yy zz"].family == "MIT"
+    assert {at(t) for t in PLAIN} == {lic.UNKNOWN}
 
 
-def test_look_alikes_are_unknown(named):
-    assert all(named[t].family == lic.UNKNOWN for t in lic.OTHERS if t)
-    assert named["Licensed under the Zebra License, Version 7.0"].family == lic.UNKNOWN
-    assert all(0 < x.chance <= 1 and 0 <= x.match <= 1 for x in named.values())
+def test_scores_by_plain_loops(spark, named):
+    weights, shift, families, heat, least, right = lic.fitted(spark)
+    known = {}
+    for g, i, w in weights:
+        known.setdefault(g, []).append((i, w))
+    for piece, x in named.items():
+        have = _grams(piece.split())
+        p = lic.chances(sorted(have), known, shift, heat)
+        assert abs(max(p) - x.chance) < 1e-9
+        best = families[p.index(max(p))]
+        fits = [t for t in lic.TEMPLATES.get(best, ()) if len(have & set(lic.parts_of(t))) >= lic.needed(len(lic.parts_of(t)))]
+        assert x.family == (best if fits and max(p) >= least else lic.UNKNOWN)
+    assert right > 0.9 and 0.5 <= least <= 0.9
 
 
-def test_every_template_has_a_sign():
-    assert all(re.search(lic.SIGNS, t) for ts in lic.TEMPLATES.values() for t in ts if "SPDX" not in t or "icense" in t)
+def test_the_gate_loses_nothing():
+    for ts in lic.TEMPLATES.values():
+        for t in ts:
+            parts, first = lic.parts_of(t), set(lic.rarest(t))
+            # With none of the rarest, fewer than needed are left.
+            assert first <= set(parts) and len(set(parts) - first) < lic.needed(len(parts))
+            assert all(re.search(lic.gate(), f"so {p} it") for p in first)
+
+
+@pytest.mark.parametrize("around", ["{}", "Some words before.\nAnd a line\n{}\nand words after", "intro\n\n{}\n\nend", "word " * 500 + "{}" + " word" * 500])
+def test_wrapped_notices(spark, around):
+    rows = [(i, around.format(t), f) for i, (f, t) in enumerate(WRAPPED.items())]
+    got = {x.doc_id: x.licences for x in lic.scan(spark.createDataFrame(rows, "doc_id long, text string, family string")).collect()}
+    assert got == {i: f for i, _, f in rows}
 
 
 def test_rows_of_documents(spark):
-    texts = ["Released under the MIT License.\nReleased under the MIT License.\n\nhello", None, "", "\n \n", "my license\nAll rights reserved.", "word " * 60000 + "\nLicensed under the Apache License, Version 2.0."]
+    texts = ["Released under the MIT License.\nReleased under the MIT License.\n\nhello", None, "", "\n \n", "my license\nAll rights reserved.", "word " * 60000 + "\nLicensed under the Apache License, Version 2.0.", "a\n\nLicensed under MIT\nApache License 2.0\nGPLv3\n\nAffero and the GNU General Public License as a Zebra"]
     rows = [(t, i, 7) for i, t in enumerate(texts)] + [(texts[0], 0, 7), (texts[0], None, 7)]
-    out = lic.scan(spark.createDataFrame(rows, "text string, doc_id long, family int")).collect()
+    out = lic.scan(spark.createDataFrame(rows, "text string, doc_id long, piece int")).collect()
     assert len(out) == len(rows)
-    got = {(x.doc_id, x.n_paragraphs, x.n_licences, x.n_unknown, x.licences) for x in out}
-    assert got == {(0, 3, 2, 0, "MIT"), (1, 0, 0, 0, ""), (2, 0, 0, 0, ""), (3, 0, 0, 0, ""), (4, 2, 1, 1, "proprietary"), (5, 2, 1, 0, "Apache-2.0"), (None, 3, 2, 0, "MIT")}
+    got = {(x.doc_id, x.n_paragraphs, x.n_licences, x.licences) for x in out}
+    assert got - {x for x in got if x[0] == 6} == {(0, 2, 1, "MIT"), (1, 0, 0, ""), (2, 0, 0, ""), (3, 0, 0, ""), (4, 1, 1, "proprietary"), (5, 1, 1, "Apache-2.0"), (None, 2, 1, "MIT")}
+    assert next(set(x.licences.split(",")) >= {"Apache-2.0", "GPL-3.0", "MIT"} for x in out if x.doc_id == 6)
+
+
+def test_unknown_is_used(spark):
+    texts = ["This work is licensed under the Zebra General Public License, version 3, by the lake.", "permission is hereby granted to leave"]
+    out = lic.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(x.n_licences == 0 for x in out) and sum(x.n_unknown for x in out) >= 1
 
 
 def test_empty_table(spark):
