@@ -75,6 +75,28 @@ def spans(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0)
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPANS))
 
 
+def _running(values: Column) -> Column:
+    """The greatest of each value and those before it, a chunk at a time."""
+    chunk = lambda c: F.slice(values, c * CHUNK + 1, CHUNK)
+    chunks = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / CHUNK).cast("int"))
+
+    def along(tops: Column) -> Column:
+        before = lambda c: F.coalesce(F.array_max(F.slice(tops, 1, c)), F.lit(-1))
+        inside = lambda v, low: F.transform(v, lambda _, i: F.greatest(low, F.array_max(F.slice(v, 1, i + 1))))
+        return F.flatten(F.transform(chunks, lambda c: _once(F.struct(chunk(c).alias("v"), before(c).alias("low")), lambda x: inside(x["v"], x["low"]))))
+
+    return _once(F.transform(chunks, lambda c: F.array_max(chunk(c))), along)
+
+
+def latest(probes: Column, key, marks: Column, at, value) -> Column:
+    """(span, last) of each span: the greatest value among the marks that aren't after its key, -1 if there is none. One sorted merge of both sides."""
+    mark = F.transform(marks, lambda m: F.struct(at(m).alias("key"), F.lit(0).alias("side"), value(m).alias("value"), F.lit(None).cast(_SPANS[6:-1]).alias("span")))
+    probe = F.transform(probes, lambda p: F.struct(key(p).alias("key"), F.lit(1).alias("side"), F.lit(-1).alias("value"), p.alias("span")))
+    paired = lambda m: F.zip_with(m, _running(F.transform(m, lambda x: x["value"])), lambda x, last: F.struct(x["side"].alias("side"), x["span"].alias("span"), last.alias("last")))
+    merged = _once(F.array_sort(F.concat(mark, probe)), lambda m: F.transform(F.filter(paired(m), lambda x: x["side"] == 1), lambda x: F.struct(x["span"].alias("span"), x["last"].alias("last"))))
+    return F.when(F.size(probes) > 0, merged).otherwise(F.array().cast(f"array<struct<span:{_SPANS[6:-1]},last:int>>"))
+
+
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``base`` and ``linked``: arrays of (start, rank, stop, kind), sorted.
 
@@ -90,16 +112,23 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
         hexes: spans(text, r"[0-9a-f]{%d,}" % LEAST["hex"], "hex"),
     })
     out = out.withColumn(base, F.array_sort(F.concat(assign, access, hexes)))
-    apart = lambda found: F.filter(found, lambda w: ~F.exists(base, lambda b: (b["start"] < w["stop"]) & (w["start"] < b["stop"])))
+    # A weak span is apart if no strong one that begins before its end reaches over its start.
+    met = lambda found: latest(found, lambda w: w["stop"] - 1, F.col(base), lambda b: b["start"], lambda b: b["stop"])
+    apart = lambda found: F.transform(F.filter(met(found), lambda x: x["last"] <= x["span"]["start"]), lambda x: x["span"])
     out = out.withColumns({ident: apart(spans(text, NAMED_ID, "id")), key: apart(spans(text, BARE_KEY, "key"))})
     holds = (F.size(ident) + F.size(access) > 0) & (F.size(key) + F.size(assign) + F.size(hexes) > 0)
     none = F.array().cast(_SPANS)
     out = out.withColumns({end: F.when(holds, apart(spans(text, ENDPOINT, "endpoint"))).otherwise(none), gap: F.when(holds, spans(text, BLANK_LINES, "gap")).otherwise(none)})
-    scope = lambda p: F.size(F.filter(gap, lambda g: g["stop"] <= p["start"]))
-    scopes = lambda *cols: F.array_distinct(F.transform(F.concat(*cols), scope))
+    # A scope goes by the end of the blank lines before it.
+    scoped = lambda *cols: latest(F.concat(*cols), lambda p: p["start"], F.col(gap), lambda g: g["stop"], lambda g: g["stop"])
+    scopes = lambda *cols: F.array_distinct(F.transform(scoped(*cols), lambda x: x["last"]))
     out = out.withColumns({ids: F.when(holds, scopes(ident, access)), secret: F.when(holds, scopes(key, assign, hexes))})
     out = out.withColumn(both, F.array_intersect(ids, secret))
-    linked = F.filter(F.concat(ident, key, end), lambda w: F.array_contains(F.col(both), scope(w)))
+    begun = lambda found: latest(found, lambda p: p["start"], F.col(both), lambda b: b, lambda b: b)
+    weak = F.concat(ident, key, end)
+    # Both lists come in order of starts, so that they can be laid side by side.
+    linked = F.transform(F.filter(F.zip_with(scoped(ident, key, end), begun(weak), lambda own, of: F.struct(own["span"].alias("span"), (own["last"] == of["last"]).alias("inside"), F.array_contains(F.col(both), -1).alias("first"), own["last"].alias("last"))),
+                                  lambda x: x["inside"] & ((x["last"] >= 0) | x["first"])), lambda x: x["span"])
     out = out.withColumn(link, F.when(holds & (F.size(both) > 0), F.array_sort(linked)).otherwise(none))
     return out.select(*docs.columns, base, link)
 

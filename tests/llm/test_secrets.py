@@ -95,3 +95,13 @@ def test_columns_that_clash_stay(spark):
     docs = spark.createDataFrame(rows, "text string, doc_id long, base string, linked string, _id string, assign string")
     assert [tuple(r) for r in s.redacted(docs).collect()] == [("[SECRET] x", 1, "b", "l", "i", "a")]
     assert s.scan(docs).columns == docs.columns + ["_base", "_linked"]
+
+
+def test_many_scopes_in_one_text(spark):
+    import time
+
+    # Every other scope has both parts; identifiers stand in all of them.
+    text = "\n\n".join(f"user = person{i:06d}" + ("\ntoken = abcdefgh%06d" % i if i % 2 else "") for i in range(20_000))
+    began = time.time()
+    row = spark.createDataFrame([(1, text)], "doc_id long, text string").transform(s.scan).selectExpr("size(base) as n", "size(linked) as m", "linked[0].start as first").first()
+    assert (row.n, row.m, row.first) == (10_000, 10_000, text.index("user = person000001")) and time.time() - began < 60
