@@ -76,3 +76,85 @@ def test_a_template_without_labels_is_judged_by_its_like(spark):
     out = {x.page_id: x.verdict for x in u.judged(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int")).collect()}
     verdicts = lambda host: {out[i] for i, url in rows if f"//{host}/" in url}
     assert verdicts("free.dev") == {"block"} and verdicts("good.dev") == {"allow"} and verdicts("lone.dev") == {"allow"} and verdicts("h9.dev") == {"allow"}
+
+
+def plain_verdicts(rows, labels, depth=6, fan=12, merge_from=5, prior=4.0, support=5, purity=0.8):
+    """The tree by plain loops: (verdict of each id, templates that merging made one)."""
+    leaves = {}
+    for i, url in rows:
+        host, path, _, kind = plain(url)
+        rest = re.sub("[0-9]+", "#", re.sub("^/", "", re.sub("/+", "/", path)))
+        parts = (rest.split("/", depth - 1) + [""] * depth)[:depth]
+        leaves[i] = (host, parts, {"block": 1, "allow": 0}.get(kind, labels.get(i)), kind)
+    names = {i: () for i in leaves}
+    for level in range(depth):
+        kids = {}
+        for i, (host, parts, _, _) in leaves.items():
+            one = kids.setdefault((host, names[i]), {})
+            one[parts[level]] = one.get(parts[level], 0) + 1
+        light = {k: {s for s, n in one.items() if n * fan <= sum(one.values())} for k, one in kids.items()}
+        wild = lambda i: len(few := light[leaves[i][0], names[i]]) >= fan and leaves[i][1][level] in few
+        names = {i: (*names[i], "*" if wild(i) else leaves[i][1][level]) for i in leaves}
+    counts = {}
+    for i, (host, _, bad, _) in leaves.items():
+        c = counts.setdefault((host, names[i]), [0, 0])
+        c[0] += bad is not None
+        c[1] += bad or 0
+    branch = {k: k[1][-1:] for k in counts}
+    for level in range(depth - 1, 0, -1):
+        nodes = {}
+        for (host, t), (known, bad) in counts.items():
+            n = nodes.setdefault((host, t[:level]), [set(), 0, 0])
+            n[0].add(branch[host, t])
+            n[1] += known
+            n[2] += bad
+        pool = {}
+        for (host, t), (below, known, bad) in nodes.items():
+            if known >= merge_from:
+                p = pool.setdefault((host, t[:-1], frozenset(below)), [0, 0])
+                p[0] += known
+                p[1] += bad
+        def called(host, t):
+            below, known, bad = nodes[host, t]
+            pk, pb = pool.get((host, t[:-1], frozenset(below)), (0, 0))
+            return frozenset(below) if known >= merge_from and (bad * pk - pb * known) ** 2 <= 4 * known * pb * (pk - pb) else t[-1]
+        branch = {(host, t): (called(host, t[:level]), *branch[host, t]) for host, t in counts}
+    total = [sum(c[j] for c in counts.values()) for j in (0, 1)]
+    refused = set()
+    for host, b in {(h, branch[h, t]) for h, t in counts}:
+        own = [(t, c) for (h, t), c in counts.items() if h == host and branch[h, t] == b]
+        hosts = [sum(c[j] for (h, _), c in counts.items() if h == host) for j in (0, 1)]
+        known, bad = (sum(c[j] for _, c in own) for j in (0, 1))
+        like = [sum(c[j] for t, _ in own for (h, x), c in counts.items() if x == t and h != host and t[0] != "*") for j in (0, 1)]
+        share = (like[1] + prior * (total[1] + 1) / (total[0] + 2)) / (like[0] + prior)
+        share = (bad + prior * (hosts[1] + prior * share) / (hosts[0] + prior)) / (known + prior)
+        if known + like[0] >= support and share >= purity:
+            refused |= {(host, t) for t, _ in own}
+    verdicts = {i: leaves[i][3] or ("block" if (leaves[i][0], names[i]) in refused else "allow") for i in leaves}
+    return verdicts, len(counts) - len({(h, branch[h, t]) for h, t in counts})
+
+
+def test_verdicts_by_plain_loops(spark):
+    r = random.Random(5)
+    rows, labels = [], {}
+    for i in range(4000):
+        kind = r.choice(["spam", "scam", "news", "blog", "shop"])
+        tail = r.choice([f"item/{r.randint(1, 99)}", "".join(r.choice("abcdefgh") for _ in range(5)), "x/y/z/" + r.choice("pq") + "/deep/er"])
+        host = r.choice(["a.dev", "b.dev", "c.example.com", "d.net", "www.e.org"])
+        rows.append((i, f"http://{host}/{r.choice(['', 'a/b/'])}{r.choice(['', '/'])}{kind}/{tail}"))
+        if r.random() < 0.4:
+            labels[i] = int((kind in ("spam", "scam")) != (r.random() < 0.03))
+    want, merged = plain_verdicts(rows, labels)
+    got = u.judged(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(list(labels.items()), "page_id long, bad int")).collect()
+    assert {x.page_id: x.verdict for x in got} == want
+    free = [i for i, url in rows if plain(url)[3] is None]
+    assert merged > 0 and {"block", "allow"} == {want[i] for i in free}
+    deep = {k: {want[i] for i in free if f"/a/b/{k}/item" in rows[i][1] or f"/a/b//{k}/item" in rows[i][1]} for k in ("spam", "news")}
+    assert deep == {"spam": {"block"}, "news": {"allow"}}
+
+
+def test_repeated_urls_leave_the_verdicts(spark):
+    rows = [(f"http://wide.dev/{''.join(chr(97 + int(d)) for d in str(i * 7919))}x/buy", i < 20) for i in range(60)]
+    rows = [(3 * i + k, url, bad) for i, (url, bad) in enumerate(rows) for k in range(3)]
+    out = u.judged(spark.createDataFrame(rows, "page_id long, url string, bad boolean"), spark.createDataFrame([(i, 1) for i, _, bad in rows if bad], "page_id long, bad int")).collect()
+    assert {x.verdict for x in out} == {"block"}
