@@ -86,6 +86,7 @@ def standard() -> Registry:
     out.add_dimension(Dimension("age_band", lambda: F.col("age_band").cast("string"), "age band of ten years"))
     paid, premium = lambda: money("paid_amount"), lambda: money("premium_collected")
     total = lambda c: lambda: F.sum(c).cast("double")
+    # Names, labels, units, owners of the published catalogue.
     for metric in (
         Metric("loss_ratio", "Loss ratio", paid, premium, higher_is_better=False, description="paid claims over premium collected"),
         Metric("pmpm", "Paid per member per month", paid, count_rows, unit="currency", higher_is_better=False, description="paid claims over member months"),

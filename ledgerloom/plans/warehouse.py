@@ -84,6 +84,7 @@ def invariants(base: DataFrame, registry) -> DataFrame:
     by = base.groupBy("region").agg(paid.alias("paid"), premium.alias("premium"), *[F.min(c).alias(f"min_{c}") for c in ("paid_amount", "premium_collected", "total_lines", "denied_lines")], F.max(F.col("denied_lines") - F.col("total_lines")).alias("over"))
     total = registry.compile(base, "loss_ratio").select("value", "numerator", "denominator")
     one = by.agg(F.sum("paid").alias("paid"), F.least(*[F.min(f"min_{c}").cast("double") for c in ("paid_amount", "premium_collected", "total_lines", "denied_lines")]).alias("low"), F.max("over").alias("over")).join(total, how="full", on=F.lit(True))
+    # The names of the checks and the plausible band.
     checks = {
         "no negative amounts or counts": F.col("low") >= 0, "denied lines never exceed total lines": F.col("over") <= 0, "loss ratio within a plausible band": F.col("value").between(0.3, 1.5),
         "region slices reconcile to the total": F.abs(F.col("paid") - F.col("numerator")) < 0.01, "ratio equals numerator over denominator": F.abs(F.col("value") - F.col("numerator") / F.col("denominator")) < 1e-9}
