@@ -6,14 +6,18 @@ sixteen of them, two bits each, are one packed integer a frame. Two recordings
 are aligned by the histogram of offsets at which their integers agree, and
 linked if at the best offset the share of differing bits stays small.
 
-Equal fingerprints are one node. A link needs LEAST_VOTES places that agree, so
-two recordings with a link share as many occurrences of non-zero integers. Of
-these, each leaves out the few that stand in most recordings, which costs no
-link as long as LEAST_SHARED must be shared of the rest; that many make a
-candidate. Neighbours among the recordings with one integer are aligned first
-and become classes, then all candidates of different classes, so no link
-between classes is lost. An integer of very many recordings is dealt out in
-pairs of blocks; all its pairs of different classes are still counted.
+Equal fingerprints are one node. A link needs LEAST_VOTES places that agree at
+one offset. Two such places next to each other are then at most a seventh of
+the shorter recording apart, so linked recordings share a key: two non-zero
+integers and the step between them. Integers that no other recording has are
+left out before keys are made. Between two recordings of over LONG frames steps
+may be longer than keys are made for; those share as many occurrences of single
+integers, of which each leaves out the few that stand in most recordings, as
+long as LEAST_SHARED must be shared of the rest. Neighbours among the recordings
+with one key are aligned first and become classes, then all candidates of
+different classes, so no link between classes is lost. A key of very many
+recordings is dealt out in pairs of blocks; all its pairs of different classes
+are still counted.
 
 Audio is 16-bit mono PCM. Null and empty audio, and audio shorter than a frame,
 has no fingerprint and is a class of its own. Ids must be unique but for
@@ -30,11 +34,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import components, cut, keep
+from ledgerloom.llm.shingles import mix
 
 RATE, FRAME, HOP = 4000, 512, 256
-#: Frames that a shared run spans at least (any single integer), and the least agreeing frames and most differing bits of a link.
-RUN, LEAST_VOTES, MOST_ERROR = 1, 8, 0.2
-#: Occurrences that a candidate shares at least, once each recording's LEAST_VOTES - LEAST_SHARED commonest are left out; recordings in a block of one integer.
+#: The least agreeing frames and most differing bits of a link.
+LEAST_VOTES, MOST_ERROR = 8, 0.2
+#: Frames up to which steps cover every link; beyond, single integers help.
+LONG = 256
+#: Occurrences of single integers that a candidate shares at least, once each recording's LEAST_VOTES - LEAST_SHARED commonest are left out; recordings in a block of one key.
 LEAST_SHARED, BLOCK = 2, 1024
 #: Box filters as (kind, first pitch class, pitch classes, frames), made by rule: three kinds over stretches of the octave.
 FILTERS = tuple((i % 3, (5 * i) % 9, 3 + i % 2, 2 + 2 * (i % 4)) for i in range(16))
@@ -118,31 +125,65 @@ def fingerprints(recordings: DataFrame, id_col: str, audio_col: str, rate: int =
     return recordings.select(F.col(id_col).alias("id"), F.col(audio_col).alias("audio")).mapInPandas(work, f"id {kind}, n_frames long, print binary")
 
 
-def _integers(kind: str):
-    """Each recording's distinct non-zero integers and how often they stand in it; too few for a link are none."""
+def _places(kind: str):
+    """The places of each recording's non-zero integers; too few for a link are none."""
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
+            out = [pd.DataFrame({"node": [], "frames": [], "at": [], "value": []})]
             for node, data in zip(b["node"], b["print"]):
                 x = np.frombuffer(data, dtype=np.int32)
-                value, n = np.unique(x[x != 0], return_counts=True)
-                if n.sum() >= LEAST_VOTES:
-                    out.append(pd.DataFrame({"node": node, "value": value, "n": n}))
-            yield pd.concat(out) if out else pd.DataFrame({"node": [], "value": [], "n": []})
+                at = np.flatnonzero(x)
+                if len(at) >= LEAST_VOTES:
+                    out.append(pd.DataFrame({"node": node, "frames": len(x), "at": at, "value": x[at]}))
+            yield pd.concat(out[1:] or out)
 
-    return work, f"node {kind}, value int, n int"
+    return work, f"node {kind}, frames int, at int, value int"
+
+
+def steps(at: np.ndarray, value: np.ndarray, frames: int) -> np.ndarray:
+    """The distinct keys of two integers and the step between their places (ascending), steps as long as a link of so many frames can demand."""
+    most, made = (min(frames, LONG) - 1) // (LEAST_VOTES - 1), [np.zeros(0, dtype=np.uint64)]
+    v = mix(value.astype(np.int64).astype(np.uint64))
+    for k in range(1, min(most, len(at) - 1) + 1):
+        step = at[k:] - at[:-k]
+        i = np.flatnonzero(step <= most)
+        if not len(i):
+            break
+        made.append(mix(mix(v[i] + step[i].astype(np.uint64)) ^ v[i + k]))
+    return np.unique(np.concatenate(made)).astype(np.int64)
+
+
+def _steps(kind: str):
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for node, frames, places in zip(b["node"], b["frames"], b["places"]):
+                at, value = (np.array([p[c] for p in places], dtype=np.int64) for c in ("at", "value"))
+                yield pd.DataFrame({"node": node, "value": steps(at, value, frames)})
+
+    return work, f"node {kind}, value long"
 
 
 def _rare(prints: DataFrame, kind: str) -> DataFrame:
-    """node, value, n, part, parts: the occurrences that candidates are found by, each value's recordings dealt into ``parts`` blocks."""
-    work, schema = _integers(kind)
+    """node, value, n, part, parts: the keys and occurrences that candidates are found by, each value's recordings dealt into ``parts`` blocks."""
+    work, schema = _places(kind)
     each = keep(prints.mapInPandas(work, schema))
-    spread = each.groupBy("value").agg(F.count("*").alias("spread")).filter("spread > 1")
+    spread = each.groupBy("value").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("value")
+    shared = each.join(spread, "value").groupBy("node", "frames").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("places"))
+    work, schema = _steps(kind)
+    keys = keep(shared.filter(F.size("places") >= LEAST_VOTES).mapInPandas(work, schema))
+    spread = keys.groupBy("value").agg(F.count("*").alias("spread")).filter("spread > 1")
+    keys = keys.join(spread, "value").select("node", "value", F.lit(LEAST_SHARED).alias("n"), "spread")
+
+    # Single integers of long recordings; should one equal a key, that makes a candidate more and loses none.
+    single = each.filter(F.col("frames") > LONG).groupBy("node", "value").agg(F.count("*").alias("n"))
+    spread = single.groupBy("value").agg(F.count("*").alias("spread")).filter("spread > 1")
     own = Window.partitionBy("node")
     before = own.orderBy(F.desc("spread"), F.desc("value")).rowsBetween(Window.unboundedPreceding, -1)
-    rows = each.join(spread, "value").withColumns({"all": F.sum("n").over(own), "before": F.coalesce(F.sum("n").over(before), F.lit(0))})
+    rows = single.join(spread, "value").withColumns({"all": F.sum("n").over(own), "before": F.coalesce(F.sum("n").over(before), F.lit(0))})
     left = F.col("n") - F.least(F.greatest(LEAST_VOTES - LEAST_SHARED - F.col("before"), F.lit(0)), F.col("n"))
-    rows = rows.filter(F.col("all") >= LEAST_VOTES).select("node", "value", left.cast("int").alias("n"), F.ceil(F.col("spread") / BLOCK).cast("int").alias("parts")).filter("n > 0")
+    single = rows.filter(F.col("all") >= LEAST_VOTES).select("node", F.col("value").cast("long").alias("value"), left.cast("int").alias("n"), "spread").filter("n > 0")
+
+    rows = keys.union(single).select("node", "value", "n", F.ceil(F.col("spread") / BLOCK).cast("int").alias("parts"))
     return keep(rows.withColumn("part", F.pmod(F.xxhash64("value", "node"), "parts").cast("int")))
 
 
