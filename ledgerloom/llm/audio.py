@@ -140,25 +140,38 @@ def _places(kind: str):
     return work, f"node {kind}, frames int, at int, value int"
 
 
-def steps(at: np.ndarray, value: np.ndarray, frames: int) -> np.ndarray:
-    """The distinct keys of two integers and the step between their places (ascending), steps as long as a link of so many frames can demand."""
-    most, made = (min(frames, LONG) - 1) // (LEAST_VOTES - 1), [np.zeros(0, dtype=np.uint64)]
-    v = mix(value.astype(np.int64).astype(np.uint64))
-    for k in range(1, min(most, len(at) - 1) + 1):
-        step = at[k:] - at[:-k]
-        i = np.flatnonzero(step <= most)
-        if not len(i):
-            break
-        made.append(mix(mix(v[i] + step[i].astype(np.uint64)) ^ v[i + k]))
-    return np.unique(np.concatenate(made)).astype(np.int64)
+def steps(node: np.ndarray, frames: np.ndarray, at: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Recordings (by number) and keys of two integers and the step between their places, each pair once.
+
+    Places stand recording by recording, ascending; steps are as long as a link of so many frames can demand.
+    """
+    most = (np.minimum(frames, LONG) - 1) // (LEAST_VOTES - 1)
+    v, i = mix(value.astype(np.int64).astype(np.uint64)), np.arange(len(at))
+    found_nodes, found_keys, k = [], [], 0
+    while len(i):
+        k += 1
+        i = i[i + k < len(at)]
+        i = i[(node[i + k] == node[i]) & (at[i + k] - at[i] <= most[i])]
+        found_nodes.append(node[i])
+        found_keys.append(mix(mix(v[i] + (at[i + k] - at[i]).astype(np.uint64)) ^ v[i + k]).astype(np.int64))
+    nodes, keys = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (found_nodes, found_keys))
+    order = np.lexsort((keys, nodes))
+    nodes, keys = nodes[order], keys[order]
+    new = np.concatenate(([True], (nodes[1:] != nodes[:-1]) | (keys[1:] != keys[:-1])))[: len(nodes)]
+    return nodes[new], keys[new]
 
 
 def _steps(kind: str):
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for node, frames, places in zip(b["node"], b["frames"], b["places"]):
-                at, value = (np.array([p[c] for p in places], dtype=np.int64) for c in ("at", "value"))
-                yield pd.DataFrame({"node": node, "value": steps(at, value, frames)})
+            size = b["places"].map(len).to_numpy(dtype=np.int64)
+            # Some recordings at once, but about a million places at most.
+            for part in np.split(np.arange(len(b)), np.flatnonzero(np.diff(np.cumsum(size) >> 20)) + 1):
+                if len(part):
+                    x = np.concatenate(b["places"].iloc[part].to_list()).astype(np.int64)
+                    number = np.repeat(part, size[part])
+                    nodes, keys = steps(number, b["frames"].to_numpy()[number], x >> 32, (x & 0xFFFFFFFF).astype(np.uint32))
+                    yield pd.DataFrame({"node": b["node"].to_numpy()[nodes], "value": keys})
 
     return work, f"node {kind}, value long"
 
@@ -168,7 +181,8 @@ def _rare(prints: DataFrame, kind: str) -> DataFrame:
     work, schema = _places(kind)
     each = keep(prints.mapInPandas(work, schema))
     spread = each.groupBy("value").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("value")
-    shared = each.join(spread, "value").groupBy("node", "frames").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("places"))
+    place = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    shared = each.join(spread, "value").groupBy("node", "frames").agg(F.sort_array(F.collect_list(place)).alias("places"))
     work, schema = _steps(kind)
     keys = keep(shared.filter(F.size("places") >= LEAST_VOTES).mapInPandas(work, schema))
     spread = keys.groupBy("value").agg(F.count("*").alias("spread")).filter("spread > 1")

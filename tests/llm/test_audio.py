@@ -110,5 +110,6 @@ def test_every_link_has_a_common_key():
             x, y = r.integers(1, 2**31, n), r.integers(1, 2**31, m)
             at, off = np.sort(r.choice(n, a.LEAST_VOTES, replace=False)), r.integers(0, m - n + 1)
             y[at + off] = x[at]
-            one, two = (set(a.steps(np.arange(len(p)), p, len(p)).tolist()) for p in (x, y))
-            assert one & two
+            number = np.repeat([0, 1], [n, m])
+            nodes, keys = a.steps(number, np.array([n, m])[number], np.concatenate([np.arange(n), np.arange(m)]), np.concatenate([x, y]))
+            assert set(keys[nodes == 0].tolist()) & set(keys[nodes == 1].tolist())
