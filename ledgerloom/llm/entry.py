@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import audio, bpe, jaccard, licenses, mixture, secrets, suffixes, topk, toxicity, urls
+from ledgerloom.llm import audio, bpe, jaccard, licenses, mixture, secrets, suffixes, topk, toxicity, urls, whitening
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_bpe": bpe.op9_bpe,
     "op10_mixture": mixture.op10_mixture,
+    "op13_whitening": whitening.op13_whitening,
 }
 ORACLE_SQL = {
     "op2_url_filter": urls.OP2_SQL,
