@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import audio, bpe, jaccard, licenses, mixture, secrets, suffixes, topk, toxicity, urls, whitening
+from ledgerloom.llm import audio, bpe, jaccard, licenses, mixture, secrets, suffixes, topk, toxicity, urls, variants, whitening
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_bpe": bpe.op9_bpe,
     "op10_mixture": mixture.op10_mixture,
+    "op11_spelling_variants": variants.op11_spelling_variants,
     "op13_whitening": whitening.op13_whitening,
 }
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op3_jaccard_join": jaccard.OP3_SQL,
     "op4_topk": topk.OP4_SQL,
     "op10_mixture": mixture.OP10_SQL,
+    "op11_spelling_variants": variants.OP11_SQL,
 }
