@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import audio, bpe, jaccard, licenses, mixture, secrets, suffixes, topk, toxicity, urls, variants, whitening
+from ledgerloom.llm import audio, bpe, jaccard, licenses, mixture, neighbours, secrets, suffixes, topk, toxicity, urls, variants, whitening
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_bpe": bpe.op9_bpe,
     "op10_mixture": mixture.op10_mixture,
     "op11_spelling_variants": variants.op11_spelling_variants,
+    "op12_neighbours": neighbours.op12_neighbours,
     "op13_whitening": whitening.op13_whitening,
 }
 ORACLE_SQL = {
