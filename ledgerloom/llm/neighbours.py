@@ -3,11 +3,12 @@
 The graph holds, for each distinct vector, the K others with the largest
 products known so far. It starts from a few trees of random planes: the top of
 each is fitted on a bounded sample (``SAMPLE`` rows) and gives a code by which
-all rows are range-partitioned; a task splits its rows further and compares
-those of one leaf. Then rounds of NN-descent follow: the neighbours of a node,
-in both directions, are candidates for each other. A round joins each block of
-nodes with the vectors of all their neighbours, multiplies those that share a
-node and sends each vector its best new ones; it ends when few entries change.
+all rows are range-partitioned (once more at random, so that no part stays
+alone); a task splits its rows further and compares those of one leaf. Then
+rounds of NN-descent follow: the neighbours of a node, in both directions, are
+candidates for each other. A round joins each block of nodes with the vectors
+of all their neighbours, multiplies those that share a node and sends each
+vector its best new ones; the rounds end when few entries change.
 
 A query opens the nodes of its beam, the best so far, that it hasn't opened
 yet: a round joins them with the graph and scores what they list; when nothing
@@ -54,7 +55,7 @@ class Settings:
 
     k: int = 40
     reverse: int = 40
-    trees: int = 4
+    trees: int = 3
     rounds: int = 8
     settled: float = 0.05
     beam: int = 128
@@ -184,8 +185,8 @@ def leaves(x: np.ndarray, seed: int) -> list[np.ndarray]:
     return out
 
 
-def planted(codes: DataFrame, planes: Planes, seed: int, parts: int, d: int, k: int) -> DataFrame:
-    """(node, ids, sims): the best of each node's leaf in one tree."""
+def planted(codes: DataFrame, planes: Planes | None, seed: int, parts: int, d: int, k: int) -> DataFrame:
+    """(node, ids, sims): the best of each node's leaf in one tree; without planes its top deals rows at random."""
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = decoded(batch.column("code"), d) * np.asarray(batch.column("scale"))[:, None]
@@ -205,7 +206,8 @@ def planted(codes: DataFrame, planes: Planes, seed: int, parts: int, d: int, k:
             row = np.repeat(np.arange(len(at)), most)
             yield pa.RecordBatch.from_arrays([pa.array(node[at]), as_lists(row, len(at), node[at][best].ravel(), pa.int64()), as_lists(row, len(at), np.take_along_axis(s, best, 1).ravel(), pa.float64())], names=["node", "ids", "sims"])
 
-    dealt = codes.mapInArrow(route, "node long, code binary, scale double, leaf long").repartitionByRange(parts, "leaf", F.xxhash64("node"))
+    routed = codes.mapInArrow(route, "node long, code binary, scale double, leaf long") if planes else codes.withColumn("leaf", F.lit(0))
+    dealt = routed.repartitionByRange(parts, "leaf", F.xxhash64("node"))
     return dealt.mapInArrow(releasing(compare), "node long, ids array<long>, sims array<double>")
 
 
@@ -318,8 +320,9 @@ def build(df: DataFrame, id: str = "vec_id", vector: str = "embedding", settings
     entries = np.array([r.node for r in sample]), np.array([r.v for r in sample])
     depth = min(6, max(0, (len(sample) // 64).bit_length() - 1))
     first = codes.select("node", "code", "scale", F.array().cast("array<long>").alias("ids"), F.array().cast("array<double>").alias("sims"), F.array().cast("array<boolean>").alias("old"))
-    for seed in range(s.trees):
-        grown = planted(codes, Planes.plant(entries[1], depth, seed), seed, -(-n // PART), d, s.k)
+    # The last deals at random, so that what the planes part is linked from the start.
+    for seed in range(s.trees + 1):
+        grown = planted(codes, Planes.plant(entries[1], depth, seed) if seed < s.trees else None, seed, -(-n // PART), d, s.k)
         first = first.union(grown.select("node", F.lit(None).cast("binary"), F.lit(None).cast("double"), "ids", "sims", F.transform("ids", lambda _: F.lit(False))))
     graph = cut(merged(first, s.k))
     for turn in range(s.rounds):
@@ -442,7 +445,24 @@ def nearest(index: Index, queries: DataFrame, k: int = 20) -> DataFrame:
     return expanded(index, asked, found, k)
 
 
-def expanded(index: Index, asked: DataFrame, found: DataFrame, k: int) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int = 20) -> DataFrame:
+    """(query_id, rank, vec_id, score) for vectors of any origin (query_id, v), ids unique and vectors of the index's length: the k nearest rows found."""
+    nodes, x = index.entries
+    most = min(8, len(nodes))
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column("v").flatten().to_numpy().reshape(-1, x.shape[1])
+            best = np.argpartition(-(v @ x.T), most - 1, axis=1)[:, :most]
+            yield batch.append_column("starts", as_lists(np.repeat(np.arange(len(v)), most), len(v), nodes[best].ravel(), pa.int64()))
+
+    rows = queries.select(F.col("query_id").cast("long").alias("query"), F.col("v").cast("array<double>").alias("v")).filter(F.size("v") == x.shape[1])
+    found = greedy(index, rows.mapInArrow(start, "query long, v array<double>, starts array<long>"))
+    found = found.select("query", F.explode(F.arrays_zip("ids", "sims")).alias("x")).select("query", F.col("x.ids").alias("node"), F.col("x.sims").alias("score"))
+    return expanded(index, rows.select(F.col("query").alias("query_id"), F.col("query").alias("node")), found, k, False)
+
+
+def expanded(index: Index, asked: DataFrame, found: DataFrame, k: int, but_itself: bool = True) -> DataFrame:
     """Found nodes as rows, for each query but itself; equal vectors were searched for once."""
     place = F.row_number().over(Window.partitionBy("node").orderBy("id"))
     copies = index.rows.withColumn("place", place).filter(F.col("place") <= k + 1).groupBy("node").agg(F.collect_list("id").alias("copies"))
@@ -450,7 +470,8 @@ def expanded(index: Index, asked: DataFrame, found: DataFrame, k: int) -> DataFr
     order = [F.desc("score"), F.col("vec_id")]
     best = rows.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(*order))).filter(F.col("place") <= k + 1)
     each = asked.join(best.groupBy("query").agg(F.collect_list(F.struct("score", "vec_id")).alias("best")).withColumnRenamed("query", "node"), "node")
-    each = each.select("query_id", F.explode("best").alias("x")).select("query_id", "x.score", "x.vec_id").filter("vec_id <> query_id")
+    each = each.select("query_id", F.explode("best").alias("x")).select("query_id", "x.score", "x.vec_id")
+    each = each.filter("vec_id <> query_id") if but_itself else each
     ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 

@@ -82,6 +82,17 @@ def test_fewer_candidates_than_asked_and_none(spark, tmp_path):
     assert out.columns == ["query_id", "rank", "vec_id", "score"] and out.count() == 0
 
 
+def test_queries_from_outside(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(r.standard_normal((400, 8)).astype(np.float32))]
+    index = g.build(frame(spark, rows), settings=g.Settings(k=16, reverse=16, trees=1, beam=48))
+    asked = [(i, [float(c) for c in v]) for i, v in enumerate(r.standard_normal((9, 8)))]
+    out = g.search(index, spark.createDataFrame([*asked, (99, [1.0])], "query_id long, v array<double>"), 10).collect()
+    want = {q: sorted((-float(np.dot(v, x)), i) for i, x in rows)[:10] for q, v in asked}
+    found = {q: [(-o.score, o.vec_id) for o in sorted(out, key=lambda o: o["rank"]) if o.query_id == q] for q in want}
+    assert recall(found, want) >= 0.9 and len(out) == 90
+
+
 def test_best_of_lists():
     row, ids, value = np.array([1, 0, 1, 1, 0, 1]), np.array([7, 3, 7, 2, 9, 4]), np.array([0.5, 0.1, 0.5, 0.5, 0.1, 0.9])
     at = g.leading(row, ids, value, 2, np.array([0, 0, 1, 0, 0, 0], dtype=bool))
