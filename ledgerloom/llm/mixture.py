@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, draw
+from ledgerloom.llm.common import cut, draw, free
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -96,13 +96,14 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     Documents of which the mix takes nothing are gone. The mix works per doc_id,
     so rows with one doc_id must be copies of one another. Rows without a doc_id
     are told apart by source and size; those alike in both stand as often as the
-    most taken of them.
+    most taken of them. Columns of any name stay; texts of any length are whole.
     """
     id_col, text_col, source_col = (options.get(f"{c}_col", d) for c, d in (("id", "doc_id"), ("text", "text"), ("source", "source")))
-    times = mixture(docs, **options).filter("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
+    i, g, z, n, x = (free(c, docs) for c in ("taken_id", "taken_source", "taken_size", "taken_times", "taken_time"))
+    times = mixture(docs, **options).filter("taken > 0").groupBy(F.col("doc_id").alias(i), F.col("source").alias(g), F.col("size").alias(z)).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias(n))
     size = F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long")
-    out = docs.join(times, docs[id_col].eqNullSafe(times["_id"]) & docs[source_col].eqNullSafe(times["_source"]) & (size == times["_size"]))
-    return out.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), F.col("_times"))).alias("_time")).drop("_time")
+    out = docs.join(times, docs[id_col].eqNullSafe(times[i]) & docs[source_col].eqNullSafe(times[g]) & (size == times[z]))
+    return out.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), F.col(n))).alias(x)).drop(x)
 
 
 def op10_mixture(spark, sf_dir: str) -> DataFrame:

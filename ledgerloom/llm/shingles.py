@@ -21,7 +21,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least n of each."""
+    """Powers of the base and of its inverse, at least n of each; sums by them tell windows of one short length apart."""
     if not _powers or len(_powers[0]) < n:
         size = 1 << max(16, (n - 1).bit_length())
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -32,7 +32,12 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: bytes) -> np.ndarray:
-    """One 64-bit value for each word, in order; a word is a run of bytes that are not white space."""
+    """One 64-bit value for each word, in order; a word is a run of bytes that are not white space.
+
+    Each byte is scrambled together with its place in the word before the sum is
+    taken, so that no arithmetic between places (as powers of one base have it)
+    makes chosen words equal.
+    """
     if not data:
         return np.zeros(0, dtype=np.uint64)
     b = np.frombuffer(data, dtype=np.uint8)
@@ -41,10 +46,12 @@ def word_hashes(data: bytes) -> np.ndarray:
     start, end = edges[0::2], edges[1::2]
     if not len(start):
         return np.zeros(0, dtype=np.uint64)
-    up, down = _pow(len(b) + 1)
-    total = np.zeros(len(b) + 1, dtype=np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    size = end - start
+    inside = b[solid[1:-1]].astype(np.uint64)
+    first = np.concatenate(([0], np.cumsum(size)[:-1]))
+    place = np.arange(len(inside)) - np.repeat(first, size)
+    each = mix(inside + (place.astype(np.uint64) << np.uint64(8)) + np.uint64(1))
+    return mix(np.add.reduceat(each, first) + size.astype(np.uint64))
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:

@@ -51,7 +51,7 @@ def tree_steps(labelled: bool = False, rules=RULES, engine: str = "spark", depth
     decided = " ".join(f"WHEN rule = {_quoted(name)} THEN {_quoted(kind)}" for _, name, kind in when)
     flag = ", 'g'" if engine == "duckdb" else ""
     number = "('0x' || substr(md5({}), 1, 12))::BIGINT" if engine == "duckdb" else "CAST(conv(substr(md5({}), 1, 12), 16, 10) AS DECIMAL(20, 0))"
-    given, join = ("l.bad", "LEFT JOIN {labels} l ON l.page_id = p.page_id") if labelled else ("CAST(NULL AS INT)", "")
+    given, join = ("l.bad", "LEFT JOIN (SELECT page_id, max(bad) AS bad FROM {labels} GROUP BY page_id) l ON l.page_id = p.page_id") if labelled else ("CAST(NULL AS INT)", "")
     bad = "CASE WHEN decided = 'block' THEN 1 WHEN decided = 'allow' THEN 0 ELSE given END"
     soft = f"CAST({prior} AS DOUBLE)"
     names = lambda letter, first, last, of="": ", ".join(f"{of}{letter}{i}" for i in range(first, last + 1))
@@ -102,7 +102,7 @@ KEPT = ("level", "templates", "tree", "refused")
 
 
 def judged(pages: DataFrame, labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", **options) -> DataFrame:
-    """page_id, host, path, rule, verdict for each url. ``labels``: (page_id, bad 0 or 1), one row a page at most."""
+    """page_id, host, path, rule, verdict for each url. ``labels``: (page_id, bad 0 or 1); a page with several labels is bad if one says so."""
     frames = {"pages": pages.selectExpr(f"`{id_col}` as page_id", f"`{url_col}` as url")}
     if labels is not None:
         frames["labels"] = labels.select("page_id", "bad")

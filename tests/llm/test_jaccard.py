@@ -95,3 +95,20 @@ def test_one_of_each_repeats_nulls_empty(spark):
     out = j.one_of_each(docs)
     assert out.columns == docs.columns and sorted(map(str, (tuple(x) for x in out.collect()))) == sorted(map(str, [rows[0], rows[3], rows[4]]))
     assert j.classes(docs.limit(0)).count() == 0
+
+
+def test_words_that_collide_under_any_base(spark):
+    """A Thue-Morse word and its complement have one value under every polynomial modulo a power of two."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    other = one.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, one), (2, other), (3, one)], "doc_id long, text string")
+    assert word_hashes(one.encode())[0] != word_hashes(other.encode())[0]
+    assert sorted(map(tuple, j.classes(docs).collect())) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
+def test_word_values_depend_on_the_word_alone():
+    words = [b"a", b"b", b"ab", b"ba", b"aab", b"aba", b"baa", b"\xc3\xa9", b"x" * 300, b"x" * 301]
+    alone = [int(word_hashes(w)[0]) for w in words]
+    assert len(set(alone)) == len(words)
+    assert [int(h) for h in word_hashes(b" \t" + b"\n ".join(words) + b" ")] == alone
+    assert len(word_hashes(b" \n")) == 0 and len(word_hashes(b"")) == 0

@@ -78,3 +78,12 @@ def test_mixed_keeps_rows_without_an_id(spark):
     got = m.mixed(docs, block_words=1).groupBy("text", "doc_id", "source").count().collect()
     assert sorted((x.doc_id or 0, x.source or "", len(x.text.split()), x["count"]) for x in got) == want
     assert any(x.doc_id is None for x in got)
+
+
+def test_mixed_keeps_columns_of_any_name(spark):
+    names = ["_time", "_times", "_id", "_size", "_source", "taken_time", "taken_times", "taken_id", "size", "taken", "shard"]
+    rows = [(f"w{i} " * (i + 1), i, "st"[i % 2], *[f"{n}{i}" for n in names]) for i in range(9)] + [("long " * 50_000, 9, "s", *names)]
+    docs = spark.createDataFrame(rows, "text string, doc_id long, source string, " + ", ".join(f"{n} string" for n in names))
+    out = m.mixed(docs)
+    assert out.columns == docs.columns
+    assert {tuple(r) for r in out.collect()} <= set(rows) and out.count() > 0

@@ -158,3 +158,10 @@ def test_repeated_urls_leave_the_verdicts(spark):
     rows = [(3 * i + k, url, bad) for i, (url, bad) in enumerate(rows) for k in range(3)]
     out = u.judged(spark.createDataFrame(rows, "page_id long, url string, bad boolean"), spark.createDataFrame([(i, 1) for i, _, bad in rows if bad], "page_id long, bad int")).collect()
     assert {x.verdict for x in out} == {"block"}
+
+
+def test_a_page_labelled_twice_is_one_page(spark):
+    pages = spark.createDataFrame([(i, f"http://h.dev/{'bad' if i % 2 else 'good'}/{i}") for i in range(24)], "page_id long, url string")
+    labels = [(i, i % 2) for i in range(24)] + [(i, 0) for i in range(24)] + [(i, 0) for i in range(24)]
+    out = u.judged(pages, spark.createDataFrame(labels, "page_id long, bad int")).collect()
+    assert len(out) == 24 and {(x.page_id % 2, x.verdict) for x in out} == {(0, "allow"), (1, "block")}
