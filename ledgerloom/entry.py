@@ -7,10 +7,11 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.scalars import month_label
-from ledgerloom.operators import copilot, forecast, quality, regression, risk, survival, upcoding
+from ledgerloom.functions.scalars import half_up, month_label
+from ledgerloom.operators import copilot, forecast, mutants, quality, regression, risk, survival, upcoding
 from ledgerloom.plans import warehouse as w
 from ledgerloom.plans.metrics import STANDARD, without_pharmacy
+from ledgerloom.plans.tables import cut
 from ledgerloom.sources import synthetic
 from ledgerloom.sources.payer import FIRST_YEAR, Payer
 from ledgerloom.streaming import claims as stream
@@ -84,19 +85,22 @@ def _risk(s, d) -> DataFrame:
     return risk.dataset(w.member_month(p), p.claim_facts, p.members, RISK_CUT)
 
 
+def _split(s, d) -> tuple[DataFrame, DataFrame]:
+    rows = cut(risk.split(_risk(s, d)))
+    return rows.filter("train"), rows.filter("not train")
+
+
 def _ridge(s, d) -> DataFrame:
-    rows = risk.split(_risk(s, d)).cache()
-    return risk.evaluate(risk.ridge(rows.filter("train"), rows.filter("not train")))
+    return risk.evaluate(risk.ridge(*_split(s, d)))
 
 
 def _boosted(s, d) -> DataFrame:
-    rows = risk.split(_risk(s, d)).cache()
-    return risk.evaluate(risk.boosted(rows.filter("train"), rows.filter("not train"), rounds=20))
+    return risk.evaluate(risk.boosted(*_split(s, d)))
 
 
 def _series(s, d) -> DataFrame:
-    """Months in which every leaf has exposure stand for the panel; the hierarchy is a few rows a month, kept for its several readers."""
-    return forecast.hierarchy(forecast.filled(forecast.leaves(_base(s, d)))).cache()
+    """Months in which every leaf has exposure stand for the panel; the leaves' few rows a month are kept for their several readers."""
+    return forecast.hierarchy(forecast.filled(cut(forecast.leaves(_base(s, d)))))
 
 
 def _pairs(values: dict) -> list[tuple]:
@@ -121,22 +125,45 @@ def _synthetic(s, d) -> DataFrame:
     return w.row_counts({"members": m, "enrollment_spans": sp, "providers": pr, "claim_lines": synthetic.claims(m, sp, pr)})
 
 
-#: The columns of each relation that are alike as text in every engine.
-_PRINTED = {
-    "region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name", "n_regionkey"), "customer": ("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "supplier": ("s_suppkey", "s_name", "s_nationkey"),
-    "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"),
-}
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 def _fingerprints(s, d) -> DataFrame:
-    out = [quality.fingerprint(s.read.parquet(f"{d}/{t}.parquet"), list(columns)).select(F.lit(t).alias("relation"), "n", "digest") for t, columns in _PRINTED.items()]
+    out = [quality.fingerprint(s.read.parquet(f"{d}/{t}.parquet")).select(F.lit(t).alias("relation"), "n", "digest") for t in TABLES]
     return functools.reduce(DataFrame.union, out)
 
 
-def _fairness(s, d) -> DataFrame:
-    rows = risk.split(_risk(s, d)).cache()
-    cost = risk.proxy_cost(rows.filter("train"), rows.filter("not train"))
-    return s.createDataFrame([tuple(cost.values())], "r2_with double, r2_without double, change double")
+def _audited_events(s, d) -> DataFrame:
+    """A trail over all events, in which some entries are changed and some removed afterwards, and where it breaks."""
+    events = s.read.parquet(f"{d}/events.parquet")
+    trail = quality.sealed(events, ["ts", "user_id", "event_type", "value", "props"], "event_id")
+    entry = F.col("level") == 0
+    id_ = F.substring_index("content", "\x1f", 1).cast("long")
+    gone, changed = entry & (id_ % 1499 == 13), entry & (id_ % 997 == 11)
+    trail = trail.filter(~gone).withColumn("content", F.when(changed, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    return quality.breaks(trail)
+
+
+def _orphans(s, d) -> DataFrame:
+    read = lambda t, *c: s.read.parquet(f"{d}/{t}.parquet").select(*[F.col(x).alias(x.split("_", 1)[1]) for x in c])
+    return quality.orphans({
+        "line without order": (read("lineitem", "l_orderkey"), read("orders", "o_orderkey"), "orderkey"), "line without part": (read("lineitem", "l_partkey"), read("part", "p_partkey"), "partkey"),
+        "line without supplier": (read("lineitem", "l_suppkey"), read("supplier", "s_suppkey"), "suppkey"), "order without customer": (read("orders", "o_custkey"), read("customer", "c_custkey"), "custkey"),
+        "customer without order": (read("customer", "c_custkey"), read("orders", "o_custkey"), "custkey")})
+
+
+def _asked(s, d) -> DataFrame:
+    """What users ask in conversations, mapped or refused."""
+    asked = s.read.parquet(f"{d}/conversations.parquet").filter("role = 'user'").withColumnRenamed("text", "question")
+    return copilot.resolved(asked, STANDARD, 2).select("conv_id", "turn", "metric", "dims")
+
+
+def _plain_methods(s, d) -> DataFrame:
+    return forecast.all_methods(_series(s, d), projected=False)
+
+
+#: Coefficients at which the slope of the likelihood is looked at.
+AT = {"burden10": 0.05, "utilisation_low": -0.1, "is_individual": 0.2, "had_denial": 0.1}
 
 
 def _round(df: DataFrame, digits: int = 9) -> DataFrame:
@@ -155,21 +182,27 @@ QUERIES = {
     "grain_check": lambda s, d: w.grain_violations(_base(s, d), ["member_id", "month_index"]),
     "invariants": lambda s, d: w.invariants(_base(s, d), STANDARD),
     "pharmacy_split": lambda s, d: w.with_pharmacy(_base(s, d), Payer(s, d).claim_facts).groupBy("plan").agg(F.count("*").alias("n"), F.sum(F.col("pharmacy_paid").cast("decimal(18,2)")).cast("double").alias("pharmacy_paid")),
-    "metric_snapshot": lambda s, d: regression.snapshot(_base(s, d).cache(), STANDARD),
-    "blast_radius": lambda s, d: regression.blast_radius(w.with_pharmacy(_base(s, d), Payer(s, d).claim_facts).cache(), STANDARD, without_pharmacy(STANDARD)),
+    "metric_snapshot": lambda s, d: regression.snapshot(_base(s, d), STANDARD),
+    "blast_radius": lambda s, d: regression.blast_radius(w.with_pharmacy(_base(s, d), Payer(s, d).claim_facts), STANDARD, without_pharmacy(STANDARD)),
+    "drift_rows": lambda s, d: regression.first_drift(QUERIES["blast_radius"](s, d)),
+    "metric_mutants": lambda s, d: mutants.caught(_base(s, d), STANDARD),
+    "loss_ratio_ex_pharmacy": lambda s, d: _round(without_pharmacy(STANDARD).compile(w.relations(Payer(s, d)), "loss_ratio", ["plan"])),
     "largest_moves": lambda s, d: regression.largest(QUERIES["blast_radius"](s, d)),
     "km_overall": lambda s, d: survival.kaplan_meier(_subjects(s, d)),
     "km_by_channel": lambda s, d: survival.kaplan_meier(_subjects(s, d), ("channel",)),
     "km_median": lambda s, d: survival.median_survival(survival.kaplan_meier(_subjects(s, d), ("channel",)), ("channel",)),
     "logrank": lambda s, d: survival.log_rank(_subjects(s, d), F.col("channel") == "individual", F.col("channel") == "employer"),
-    "logrank_p": lambda s, d: survival.with_p(s, survival.log_rank(_subjects(s, d), F.col("channel") == "individual", F.col("channel") == "employer")),
+    "logrank_p": lambda s, d: survival.log_rank(_subjects(s, d), F.col("channel") == "individual", F.col("channel") == "employer", p=True),
+    "logrank_pairs": lambda s, d: survival.log_rank_pairs(_subjects(s, d), "channel"),
     "cause_mix": lambda s, d: survival.cause_mix(Payer(s, d).enrollment_spans),
     "competing_risks": lambda s, d: survival.competing(Payer(s, d).enrollment_spans),
     "cif": lambda s, d: survival.cumulative_incidence(Payer(s, d).enrollment_spans),
     "person_month": lambda s, d: survival.person_months(_subjects(s, d)).groupBy("tenure").agg(F.count("*").alias("n"), F.sum("had_denial").cast("long").alias("denials"), F.sum("lapsed").cast("long").alias("lapsed")),
-    "cox_ph": lambda s, d: survival.cox_frame(_subjects(s, d).cache(), ["burden10", "utilisation_low", "is_individual", "had_denial"]),
-    "discrete_hazard": lambda s, d: s.createDataFrame(_pairs(survival.hazard(_subjects(s, d).cache())), "covariate string, beta double"),
-    "naive_logistic": lambda s, d: s.createDataFrame(_pairs(survival.naive_churn(_subjects(s, d).cache())), "covariate string, beta double"),
+    "cox_slope": lambda s, d: survival.cox_slope(_subjects(s, d), AT),
+    "estimator_scores": lambda s, d: survival.scored(survival.estimates(cut(_subjects(s, d))), synthetic.EFFECTS),
+    "cox_ph": lambda s, d: survival.cox_frame(_subjects(s, d), ["burden10", "utilisation_low", "is_individual", "had_denial"]),
+    "discrete_hazard": lambda s, d: s.createDataFrame(_pairs(survival.hazard(cut(_subjects(s, d)))), "covariate string, beta double"),
+    "naive_logistic": lambda s, d: s.createDataFrame(_pairs(survival.naive_churn(cut(_subjects(s, d)))), "covariate string, beta double"),
     "provider_features": lambda s, d: upcoding.features(*_visits(s, d)).select("provider_id", "specialty", "region", "is_fraud", "n_claims", "total_minutes", *[F.round(c, 6).alias(c) for c in ("mean_intensity", "top_share", "max_daily_minutes")]),
     "peer_z": lambda s, d: _scored_providers(s, d).select("provider_id", "specialty", *[F.round(c, 5).alias(c) for c in ("z_intensity", "z_top_share")]),
     "upcoding_flags": lambda s, d: upcoding.flags(_scored_providers(s, d)).select("provider_id", "rule_peer_intensity", "rule_top_code_share", "rule_impossible_day", "flagged"),
@@ -182,13 +215,19 @@ QUERIES = {
     "region_parity": lambda s, d: risk.region_parity(risk.fixed_score(_risk(s, d))),
     "risk_ridge": _ridge,
     "risk_boosted": _boosted,
-    "risk_proxy_cost": _fairness,
+    "risk_ridge_fit": lambda s, d: risk.ridge_frame(_split(s, d)[0]).select("feature", F.round("beta", 6).alias("beta"), F.round("se", 6).alias("se")),
+    "risk_proxy_cost": lambda s, d: risk.proxy_cost(*_split(s, d)),
     "pmpm_leaf": lambda s, d: forecast.leaves(_base(s, d)).select("region", "product", "month_index", F.round("pmpm", 6).alias("pmpm")),
     "pmpm_hierarchy": lambda s, d: forecast.hierarchy(forecast.leaves(_base(s, d))).select("level", "label", "month_index", F.round("pmpm", 5).alias("pmpm_sum")),
-    "forecast_base": lambda s, d: forecast.base_forecasts(_series(s, d)),
+    "forecast_base": lambda s, d: forecast.base_forecasts(_series(s, d)).select("level", "label", "month_index", half_up(F.col("actual"), 4).alias("actual"), half_up(F.col("base"), 4).alias("base")),
+    "forecast_plain": lambda s, d: _plain_methods(s, d).select("method", "level", "label", "month_index", half_up(F.col("actual"), 4).alias("actual"), half_up(F.col("value"), 4).alias("value")),
+    "forecast_plain_scores": lambda s, d: forecast.scores(_plain_methods(s, d)),
+    "forecast_plain_incoherence": lambda s, d: forecast.incoherence(cut(_plain_methods(s, d))),
+    "forecast_best_plain": lambda s, d: forecast.best(cut(_plain_methods(s, d))),
+    "forecast_best": lambda s, d: forecast.best(cut(forecast.all_methods(_series(s, d)))),
     "forecast_methods": lambda s, d: forecast.all_methods(_series(s, d)),
     "forecast_scores": lambda s, d: forecast.scores(forecast.all_methods(_series(s, d))),
-    "forecast_incoherence": lambda s, d: forecast.incoherence(forecast.all_methods(_series(s, d)).cache()),
+    "forecast_incoherence": lambda s, d: forecast.incoherence(cut(forecast.all_methods(_series(s, d)))),
     "catalog": lambda s, d: STANDARD.catalog_frame(s),
     "copilot_rules": lambda s, d: copilot.marked(copilot.resolved(copilot.questions(s), STANDARD, 1)).select("question", "metric", "dims", "kind", "correct"),
     "copilot_rules_v2": lambda s, d: copilot.marked(copilot.resolved(copilot.questions(s), STANDARD, 2)).select("question", "metric", "dims", "kind", "correct"),
@@ -196,6 +235,9 @@ QUERIES = {
     "audit_verify": _audit,
     "traceability": _trace,
     "fingerprint": _fingerprints,
+    "audit_events": _audited_events,
+    "orphans": _orphans,
+    "questions_asked": _asked,
     "synthetic_counts": _synthetic,
     "events_by_day": lambda s, d: stream.windowed(s.read.parquet(f"{d}/events.parquet")),
 }
@@ -242,12 +284,40 @@ _LEVELS = {
     "stay_below_threshold": f"CASE WHEN active IS NOT NULL AND {_drawn('stay_below_threshold')} < 0.42 AND level < 2 THEN least(level + 1, 2) ELSE level END",
     "spread_thin": f"CASE WHEN coalesce(active, false) AND {_drawn('spread_thin')} < 0.42 THEN least(level + 1, 3) ELSE level END",
 }
-_RISK = f"""{PRELUDE}, sums AS (SELECT member_id, coalesce(sum(paid_amount::DECIMAL(18,2)) FILTER (month_index < {RISK_CUT}), 0)::DOUBLE AS prior_cost, coalesce(sum(total_lines) FILTER (month_index < {RISK_CUT}), 0)::BIGINT AS prior_lines, count(*) FILTER (month_index < {RISK_CUT}) AS pm,
+_RISK_ROWS = f"""{PRELUDE}, sums AS (SELECT member_id, coalesce(sum(paid_amount::DECIMAL(18,2)) FILTER (month_index < {RISK_CUT}), 0)::DOUBLE AS prior_cost, coalesce(sum(total_lines) FILTER (month_index < {RISK_CUT}), 0)::BIGINT AS prior_lines, count(*) FILTER (month_index < {RISK_CUT}) AS pm,
   coalesce(sum(paid_amount::DECIMAL(18,2)) FILTER (month_index >= {RISK_CUT}), 0)::DOUBLE AS future_cost, count(*) FILTER (month_index >= {RISK_CUT}) AS future_months FROM mm GROUP BY 1),
 stays AS (SELECT member_id, count(*) AS prior_inpatient FROM v_claim WHERE month_index < {RISK_CUT} AND service_category = 'LARGE' GROUP BY 1),
 risk AS (SELECT member_id, age_band, chronic_count, region, plan, zip_deprivation_index, prior_cost, prior_lines, coalesce(prior_inpatient, 0) AS prior_inpatient, future_cost, future_months
-  FROM sums JOIN v_member USING (member_id) LEFT JOIN stays USING (member_id) WHERE pm > 0 AND future_months >= 3),
-scored AS (SELECT *, prior_cost * 0.4 + prior_lines * 1000.0 + chronic_count * 5000.0 + 20000.0 AS p, future_cost AS y FROM risk)"""
+  FROM sums JOIN v_member USING (member_id) LEFT JOIN stays USING (member_id) WHERE pm > 0 AND future_months >= 3)"""
+_RISK = f"{_RISK_ROWS}, scored AS (SELECT *, prior_cost * 0.4 + prior_lines * 1000.0 + chronic_count * 5000.0 + 20000.0 AS p, future_cost AS y FROM risk)"
+_EVALUATED = """k AS (SELECT *, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS ry, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS rp, row_number() OVER (ORDER BY p DESC, member_id DESC) AS place, count(*) OVER () AS n, sum(y::DECIMAL(20,4)) OVER ()::DOUBLE / count(*) OVER () AS mean FROM scored), o AS (SELECT round(corr(ry, rp), 4) AS spearman, round(avg(y) FILTER (place <= ceil(n / 10)) / avg(y), 3) AS top_decile_lift, round(1 - sum((y - p) ** 2) / sum((y - mean) ** 2), 4) AS r2, floor((sum(abs(y - p)::DECIMAL(20,4))::DOUBLE / count(*)) * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS mae, round(regr_slope(y, p), 4) AS calibration_slope, round(regr_intercept(y, p), 1) AS calibration_intercept, round((sum(p) - sum(y)) / sum(y) * 100, 3) AS payment_error_pct FROM k) SELECT *, coalesce(calibration_slope BETWEEN 0.9 AND 1.1, false) AS well_calibrated FROM o"""
+_FEATURES_SQL = ("age_band", "chronic_count", "prior_cost", "prior_lines", "prior_inpatient", "zip_deprivation_index")
+
+
+def _ridge_parts(tag: str, features) -> str:
+    """Ridge by Gauss-Jordan on lists: centred products in standard units, the inverse beside them."""
+    k, values = len(features), ", ".join(f"{c}::DOUBLE" for c in features)
+    return f"""x_{tag} AS (SELECT train, member_id, future_cost AS y, [{values}, future_cost::DOUBLE] AS v FROM parted),
+mean_{tag} AS (SELECT count(*) AS n, [{", ".join(f"avg(v[{i}])" for i in range(1, k + 2))}] AS m FROM x_{tag} WHERE train),
+prod_{tag} AS (SELECT i, j, sum((v[i] - m[i]) * (v[j] - m[j])) AS s FROM x_{tag}, mean_{tag}, range(1, {k + 2}) a(i), range(1, {k + 2}) b(j) WHERE train GROUP BY i, j),
+sd_{tag} AS (SELECT list(CASE WHEN s > 0 THEN sqrt(s / n) ELSE 1 END ORDER BY i) AS sd FROM prod_{tag}, mean_{tag} WHERE i = j AND i <= {k}),
+rows_{tag} AS (SELECT i, list(s / (sd[i] * CASE WHEN j <= {k} THEN sd[j] ELSE 1 END) + CASE WHEN i = j THEN 1 ELSE 0 END ORDER BY j) AS g FROM prod_{tag}, sd_{tag} WHERE i <= {k} GROUP BY i),
+begin_{tag} AS (SELECT list(list_concat(g, list_transform(range(1, {k + 1}), lambda c: CASE WHEN c = i THEN 1.0::DOUBLE ELSE 0 END)) ORDER BY i) AS a FROM rows_{tag}),
+gj_{tag} AS (SELECT 0::BIGINT AS step, a FROM begin_{tag} UNION ALL SELECT step + 1, list_transform(range(1, {k + 1}), lambda r: CASE WHEN r = step + 1 THEN list_transform(a[step + 1], lambda z: z / a[step + 1][step + 1])
+  ELSE list_transform(range(1, {2 * k + 2}), lambda c: a[r][c] - a[r][step + 1] * a[step + 1][c] / a[step + 1][step + 1]) END) FROM gj_{tag} WHERE step < {k}),
+beta_{tag} AS (SELECT list_transform(a, lambda r: r[{k + 1}]) AS b, list_transform(a, lambda r: r[{k + 2}:]) AS inv FROM gj_{tag} WHERE step = {k}),
+noise_{tag} AS (SELECT (sum((y - m[{k + 1}] - list_sum(list_transform(range(1, {k + 1}), lambda c: b[c] * (v[c] - m[c]) / sd[c]))) ** 2) / any_value(n - {k} - 1)) AS noise FROM x_{tag}, mean_{tag}, sd_{tag}, beta_{tag} WHERE train),
+coef_{tag} AS (SELECT unnest([{", ".join(repr(f) for f in features)}]) AS feature, unnest(list_transform(range(1, {k + 1}), lambda c: b[c] / sd[c])) AS beta,
+  unnest(list_transform(range(1, {k + 1}), lambda c: sqrt(noise * (inv[c][c] - list_sum(list_transform(inv[c], lambda z: z * z)))) / sd[c])) AS se FROM beta_{tag}, sd_{tag}, noise_{tag}
+  UNION ALL SELECT 'intercept', m[{k + 1}] - list_sum(list_transform(range(1, {k + 1}), lambda c: b[c] * m[c] / sd[c])), NULL FROM beta_{tag}, sd_{tag}, mean_{tag}),
+fit_{tag} AS (SELECT member_id, y, m[{k + 1}] + list_sum(list_transform(range(1, {k + 1}), lambda c: b[c] * (v[c] - m[c]) / sd[c])) AS p FROM x_{tag}, mean_{tag}, sd_{tag}, beta_{tag} WHERE NOT train)"""
+
+
+def _ridge_sql(tag: str) -> str:
+    split = "parted AS (SELECT *, row_number() OVER (ORDER BY md5(member_id || '|1509'), member_id) <= floor(count(*) OVER () * 0.7) AS train FROM risk)"
+    return f"{_RISK_ROWS.replace('WITH', 'WITH RECURSIVE', 1)}, {split}, {_ridge_parts(tag, _FEATURES_SQL)}"
+
+
 _LEAF = "leaf AS (SELECT region, product, month_index, sum(paid_amount::DECIMAL(18,2))::DOUBLE / count(*) AS pmpm FROM mm GROUP BY ALL)"
 _PHARM = "ph AS (SELECT member_id, month_index, sum(paid_amount::DECIMAL(18,2))::DOUBLE AS pharmacy_paid FROM v_claim WHERE service_category = 'PROMO' GROUP BY 1, 2), mp AS (SELECT mm.*, coalesce(pharmacy_paid, 0) AS pharmacy_paid FROM mm LEFT JOIN ph USING (member_id, month_index))"
 _BLAST = f"""{PRELUDE}, {_PHARM}, before AS ({_snapshot_sql('mp')}), after AS ({_snapshot_sql('mp', 'sum((paid_amount - pharmacy_paid)::DECIMAL(18,2))::DOUBLE')}),
@@ -269,6 +339,95 @@ r AS (SELECT question, metric, coalesce(dims, '') AS dims, CASE WHEN want_metric
   CASE WHEN want_metric IS NULL THEN metric IS NULL ELSE coalesce(metric = want_metric AND coalesce(dims, '') = want_dims, false) END AS correct FROM q LEFT JOIN m USING (question) LEFT JOIN d USING (question))"""
 
 
+#: Kinds of columns that aren't plain text or whole numbers: d double, f list of floats, t time.
+_KINDS = {"c_acctbal": "d", "s_acctbal": "d", "p_retailprice": "d", "o_totalprice": "d", "o_orderdate": "t", "l_quantity": "d", "l_extendedprice": "d", "l_discount": "d", "l_tax": "d", "l_shipdate": "t", "ts": "t", "value": "d", "embedding": "f"}
+_COLUMNS = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "supplier": "s_suppkey s_name s_nationkey s_acctbal", "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority", "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+    "events": "event_id ts user_id event_type value props", "documents": "doc_id text lang source n_chars", "embeddings": "vec_id embedding label", "pages": "page_id url html", "benchmark": "item_id text", "labels": "doc_id quality toxic", "conversations": "conv_id turn role text",
+}
+
+
+def _fingerprint_sql(name: str) -> str:
+    number = "({0}::DOUBLE)::DECIMAL(38,9)::VARCHAR"
+    shown = {"d": number.format("{0}"), "f": f"'[' || array_to_string(list_transform({{0}}, lambda x: {number.format('x')}), ',') || ']'", "t": "strftime({0}, '%Y-%m-%d %H:%M:%S.%f')", "": "{0}::VARCHAR"}
+    told = [f"coalesce(length({v}) || ':' || {v}, 'N')" for c in _COLUMNS[name].split() for v in [shown[_KINDS.get(c, "")].format(c)]]
+    lanes = " || ".join(f"printf('%08x', (coalesce(sum(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT), 0) % 4294967296)::BIGINT)" for i in range(4))
+    return f"SELECT '{name}' AS relation, count(*) AS n, {lanes} AS digest FROM (SELECT md5({' || '.join(told)}) AS h FROM {name})"
+
+
+_TRAIL = "WITH e AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS seq, row_number() OVER (ORDER BY event_id) % 256 = 0 OR lead(event_id) OVER (ORDER BY event_id) IS NULL AS last, count(*) OVER () <= 256 AS alone FROM events)"
+
+
+def _asked_sql() -> str:
+    head = f"WITH q AS (SELECT conv_id, turn, concat(' ', array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' '), ' ') AS said FROM conversations WHERE role = 'user')"
+    ahead = f"regexp_matches(said, ' ({'|'.join(copilot.AHEAD)}) ')"
+    return f"""{head},
+m AS (SELECT conv_id, turn, arg_min(metric, place) AS metric FROM q JOIN {_values(copilot.phrases(STANDARD, True))} p(place, metric, phrase) ON contains(said, concat(' ', phrase, ' ')) AND NOT {ahead} GROUP BY 1, 2),
+d AS (SELECT conv_id, turn, string_agg(dim, ',' ORDER BY dim) AS dims FROM q JOIN {_values((x, x.replace('_', ' ')) for x in STANDARD.dimensions)} p(dim, phrase) ON contains(concat(' ', regexp_extract(said, '^.*? (by|per) (.*)$', 2)), concat(' ', phrase, ' ')) GROUP BY 1, 2)
+SELECT conv_id, turn, metric, coalesce(dims, '') AS dims FROM q LEFT JOIN m USING (conv_id, turn) LEFT JOIN d USING (conv_id, turn)"""
+
+
+_PAIRS = """grp AS (SELECT channel AS g, tenure AS t, sum(event)::DOUBLE AS d, count(*) AS c FROM subj GROUP BY ALL),
+grid AS (SELECT g, t, coalesce(d, 0) AS d, coalesce(sum(c) OVER (PARTITION BY g ORDER BY t DESC), 0)::DOUBLE AS n FROM (SELECT DISTINCT g FROM grp) CROSS JOIN (SELECT DISTINCT t FROM grp) LEFT JOIN grp USING (g, t)),
+each_pair AS (SELECT x.g AS a, y.g AS b, x.d AS d1, y.d AS d2, x.n AS n1, y.n AS n2 FROM grid x JOIN grid y ON x.t = y.t AND x.g <> y.g WHERE x.d + y.d > 0),
+summed AS (SELECT a, b, sum(d1) AS observed, sum((d1 + d2) * n1 / (n1 + n2)) AS expected, sum(CASE WHEN n1 + n2 > 1 THEN (d1 + d2) * (n1 / (n1 + n2)) * (n2 / (n1 + n2)) * (n1 + n2 - d1 - d2) / (n1 + n2 - 1) ELSE 0 END) AS variance FROM each_pair GROUP BY ALL),
+chis AS (SELECT *, CASE WHEN variance > 0 THEN (observed - expected) ** 2 / variance END AS chi2 FROM summed),
+tested AS (SELECT *, CASE WHEN chi2 = 0 THEN 1 ELSE 1 - list_sum(list_transform(range(0, 400), lambda j: exp(-chi2 / 2 + (j + 0.5::DOUBLE) * ln(chi2 / 2) - lgamma(j + 1.5::DOUBLE)))) END AS p FROM chis)"""
+
+
+def _cox_sql() -> str:
+    names, k = list(AT), len(AT)
+    index = range(1, k + 1)
+    risk_ = "exp(" + " + ".join(f"{b}::DOUBLE * x{i}" for i, b in zip(index, AT.values())) + ")"
+    known = " + ".join(f"{b}::DOUBLE * e{i}" for i, b in zip(index, AT.values()))
+    return f"""cx0 AS (SELECT tenure AS t, event::DOUBLE AS e, greatest(0.01, least(0.6, monthly_premium / annual_income)) * 10 AS x1, utilisation_low::DOUBLE AS x2, (v_member.channel = 'individual')::INT::DOUBLE AS x3, (denial_month >= 0)::INT::DOUBLE AS x4 FROM v_span JOIN v_member USING (member_id)),
+cx AS (SELECT t, e, {", ".join(f"x{i} - avg(x{i}) OVER () AS x{i}" for i in index)} FROM cx0),
+ct AS (SELECT t, sum(e) AS d, sum(w) AS w, {", ".join(f"sum(e * x{i}) AS e{i}, sum(w * x{i}) AS s{i}" for i in index)} FROM (SELECT *, {risk_} AS w FROM cx) GROUP BY t),
+cr AS (SELECT d, {", ".join(f"e{i}" for i in index)}, sum(w) OVER z AS w, {", ".join(f"sum(s{i}) OVER z AS s{i}" for i in index)} FROM ct WINDOW z AS (ORDER BY t DESC)),
+cg AS (SELECT {", ".join(f"sum(e{i} - d * s{i} / w) AS g{i}" for i in index)}, sum({known} - d * ln(w)) AS value FROM cr WHERE d > 0)
+{" UNION ALL ".join(f"SELECT '{n}' AS covariate, round(g{i}, 4) AS gradient, round(value, 4) AS log_likelihood FROM cg" for i, n in zip(index, names))}"""
+
+
+_COX = _cox_sql()
+_SETTINGS_SQL = ", ".join(f"('{level}', {w_}, {damping}::DOUBLE, {uplift}::DOUBLE)" for level, (w_, damping, uplift) in forecast.SETTINGS.items())
+_FORECAST = f"""{PRELUDE}, {_LEAF},
+dense AS (SELECT region, product, month_index, pmpm FROM (SELECT DISTINCT region, product FROM leaf) CROSS JOIN (SELECT DISTINCT month_index FROM leaf) LEFT JOIN leaf USING (region, product, month_index)),
+filled AS (SELECT region, product, month_index, coalesce(last_value(pmpm IGNORE NULLS) OVER (PARTITION BY region, product ORDER BY month_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(pmpm IGNORE NULLS) OVER (PARTITION BY region, product ORDER BY month_index ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS pmpm FROM dense),
+of_leaf AS (SELECT leaf, unnest(['total', 'region', 'product', 'leaf']) AS level, unnest(['all', region, product, leaf]) AS label FROM (SELECT DISTINCT region, product, region || '|' || product AS leaf FROM filled)),
+series AS (SELECT level, label, month_index, sum(pmpm) AS pmpm FROM filled JOIN of_leaf ON leaf = region || '|' || product GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY level, label ORDER BY month_index) - 1 AS i, greatest(count(*) OVER (PARTITION BY level, label) - {forecast.HOLDOUT}, 0) AS m FROM series JOIN (VALUES {_SETTINGS_SQL}) s(level, win, damping, uplift) USING (level)),
+season AS (SELECT level, label, i % 12 AS place, avg(pmpm) - avg(avg(pmpm)) OVER (PARTITION BY level, label) AS season FROM placed WHERE i < m AND i < m // 12 * 12 GROUP BY 1, 2, 3),
+fitted AS (SELECT p.level, p.label, coalesce(regr_slope(pmpm - coalesce(season, 0), i - m + 1), 0) AS slope, coalesce(regr_intercept(pmpm - coalesce(season, 0), i - m + 1), avg(pmpm - coalesce(season, 0))) AS height, arg_max(pmpm, i) AS last
+  FROM placed p LEFT JOIN season s ON s.level = p.level AND s.label = p.label AND s.place = p.i % 12 WHERE i < m AND i >= m - win GROUP BY 1, 2),
+fc AS (SELECT p.level, p.label, month_index, pmpm AS actual, CASE WHEN m = 0 THEN 0 WHEN m < 15 THEN last ELSE (height + slope * damping * (1 - damping ** (i - m + 1)) / (1 - damping) + coalesce(season, 0)) * (1 + uplift) END AS base
+  FROM placed p LEFT JOIN fitted f ON f.level = p.level AND f.label = p.label LEFT JOIN season s ON s.level = p.level AND s.label = p.label AND s.place = p.i % 12 WHERE i >= m),
+share AS (SELECT label AS leaf, sum(pmpm) / sum(sum(pmpm)) OVER () AS share FROM series WHERE level = 'leaf' AND month_index <= (SELECT max(month_index) - {forecast.HOLDOUT} FROM series) GROUP BY 1),
+plain AS (SELECT 'base' AS method, level, label, month_index, base AS value FROM fc
+  UNION ALL SELECT 'bottom_up', s.level, s.label, month_index, sum(base) FROM fc JOIN of_leaf s ON s.leaf = fc.label WHERE fc.level = 'leaf' GROUP BY ALL
+  UNION ALL SELECT 'top_down', s.level, s.label, month_index, sum(base * share) FROM fc CROSS JOIN share JOIN of_leaf s USING (leaf) WHERE fc.level = 'total' GROUP BY ALL),
+methods AS (SELECT method, p.level, p.label, p.month_index, actual, value FROM plain p JOIN fc ON fc.level = p.level AND fc.label = p.label AND fc.month_index = p.month_index),
+scores AS (SELECT method, level, round(avg(abs((actual - value) / nullif(actual, 0))) * 100, 3) AS mape, round(sqrt(avg((actual - value) ** 2)), 4) AS rmse FROM (SELECT method, actual, value, unnest([level, 'ALL']) AS level FROM methods) GROUP BY 1, 2)"""
+
+
+def _mutants_sql() -> str:
+    paid, premium, months, lines, denied = "sum(paid_amount::DECIMAL(18,2))::DOUBLE", "sum(premium_collected::DECIMAL(18,2))::DOUBLE", "count(*)::DOUBLE", "sum(total_lines)::DOUBLE", "sum(denied_lines)::DOUBLE"
+    claimed = "(total_lines > 0)"
+    wrong = (
+        ("loss_ratio: inverted", "loss_ratio", premium, paid), ("loss_ratio: allowed for paid", "loss_ratio", "sum(allowed_amount::DECIMAL(18,2))::DOUBLE", premium), ("loss_ratio: rows for premium", "loss_ratio", paid, months),
+        ("loss_ratio: months with claims only", "loss_ratio", paid, f"(sum(premium_collected::DECIMAL(18,2)) FILTER {claimed})::DOUBLE"), ("loss_ratio: largest for sum", "loss_ratio", "max(paid_amount)", premium),
+        ("pmpm: claims for months", "pmpm", paid, lines), ("pmpm: months with claims only", "pmpm", paid, f"(count(*) FILTER {claimed})::DOUBLE"), ("denial_rate: inverted", "denial_rate", lines, denied), ("denial_rate: paid for denied", "denial_rate", "sum(total_lines - denied_lines)::DOUBLE", lines),
+        ("utilisation_per_1000: not per thousand", "utilisation_per_1000", lines, months))
+    out = []
+    for name, metric, num, den in wrong:
+        right = f"(SELECT {_NUM[metric]} / {_DEN[metric]} FROM mm)"
+        checks = [("regions reconcile to the total", f"abs((SELECT sum(n) FROM (SELECT {num} AS n FROM mm GROUP BY region)) - (SELECT {num} FROM mm)) < 0.01"), ("figure equals the golden one", f"abs((SELECT {num} / {den} FROM mm) - {right}) < 1e-9")]
+        checks += [("loss ratio within a plausible band", f"(SELECT {num} / {den} FROM mm) BETWEEN 0.3 AND 1.5")] if metric == "loss_ratio" else []
+        checks += [("rate is no more than one", f"(SELECT {num} / {den} FROM mm) <= 1")] if metric == "denial_rate" else []
+        out += [f"SELECT '{name}' AS mutant, '{check}' AS \"check\", NOT coalesce({holds}, false) AS noticed" for check, holds in checks]
+    return f"{PRELUDE} " + " UNION ALL ".join(out)
+
+
 ORACLE_SQL = {
     **{f"m_{m}_{d or 'total'}": _metric_sql(m, d) for m in STANDARD.metrics for d in (None, *_DIMS)},
     "member_month": f"{PRELUDE} SELECT * FROM mm",
@@ -283,6 +442,9 @@ ORACLE_SQL = {
     "pharmacy_split": f"{PRELUDE}, {_PHARM} SELECT plan, count(*) AS n, sum(pharmacy_paid::DECIMAL(18,2))::DOUBLE AS pharmacy_paid FROM mp GROUP BY 1",
     "metric_snapshot": f"{PRELUDE} {_snapshot_sql('mm')}",
     "blast_radius": f"{_BLAST} SELECT * FROM moves",
+    "drift_rows": lambda s, d: regression.first_drift(QUERIES["blast_radius"](s, d)),
+    "metric_mutants": lambda s, d: mutants.caught(_base(s, d), STANDARD),
+    "loss_ratio_ex_pharmacy": lambda s, d: _round(without_pharmacy(STANDARD).compile(w.relations(Payer(s, d)), "loss_ratio", ["plan"])),
     "largest_moves": f"{_BLAST} SELECT * FROM moves WHERE moved ORDER BY abs(change) DESC, metric, slice LIMIT 10",
     "km_overall": f"{PRELUDE}, {_SUBJECTS}, {_km('a', 'subj')} SELECT {_KM_OUT} FROM ka",
     "km_by_channel": f"{PRELUDE}, {_SUBJECTS}, {_km('a', 'subj', 'channel')} SELECT channel, {_KM_OUT} FROM ka",
@@ -300,11 +462,29 @@ ORACLE_SQL = {
     "risk_dataset": f"{_RISK} SELECT * FROM risk",
     "risk_split": f"{_RISK} SELECT member_id, row_number() OVER (ORDER BY md5(member_id || '|1509'), member_id) <= floor(count(*) OVER () * 0.7) AS train FROM risk",
     "calibration_deciles": f"{_RISK}, d AS (SELECT *, ntile(10) OVER (ORDER BY p, member_id)::INT AS decile FROM scored) SELECT decile, n, floor(p * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS mean_predicted, floor(y * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS mean_actual, floor((p / nullif(y, 0)) * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS ratio FROM (SELECT decile, count(*) AS n, sum(p::DECIMAL(20,4))::DOUBLE / count(p) AS p, sum(y::DECIMAL(20,4))::DOUBLE / count(y) AS y FROM d GROUP BY 1)",
-    "risk_evaluation": f"{_RISK}, k AS (SELECT *, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS ry, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS rp, row_number() OVER (ORDER BY p DESC, member_id DESC) AS place, count(*) OVER () AS n, sum(y::DECIMAL(20,4)) OVER ()::DOUBLE / count(*) OVER () AS mean FROM scored), o AS (SELECT round(corr(ry, rp), 4) AS spearman, round(avg(y) FILTER (place <= ceil(n / 10)) / avg(y), 3) AS top_decile_lift, round(1 - sum((y - p) ** 2) / sum((y - mean) ** 2), 4) AS r2, floor((sum(abs(y - p)::DECIMAL(20,4))::DOUBLE / count(*)) * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS mae, round(regr_slope(y, p), 4) AS calibration_slope, round(regr_intercept(y, p), 1) AS calibration_intercept, round((sum(p) - sum(y)) / sum(y) * 100, 3) AS payment_error_pct FROM k) SELECT *, coalesce(calibration_slope BETWEEN 0.9 AND 1.1, false) AS well_calibrated FROM o",
+    "risk_evaluation": f"{_RISK}, {_EVALUATED}",
+    "risk_ridge": f"{_ridge_sql('all')}, scored AS (SELECT * FROM fit_all), {_EVALUATED}",
+    "risk_ridge_fit": f"{_ridge_sql('all')} SELECT feature, round(beta, 6) AS beta, round(se, 6) AS se FROM coef_all",
+    "risk_proxy_cost": f"{_ridge_sql('all')}, {_ridge_parts('some', _FEATURES_SQL[:-1])}, r2 AS (SELECT (SELECT round(1 - sum((y - p) ** 2) / (var_pop(y) * count(y)), 4) FROM fit_all) AS r2_with, (SELECT round(1 - sum((y - p) ** 2) / (var_pop(y) * count(y)), 4) FROM fit_some) AS r2_without) SELECT *, round(r2_without - r2_with, 4) AS change FROM r2",
     "region_parity": f"{_RISK}, b AS (SELECT region, count(*) AS n, sum(p::DECIMAL(20,4))::DOUBLE / count(p) AS p, sum(y::DECIMAL(20,4))::DOUBLE / count(y) AS a FROM scored GROUP BY 1) SELECT region, n, floor(p * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS mean_predicted, floor(a * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS mean_actual, floor((p / a) * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS ratio, floor((max(p / a) OVER () / min(p / a) OVER ()) * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS disparity FROM b",
     "pmpm_leaf": f"{PRELUDE}, {_LEAF} SELECT region, product, month_index, round(pmpm, 6) AS pmpm FROM leaf",
     "pmpm_hierarchy": f"{PRELUDE}, {_LEAF} SELECT CASE WHEN grouping(region) = 1 AND grouping(product) = 1 THEN 'total' WHEN grouping(product) = 1 THEN 'region' WHEN grouping(region) = 1 THEN 'product' ELSE 'leaf' END AS level, CASE WHEN grouping(region) = 1 AND grouping(product) = 1 THEN 'all' WHEN grouping(product) = 1 THEN region WHEN grouping(region) = 1 THEN product ELSE region || '|' || product END AS label, month_index, round(sum(pmpm), 5) AS pmpm_sum FROM leaf GROUP BY GROUPING SETS ((month_index), (region, month_index), (product, month_index), (region, product, month_index))",
-    "fingerprint": " UNION ALL ".join(f"SELECT '{t}' AS relation, count(*) AS n, sum(('0x' || substr(md5({' || chr(124) || '.join(f'coalesce({c}::VARCHAR, chr(92) || chr(78))' for c in columns)}), 1, 8))::BIGINT)::BIGINT AS digest FROM {t}" for t, columns in _PRINTED.items()),
+    "fingerprint": " UNION ALL ".join(map(_fingerprint_sql, TABLES)),
+    "audit_events": f"{_TRAIL} SELECT 0 AS level, seq, 'content' AS kind FROM e WHERE event_id % 997 = 11 AND event_id % 1499 <> 13 UNION ALL SELECT CASE WHEN last THEN 1 ELSE 0 END, CASE WHEN last THEN (seq - 1) // 256 + 1 ELSE seq + 1 END, CASE WHEN last THEN 'seal' ELSE 'link' END FROM e WHERE event_id % 1499 = 13 AND NOT (last AND alone)",
+    "orphans": " UNION ALL ".join(f"SELECT '{name}' AS link, count(*) AS rows, count(DISTINCT {x}) AS keys FROM {t} WHERE {x} NOT IN (SELECT {y} FROM {o} WHERE {y} IS NOT NULL) OR {x} IS NULL" for name, t, x, o, y in (
+        ("line without order", "lineitem", "l_orderkey", "orders", "o_orderkey"), ("line without part", "lineitem", "l_partkey", "part", "p_partkey"), ("line without supplier", "lineitem", "l_suppkey", "supplier", "s_suppkey"), ("order without customer", "orders", "o_custkey", "customer", "c_custkey"), ("customer without order", "customer", "c_custkey", "orders", "o_custkey"))),
+    "questions_asked": _asked_sql(),
+    "logrank_p": f"{PRELUDE}, {_SUBJECTS}, {_PAIRS} SELECT observed, round(expected, 4) AS expected, round(variance, 4) AS variance, round(chi2, 4) AS chi2, round(p, 6) AS p_value FROM tested WHERE a = 'individual' AND b = 'employer'",
+    "logrank_pairs": f"{PRELUDE}, {_SUBJECTS}, {_PAIRS} SELECT a AS first, b AS second, observed, round(expected, 4) AS expected, round(chi2, 4) AS chi2, round(p, 6) AS p_value FROM tested WHERE a < b",
+    "cox_slope": f"{PRELUDE}, {_COX}",
+    "forecast_base": f"{_FORECAST} SELECT level, label, month_index, floor(actual * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS actual, floor(base * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS base FROM fc",
+    "forecast_plain": f"{_FORECAST} SELECT method, level, label, month_index, floor(actual * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS actual, floor(value * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS value FROM methods",
+    "forecast_plain_scores": f"{_FORECAST} SELECT * FROM scores",
+    "forecast_plain_incoherence": f"{_FORECAST} SELECT method, round(gap, 4) AS incoherence, round(100 * gap / whole, 4) AS incoherence_pct, gap < 1e-6 * greatest(whole, 1) AS coherent FROM (SELECT method, sum(abs(value - implied)) AS gap, sum(abs(value)) AS whole FROM methods JOIN (SELECT method, s.level, s.label, m.month_index, sum(value) AS implied FROM methods m JOIN of_leaf s ON s.leaf = m.label WHERE m.level = 'leaf' GROUP BY ALL) USING (method, level, label, month_index) GROUP BY 1)",
+    "forecast_best_plain": f"{_FORECAST} SELECT method, mape, worst_level, worst_mape FROM (SELECT arg_min(method, (mape, method)) AS method, min(mape) AS mape FROM scores WHERE level = 'ALL') JOIN (SELECT method, arg_max(level, (mape, level)) AS worst_level, max(mape) AS worst_mape FROM scores WHERE level <> 'ALL' GROUP BY 1) USING (method)",
+    "drift_rows": f"{_BLAST} SELECT * FROM moves WHERE moved ORDER BY metric, slice LIMIT 20",
+    "loss_ratio_ex_pharmacy": f"{PRELUDE}, {_PHARM} SELECT plan, round(sum((paid_amount - pharmacy_paid)::DECIMAL(18,2))::DOUBLE / sum(premium_collected::DECIMAL(18,2))::DOUBLE, 9) AS value, sum((paid_amount - pharmacy_paid)::DECIMAL(18,2))::DOUBLE AS numerator, sum(premium_collected::DECIMAL(18,2))::DOUBLE AS denominator FROM mp GROUP BY 1",
+    "metric_mutants": _mutants_sql(),
     "copilot_rules": f"{_questions_sql(1)} SELECT * FROM r",
     "copilot_rules_v2": f"{_questions_sql(2)} SELECT * FROM r",
     "copilot_score": f"{_questions_sql(1)} SELECT round(avg(correct::INT), 4) AS overall, round(avg(correct::INT) FILTER (kind = 'resolution'), 4) AS resolution, round(avg(correct::INT) FILTER (kind = 'refusal'), 4) AS refusal FROM r",

@@ -64,6 +64,22 @@ def finite(x: Column, digits: int = 6) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(F.round(x, digits))
 
 
-def chi2_tail(x: float) -> float:
+def erfc(x: Column) -> Column:
+    """The complementary error function: a series up to 2, a continued fraction beyond; symmetric for negative values. Null stays null."""
+    z = F.abs(x)
+    near = F.least(z, F.lit(2.0))
+    # erf z = 2 z / sqrt(pi) * exp(-z^2) * sum of (2 z^2)^n / (1 * 3 * ... * (2 n + 1))
+    step = lambda acc, n: F.struct((acc["term"] * 2.0 * near * near / (2.0 * n + 1.0)).alias("term"), (acc["total"] + acc["term"] * 2.0 * near * near / (2.0 * n + 1.0)).alias("total"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")), step, lambda acc: acc["total"])
+    low = 1.0 - 2.0 / math.sqrt(math.pi) * near * F.exp(-near * near) * series
+    # erfc z = exp(-z^2) / sqrt(pi) / (z + (1/2) / (z + 1 / (z + (3/2) / (z + ...))))
+    far = F.greatest(z, F.lit(2.0))
+    tail = F.aggregate(F.sequence(F.lit(80), F.lit(1), F.lit(-1)), far, lambda acc, n: far + n / 2.0 / acc)
+    value = F.when(z < 2.0, low).otherwise(F.exp(-far * far) / math.sqrt(math.pi) / tail)
+    return F.when(x.isNull(), F.lit(None).cast("double")).otherwise(F.when(x < 0, 2.0 - value).otherwise(value))
+
+
+def chi2_tail(x: Column | str) -> Column:
     """Upper tail of chi-square with one degree of freedom."""
-    return math.erfc(math.sqrt(max(x, 0.0) / 2.0))
+    c = F.col(x) if isinstance(x, str) else x
+    return erfc(F.sqrt(F.greatest(c, F.lit(0.0)) / 2.0) + F.lit(0.0) * c)

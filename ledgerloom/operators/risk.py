@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from fractions import Fraction
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import exact_mean, half_up, money
+from ledgerloom.operators.order import average_ranked, equal_part, positioned
+from ledgerloom.plans.tables import cut
 from ledgerloom.sources.payer import INPATIENT
 
 FEATURES = ["age_band", "chronic_count", "prior_cost", "prior_lines", "prior_inpatient", "zip_deprivation_index"]
 
 
-def dataset(base: DataFrame, claims: DataFrame, members: DataFrame, cut: int, least_months: int = 3) -> DataFrame:
-    """One row a member: features of the months before ``cut``, the target after it. One conditional pass over the months."""
-    early = F.col("month_index") < cut
+def dataset(base: DataFrame, claims: DataFrame, members: DataFrame, first_target: int, least_months: int = 3) -> DataFrame:
+    """One row a member: features of the months before ``first_target``, the target from it on. One conditional pass over the months."""
+    early = F.col("month_index") < first_target
     sums = base.groupBy("member_id").agg(
         F.coalesce(money(F.when(early, F.col("paid_amount"))), F.lit(0.0)).alias("prior_cost"), F.sum(F.when(early, F.col("total_lines")).otherwise(0)).cast("long").alias("prior_lines"), F.count_if(early).alias("prior_months"),
         F.coalesce(money(F.when(~early, F.col("paid_amount"))), F.lit(0.0)).alias("future_cost"), F.count_if(~early).alias("future_months")).filter((F.col("prior_months") > 0) & (F.col("future_months") >= least_months))
@@ -25,9 +31,8 @@ def dataset(base: DataFrame, claims: DataFrame, members: DataFrame, cut: int, le
 
 def split(df: DataFrame, share: float = 0.7, seed: str = "1509") -> DataFrame:
     """``train``: the first share of rows by a seeded hash of the member."""
-    order = Window.orderBy(F.md5(F.concat_ws("|", "member_id", F.lit(seed))), "member_id")
-    n = F.count("*").over(Window.partitionBy(F.lit(0)))
-    return df.withColumn("train", F.row_number().over(order) <= F.floor(n * share))
+    df = cut(df)
+    return positioned(df, F.md5(F.concat_ws("|", "member_id", F.lit(seed))), "member_id").withColumn("train", F.col("position") <= F.floor(F.lit(df.count()) * share)).drop("position")
 
 
 def fixed_score(df: DataFrame) -> DataFrame:
@@ -37,27 +42,25 @@ def fixed_score(df: DataFrame) -> DataFrame:
 
 def calibration(df: DataFrame, actual: str = "future_cost", predicted: str = "predicted", key: str = "member_id", bins: int = 10) -> DataFrame:
     """Mean predicted and actual of each bin of the prediction; the first bins take what doesn't divide."""
-    rows = df.withColumn("decile", F.ntile(bins).over(Window.orderBy(predicted, key)))
-    p, a = exact_mean(predicted), exact_mean(actual)
+    rows = cut(df.select(F.col(key).alias("key"), F.col(predicted).alias("p"), F.col(actual).alias("a")))
+    rows = positioned(rows, "p", "key").withColumn("decile", equal_part(F.col("position"), rows.count(), bins))
+    p, a = exact_mean("p"), exact_mean("a")
     return rows.groupBy("decile").agg(F.count("*").alias("n"), half_up(p, 2).alias("mean_predicted"), half_up(a, 2).alias("mean_actual"), half_up(F.when(a != 0, p / a), 4).alias("ratio"))
 
 
-def average_rank(c: str) -> Column:
-    return F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2.0
-
-
 def evaluate(df: DataFrame, actual: str = "future_cost", predicted: str = "predicted", key: str = "member_id") -> DataFrame:
     """Rank correlation, lift of the top decile, R2, MAE, slope and intercept of actual on predicted, total error; one row."""
-    y, p = F.col(actual), F.col(predicted)
-    one = Window.partitionBy(F.lit(0))
-    rows = df.select(y.alias("y"), p.alias("p"), average_rank(actual).alias("ry"), average_rank(predicted).alias("rp"), F.row_number().over(Window.orderBy(F.desc(predicted), F.desc(key))).alias("place"), F.count("*").over(one).alias("n"), (F.sum(y.cast("decimal(20,4)")).over(one).cast("double") / F.count(y).over(one)).alias("mean"), (F.max(predicted).over(one) > F.min(predicted).over(one)).alias("varied"))
+    rows = cut(df.select(F.col(key).alias("key"), F.col(actual).alias("y"), F.col(predicted).alias("p")))
+    n, mean, varied = rows.agg(F.count("*"), F.sum(F.col("y").cast("decimal(20,4)")).cast("double") / F.count("y"), F.max("p") > F.min("p")).first()
+    rows = average_ranked(average_ranked(rows, "y", "key", n, "ry"), "p", "key", n, "rp")
+    # The last of the ascending order are the top decile.
+    rows = positioned(rows, "p", "key").withColumn("top", F.col("position") > n - -(-n // 10))
     # Rank and line need predictions that differ; without, they have no input and are null.
-    rows = rows.withColumns({"vp": F.when(F.col("varied"), F.col("p")), "vrp": F.when(F.col("varied"), F.col("rp"))})
-    top = F.col("place") <= F.ceil(F.col("n") / 10)
+    vp, vrp = (F.when(F.lit(bool(varied)), F.col(c)) for c in ("p", "rp"))
     out = rows.agg(
-        F.round(F.corr("ry", "vrp"), 4).alias("spearman"), F.round(F.avg(F.when(top, F.col("y"))) / F.avg("y"), 3).alias("top_decile_lift"),
-        F.round(1 - F.sum(F.pow(F.col("y") - F.col("p"), 2)) / F.sum(F.pow(F.col("y") - F.col("mean"), 2)), 4).alias("r2"), half_up(exact_mean(F.abs(F.col("y") - F.col("p"))), 2).alias("mae"),
-        F.round(F.regr_slope("y", "vp"), 4).alias("calibration_slope"), F.round(F.regr_intercept("y", "vp"), 1).alias("calibration_intercept"),
+        F.round(F.corr(F.col("ry"), vrp), 4).alias("spearman"), F.round(F.avg(F.when(F.col("top"), F.col("y"))) / F.avg("y"), 3).alias("top_decile_lift"),
+        F.round(1 - F.sum(F.pow(F.col("y") - F.col("p"), 2)) / F.nullif(F.sum(F.pow(F.col("y") - F.lit(mean), 2)), F.lit(0.0)), 4).alias("r2"), half_up(exact_mean(F.abs(F.col("y") - F.col("p"))), 2).alias("mae"),
+        F.round(F.regr_slope(F.col("y"), vp), 4).alias("calibration_slope"), F.round(F.regr_intercept(F.col("y"), vp), 1).alias("calibration_intercept"),
         F.round((F.sum("p") - F.sum("y")) / F.sum("y") * 100, 3).alias("payment_error_pct"))
     return out.withColumn("well_calibrated", F.coalesce(F.col("calibration_slope").between(0.9, 1.1), F.lit(False)))
 
@@ -69,22 +72,68 @@ def region_parity(df: DataFrame, actual: str = "future_cost", predicted: str = "
     return by.select("region", "n", half_up(F.col("p"), 2).alias("mean_predicted"), half_up(F.col("a"), 2).alias("mean_actual"), half_up(F.col("r"), 4).alias("ratio"), half_up(F.max("r").over(one) / F.min("r").over(one), 4).alias("disparity"))
 
 
-def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
+@dataclass(frozen=True)
+class Moments:
+    """Count, means and centred products of features and target: all that a linear fit needs of any number of rows."""
+
+    features: tuple[str, ...]
+    n: int
+    means: np.ndarray
+    products: np.ndarray
+
+    def only(self, features: list[str]) -> Moments:
+        at = [self.features.index(f) for f in features] + [len(self.features)]
+        return Moments(tuple(features), self.n, self.means[at], self.products[np.ix_(at, at)])
+
+    def ridge(self, alpha: float) -> tuple[np.ndarray, float, np.ndarray]:
+        """Coefficients on the features as they are, intercept and standard errors; the penalty is on standardised features."""
+        k, s = len(self.features), self.products
+        spread = np.sqrt(np.diag(s)[:k] / self.n)
+        spread[spread == 0] = 1.0
+        gram, moment = s[:k, :k] / np.outer(spread, spread), s[:k, k] / spread
+        inverse = np.linalg.inv(gram + alpha * np.eye(k))
+        beta = inverse @ moment
+        residual = s[k, k] - 2 * beta @ moment + beta @ gram @ beta
+        noise = residual / max(1, self.n - k - 1)
+        se = np.sqrt(np.maximum(noise * np.diag(inverse @ gram @ inverse), 0.0))
+        beta, se = beta / spread, se / spread
+        return beta, float(self.means[k] - beta @ self.means[:k]), se
 
-    return VectorAssembler(inputCols=features, outputCol="x").transform(df.withColumns({c: F.col(c).cast("double") for c in features}))
+
+def moments(df: DataFrame, features: list[str] = FEATURES, target: str = "future_cost") -> Moments:
+    """One pass: sums of values and of products, as exact decimals, so that no order of rows changes a fit; one row comes back."""
+    exact = [F.col(c).cast("decimal(16,4)") for c in (*features, target)]
+    m = len(exact)
+    pairs = [(i, j) for i in range(m) for j in range(i, m)]
+    row = df.agg(F.count("*"), *[F.sum(x) for x in exact], *[F.sum((exact[i] * exact[j]).cast("decimal(38,8)")) for i, j in pairs]).first()
+    n, sums, products = row[0], row[1 : m + 1], np.zeros((m, m))
+    for (i, j), p in zip(pairs, row[m + 1 :]):
+        # The difference is taken before anything is rounded.
+        products[i, j] = products[j, i] = float(Fraction(p) - Fraction(sums[i]) * Fraction(sums[j]) / n) if n else 0.0
+    return Moments(tuple(features), n, np.array([float(Fraction(s) / n) if n else 0.0 for s in sums]), products)
+
+
+def linear(features: list[str], beta: np.ndarray, intercept: float) -> Column:
+    return sum((F.col(f).cast("double") * float(b) for f, b in zip(features, beta)), F.lit(float(intercept)))
 
 
 def ridge(train: DataFrame, test: DataFrame, features: list[str] = FEATURES, alpha: float = 1.0, target: str = "future_cost") -> DataFrame:
-    """Ridge with penalty alpha on the summed squares of the standardised features."""
-    from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.regression import LinearRegression
+    """``test`` with predictions of a ridge fit on ``train``, with penalty alpha on the summed squares of the standardised features."""
+    beta, intercept, _ = moments(train, features, target).ridge(alpha)
+    return test.withColumn("predicted", linear(features, beta, intercept))
+
+
+def ridge_frame(train: DataFrame, features: list[str] = FEATURES, alpha: float = 1.0, target: str = "future_cost") -> DataFrame:
+    """(feature, beta, se) of the fit, the intercept as a feature of its own."""
+    beta, intercept, se = moments(train, features, target).ridge(alpha)
+    rows = [(f, float(b), float(e)) for f, b, e in zip(features, beta, se)] + [("intercept", intercept, None)]
+    return train.sparkSession.createDataFrame(rows, "feature string, beta double, se double")
 
-    scale = StandardScaler(inputCol="x", outputCol="z", withMean=True, withStd=True).fit(_assembled(train, features))
-    data = scale.transform(_assembled(train, features))
-    n, spread = data.agg(F.count("*"), F.stddev_pop(target)).first()
-    fit = LinearRegression(featuresCol="z", labelCol=target, predictionCol="predicted", regParam=alpha * float(spread or 0.0) / max(1, n), elasticNetParam=0.0, standardization=False, solver="normal").fit(data)
-    return fit.transform(scale.transform(_assembled(test, features))).drop("x", "z")
+
+def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+
+    return VectorAssembler(inputCols=features, outputCol="x").transform(df.withColumns({c: F.col(c).cast("double") for c in features}))
 
 
 def boosted(train: DataFrame, test: DataFrame, features: list[str] = FEATURES, target: str = "future_cost", rounds: int = 200) -> DataFrame:
@@ -94,8 +143,11 @@ def boosted(train: DataFrame, test: DataFrame, features: list[str] = FEATURES, t
     return fit.transform(_assembled(test, features)).drop("x")
 
 
-def proxy_cost(train: DataFrame, test: DataFrame, proxy: str = "zip_deprivation_index") -> dict[str, float]:
-    """R2 with and without a feature that has no effect of its own."""
-    r2 = lambda fs: evaluate(ridge(train, test, fs)).first()["r2"]
-    whole, without = r2(FEATURES), r2([f for f in FEATURES if f != proxy])
-    return {"with": whole, "without": without, "change": round(without - whole, 4)}
+def proxy_cost(train: DataFrame, test: DataFrame, proxy: str = "zip_deprivation_index", alpha: float = 1.0, target: str = "future_cost") -> DataFrame:
+    """R2 with and without a feature that has no effect of its own: both fits from one pass over ``train``, both errors from one over ``test``."""
+    every = moments(train, FEATURES, target)
+    rest = [f for f in FEATURES if f != proxy]
+    off = [F.pow(F.col(target) - linear(fs, *m.ridge(alpha)[:2]), 2) for fs, m in ((FEATURES, every), (rest, every.only(rest)))]
+    whole = F.var_pop(target) * F.count(target)
+    out = test.agg(*[F.round(1 - F.sum(x) / whole, 4).alias(c) for x, c in zip(off, ("r2_with", "r2_without"))])
+    return out.withColumn("change", F.round(F.col("r2_without") - F.col("r2_with"), 4))

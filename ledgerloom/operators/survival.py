@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import chi2_tail
+from ledgerloom.operators.order import bounds, range_of, running
+from ledgerloom.plans.tables import cut
 
 Z = 1.96
 
@@ -42,8 +46,8 @@ def median_survival(curve: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return curve.groupBy(*by).agg(F.min(F.when(F.col("survival") <= 0.5, F.col("time"))).alias("median"))
 
 
-def log_rank(df: DataFrame, first, second, time: str = "tenure_months", event: str = "event_observed") -> DataFrame:
-    """Observed and expected events of the first group, variance, chi-square to four places; null without variance."""
+def log_rank(df: DataFrame, first, second, time: str = "tenure_months", event: str = "event_observed", p: bool = False) -> DataFrame:
+    """Observed and expected events of the first group, variance, chi-square to four places; null without variance. With ``p``, the p value to six."""
     arm = F.when(first, 1).when(second, 2)
     at = df.withColumn("arm", arm).filter("arm is not null").groupBy(F.col(time).alias("time")).agg(
         *[F.sum(F.when(F.col("arm") == a, F.col(event)).otherwise(0)).cast("double").alias(f"d{a}") for a in (1, 2)], *[F.sum(F.when(F.col("arm") == a, 1).otherwise(0)).alias(f"c{a}") for a in (1, 2)])
@@ -52,17 +56,28 @@ def log_rank(df: DataFrame, first, second, time: str = "tenure_months", event: s
     d, n = F.col("d1") + F.col("d2"), F.col("n1") + F.col("n2")
     sums = at.filter(d > 0).agg(F.sum("d1").alias("observed"), F.sum(d * F.col("n1") / n).alias("expected"), F.sum(F.when(n > 1, d * (F.col("n1") / n) * (F.col("n2") / n) * (n - d) / (n - 1)).otherwise(0.0)).alias("variance"))
     chi2 = F.when(F.col("variance") > 0, F.pow(F.col("observed") - F.col("expected"), 2) / F.col("variance"))
-    return sums.select("observed", F.round("expected", 4).alias("expected"), F.round("variance", 4).alias("variance"), F.round(chi2, 4).alias("chi2"))
-
-
-def log_rank_p(chi2: float | None) -> float | None:
-    return None if chi2 is None else round(chi2_tail(chi2), 6)
-
-
-def with_p(spark: SparkSession, test: DataFrame) -> DataFrame:
-    """A log-rank test's one row with its p value."""
-    row = test.first()
-    return spark.createDataFrame([(*row, log_rank_p(row.chi2))], f"{', '.join(f'{f.name} double' for f in test.schema)}, p_value double")
+    # Under names of their own, as an alias that a select makes would be taken for the column inside a lambda.
+    exact = sums.withColumn("statistic", chi2).withColumn("tail", chi2_tail("statistic"))
+    return exact.select("observed", F.round("expected", 4).alias("expected"), F.round("variance", 4).alias("variance"), F.round("statistic", 4).alias("chi2"), *([F.round("tail", 6).alias("p_value")] if p else []))
+
+
+def log_rank_pairs(df: DataFrame, by: str, time: str = "tenure_months", event: str = "event_observed") -> DataFrame:
+    """The log-rank test of every two groups (first before second by name), from one grouping of the subjects.
+
+    What is joined pair by pair are the few groups' rows of one time; a group that has nobody left at a time brings none.
+    """
+    at = df.filter(F.col(by).isNotNull()).groupBy(F.col(by).alias("g"), F.col(time).alias("time")).agg(F.sum(event).cast("double").alias("d"), F.count("*").alias("c"))
+    # Every group at every time that any has: those at risk are those with this time or a later one.
+    grid = at.select("g").distinct().join(at.select("time").distinct(), how="full", on=F.lit(True))
+    later = Window.partitionBy("g").orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
+    full = grid.join(at, ["g", "time"], "left").select("g", "time", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce(F.sum("c").over(later), F.lit(0)).cast("double").alias("n"))
+    one, two = (full.select(F.col("g").alias(f"g{i}"), "time", F.col("d").alias(f"d{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
+    both = one.join(two, "time").filter("g1 < g2 and d1 + d2 > 0")
+    d, n = F.col("d1") + F.col("d2"), F.col("n1") + F.col("n2")
+    sums = both.groupBy("g1", "g2").agg(F.sum("d1").alias("observed"), F.sum(d * F.col("n1") / n).alias("expected"), F.sum(F.when(n > 1, d * (F.col("n1") / n) * (F.col("n2") / n) * (n - d) / (n - 1)).otherwise(0.0)).alias("variance"))
+    chi2 = F.when(F.col("variance") > 0, F.pow(F.col("observed") - F.col("expected"), 2) / F.col("variance"))
+    exact = sums.withColumn("statistic", chi2).withColumn("tail", chi2_tail("statistic"))
+    return exact.select(F.col("g1").alias("first"), F.col("g2").alias("second"), "observed", F.round("expected", 4).alias("expected"), F.round("statistic", 4).alias("chi2"), F.round("tail", 6).alias("p_value"))
 
 
 def cause_mix(spans: DataFrame) -> DataFrame:
@@ -100,33 +115,54 @@ def person_months(df: DataFrame) -> DataFrame:
     return rows.select("member_id", "tenure", "burden10", "utilisation_low", "is_individual", denied.cast("int").alias("had_denial"), lapsed.cast("int").alias("lapsed"))
 
 
+@dataclass(frozen=True)
+class RiskSets:
+    """Subjects with their times dealt to ranges, so that sums over all who are still at risk run range by range."""
+
+    rows: DataFrame
+    covariates: tuple[str, ...]
+    means: tuple[float, ...]
+
+    @classmethod
+    def of(cls, df: DataFrame, covariates: list[str], time: str, event: str, parts: int = 64) -> RiskSets:
+        cuts = bounds(df, time, parts)
+        rows = df.select(F.col(time).alias("time"), F.col(event).cast("double").alias("event"), *[F.col(c).cast("double").alias(c) for c in covariates]).withColumn("part", range_of("time", cuts))
+        # Continuous covariates may make a row a subject, so the rows are kept in the shared folder and not in memory.
+        rows = cut(rows)
+        means = rows.agg(*[F.avg(c) for c in covariates]).first()
+        return cls(rows, tuple(covariates), tuple(float(m or 0.0) for m in means))
+
+    def likelihood(self, beta) -> tuple[float, np.ndarray, np.ndarray]:
+        """Log partial likelihood (Breslow), gradient and information at ``beta``: one job, one row back."""
+        k = len(self.covariates)
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        x = [F.col(c) - m for c, m in zip(self.covariates, self.means)]
+        w = F.exp(sum((float(b) * c for b, c in zip(beta, x)), F.lit(0.0)))
+        at = self.rows.groupBy("part", "time").agg(
+            F.sum("event").alias("d"), F.sum(w).alias("w"), *[F.sum(F.col("event") * c).alias(f"e{i}") for i, c in enumerate(x)],
+            *[F.sum(w * c).alias(f"x{i}") for i, c in enumerate(x)], *[F.sum(w * x[i] * x[j]).alias(f"x{i}_{j}") for i, j in pairs])
+        sums = ["w", *[f"x{i}" for i in range(k)], *[f"x{i}_{j}" for i, j in pairs]]
+        at = running(at, "part", "time", sums, descending=True).filter("d > 0")
+        d, mean = F.col("d"), [F.col(f"x{i}") / F.col("w") for i in range(k)]
+        value = sum((F.col(f"e{i}") * float(b) for i, b in enumerate(beta)), F.lit(0.0)) - d * F.ln("w")
+        row = at.agg(F.sum(value), *[F.sum(F.col(f"e{i}") - d * mean[i]) for i in range(k)], *[F.sum(d * (F.col(f"x{i}_{j}") / F.col("w") - mean[i] * mean[j])) for i, j in pairs]).first()
+        information = np.zeros((k, k))
+        for (i, j), v in zip(pairs, row[1 + k :]):
+            information[i, j] = information[j, i] = v or 0.0
+        return float(row[0] or 0.0), np.array([v or 0.0 for v in row[1 : 1 + k]]), information
+
+
 def cox(df: DataFrame, covariates: list[str], time: str = "tenure_months", event: str = "event_observed", steps: int = 25, tolerance: float = 1e-9) -> dict:
-    """Cox regression, Breslow ties, by Newton steps. A step is one grouping by time; what comes back is a row a distinct time."""
-    k = len(covariates)
-    means = df.agg(*[F.avg(c) for c in covariates]).first()
-    x = [F.col(c) - float(m) for c, m in zip(covariates, means)]
-    beta, value = np.zeros(k), None
+    """Cox regression, Breslow ties, by Newton steps; each is one job from which sums come back, however many distinct times there are."""
+    sets, beta = RiskSets.of(df, covariates, time, event), np.zeros(len(covariates))
     for _ in range(steps):
-        w = F.exp(sum((float(b) * c for b, c in zip(beta, x)), F.lit(0.0)))
-        pairs = [(i, j) for i in range(k) for j in range(i, k)]
-        rows = df.groupBy(F.col(time).alias("t")).agg(
-            F.sum(event).cast("double").alias("d"), F.sum(w).alias("w"), *[F.sum(F.col(event) * c).alias(f"e{i}") for i, c in enumerate(x)],
-            *[F.sum(w * c).alias(f"x{i}") for i, c in enumerate(x)], *[F.sum(w * x[i] * x[j]).alias(f"x{i}_{j}") for i, j in pairs]).orderBy(F.desc("t")).collect()
-        a = np.array([[float(v) for v in r] for r in rows])
-        d, s0, e = a[:, 1], np.cumsum(a[:, 2]), a[:, 3 : 3 + k]
-        s1, flat = np.cumsum(a[:, 3 + k : 3 + 2 * k], axis=0), np.cumsum(a[:, 3 + 2 * k :], axis=0)
-        s2 = np.zeros((len(a), k, k))
-        for p, (i, j) in enumerate(pairs):
-            s2[:, i, j] = s2[:, j, i] = flat[:, p]
-        mean = s1 / s0[:, None]
-        gradient = (e - d[:, None] * mean).sum(axis=0)
-        hessian = (d[:, None, None] * (s2 / s0[:, None, None] - mean[:, :, None] * mean[:, None, :])).sum(axis=0)
-        value = float((e @ beta).sum() - (d * np.log(s0)).sum())
-        step = np.linalg.solve(hessian + 1e-12 * np.eye(k), gradient)
+        value, gradient, information = sets.likelihood(beta)
+        firm = information + 1e-12 * np.eye(len(beta))
+        step = np.linalg.solve(firm, gradient)
         beta = beta + step
         if np.abs(step).max() < tolerance:
             break
-    return {"beta": beta.tolist(), "se": np.sqrt(np.diag(np.linalg.inv(hessian + 1e-12 * np.eye(k)))).tolist(), "log_likelihood": value}
+    return {"beta": beta.tolist(), "se": np.sqrt(np.diag(np.linalg.inv(firm))).tolist(), "log_likelihood": value}
 
 
 def cox_frame(df: DataFrame, covariates: list[str]) -> DataFrame:
@@ -134,6 +170,12 @@ def cox_frame(df: DataFrame, covariates: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame([(c, round(b, 5), round(s, 5)) for c, b, s in zip(covariates, fit["beta"], fit["se"])], "covariate string, beta double, se double")
 
 
+def cox_slope(df: DataFrame, beta: dict[str, float]) -> DataFrame:
+    """(covariate, gradient, log_likelihood) at given coefficients: where all gradients are zero, the fit stands."""
+    value, gradient, _ = RiskSets.of(df, list(beta), "tenure_months", "event_observed").likelihood(list(beta.values()))
+    return df.sparkSession.createDataFrame([(c, round(float(g), 4), round(value, 4)) for c, g in zip(beta, gradient)], "covariate string, gradient double, log_likelihood double")
+
+
 def logistic(df: DataFrame, label: str, covariates: list[str], c: float = 1e6) -> dict[str, float]:
     """Coefficients of a logistic regression with penalty 1 / C on the summed loss."""
     from pyspark.ml.classification import LogisticRegression
@@ -154,6 +196,15 @@ def naive_churn(df: DataFrame) -> dict[str, float]:
     return logistic(df, "event_observed", ["burden10", "utilisation_low", "is_individual", "had_denial"])
 
 
-def scored(estimates: dict[str, float], truth: dict[str, float]) -> dict:
-    errors = {k: abs(estimates[k] - v) for k, v in truth.items() if k in estimates}
-    return {"errors": errors, "mae": sum(errors.values()) / len(errors) if errors else None}
+def scored(estimates: DataFrame, truth: dict[str, float]) -> DataFrame:
+    """(estimator, covariate, error) and each estimator's mean absolute error, for (estimator, covariate, beta) against known effects."""
+    known = F.create_map(*[F.lit(x) for pair in truth.items() for x in pair])
+    errors = estimates.withColumn("truth", known[F.col("covariate")]).filter("truth is not null").withColumn("error", F.abs(F.col("beta") - F.col("truth")))
+    return errors.select("estimator", "covariate", F.round("error", 6).alias("error"), F.round(F.avg("error").over(Window.partitionBy("estimator")), 6).alias("mae"))
+
+
+def estimates(df: DataFrame) -> DataFrame:
+    """(estimator, covariate, beta) of the control that ignores time, Cox's model and the discrete hazard."""
+    names = ["burden10", "utilisation_low", "is_individual", "had_denial"]
+    fits = {"naive": naive_churn(df), "cox": dict(zip(names, cox(df, names)["beta"])), "discrete": hazard(df)}
+    return df.sparkSession.createDataFrame([(k, c, float(b)) for k, fit in fits.items() for c, b in fit.items()], "estimator string, covariate string, beta double")

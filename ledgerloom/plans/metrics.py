@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import money, ratio
+from ledgerloom.plans.tables import Relations
 
 
 @dataclass(frozen=True)
@@ -55,11 +56,15 @@ class Registry:
             raise ValueError(f"unknown metric '{name}'; known: {', '.join(sorted(self.metrics))}")
         return self.metrics[name]
 
-    def compile(self, base: DataFrame, name: str, by: Iterable[str] = (), where: Iterable[Column] = ()) -> DataFrame:
-        """value, numerator and denominator of a metric by declared dimensions; names are checked before any plan exists."""
+    def compile(self, base: DataFrame | Relations, name: str, by: Iterable[str] = (), where: Iterable[Column] = ()) -> DataFrame:
+        """value, numerator and denominator of a metric by declared dimensions; names are checked before any plan exists.
+
+        Of declared relations the one that the registry names is taken.
+        """
         metric, by = self.get(name), list(by)
         if unknown := [d for d in by if d not in self.dimensions]:
             raise ValueError(f"unknown dimension {unknown}; known: {', '.join(sorted(self.dimensions))}")
+        base = base.get(self.base_relation) if isinstance(base, Relations) else base
         for condition in (*(f() for f in metric.filters), *where):
             base = base.filter(condition)
         rows = base.groupBy(*[self.dimensions[d].column().alias(d) for d in by])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import money, month_label, month_label_rounded
+from ledgerloom.plans.tables import Relations
 from ledgerloom.sources.payer import EM_INTENSITY, EM_MINUTES, FIRST_YEAR, PHARMACY, PROFESSIONAL, Payer, by_key
 
 
@@ -25,7 +26,7 @@ def claims_by_month(claims: DataFrame) -> DataFrame:
 def member_month(p: Payer, first_year: int = FIRST_YEAR) -> DataFrame:
     """One row per member and enrolled month, months without a claim included."""
     dim = p.members.select("member_id", "region", "plan", "product", "channel", "age_band", "sex", "chronic_count", "premium_burden", F.col("monthly_premium").alias("premium_collected"))
-    rows = exposure(p.enrollment_spans).join(dim, "member_id").join(claims_by_month(p.claim_facts), ["member_id", "month_index"], "left")
+    rows = exposure(p.enrollment_spans).join(dim, "member_id").join(claims_by_month(p.claim_money), ["member_id", "month_index"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return rows.select(
         "member_id", "month_index", month_label("month_index", first_year).alias("month"), month_label_rounded("month_index", first_year).alias("month_ref"), "region", "plan", "product", "channel", "age_band", "sex", "chronic_count", "premium_burden",
@@ -44,6 +45,17 @@ def professional(claims: DataFrame, category: str | None = PROFESSIONAL) -> Data
     return rows.withColumns({"intensity": by_key(F.col("em_code"), EM_INTENSITY), "minutes": by_key(F.col("em_code"), EM_MINUTES)})
 
 
+def relations(p: Payer) -> Relations:
+    """The conformed relations and what they are made of, by name."""
+    out = Relations()
+    for name in ("members", "providers", "enrollment_spans", "claim_money", "claim_facts"):
+        out.declare(name, lambda name=name: getattr(p, name))
+    out.declare("member_month", lambda *_: member_month(p), "members", "enrollment_spans", "claim_money")
+    out.declare("member_month_with_pharmacy", with_pharmacy, "member_month", "claim_facts")
+    out.declare("provider_month", lambda *_: provider_month(p), "providers", "claim_facts")
+    return out
+
+
 def provider_month(p: Payer) -> DataFrame:
     rows = professional(p.claim_facts).drop("region").join(p.providers.select("provider_id", "specialty", "region"), "provider_id")
     return rows.groupBy("provider_id", "specialty", "region", "month_index").agg(

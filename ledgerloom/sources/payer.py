@@ -127,21 +127,30 @@ class Payer:
         """Claim lines with what is copied from the member."""
         return self.claim_facts.join(self.members.select("member_id", "region", "plan", "product"), "member_id")
 
+    @property
+    def claim_money(self) -> DataFrame:
+        """Amounts and states of the claim lines; parts, which only say what kind of service it was, aren't read."""
+        return self._lines(F.lit(None).cast("string"), False).select("member_id", "provider_id", "month_index", "allowed_amount", "paid_amount", "status")
+
     @property
     def claim_facts(self) -> DataFrame:
         """One row an order line, without the member's columns; the line id is not unique in these data, so nothing may rely on it."""
+        return self._lines(F.col("p_type"), True)
+
+    def _lines(self, category: Column, parts: bool) -> DataFrame:
         line, orders, part = self.read("lineitem"), self.read("orders"), self.read("part")
-        x = line.join(orders.select("o_orderkey", "o_custkey", "o_orderdate"), line["l_orderkey"] == F.col("o_orderkey")).join(part.select("p_partkey", "p_type"), line["l_partkey"] == F.col("p_partkey"))
+        x = line.join(orders.select("o_orderkey", "o_custkey", "o_orderdate"), line["l_orderkey"] == F.col("o_orderkey"))
+        x = x.join(part.select("p_partkey", "p_type"), line["l_partkey"] == F.col("p_partkey")) if parts else x
         level = F.when(F.col("l_quantity") <= 12, 0).when(F.col("l_quantity") <= 25, 1).when(F.col("l_quantity") <= 38, 2).otherwise(3)
         # A ring of providers bills part of its visits one level higher.
         drawn = uniform("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.lit("shift"))
         billed = F.when((F.col("l_suppkey") % 11 == 0) & (drawn < 0.42), F.least(level + 1, F.lit(3))).otherwise(level)
-        visit, denied = F.col("p_type") == PROFESSIONAL, F.col("l_returnflag") == "R"
+        visit, denied = category == PROFESSIONAL, F.col("l_returnflag") == "R"
         cents = F.round(F.col("l_extendedprice") * 100).cast("long")
         paid = F.floor(cents * (100 - F.round(F.col("l_discount") * 100).cast("long")) / 100).cast("long")
         month = months_since("o_orderdate", FIRST_YEAR)
         return x.select(
             F.concat_ws("-", "l_orderkey", "l_linenumber").alias("claim_line_id"), F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("line_key"), F.concat(F.lit("M"), "o_custkey").alias("member_id"), F.concat(F.lit("P"), "l_suppkey").alias("provider_id"),
-            month.alias("month_index"), month_label(month, FIRST_YEAR).alias("month"), F.col("p_type").alias("service_category"), choice((F.col("l_linenumber") % 3).cast("int"), ("office", "hospital", "home")).alias("place_of_service"),
+            month.alias("month_index"), month_label(month, FIRST_YEAR).alias("month"), category.alias("service_category"), choice((F.col("l_linenumber") % 3).cast("int"), ("office", "hospital", "home")).alias("place_of_service"),
             F.when(visit, choice(billed, EM_CODES)).alias("em_code"), F.when(visit, choice(level, EM_CODES)).alias("true_em_code"), F.when(visit, by_key(choice(billed, EM_CODES), EM_MINUTES)).otherwise(0).alias("encounter_minutes"),
             F.col("l_extendedprice").alias("allowed_amount"), F.when(denied, 0.0).otherwise(paid / 100.0).alias("paid_amount"), F.when(denied, "denied").otherwise("paid").alias("status"), F.when(denied, choice((F.col("l_linenumber") % 3).cast("int"), REASONS)).alias("denial_reason"))
