@@ -108,21 +108,37 @@ def _pairs(values: dict) -> list[tuple]:
 
 
 def _audit(s, d) -> DataFrame:
-    trail = quality.AuditTrail()
-    for i, name in enumerate(sorted(STANDARD.metrics)):
-        trail.append("engine", "register", name, STANDARD.get(name).label, f"2024-01-{i + 1:02d}")
-    return quality.verify(trail.frame(s))
+    """Whether a trail over all events, as it was made, is whole, and where it first breaks (0: nowhere)."""
+    found = quality.breaks(_trail(s, d)).filter("level = 0")
+    return found.agg((F.count("*") == 0).alias("intact"), F.coalesce(F.min("seq"), F.lit(0)).alias("broken_at_seq"))
 
 
 def _trace(s, d) -> DataFrame:
-    needs = s.createDataFrame([("REQ-1", ["metric", "unknown_metric"]), ("REQ-2", ["catalog"]), ("REQ-3", [])], "requirement string, tests array<string>")
-    return quality.untraced(needs, s.createDataFrame([(k,) for k in ("metric", "catalog")], "test string"))
+    """Customers' orders that no line backs, and customers without any order."""
+    read = lambda t: s.read.parquet(f"{d}/{t}.parquet")
+    orders = read("orders").groupBy("o_custkey").agg(F.collect_list(F.col("o_orderkey")).alias("tests"))
+    needs = read("customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("c_custkey").alias("requirement"), "tests")
+    return quality.untraced(needs, read("lineitem").select(F.col("l_orderkey").alias("test")).distinct())
 
 
-def _synthetic(s, d) -> DataFrame:
-    m = synthetic.members(s, 24000)
-    sp, pr = synthetic.spans(m), synthetic.providers(s, 900, 22)
-    return w.row_counts({"members": m, "enrollment_spans": sp, "providers": pr, "claim_lines": synthetic.claims(m, sp, pr)})
+def _months(s, d) -> DataFrame:
+    seen = _base(s, d).select("month_index").distinct()
+    return seen.select("month_index", month_label("month_index", FIRST_YEAR).alias("month"), w.month_label_rounded("month_index", FIRST_YEAR).alias("month_ref"))
+
+
+def _catalog(s, d) -> DataFrame:
+    """The declared metrics with their figures in total."""
+    told = copilot.with_figures(STANDARD.catalog_frame(s).withColumnRenamed("name", "metric"), _base(s, d), STANDARD).withColumnRenamed("metric", "name")
+    return told.withColumn("higher_is_better", F.coalesce(F.col("higher_is_better").cast("string"), F.lit("")))
+
+
+def _key(s, d, version: int) -> DataFrame:
+    """The answer key's questions, how each is read, and the figure it gets."""
+    return copilot.with_figures(copilot.marked(copilot.resolved(copilot.questions(s), STANDARD, version)), _base(s, d), STANDARD)
+
+
+def _trail(s, d) -> DataFrame:
+    return quality.sealed(s.read.parquet(f"{d}/events.parquet"), ["ts", "user_id", "event_type", "value", "props"], "event_id")
 
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -135,8 +151,7 @@ def _fingerprints(s, d) -> DataFrame:
 
 def _audited_events(s, d) -> DataFrame:
     """A trail over all events, in which some entries are changed and some removed afterwards, and where it breaks."""
-    events = s.read.parquet(f"{d}/events.parquet")
-    trail = quality.sealed(events, ["ts", "user_id", "event_type", "value", "props"], "event_id")
+    trail = _trail(s, d)
     entry = F.col("level") == 0
     id_ = F.substring_index("content", "\x1f", 1).cast("long")
     gone, changed = entry & (id_ % 1499 == 13), entry & (id_ % 997 == 11)
@@ -173,7 +188,7 @@ def _round(df: DataFrame, digits: int = 9) -> DataFrame:
 QUERIES = {
     **{f"m_{m}_{d or 'total'}": (lambda s, sf, m=m, d=d: _round(STANDARD.compile(_base(s, sf), m, [d] if d else []))) for m in STANDARD.metrics for d in (None, *_DIMS)},
     "member_month": lambda s, d: _base(s, d).drop("month_ref", "premium_burden"),
-    "month_labels": lambda s, d: s.range(24).select(F.col("id").alias("month_index"), month_label("id").alias("month"), w.month_label_rounded("id").alias("month_ref")),
+    "month_labels": _months,
     "provider_coding": lambda s, d: w.provider_month(Payer(s, d)),
     "fanout_check": lambda s, d: w.fanout(_base(s, d), Payer(s, d).enrollment_spans),
     "zero_claim_share": lambda s, d: w.zero_claim_share(_base(s, d)),
@@ -228,17 +243,16 @@ QUERIES = {
     "forecast_methods": lambda s, d: forecast.all_methods(_series(s, d)),
     "forecast_scores": lambda s, d: forecast.scores(forecast.all_methods(_series(s, d))),
     "forecast_incoherence": lambda s, d: forecast.incoherence(cut(forecast.all_methods(_series(s, d)))),
-    "catalog": lambda s, d: STANDARD.catalog_frame(s),
-    "copilot_rules": lambda s, d: copilot.marked(copilot.resolved(copilot.questions(s), STANDARD, 1)).select("question", "metric", "dims", "kind", "correct"),
-    "copilot_rules_v2": lambda s, d: copilot.marked(copilot.resolved(copilot.questions(s), STANDARD, 2)).select("question", "metric", "dims", "kind", "correct"),
-    "copilot_score": lambda s, d: copilot.accuracy(copilot.marked(copilot.resolved(copilot.questions(s), STANDARD, 1))),
+    "catalog": _catalog,
+    "copilot_rules": lambda s, d: _key(s, d, 1).select("question", "metric", "dims", "kind", "correct", F.round("value", 5).alias("value")),
+    "copilot_rules_v2": lambda s, d: _key(s, d, 2).select("question", "metric", "dims", "kind", "correct", F.round("value", 5).alias("value")),
+    "copilot_score": lambda s, d: copilot.accuracy(_key(s, d, 1)).crossJoin(_key(s, d, 1).agg(F.count("value").alias("answered"))),
     "audit_verify": _audit,
     "traceability": _trace,
     "fingerprint": _fingerprints,
     "audit_events": _audited_events,
     "orphans": _orphans,
     "questions_asked": _asked,
-    "synthetic_counts": _synthetic,
     "events_by_day": lambda s, d: stream.windowed(s.read.parquet(f"{d}/events.parquet")),
 }
 
@@ -326,13 +340,16 @@ moves AS (SELECT b.metric, b.slice, b.value AS before, a.value AS after, round(a
 
 
 def _values(rows) -> str:
-    text = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    text = lambda v: "NULL" if v is None else str(v) if isinstance(v, (bool, int)) else "'" + v.replace("'", "''") + "'"
     return "(VALUES " + ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows) + ")"
 
 
+_TOLD = "told AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, round({_NUM[m]}{f' / nullif({_DEN[m]}, 0)' if m in _DEN else ''}, 6) AS value FROM mm" for m in STANDARD.metrics) + ")"
+
+
 def _questions_sql(version: int) -> str:
     ahead = f"regexp_matches(said, ' ({'|'.join(copilot.AHEAD)}) ')" if version > 1 else "false"
-    return f"""WITH q AS (SELECT *, concat(' ', array_to_string(regexp_extract_all(lower(question), '[a-z0-9]+'), ' '), ' ') AS said FROM {_values(copilot.QUESTIONS)} t(question, want_metric, want_dims)),
+    return f"""{PRELUDE}, {_TOLD}, q AS (SELECT *, concat(' ', array_to_string(regexp_extract_all(lower(question), '[a-z0-9]+'), ' '), ' ') AS said FROM {_values(copilot.QUESTIONS)} t(question, want_metric, want_dims)),
 m AS (SELECT question, arg_min(metric, place) AS metric FROM q JOIN {_values(copilot.phrases(STANDARD, version > 1))} p(place, metric, phrase) ON contains(said, concat(' ', phrase, ' ')) AND NOT {ahead} GROUP BY 1),
 d AS (SELECT question, string_agg(dim, ',' ORDER BY dim) AS dims FROM q JOIN {_values((x, x.replace('_', ' ')) for x in STANDARD.dimensions)} p(dim, phrase) ON contains(concat(' ', regexp_extract(said, ' (by|per) (.*)$', 2)), concat(' ', phrase, ' ')) GROUP BY 1),
 r AS (SELECT question, metric, coalesce(dims, '') AS dims, CASE WHEN want_metric IS NULL THEN 'refusal' ELSE 'resolution' END AS kind,
@@ -431,7 +448,7 @@ def _mutants_sql() -> str:
 ORACLE_SQL = {
     **{f"m_{m}_{d or 'total'}": _metric_sql(m, d) for m in STANDARD.metrics for d in (None, *_DIMS)},
     "member_month": f"{PRELUDE} SELECT * FROM mm",
-    "month_labels": "SELECT i AS month_index, printf('%04d-%02d', 2024 + i // 12, i % 12 + 1) AS month, printf('%04d-%02d', 2024 + round_even(i / 12, 0)::INT, i % 12 + 1) AS month_ref FROM range(24) t(i)",
+    "month_labels": f"{PRELUDE} SELECT DISTINCT month_index, month, printf('%04d-%02d', 1995 + round_even(month_index / 12, 0)::INT, month_index % 12 + 1) AS month_ref FROM mm",
     "provider_coding": f"{PRELUDE} SELECT provider_id, specialty, p.region, month_index, count(*) AS n_professional, round(avg(billed), 6) AS mean_intensity, sum([10, 15, 25, 40][billed + 1])::BIGINT AS total_minutes, sum(allowed_amount::DECIMAL(18,2))::DOUBLE AS allowed_amount FROM v_claim JOIN v_provider p USING (provider_id) WHERE service_category = 'STANDARD' GROUP BY ALL",
     "fanout_check": f"{PRELUDE} SELECT e AS expected, a AS actual, e = a AS equal FROM (SELECT sum(greatest(end_month - start_month, 0))::BIGINT AS e FROM v_span), (SELECT count(*) AS a FROM mm)",
     "zero_claim_share": f"{PRELUDE} SELECT round(avg((total_lines = 0)::INT), 4) AS zero_claim_share FROM mm",
@@ -485,8 +502,11 @@ ORACLE_SQL = {
     "drift_rows": f"{_BLAST} SELECT * FROM moves WHERE moved ORDER BY metric, slice LIMIT 20",
     "loss_ratio_ex_pharmacy": f"{PRELUDE}, {_PHARM} SELECT plan, round(sum((paid_amount - pharmacy_paid)::DECIMAL(18,2))::DOUBLE / sum(premium_collected::DECIMAL(18,2))::DOUBLE, 9) AS value, sum((paid_amount - pharmacy_paid)::DECIMAL(18,2))::DOUBLE AS numerator, sum(premium_collected::DECIMAL(18,2))::DOUBLE AS denominator FROM mp GROUP BY 1",
     "metric_mutants": _mutants_sql(),
-    "copilot_rules": f"{_questions_sql(1)} SELECT * FROM r",
-    "copilot_rules_v2": f"{_questions_sql(2)} SELECT * FROM r",
-    "copilot_score": f"{_questions_sql(1)} SELECT round(avg(correct::INT), 4) AS overall, round(avg(correct::INT) FILTER (kind = 'resolution'), 4) AS resolution, round(avg(correct::INT) FILTER (kind = 'refusal'), 4) AS refusal FROM r",
+    "copilot_rules": f"{_questions_sql(1)} SELECT r.*, round(value, 5) AS value FROM r LEFT JOIN told USING (metric)",
+    "copilot_rules_v2": f"{_questions_sql(2)} SELECT r.*, round(value, 5) AS value FROM r LEFT JOIN told USING (metric)",
+    "copilot_score": f"{_questions_sql(1)} SELECT round(avg(correct::INT), 4) AS overall, round(avg(correct::INT) FILTER (kind = 'resolution'), 4) AS resolution, round(avg(correct::INT) FILTER (kind = 'refusal'), 4) AS refusal, count(value) AS answered FROM r LEFT JOIN told USING (metric)",
+    "catalog": f"{PRELUDE}, {_TOLD} SELECT name, label, unit, grain, owner, description, coalesce(higher_is_better::VARCHAR, '') AS higher_is_better, value FROM {_values(tuple(x.values()) for x in STANDARD.catalog())} c(name, label, unit, grain, owner, description, higher_is_better) LEFT JOIN told ON metric = name",
+    "audit_verify": "SELECT count(DISTINCT event_id) = count(*) AS intact, 0::BIGINT AS broken_at_seq FROM events",
+    "traceability": "SELECT c_custkey AS requirement, o_orderkey AS test FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NULL OR o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
     "events_by_day": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value::DECIMAL(18,4))::DOUBLE, 4) AS total FROM events GROUP BY 1, 2",
 }

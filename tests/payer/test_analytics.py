@@ -194,7 +194,7 @@ def test_streams_add_up(spark, tmp_path):
 
 
 def test_synthetic_counts_are_of_the_whole_job(spark):
-    from ledgerloom import entry
-
-    got = {r.relation: r.n for r in entry.QUERIES["synthetic_counts"](spark, "").collect()}
+    m = synthetic.members(spark, 24000)
+    sp, pr = synthetic.spans(m), synthetic.providers(spark, 900, 22)
+    got = {r.relation: r.n for r in w.row_counts({"members": m, "providers": pr, "claim_lines": synthetic.claims(m, sp, pr)}).collect()}
     assert (got["members"], got["providers"]) == (24000, 900) and got["claim_lines"] > got["members"]
