@@ -38,15 +38,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import cut, keep, releasing, table
 from ledgerloom.llm.whitening import usable
 
-SAMPLE, PART, LEAF, BLOCK_CELLS, AT_ONCE = 4_096, 8_192, 256, 262_144, 64
-GRAPH = "node long, code binary, scale double, ids array<long>, sims array<double>, fresh array<boolean>, least double"
-BEAM = "query long, v array<double>, ids array<long>, sims array<double>, opened array<boolean>"
+SAMPLE, PART, LEAF, BLOCK_CELLS, QUERIES, AT_ONCE = 4_096, 8_192, 256, 262_144, 1_024, 64
+#: The nodes of a block, in order, and their lists one after the other.
+STATE = "block long, node array<long>, code binary, scale array<double>, size array<long>, ids array<long>, sims array<double>, fresh array<boolean>"
+#: What a block knows of its nodes in a round: lists in both directions, the least product that is news, the share of lists to take part in.
+HELD = "part long, block long, node array<long>, code binary, scale array<double>, least array<double>, share array<double>, size array<long>, others array<long>, fresh array<boolean>"
 
 
 @dataclass(frozen=True)
@@ -64,8 +67,9 @@ class Settings:
 
 @dataclass(frozen=True)
 class Index:
-    """graph (node, ids), vectors (node, v), rows (id, node): written tables; ``entries`` are (nodes, vectors) of the sample."""
+    """Written tables: blocks_of (block, node, v, size, ids), its nodes with their vectors and lists; vectors (node, v); graph (node, ids); rows (id, node). ``entries`` are (nodes, vectors) of the sample."""
 
+    blocks_of: DataFrame
     graph: DataFrame
     vectors: DataFrame
     rows: DataFrame
@@ -211,55 +215,135 @@ def planted(codes: DataFrame, planes: Planes | None, seed: int, parts: int, d: i
     return dealt.mapInArrow(releasing(compare), "node long, ids array<long>, sims array<double>")
 
 
-# NN-descent.
+# NN-descent. The graph is kept a row a block, and so are the messages between blocks, so that a round moves few rows.
 
 
-def merged(rows: DataFrame, k: int) -> DataFrame:
-    """GRAPH from rows of (node, code, scale, ids, sims, old): each node's k best; ``fresh`` are those that aren't old."""
-    every = lambda c: F.flatten(F.collect_list(c)).alias(c)
-    sums = rows.groupBy("node").agg(F.max("code").alias("code"), F.max("scale").alias("scale"), every("ids"), every("sims"), every("old"))
+def part_of(id: np.ndarray, blocks: int) -> np.ndarray:
+    """The block of a node, by a hash of its id."""
+    return ((id.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(blocks)).astype(np.int64)
 
+
+def drawn(one: np.ndarray, other: np.ndarray, turn: int) -> np.ndarray:
+    """A number below 2**24 for each pair, by a hash."""
+    x = one.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + other.astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + np.uint64(turn + 1)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xE7037ED1A0B428DB)
+    return (x >> np.uint64(40)).astype(np.int64)
+
+
+def flat(t: pa.Table, name: str) -> np.ndarray:
+    return t[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
+
+def table_of(schema: str, **columns: list) -> pa.Table:
+    """A table of ``schema``, a plain list of rows for each column; numpy arrays are lists."""
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()), "array<boolean>": pa.list_(pa.bool_())}
+    return pa.table({name: pa.array(columns.get(name, []), kinds[kind]) for name, kind in (x.split(" ") for x in schema.split(", "))})
+
+
+def state_of(block: int, node: np.ndarray, code: bytes, scale: np.ndarray, row: np.ndarray, ids: np.ndarray, sims: np.ndarray, fresh: np.ndarray) -> pa.Table:
+    return table_of(STATE, block=[block], node=[node], code=[code], scale=[scale], size=[np.bincount(row, minlength=len(node))], ids=[ids], sims=[sims], fresh=[fresh])
+
+
+def packed(rows: DataFrame, d: int, blocks: int, k: int) -> DataFrame:
+    """STATE from rows of (node, code, scale, ids, sims): each node's k best of all its rows; all are fresh."""
+    def pack(t: pa.Table) -> pa.Table:
+        coded_rows = t.filter(pa.compute.is_valid(t["code"])).sort_by("node")
+        node = coded_rows["node"].to_numpy()
+        row, ids = lists(t["ids"])
+        sims, place = lists(t["sims"])[1], np.searchsorted(node, t["node"].to_numpy())[row]
+        at = leading(place, ids, sims, k)
+        return state_of(t["block"][0].as_py(), node, b"".join(coded_rows["code"].to_pylist()), coded_rows["scale"].to_numpy(), place[at], ids[at], sims[at], np.ones(len(at), dtype=bool))
+
+    schema = "node long, code binary, scale double, ids array<long>, sims array<double>"
+    return rows.mapInArrow(numbered(blocks), f"{schema}, block long").groupBy("block").applyInArrow(pack, STATE)
+
+
+def links(blocks: int):
+    """Each link of a state to the block of the node that it lists."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for i in range(0, big.num_rows, 1_024):
-                b = big.slice(i, 1_024)
-                row, ids = lists(b.column("ids"))
-                sims, old = lists(b.column("sims"))[1], lists(b.column("old"))[1].astype(bool)
-                at = leading(row, ids, sims, k, old)
-                r, n = row[at], b.num_rows
-                least = np.full(n, -np.inf)
-                full = np.bincount(r, minlength=n) == k
-                np.minimum.at(low := np.full(n, np.inf), r, sims[at])
-                least[full] = low[full]
-                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("code"), b.column("scale"), as_lists(r, n, ids[at], pa.int64()), as_lists(r, n, sims[at], pa.float64()), as_lists(r, n, ~old[at], pa.bool_()), pa.array(least)], names=["node", "code", "scale", "ids", "sims", "fresh", "least"])
-
-    return sums.mapInArrow(releasing(work), GRAPH)
-
-
-def block(id: str, blocks: int):
-    return F.pmod(F.xxhash64(F.lit(7), id), F.lit(blocks))
-
-
-def met(lists_of: pa.Table, gathered: pa.Table, d: int, k: int) -> pa.Table:
-    """(node, ids, sims): for all that stand in one of the lists, the best that it meets there and doesn't know."""
-    if not lists_of.num_rows or not gathered.num_rows:
-        return pa.table({"node": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "sims": pa.array([], pa.list_(pa.float64()))})
-    id = gathered["other"].to_numpy()
+        for b in batches:
+            for i in range(b.num_rows):
+                t = pa.Table.from_batches([b.slice(i, 1)])
+                node, ids, fresh = flat(t, "node"), flat(t, "ids"), flat(t, "fresh")
+                source, part = np.repeat(node, flat(t, "size")), part_of(ids, blocks)
+                order = np.argsort(part, kind="stable")
+                parts, start = np.unique(part[order], return_index=True)
+                cuts = np.split(order, start[1:]) if len(order) else []
+                out = table_of("part long, target array<long>, source array<long>, new array<boolean>", part=list(parts), target=[ids[c] for c in cuts], source=[source[c] for c in cuts], new=[fresh[c] for c in cuts])
+                yield from out.to_batches()
+
+    return releasing(work)
+
+
+def listed(state: pa.Table, back: pa.Table, blocks: int, turn: int, s: Settings) -> pa.Table:
+    """HELD: the block's own row (part null), and a row for each block of what it needs of that block."""
+    if not state.num_rows:
+        return table_of(HELD)
+    node, size, ids, sims, fresh = (flat(state, c) for c in ("node", "size", "ids", "sims", "fresh"))
+    n, row = len(node), np.repeat(np.arange(len(node)), size)
+    target, source, new = (flat(back, c) if back.num_rows else np.zeros(0, dtype=int) for c in ("target", "source", "new"))
+    place = np.searchsorted(node, target)
+    order = np.lexsort((source, drawn(source, target, turn), place))
+    place, source, new = place[order], source[order], new[order].astype(bool)
+    taken = np.arange(len(place)) - np.searchsorted(place, place) < s.reverse
+    share = np.minimum(1.0, 8.0 * s.reverse / np.maximum(np.bincount(place, minlength=n), 1))
+    low = np.full(n, np.inf)
+    np.minimum.at(low, row, sims)
+    least = np.where(size == s.k, low, -np.inf)
+    row, others, fresh = np.concatenate([row, place[taken]]), np.concatenate([ids, source[taken]]), np.concatenate([fresh.astype(bool), new[taken]])
+    # A list without anything new has nothing to tell.
+    alive = np.zeros(n, dtype=bool)
+    alive[row[fresh]] = True
+    order = np.argsort(row, kind="stable")
+    order = order[alive[row[order]]]
+    row, others, fresh = row[order], others[order], fresh[order]
+    wanted = np.unique(others)
+    part = part_of(wanted, blocks)
+    by = np.argsort(part, kind="stable")
+    parts, start = np.unique(part[by], return_index=True)
+    cuts = np.split(wanted[by], start[1:]) if len(by) else []
+    block_, m, none = state["block"][0].as_py(), len(parts), [None] * len(parts)
+    return table_of(
+        HELD, part=[None, *parts], block=[block_] * (m + 1), node=[node, *none], code=[state["code"][0].as_py(), *none], scale=[flat(state, "scale"), *none], least=[least, *none], share=[share, *none],
+        size=[np.bincount(row, minlength=n), *none], others=[others, *cuts], fresh=[fresh, *none])
+
+
+GIVEN = "block long, other array<long>, code binary, scale array<double>, least array<double>, share array<double>"
+
+
+def given(wanted: pa.Table, held: pa.Table, d: int) -> pa.Table:
+    """What each block needs of this one: codes and what is news to them."""
+    if not wanted.num_rows or not held.num_rows:
+        return table_of(GIVEN)
+    node, code = flat(held, "node"), decoded(held["code"], d)
+    scale, least, share = (flat(held, c) for c in ("scale", "least", "share"))
+    asked = [x.values.to_numpy() for x in wanted["others"]]
+    at = [np.searchsorted(node, x) for x in asked]
+    return table_of(GIVEN, block=wanted["block"].to_pylist(), other=asked, code=[code[a].tobytes() for a in at], scale=[scale[a] for a in at], least=[least[a] for a in at], share=[share[a] for a in at])
+
+
+NEWS = "part long, node array<long>, found array<long>, value array<double>"
+
+
+def met(held: pa.Table, known: pa.Table, d: int, blocks: int, k: int) -> pa.Table:
+    """NEWS by block: for all that stand in one of the lists, the best that it meets there and doesn't know."""
+    if not held.num_rows or not known.num_rows:
+        return table_of(NEWS)
+    id = flat(known, "other")
     order = np.argsort(id)
-    id, code = id[order], decoded(gathered["code"], d)[order]
-    scale, least, share = (gathered[c].to_numpy()[order] for c in ("scale", "least", "share"))
-    row, others = lists(lists_of["others"])
-    fresh, owner = lists(lists_of["fresh"])[1].astype(bool), lists_of["node"].to_numpy()[row]
+    id, code = id[order], decoded(known["code"], d)[order]
+    scale, least, share = (flat(known, c)[order] for c in ("scale", "least", "share"))
+    node, size, others, fresh = flat(held, "node"), flat(held, "size"), flat(held, "others"), flat(held, "fresh").astype(bool)
+    n, row = len(node), np.repeat(np.arange(len(node)), size)
     place = np.searchsorted(id, others)
-    # Of very many lists a node takes part in its share, by a hash of both.
-    drawn = ((others * np.int64(0x5851F42D4C957F2D) + owner * np.int64(0x14057B7EF767814F)) >> np.int64(33)) & np.int64(0xFFFFFF)
-    kept = drawn <= share[place] * 0xFFFFFF
+    # Of very many lists a node takes part in its share.
+    kept = drawn(others, node[row], 0) <= share[place] * (1 << 24)
     row, place, fresh = row[kept], place[kept], fresh[kept]
-    start = np.searchsorted(row, np.arange(lists_of.num_rows + 1))
+    start = np.searchsorted(row, np.arange(n + 1))
     width = int(np.diff(start).max(initial=0))
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for i in range(0, lists_of.num_rows, AT_ONCE):
-        s = slice(start[i], start[min(i + AT_ONCE, lists_of.num_rows)])
+    found: list[tuple[np.ndarray, ...]] = []
+    for i in range(0, n, AT_ONCE):
+        s = slice(start[i], start[min(i + AT_ONCE, n)])
         if s.start == s.stop:
             continue
         line = row[s] - i
@@ -270,14 +354,18 @@ def met(lists_of: pa.Table, gathered: pa.Table, d: int, k: int) -> pa.Table:
         sims = products(code[at], scale[at])
         good = (sims > least[at][:, :, None]) & (new[:, :, None] | new[:, None, :]) & some[:, :, None] & some[:, None, :] & (at[:, :, None] != at[:, None, :])
         g, a, b = np.nonzero(good)
-        pair = at[g, a] * len(id) + at[g, b]
-        pair, one = np.unique(pair, return_index=True)
+        pair, one = np.unique(at[g, a] * len(id) + at[g, b], return_index=True)
         found.append((pair // len(id), pair % len(id), sims[g[one], a[one], b[one]]))
         if len(found) >= 32:
             found = [best_of(found, k)]
-    u, w, sims = best_of(found, k) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-    nodes, row = np.unique(u, return_inverse=True)
-    return pa.table({"node": pa.array(id[nodes]), "ids": as_lists(row, len(nodes), id[w], pa.int64()), "sims": as_lists(row, len(nodes), sims, pa.float64())})
+    if not found:
+        return table_of(NEWS)
+    u, w, sims = best_of(found, k)
+    part = part_of(id[u], blocks)
+    order = np.argsort(part, kind="stable")
+    parts, start = np.unique(part[order], return_index=True)
+    cuts = np.split(order, start[1:]) if len(order) else []
+    return table_of(NEWS, part=list(parts), node=[id[u[c]] for c in cuts], found=[id[w[c]] for c in cuts], value=[sims[c] for c in cuts])
 
 
 def best_of(found: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
@@ -286,23 +374,53 @@ def best_of(found: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ..
     return u[at], w[at], sims[at]
 
 
-def descended(graph: DataFrame, d: int, blocks: int, turn: int, s: Settings) -> DataFrame:
+def renewed(state: pa.Table, news: pa.Table, k: int) -> pa.Table:
+    """The state with what was found; ``fresh`` is what it didn't hold before."""
+    if not state.num_rows:
+        return table_of(STATE)
+    node, ids, sims = (flat(state, c) for c in ("node", "ids", "sims"))
+    row, old = np.repeat(np.arange(len(node)), flat(state, "size")), np.ones(len(ids), dtype=bool)
+    if news.num_rows:
+        more = flat(news, "found")
+        row, ids, sims = np.concatenate([row, np.searchsorted(node, flat(news, "node"))]), np.concatenate([ids, more]), np.concatenate([sims, flat(news, "value")])
+        old = np.concatenate([old, np.zeros(len(more), dtype=bool)])
+    at = leading(row, ids, sims, k, old)
+    return state_of(state["block"][0].as_py(), node, state["code"][0].as_py(), flat(state, "scale"), row[at], ids[at], sims[at], ~old[at])
+
+
+def descended(state: DataFrame, d: int, blocks: int, turn: int, s: Settings) -> DataFrame:
     """The graph after one round."""
-    links = graph.select("node", F.explode(F.arrays_zip("ids", "fresh")).alias("x")).select("node", F.col("x.ids").alias("id"), F.col("x.fresh").alias("fresh"))
-    drawn = Window.partitionBy("id").orderBy(F.xxhash64(F.lit(turn), "id", "node"), "node")
-    listing = links.withColumn("place", F.row_number().over(drawn)).filter(F.col("place") <= s.reverse).groupBy("id").agg(F.collect_list("node").alias("listing"), F.collect_list("fresh").alias("listing_fresh"))
-    busy = links.groupBy("id").count().filter(F.col("count") > 8 * s.reverse).select(F.col("id").alias("node"), (F.lit(8.0 * s.reverse) / F.col("count")).alias("share"))
-    none = lambda kind: F.array().cast(kind)
-    both = graph.join(listing.withColumnRenamed("id", "node"), "node", "left").select(
-        block("node", blocks).alias("block"), "node", F.concat("ids", F.coalesce("listing", none("array<long>"))).alias("others"), F.concat("fresh", F.coalesce("listing_fresh", none("array<boolean>"))).alias("fresh"))
-    needed = both.filter(F.exists("fresh", lambda f: f)).select(F.col("block").alias("part"), F.explode("others").alias("other")).distinct()
-    known = graph.join(busy, "node", "left").select(F.col("node").alias("other"), "code", "scale", "least", F.coalesce("share", F.lit(1.0)).alias("share"))
-    gathered = needed.join(known, "other")
-    lists_of = both.filter(F.exists("fresh", lambda f: f)).groupBy("block")
-    k = s.k
-    new = lists_of.cogroup(gathered.groupBy("part")).applyInArrow(lambda a, b: met(a, b, d, k), "node long, ids array<long>, sims array<double>")
-    old = graph.select("node", "code", "scale", "ids", "sims", F.transform("ids", lambda _: F.lit(True)).alias("old"))
-    return merged(old.union(new.select("node", F.lit(None).cast("binary"), F.lit(None).cast("double"), "ids", "sims", F.transform("ids", lambda _: F.lit(False)))), k)
+    by = state.groupBy("block")
+    back = state.mapInArrow(links(blocks), "part long, target array<long>, source array<long>, new array<boolean>")
+    held = cut(by.cogroup(back.groupBy("part")).applyInArrow(lambda a, b: listed(a, b, blocks, turn, s), HELD))
+    own, wanted = held.filter("part is null"), held.filter("part is not null").select("part", "block", "others")
+    known = wanted.groupBy("part").cogroup(own.select("block", "node", "code", "scale", "least", "share").groupBy("block")).applyInArrow(lambda a, b: given(a, b, d), GIVEN)
+    news = own.select("block", "node", "size", "others", "fresh").groupBy("block").cogroup(known.withColumnRenamed("block", "part").groupBy("part")).applyInArrow(lambda a, b: met(a, b, d, blocks, s.k), NEWS)
+    return by.cogroup(news.groupBy("part")).applyInArrow(lambda a, b: renewed(a, b, s.k), STATE)
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, ids) of a state."""
+    for b in batches:
+        for i in range(b.num_rows):
+            t = pa.Table.from_batches([b.slice(i, 1)])
+            node, size = flat(t, "node"), flat(t, "size")
+            yield pa.RecordBatch.from_arrays([pa.array(node), as_lists(np.repeat(np.arange(len(node)), size), len(node), flat(t, "ids"), pa.int64())], names=["node", "ids"])
+
+
+def numbered(blocks: int):
+    """Rows of nodes with the block of each."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.append_column("block", pa.array(part_of(b.column("node").to_numpy(), blocks)))
+
+    return work
+
+
+def completed(rows: pa.Table, state: pa.Table) -> pa.Table:
+    """A block's nodes with their original vectors and their lists."""
+    rows = rows.sort_by("node")
+    return pa.table({"block": pa.array([state["part"][0].as_py()]), **{c: pa.array([flat(t, c) if c != "node" else flat(state, c)], pa.list_(kind)) for c, t, kind in (("node", state, pa.int64()), ("v", rows, pa.float64()), ("size", state, pa.int64()), ("ids", state, pa.int64()))}})
 
 
 def build(df: DataFrame, id: str = "vec_id", vector: str = "embedding", settings: Settings = Settings()) -> Index | None:
@@ -319,129 +437,174 @@ def build(df: DataFrame, id: str = "vec_id", vector: str = "embedding", settings
     sample = vectors.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect()
     entries = np.array([r.node for r in sample]), np.array([r.v for r in sample])
     depth = min(6, max(0, (len(sample) // 64).bit_length() - 1))
-    first = codes.select("node", "code", "scale", F.array().cast("array<long>").alias("ids"), F.array().cast("array<double>").alias("sims"), F.array().cast("array<boolean>").alias("old"))
+    first = codes.select("node", "code", "scale", F.array().cast("array<long>").alias("ids"), F.array().cast("array<double>").alias("sims"))
     # The last deals at random, so that what the planes part is linked from the start.
     for seed in range(s.trees + 1):
         grown = planted(codes, Planes.plant(entries[1], depth, seed) if seed < s.trees else None, seed, -(-n // PART), d, s.k)
-        first = first.union(grown.select("node", F.lit(None).cast("binary"), F.lit(None).cast("double"), "ids", "sims", F.transform("ids", lambda _: F.lit(False))))
-    graph = cut(merged(first, s.k))
+        first = first.union(grown.select("node", F.lit(None).cast("binary"), F.lit(None).cast("double"), "ids", "sims"))
+    state = cut(packed(first, d, blocks, s.k))
     for turn in range(s.rounds):
-        graph = cut(descended(graph, d, blocks, turn, s))
-        fresh = graph.agg(F.sum(F.size(F.filter("fresh", lambda f: f)))).first()[0]
+        state = cut(descended(state, d, blocks, turn, s))
+        fresh = state.agg(F.sum(F.size(F.filter("fresh", lambda f: f)))).first()[0]
         if fresh <= s.settled * n * s.k:
             break
-    return Index(graph.select("node", "ids"), vectors, members, entries, blocks, s)
+    graph = keep(state.mapInArrow(unpacked, "node long, ids array<long>"))
+    whole = vectors.mapInArrow(numbered(blocks), "node long, v array<double>, block long").groupBy("block").cogroup(state.withColumnRenamed("block", "part").groupBy("part"))
+    blocks_of = keep(whole.applyInArrow(completed, "block long, node array<long>, v array<double>, size array<long>, ids array<long>"))
+    return Index(blocks_of, graph, vectors, members, entries, blocks, s)
+
+
+# Search. Queries are kept in blocks like nodes, with their beams; what goes between the two are lists of ids and products.
+
+BEAMS = "block long, query array<long>, v array<double>, size array<long>, ids array<long>, sims array<double>, opened array<boolean>, asks array<long>, todo array<long>"
+ASKED = "part long, block long, query array<long>, node array<long>"
+HEARD = "block long, query array<long>, node array<long>"
+POSED = "part long, block long, query array<long>, v array<double>, least array<double>, size array<long>, node array<long>"
+SCORED = "block long, query array<long>, node array<long>, value array<double>"
+
 
+def beams_of(block: int, query: np.ndarray, v: np.ndarray, row: np.ndarray, ids: np.ndarray, sims: np.ndarray, opened: np.ndarray, asking: np.ndarray, todo: np.ndarray) -> pa.Table:
+    n = len(query)
+    return table_of(BEAMS, block=[block], query=[query], v=[v.ravel()], size=[np.bincount(row, minlength=n)], ids=[ids], sims=[sims], opened=[opened], asks=[np.bincount(asking, minlength=n)], todo=[todo])
 
-# Search.
+
+def gathered(rows: pa.Table) -> pa.Table:
+    """BEAMS of the queries of one block: nothing found, the starts to do."""
+    rows = rows.sort_by("query")
+    asking, todo = lists(rows["starts"])
+    none = np.zeros(0, dtype=int)
+    return beams_of(rows["block"][0].as_py(), rows["query"].to_numpy(), flat(rows, "v"), none, none, none.astype(float), none.astype(bool), asking, todo)
+
+
+def dealt(part: np.ndarray) -> tuple[list, list[np.ndarray]]:
+    """The parts that there are, and the positions of each."""
+    order = np.argsort(part, kind="stable")
+    parts, start = np.unique(part[order], return_index=True)
+    return parts.tolist(), np.split(order, start[1:]) if len(order) else []
+
+
+def asking(blocks: int):
+    """What is to open, to the blocks that list it."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                t = pa.Table.from_batches([b.slice(i, 1)])
+                todo = flat(t, "todo")
+                if len(todo):
+                    query = np.repeat(flat(t, "query"), flat(t, "asks"))
+                    parts, cuts = dealt(part_of(todo, blocks))
+                    yield from table_of(ASKED, part=parts, block=[t["block"][0].as_py()] * len(parts), query=[query[c] for c in cuts], node=[todo[c] for c in cuts]).to_batches()
+
+    return releasing(work)
+
+
+def heard(asked: pa.Table, held: pa.Table) -> pa.Table:
+    """What the nodes that each block of queries asks for list."""
+    if not asked.num_rows or not held.num_rows:
+        return table_of(HEARD)
+    node, size, ids = flat(held, "node"), flat(held, "size"), flat(held, "ids")
+    begin = np.concatenate([[0], np.cumsum(size)])
+    out_query, out_node = [], []
+    for i in range(asked.num_rows):
+        query, at = asked["query"][i].values.to_numpy(), np.searchsorted(node, asked["node"][i].values.to_numpy())
+        many = size[at]
+        place = np.repeat(begin[at] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+        pair = np.unique(np.stack([np.repeat(query, many), ids[place]]), axis=1)
+        out_query.append(pair[0])
+        out_node.append(pair[1])
+    return table_of(HEARD, block=asked["block"].to_pylist(), query=out_query, node=out_node)
+
+
+def posed(beams: pa.Table, told: pa.Table, blocks: int, width: int) -> pa.Table:
+    """POSED: the nodes that a query hasn't scored in its beam, to the blocks that hold their vectors, with the queries' vectors."""
+    if not beams.num_rows or not len(todo := flat(beams, "todo")):
+        return table_of(POSED)
+    query, v, size, ids, sims = (flat(beams, c) for c in ("query", "v", "size", "ids", "sims"))
+    n, row = len(query), np.repeat(np.arange(len(query)), size)
+    v = v.reshape(n, -1)
+    low = np.full(n, np.inf)
+    np.minimum.at(low, row, sims)
+    least = np.where(size >= width, low, -np.inf)
+    listed_row = np.searchsorted(query, flat(told, "query")) if told.num_rows else np.zeros(0, dtype=int)
+    r = np.concatenate([row, listed_row, np.repeat(np.arange(n), flat(beams, "asks"))])
+    x = np.concatenate([ids, flat(told, "node") if told.num_rows else ids[:0], todo])
+    known = np.arange(len(r)) < len(row)
+    order = np.lexsort((~known, x, r))
+    r, x, known = r[order], x[order], known[order]
+    first = np.ones(len(r), dtype=bool)
+    first[1:] = (r[1:] != r[:-1]) | (x[1:] != x[:-1])
+    r, x = r[first & ~known], x[first & ~known]
+    parts, cuts = dealt(part_of(x, blocks))
+    some = [np.unique(r[c], return_counts=True) for c in cuts]
+    return table_of(POSED, part=parts, block=[beams["block"][0].as_py()] * len(parts), query=[query[q] for q, _ in some], v=[v[q].ravel() for q, _ in some], least=[least[q] for q, _ in some], size=[m for _, m in some], node=[x[c] for c in cuts])
 
 
 def scored(asked: pa.Table, held: pa.Table, beam: int) -> pa.Table:
-    """(query, ids, sims): of the nodes that each query asks of one block, those that are better than its beam's last."""
-    if not asked.num_rows:
-        return pa.table({"query": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "sims": pa.array([], pa.list_(pa.float64()))})
-    node = held["node"].to_numpy()
-    order = np.argsort(node)
-    x = held["v"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)[order]
-    node = node[order]
-    v = asked["v"].combine_chunks().flatten().to_numpy().reshape(asked.num_rows, -1)
-    row, ids = lists(asked["ids"])
-    place, sims = np.searchsorted(node, ids), np.empty(len(ids))
-    for i in range(0, len(ids), 65_536):
-        s = slice(i, i + 65_536)
-        sims[s] = np.einsum("ij,ij->i", x[place[s]], v[row[s]])
-    good = np.flatnonzero(sims > asked["least"].to_numpy()[row])
-    at = good[leading(row[good], ids[good], sims[good], beam)]
-    n = asked.num_rows
-    return pa.table({"query": asked["query"], "ids": as_lists(row[at], n, ids[at], pa.int64()), "sims": as_lists(row[at], n, sims[at], pa.float64())})
-
-
-def greedy(index: Index, starts: DataFrame) -> DataFrame:
-    """(query, ids, sims): the beam of each row of (query, v, starts) when nothing in it is left to open."""
-    width, blocks, graph = index.settings.beam, index.blocks, index.graph
-    asked_schema = "block long, query long, v array<double>, least double, ids array<long>"
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What the opened nodes list and the beam doesn't hold, as one row a query; Spark deals it to blocks."""
-        for big in batches:
-            for i in range(0, big.num_rows, 256):
-                b = big.slice(i, 256)
-                row, ids = lists(b.column("listed"))
-                beam_row, beam_ids = lists(b.column("ids"))
-                sims = lists(b.column("sims"))[1]
-                n = b.num_rows
-                size = np.bincount(beam_row, minlength=n)
-                np.minimum.at(low := np.full(n, np.inf), beam_row, sims)
-                least = np.where(size >= width, low, -np.inf)
-                known = np.concatenate([np.zeros(len(ids), dtype=bool), np.ones(len(beam_ids), dtype=bool)])
-                r, x = np.concatenate([row, beam_row]), np.concatenate([ids, beam_ids])
-                order = np.lexsort((~known, x, r))
-                r, x, known = r[order], x[order], known[order]
-                first = np.ones(len(r), dtype=bool)
-                first[1:] = (r[1:] != r[:-1]) | (x[1:] != x[:-1])
-                new = first & ~known
-                yield pa.RecordBatch.from_arrays([b.column("query"), b.column("v"), pa.array(least), as_lists(r[new], n, x[new], pa.int64())], names=["query", "v", "least", "ids"])
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each query and block that has some of its nodes; blocks come with the ids."""
-        for big in batches:
-            for i in range(0, big.num_rows, 256):
-                b = big.slice(i, 256)
-                row, ids = lists(b.column("ids"))
-                of = lists(b.column("blocks"))[1]
-                order = np.lexsort((of, row))
-                key = (row * blocks + of)[order]
-                keys, start = np.unique(key, return_index=True)
-                at = keys // blocks
-                yield pa.RecordBatch.from_arrays([pa.array(keys % blocks), b.column("query").take(pa.array(at)), b.column("v").take(pa.array(at)), b.column("least").take(pa.array(at)), as_lists(np.repeat(np.arange(len(keys)), np.diff([*start, len(key)])), len(keys), ids[order], pa.int64())], names=["block", "query", "v", "least", "ids"])
-
-    def join_beam(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for i in range(0, big.num_rows, 1_024):
-                b = big.slice(i, 1_024)
-                row, ids = lists(b.column("ids"))
-                sims, opened = lists(b.column("sims"))[1], lists(b.column("opened"))[1].astype(bool)
-                at = leading(row, ids, sims, width, opened)
-                r, n = row[at], b.num_rows
-                yield pa.RecordBatch.from_arrays([b.column("query"), b.column("v"), as_lists(r, n, ids[at], pa.int64()), as_lists(r, n, sims[at], pa.float64()), as_lists(r, n, opened[at], pa.bool_())], names=["query", "v", "ids", "sims", "opened"])
-
-    empty = lambda kind: F.array().cast(f"array<{kind}>")
-    every = lambda c: F.flatten(F.collect_list(c)).alias(c)
-    held = index.vectors.withColumn("part", block("node", blocks)).groupBy("part")
-    state = starts.select("query", "v", empty("long").alias("ids"), empty("double").alias("sims"), empty("boolean").alias("opened"), F.col("starts").alias("todo"))
-    done: list[DataFrame] = []
-    for turn in range(index.settings.search_rounds):
-        todo = state.select("query", F.explode("todo").alias("node")).join(graph, "node").groupBy("query").agg(F.flatten(F.collect_list("ids")).alias("listed"))
-        # The starts themselves have no scores yet.
-        listed = F.concat(F.coalesce("listed", empty("long")), F.col("todo")) if not turn else F.coalesce("listed", empty("long"))
-        opening = state.join(todo, "query", "left").select("query", "v", "ids", "sims", listed.alias("listed"))
-        new = opening.mapInArrow(ask, "query long, v array<double>, least double, ids array<long>")
-        dealt = new.withColumn("blocks", F.transform("ids", lambda i: F.pmod(F.xxhash64(F.lit(7), i), F.lit(blocks)))).mapInArrow(deal, asked_schema)
-        answers = dealt.groupBy("block").cogroup(held).applyInArrow(lambda a, b: scored(a, b, width), "query long, ids array<long>, sims array<double>")
-        # Nodes of this turn's todo count as opened from here on.
-        now = state.select("query", "v", "ids", "sims", F.transform("ids", lambda i: F.lit(True)).alias("opened"))
-        first = F.transform("ids", lambda i: F.lit(False))
-        rows = now.union(answers.select("query", F.lit(None).cast("array<double>"), "ids", "sims", first))
-        beam = rows.groupBy("query").agg(F.max("v").alias("v"), every("ids"), every("sims"), every("opened")).mapInArrow(releasing(join_beam), BEAM)
-        beam = cut(beam.withColumn("todo", F.transform(F.filter(F.arrays_zip("ids", "opened"), lambda x: ~x.opened), lambda x: x.ids)))
-        done.append(beam.filter(F.size("todo") == 0).select("query", "ids", "sims"))
-        state = beam.filter(F.size("todo") > 0)
-        if state.isEmpty():
+    """Of the nodes that each query asks of one block, those that are better than its beam's last."""
+    if not asked.num_rows or not held.num_rows:
+        return table_of(SCORED)
+    node, out = flat(held, "node"), []
+    x = flat(held, "v").reshape(len(node), -1)
+    for i in range(asked.num_rows):
+        query, size, ids = (asked[c][i].values.to_numpy() for c in ("query", "size", "node"))
+        v, row = asked["v"][i].values.to_numpy().reshape(len(query), -1), np.repeat(np.arange(len(query)), size)
+        place, sims = np.searchsorted(node, ids), np.empty(len(ids))
+        for j in range(0, len(ids), 65_536):
+            s = slice(j, j + 65_536)
+            sims[s] = np.einsum("ij,ij->i", x[place[s]], v[row[s]])
+        good = np.flatnonzero(sims > asked["least"][i].values.to_numpy()[row])
+        at = good[leading(row[good], ids[good], sims[good], beam)]
+        out.append((query[row[at]], ids[at], sims[at]))
+    return table_of(SCORED, block=asked["block"].to_pylist(), query=[o[0] for o in out], node=[o[1] for o in out], value=[o[2] for o in out])
+
+
+def advanced(beams: pa.Table, found: pa.Table, width: int) -> pa.Table:
+    """The beams with what was found; what they held before counts as opened, the rest is to do."""
+    if not beams.num_rows:
+        return table_of(BEAMS)
+    query, ids, sims = (flat(beams, c) for c in ("query", "ids", "sims"))
+    row, opened = np.repeat(np.arange(len(query)), flat(beams, "size")), np.ones(len(ids), dtype=bool)
+    if found.num_rows:
+        more = flat(found, "node")
+        row, ids, sims = np.concatenate([row, np.searchsorted(query, flat(found, "query"))]), np.concatenate([ids, more]), np.concatenate([sims, flat(found, "value")])
+        opened = np.concatenate([opened, np.zeros(len(more), dtype=bool)])
+    at = leading(row, ids, sims, width, opened)
+    row, ids, sims, opened = row[at], ids[at], sims[at], opened[at]
+    return beams_of(beams["block"][0].as_py(), query, flat(beams, "v"), row, ids, sims, opened, row[~opened], ids[~opened])
+
+
+def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(query, ids, sims) of the beams."""
+    for b in batches:
+        for i in range(b.num_rows):
+            t = pa.Table.from_batches([b.slice(i, 1)])
+            query, size = flat(t, "query"), flat(t, "size")
+            row, n = np.repeat(np.arange(len(query)), size), len(query)
+            yield pa.RecordBatch.from_arrays([pa.array(query), as_lists(row, n, flat(t, "ids"), pa.int64()), as_lists(row, n, flat(t, "sims"), pa.float64())], names=["query", "ids", "sims"])
+
+
+def greedy(index: Index, starts: DataFrame, count: int) -> DataFrame:
+    """(query, ids, sims): the beam of each row of (query, v, starts), ``count`` in all, when nothing in it is left to open."""
+    width, blocks, held = index.settings.beam, index.blocks, index.blocks_of
+    state = starts.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(max(1, -(-count // QUERIES))))).groupBy("block").applyInArrow(gathered, BEAMS)
+    state = cut(state)
+    for _ in range(index.settings.search_rounds):
+        asked = state.mapInArrow(asking(blocks), ASKED)
+        told = asked.groupBy("part").cogroup(held.select("block", "node", "size", "ids").groupBy("block")).applyInArrow(heard, HEARD)
+        new = state.groupBy("block").cogroup(told.withColumnRenamed("block", "part").groupBy("part")).applyInArrow(lambda a, b: posed(a, b, blocks, width), POSED)
+        found = new.groupBy("part").cogroup(held.select("block", "node", "v").groupBy("block")).applyInArrow(lambda a, b: scored(a, b, width), SCORED)
+        state = cut(state.groupBy("block").cogroup(found.withColumnRenamed("block", "part").groupBy("part")).applyInArrow(lambda a, b: advanced(a, b, width), BEAMS))
+        if not state.agg(F.sum(F.size("todo"))).first()[0]:
             break
-    else:
-        done.append(state.select("query", "ids", "sims"))
-    out = done[0]
-    for one in done[1:]:
-        out = out.union(one)
-    return out
+    return state.mapInArrow(finished, "query long, ids array<long>, sims array<double>")
 
 
 def nearest(index: Index, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score) for ``queries`` (query_id), ids of indexed rows: the k nearest other rows found."""
     asked = keep(queries.select("query_id").distinct().join(index.rows.select(F.col("id").alias("query_id"), "node"), "query_id"))
-    own = asked.select(F.col("node").alias("query")).distinct()
+    own = cut(asked.select(F.col("node").alias("query")).distinct())
     starts = own.join(index.vectors.withColumnRenamed("node", "query"), "query").join(index.graph.withColumnRenamed("node", "query"), "query").select("query", "v", F.concat(F.array("query"), "ids").alias("starts"))
-    found = greedy(index, starts).select("query", F.explode(F.arrays_zip("ids", "sims")).alias("x")).select("query", F.col("x.ids").alias("node"), F.col("x.sims").alias("score"))
+    found = greedy(index, starts, own.count()).select("query", F.explode(F.arrays_zip("ids", "sims")).alias("x")).select("query", F.col("x.ids").alias("node"), F.col("x.sims").alias("score"))
     return expanded(index, asked, found, k)
 
 
@@ -457,7 +620,7 @@ def search(index: Index, queries: DataFrame, k: int = 20) -> DataFrame:
             yield batch.append_column("starts", as_lists(np.repeat(np.arange(len(v)), most), len(v), nodes[best].ravel(), pa.int64()))
 
     rows = queries.select(F.col("query_id").cast("long").alias("query"), F.col("v").cast("array<double>").alias("v")).filter(F.size("v") == x.shape[1])
-    found = greedy(index, rows.mapInArrow(start, "query long, v array<double>, starts array<long>"))
+    found = greedy(index, rows.mapInArrow(start, "query long, v array<double>, starts array<long>"), rows.count())
     found = found.select("query", F.explode(F.arrays_zip("ids", "sims")).alias("x")).select("query", F.col("x.ids").alias("node"), F.col("x.sims").alias("score"))
     return expanded(index, rows.select(F.col("query").alias("query_id"), F.col("query").alias("node")), found, k, False)
 
