@@ -240,7 +240,7 @@ QUERIES = {
     "forecast_plain_incoherence": lambda s, d: forecast.incoherence(cut(_plain_methods(s, d))),
     "forecast_best_plain": lambda s, d: forecast.best(cut(_plain_methods(s, d))),
     "forecast_best": lambda s, d: forecast.best(cut(forecast.all_methods(_series(s, d)))),
-    "forecast_methods": lambda s, d: forecast.all_methods(_series(s, d)),
+    "forecast_methods": lambda s, d: forecast.all_methods(_series(s, d)).select("method", "level", "label", "month_index", half_up(F.col("actual"), 2).alias("actual"), half_up(F.col("value"), 2).alias("value")),
     "forecast_scores": lambda s, d: forecast.scores(forecast.all_methods(_series(s, d))),
     "forecast_incoherence": lambda s, d: forecast.incoherence(cut(forecast.all_methods(_series(s, d)))),
     "catalog": _catalog,
@@ -408,25 +408,57 @@ cg AS (SELECT {", ".join(f"sum(e{i} - d * s{i} / w) AS g{i}" for i in index)}, s
 
 _COX = _cox_sql()
 _SETTINGS_SQL = ", ".join(f"('{level}', {w_}, {damping}::DOUBLE, {uplift}::DOUBLE)" for level, (w_, damping, uplift) in forecast.SETTINGS.items())
+
+
+def _damped_sql(tag: str, series: str) -> str:
+    """fc{tag}: the last months of each series, as they were and as forecast from those before."""
+    same = "s.level = p.level AND s.label = p.label AND s.place = p.i % 12"
+    return f"""placed{tag} AS (SELECT *, row_number() OVER (PARTITION BY level, label ORDER BY month_index) - 1 AS i, greatest(count(*) OVER (PARTITION BY level, label) - {forecast.HOLDOUT}, 0) AS m FROM {series} JOIN (VALUES {_SETTINGS_SQL}) s(level, win, damping, uplift) USING (level)),
+season{tag} AS (SELECT level, label, i % 12 AS place, avg(pmpm) - avg(avg(pmpm)) OVER (PARTITION BY level, label) AS season FROM placed{tag} WHERE i < m AND i < m // 12 * 12 GROUP BY 1, 2, 3),
+fitted{tag} AS (SELECT p.level, p.label, coalesce(regr_slope(pmpm - coalesce(season, 0), i - m + 1), 0) AS slope, coalesce(regr_intercept(pmpm - coalesce(season, 0), i - m + 1), avg(pmpm - coalesce(season, 0))) AS height, arg_max(pmpm, i) AS last
+  FROM placed{tag} p LEFT JOIN season{tag} s ON {same} WHERE i < m AND i >= m - win GROUP BY 1, 2),
+fc{tag} AS (SELECT p.level, p.label, month_index, pmpm AS actual, CASE WHEN m = 0 THEN 0 WHEN m < 15 THEN last ELSE (height + slope * damping * (1 - damping ** (i - m + 1)) / (1 - damping) + coalesce(season, 0)) * (1 + uplift) END AS base
+  FROM placed{tag} p LEFT JOIN fitted{tag} f ON f.level = p.level AND f.label = p.label LEFT JOIN season{tag} s ON {same} WHERE i >= m)"""
+
+
 _FORECAST = f"""{PRELUDE}, {_LEAF},
 dense AS (SELECT region, product, month_index, pmpm FROM (SELECT DISTINCT region, product FROM leaf) CROSS JOIN (SELECT DISTINCT month_index FROM leaf) LEFT JOIN leaf USING (region, product, month_index)),
 filled AS (SELECT region, product, month_index, coalesce(last_value(pmpm IGNORE NULLS) OVER (PARTITION BY region, product ORDER BY month_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(pmpm IGNORE NULLS) OVER (PARTITION BY region, product ORDER BY month_index ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS pmpm FROM dense),
 of_leaf AS (SELECT leaf, unnest(['total', 'region', 'product', 'leaf']) AS level, unnest(['all', region, product, leaf]) AS label FROM (SELECT DISTINCT region, product, region || '|' || product AS leaf FROM filled)),
 series AS (SELECT level, label, month_index, sum(pmpm) AS pmpm FROM filled JOIN of_leaf ON leaf = region || '|' || product GROUP BY ALL),
-placed AS (SELECT *, row_number() OVER (PARTITION BY level, label ORDER BY month_index) - 1 AS i, greatest(count(*) OVER (PARTITION BY level, label) - {forecast.HOLDOUT}, 0) AS m FROM series JOIN (VALUES {_SETTINGS_SQL}) s(level, win, damping, uplift) USING (level)),
-season AS (SELECT level, label, i % 12 AS place, avg(pmpm) - avg(avg(pmpm)) OVER (PARTITION BY level, label) AS season FROM placed WHERE i < m AND i < m // 12 * 12 GROUP BY 1, 2, 3),
-fitted AS (SELECT p.level, p.label, coalesce(regr_slope(pmpm - coalesce(season, 0), i - m + 1), 0) AS slope, coalesce(regr_intercept(pmpm - coalesce(season, 0), i - m + 1), avg(pmpm - coalesce(season, 0))) AS height, arg_max(pmpm, i) AS last
-  FROM placed p LEFT JOIN season s ON s.level = p.level AND s.label = p.label AND s.place = p.i % 12 WHERE i < m AND i >= m - win GROUP BY 1, 2),
-fc AS (SELECT p.level, p.label, month_index, pmpm AS actual, CASE WHEN m = 0 THEN 0 WHEN m < 15 THEN last ELSE (height + slope * damping * (1 - damping ** (i - m + 1)) / (1 - damping) + coalesce(season, 0)) * (1 + uplift) END AS base
-  FROM placed p LEFT JOIN fitted f ON f.level = p.level AND f.label = p.label LEFT JOIN season s ON s.level = p.level AND s.label = p.label AND s.place = p.i % 12 WHERE i >= m),
+{_damped_sql('', 'series')},
 share AS (SELECT label AS leaf, sum(pmpm) / sum(sum(pmpm)) OVER () AS share FROM series WHERE level = 'leaf' AND month_index <= (SELECT max(month_index) - {forecast.HOLDOUT} FROM series) GROUP BY 1),
 plain AS (SELECT 'base' AS method, level, label, month_index, base AS value FROM fc
   UNION ALL SELECT 'bottom_up', s.level, s.label, month_index, sum(base) FROM fc JOIN of_leaf s ON s.leaf = fc.label WHERE fc.level = 'leaf' GROUP BY ALL
-  UNION ALL SELECT 'top_down', s.level, s.label, month_index, sum(base * share) FROM fc CROSS JOIN share JOIN of_leaf s USING (leaf) WHERE fc.level = 'total' GROUP BY ALL),
-methods AS (SELECT method, p.level, p.label, p.month_index, actual, value FROM plain p JOIN fc ON fc.level = p.level AND fc.label = p.label AND fc.month_index = p.month_index),
+  UNION ALL SELECT 'top_down', s.level, s.label, month_index, sum(base * share) FROM fc CROSS JOIN share JOIN of_leaf s USING (leaf) WHERE fc.level = 'total' GROUP BY ALL)"""
+
+
+def _methods_sql(source: str) -> str:
+    return f"""methods AS (SELECT method, p.level, p.label, p.month_index, actual, value FROM {source} p JOIN fc ON fc.level = p.level AND fc.label = p.label AND fc.month_index = p.month_index),
 scores AS (SELECT method, level, round(avg(abs((actual - value) / nullif(actual, 0))) * 100, 3) AS mape, round(sqrt(avg((actual - value) ** 2)), 4) AS rmse FROM (SELECT method, actual, value, unnest([level, 'ALL']) AS level FROM methods) GROUP BY 1, 2)"""
 
 
+_PLAIN = f"{_FORECAST}, {_methods_sql('plain')}"
+#: Reconciliation by Gauss-Jordan on what the upper series owe, all months as right sides.
+_ALL_METHODS = f"""{_FORECAST.replace('WITH', 'WITH RECURSIVE', 1)}, hist AS (SELECT * FROM series WHERE month_index <= (SELECT max(month_index) - {forecast.HOLDOUT} FROM series)), {_damped_sql('_h', 'hist')},
+spread AS (SELECT level, label, var_pop(actual - base) AS s FROM fc_h GROUP BY 1, 2),
+vary AS (SELECT method, k.level, k.label, CASE WHEN method = 'ols' THEN 1.0::DOUBLE ELSE greatest(coalesce(s, 0), 1e-9) END AS v FROM (SELECT DISTINCT level, label FROM fc) k CROSS JOIN (VALUES ('ols'), ('mint')) z(method) LEFT JOIN spread USING (level, label)),
+upper_ AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY level, label) AS i FROM vary WHERE level <> 'leaf'),
+inside AS (SELECT u.method, u.i, u.v, o.leaf, l.v AS lv FROM upper_ u JOIN of_leaf o ON o.level = u.level AND o.label = u.label JOIN vary l ON l.method = u.method AND l.level = 'leaf' AND l.label = o.leaf),
+shared AS (SELECT a.method, a.i, b.i AS j, sum(a.lv) AS c FROM inside a JOIN inside b ON a.method = b.method AND a.leaf = b.leaf GROUP BY ALL),
+left_side AS (SELECT a.method, a.i, list(coalesce(c, 0) + CASE WHEN a.i = b.i THEN a.v ELSE 0 END ORDER BY b.i) AS g FROM upper_ a JOIN upper_ b ON a.method = b.method LEFT JOIN shared s ON s.method = a.method AND s.i = a.i AND s.j = b.i GROUP BY a.method, a.i),
+owed AS (SELECT u.method, u.i, f.month_index, any_value(f.base) - sum(l.base) AS r FROM upper_ u JOIN fc f ON f.level = u.level AND f.label = u.label JOIN of_leaf o ON o.level = u.level AND o.label = u.label JOIN fc l ON l.level = 'leaf' AND l.label = o.leaf AND l.month_index = f.month_index GROUP BY 1, 2, 3),
+start_ AS (SELECT g.method, list(list_concat(g, r) ORDER BY g.i) AS a FROM left_side g JOIN (SELECT method, i, list(r ORDER BY month_index) AS r FROM owed GROUP BY 1, 2) w ON w.method = g.method AND w.i = g.i GROUP BY 1),
+solve AS (SELECT 0::BIGINT AS step, method, a FROM start_ UNION ALL SELECT step + 1, method, list_transform(range(1, len(a) + 1), lambda r: CASE WHEN r = step + 1 THEN list_transform(a[step + 1], lambda z: z / a[step + 1][step + 1])
+  ELSE list_transform(range(1, len(a[1]) + 1), lambda c: a[r][c] - a[r][step + 1] * a[step + 1][c] / a[step + 1][step + 1]) END) FROM solve WHERE step < len(a)),
+months_ AS (SELECT month_index, row_number() OVER (ORDER BY month_index) AS k FROM (SELECT DISTINCT month_index FROM fc)),
+leaf_fit AS (SELECT x.method, x.leaf, k.month_index, any_value(f.base) + any_value(x.lv) * sum(s.a[x.i][len(s.a) + k.k]) AS value FROM inside x CROSS JOIN months_ k JOIN solve s ON s.method = x.method AND s.step = len(s.a) JOIN fc f ON f.level = 'leaf' AND f.label = x.leaf AND f.month_index = k.month_index GROUP BY 1, 2, 3),
+every AS (SELECT * FROM plain UNION ALL SELECT method, level, label, month_index, sum(value) FROM leaf_fit JOIN of_leaf USING (leaf) GROUP BY ALL), {_methods_sql('every')}"""
+_ROUNDED = "SELECT method, level, label, month_index, floor(actual * {0}::DOUBLE + 0.5) / {0}::DOUBLE AS actual, floor(value * {0}::DOUBLE + 0.5) / {0}::DOUBLE AS value FROM methods"
+_INCOHERENT = "SELECT method, round(gap, 4) AS incoherence, round(100 * gap / whole, 4) AS incoherence_pct, gap < 1e-6 * greatest(whole, 1) AS coherent FROM (SELECT method, sum(abs(value - implied)) AS gap, sum(abs(value)) AS whole FROM methods JOIN (SELECT method, s.level, s.label, m.month_index, sum(value) AS implied FROM methods m JOIN of_leaf s ON s.leaf = m.label WHERE m.level = 'leaf' GROUP BY ALL) USING (method, level, label, month_index) GROUP BY 1)"
+_BEST = "SELECT method, mape, worst_level, worst_mape FROM (SELECT arg_min(method, (mape, method)) AS method, min(mape) AS mape FROM scores WHERE level = 'ALL') JOIN (SELECT method, arg_max(level, (mape, level)) AS worst_level, max(mape) AS worst_mape FROM scores WHERE level <> 'ALL' GROUP BY 1) USING (method)"
+
+
 def _mutants_sql() -> str:
     paid, premium, months, lines, denied = "sum(paid_amount::DECIMAL(18,2))::DOUBLE", "sum(premium_collected::DECIMAL(18,2))::DOUBLE", "count(*)::DOUBLE", "sum(total_lines)::DOUBLE", "sum(denied_lines)::DOUBLE"
     claimed = "(total_lines > 0)"
@@ -495,10 +527,14 @@ ORACLE_SQL = {
     "logrank_pairs": f"{PRELUDE}, {_SUBJECTS}, {_PAIRS} SELECT a AS first, b AS second, observed, round(expected, 4) AS expected, round(chi2, 4) AS chi2, round(p, 6) AS p_value FROM tested WHERE a < b",
     "cox_slope": f"{PRELUDE}, {_COX}",
     "forecast_base": f"{_FORECAST} SELECT level, label, month_index, floor(actual * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS actual, floor(base * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS base FROM fc",
-    "forecast_plain": f"{_FORECAST} SELECT method, level, label, month_index, floor(actual * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS actual, floor(value * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS value FROM methods",
-    "forecast_plain_scores": f"{_FORECAST} SELECT * FROM scores",
-    "forecast_plain_incoherence": f"{_FORECAST} SELECT method, round(gap, 4) AS incoherence, round(100 * gap / whole, 4) AS incoherence_pct, gap < 1e-6 * greatest(whole, 1) AS coherent FROM (SELECT method, sum(abs(value - implied)) AS gap, sum(abs(value)) AS whole FROM methods JOIN (SELECT method, s.level, s.label, m.month_index, sum(value) AS implied FROM methods m JOIN of_leaf s ON s.leaf = m.label WHERE m.level = 'leaf' GROUP BY ALL) USING (method, level, label, month_index) GROUP BY 1)",
-    "forecast_best_plain": f"{_FORECAST} SELECT method, mape, worst_level, worst_mape FROM (SELECT arg_min(method, (mape, method)) AS method, min(mape) AS mape FROM scores WHERE level = 'ALL') JOIN (SELECT method, arg_max(level, (mape, level)) AS worst_level, max(mape) AS worst_mape FROM scores WHERE level <> 'ALL' GROUP BY 1) USING (method)",
+    "forecast_plain": f"{_PLAIN} {_ROUNDED.format(10000.0)}",
+    "forecast_plain_scores": f"{_PLAIN} SELECT * FROM scores",
+    "forecast_plain_incoherence": f"{_PLAIN} {_INCOHERENT}",
+    "forecast_best_plain": f"{_PLAIN} {_BEST}",
+    "forecast_methods": f"{_ALL_METHODS} {_ROUNDED.format(100.0)}",
+    "forecast_scores": f"{_ALL_METHODS} SELECT * FROM scores",
+    "forecast_incoherence": f"{_ALL_METHODS} {_INCOHERENT}",
+    "forecast_best": f"{_ALL_METHODS} {_BEST}",
     "drift_rows": f"{_BLAST} SELECT * FROM moves WHERE moved ORDER BY metric, slice LIMIT 20",
     "loss_ratio_ex_pharmacy": f"{PRELUDE}, {_PHARM} SELECT plan, round(sum((paid_amount - pharmacy_paid)::DECIMAL(18,2))::DOUBLE / sum(premium_collected::DECIMAL(18,2))::DOUBLE, 9) AS value, sum((paid_amount - pharmacy_paid)::DECIMAL(18,2))::DOUBLE AS numerator, sum(premium_collected::DECIMAL(18,2))::DOUBLE AS denominator FROM mp GROUP BY 1",
     "metric_mutants": _mutants_sql(),
