@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.scalars import half_up, month_label
 from ledgerloom.operators import copilot, forecast, mutants, quality, regression, risk, survival, upcoding
 from ledgerloom.plans import warehouse as w
-from ledgerloom.plans.metrics import STANDARD, without_pharmacy
+from ledgerloom.plans.metrics import STANDARD, Registry, without_pharmacy
 from ledgerloom.plans.tables import cut
 from ledgerloom.sources import synthetic
 from ledgerloom.sources.payer import FIRST_YEAR, Payer
@@ -173,6 +174,13 @@ def _asked(s, d) -> DataFrame:
     return copilot.resolved(asked, STANDARD, 2).select("conv_id", "turn", "metric", "dims")
 
 
+def _claimed(registry: Registry) -> Registry:
+    """The loss ratio of months with a claim: a filter of the metric's own, beside whatever a question asks for."""
+    out = Registry(registry.base_relation, dict(registry.metrics), dict(registry.dimensions))
+    out.metrics["loss_ratio"] = replace(registry.get("loss_ratio"), filters=(lambda: F.col("total_lines") > 0,))
+    return out
+
+
 def _plain_methods(s, d) -> DataFrame:
     return forecast.all_methods(_series(s, d), projected=False)
 
@@ -199,6 +207,7 @@ QUERIES = {
     "pharmacy_split": lambda s, d: w.with_pharmacy(_base(s, d), Payer(s, d).claim_facts).groupBy("plan").agg(F.count("*").alias("n"), F.sum(F.col("pharmacy_paid").cast("decimal(18,2)")).cast("double").alias("pharmacy_paid")),
     "metric_snapshot": lambda s, d: regression.snapshot(_base(s, d), STANDARD),
     "blast_radius": lambda s, d: regression.blast_radius(w.with_pharmacy(_base(s, d), Payer(s, d).claim_facts), STANDARD, without_pharmacy(STANDARD)),
+    "loss_ratio_where": lambda s, d: _round(_claimed(STANDARD).compile(w.relations(Payer(s, d)), "loss_ratio", ["plan", "region"], [F.col("age_band") >= 40, F.col("channel").isin("employer", "broker")])),
     "drift_rows": lambda s, d: regression.first_drift(QUERIES["blast_radius"](s, d)),
     "metric_mutants": lambda s, d: mutants.caught(_base(s, d), STANDARD),
     "loss_ratio_ex_pharmacy": lambda s, d: _round(without_pharmacy(STANDARD).compile(w.relations(Payer(s, d)), "loss_ratio", ["plan"])),
@@ -214,6 +223,8 @@ QUERIES = {
     "cif": lambda s, d: survival.cumulative_incidence(Payer(s, d).enrollment_spans),
     "person_month": lambda s, d: survival.person_months(_subjects(s, d)).groupBy("tenure").agg(F.count("*").alias("n"), F.sum("had_denial").cast("long").alias("denials"), F.sum("lapsed").cast("long").alias("lapsed")),
     "cox_slope": lambda s, d: survival.cox_slope(_subjects(s, d), AT),
+    "hazard_slope": lambda s, d: survival.logistic_slope(survival.person_months(_subjects(s, d)), "lapsed", AT | {"tenure": 0.02, "intercept": -4.0}),
+    "naive_slope": lambda s, d: survival.logistic_slope(_subjects(s, d), "event_observed", AT | {"intercept": -1.0}),
     "estimator_scores": lambda s, d: survival.scored(survival.estimates(cut(_subjects(s, d))), synthetic.EFFECTS),
     "cox_ph": lambda s, d: survival.cox_frame(_subjects(s, d), ["burden10", "utilisation_low", "is_individual", "had_denial"]),
     "discrete_hazard": lambda s, d: s.createDataFrame(_pairs(survival.hazard(cut(_subjects(s, d)))), "covariate string, beta double"),
@@ -407,6 +418,16 @@ cg AS (SELECT {", ".join(f"sum(e{i} - d * s{i} / w) AS g{i}" for i in index)}, s
 
 
 _COX = _cox_sql()
+
+
+def _logistic_sql(rows: str, beta: dict) -> str:
+    column = {**{c: f"x{i}" for i, c in enumerate(AT, 1)}, "intercept": "1.0::DOUBLE"}
+    score = " + ".join(f"{b}::DOUBLE * {column.get(c, c)}" for c, b in beta.items())
+    told = " UNION ALL ".join(f"SELECT '{c}' AS covariate, round(sum((y - 1 / (1 + exp(-s))) * {column.get(c, c)}), 4) AS gradient, round(sum(y * s - ln(1 + exp(s))), 4) AS log_likelihood FROM scored_" for c in beta)
+    return f"""{PRELUDE}, cs AS (SELECT v_span.*, greatest(0.01, least(0.6, monthly_premium / annual_income)) * 10 AS x1, utilisation_low::DOUBLE AS x2, (channel = 'individual')::INT::DOUBLE AS x3 FROM v_span JOIN v_member USING (member_id)),
+scored_ AS (SELECT *, {score} AS s FROM ({rows})) {told}"""
+
+
 _SETTINGS_SQL = ", ".join(f"('{level}', {w_}, {damping}::DOUBLE, {uplift}::DOUBLE)" for level, (w_, damping, uplift) in forecast.SETTINGS.items())
 
 
@@ -491,6 +512,7 @@ ORACLE_SQL = {
     "pharmacy_split": f"{PRELUDE}, {_PHARM} SELECT plan, count(*) AS n, sum(pharmacy_paid::DECIMAL(18,2))::DOUBLE AS pharmacy_paid FROM mp GROUP BY 1",
     "metric_snapshot": f"{PRELUDE} {_snapshot_sql('mm')}",
     "blast_radius": f"{_BLAST} SELECT * FROM moves",
+    "loss_ratio_where": lambda s, d: _round(_claimed(STANDARD).compile(w.relations(Payer(s, d)), "loss_ratio", ["plan", "region"], [F.col("age_band") >= 40, F.col("channel").isin("employer", "broker")])),
     "drift_rows": lambda s, d: regression.first_drift(QUERIES["blast_radius"](s, d)),
     "metric_mutants": lambda s, d: mutants.caught(_base(s, d), STANDARD),
     "loss_ratio_ex_pharmacy": lambda s, d: _round(without_pharmacy(STANDARD).compile(w.relations(Payer(s, d)), "loss_ratio", ["plan"])),
@@ -526,6 +548,9 @@ ORACLE_SQL = {
     "logrank_p": f"{PRELUDE}, {_SUBJECTS}, {_PAIRS} SELECT observed, round(expected, 4) AS expected, round(variance, 4) AS variance, round(chi2, 4) AS chi2, round(p, 6) AS p_value FROM tested WHERE a = 'individual' AND b = 'employer'",
     "logrank_pairs": f"{PRELUDE}, {_SUBJECTS}, {_PAIRS} SELECT a AS first, b AS second, observed, round(expected, 4) AS expected, round(chi2, 4) AS chi2, round(p, 6) AS p_value FROM tested WHERE a < b",
     "cox_slope": f"{PRELUDE}, {_COX}",
+    "hazard_slope": _logistic_sql("SELECT event, i::DOUBLE AS tenure, x1, x2, x3, (denial_month >= 0 AND i >= denial_month - start_month)::INT::DOUBLE AS x4, (event = 1 AND i = tenure)::INT::DOUBLE AS y FROM cs JOIN range(0, 200) r(i) ON i < cs.tenure + event", AT | {"tenure": 0.02, "intercept": -4.0}),
+    "naive_slope": _logistic_sql("SELECT tenure, x1, x2, x3, (denial_month >= 0)::INT::DOUBLE AS x4, event::DOUBLE AS y FROM cs", AT | {"intercept": -1.0}),
+    "loss_ratio_where": f"{PRELUDE} SELECT plan, region, round(sum(paid_amount::DECIMAL(18,2))::DOUBLE / sum(premium_collected::DECIMAL(18,2))::DOUBLE, 9) AS value, sum(paid_amount::DECIMAL(18,2))::DOUBLE AS numerator, sum(premium_collected::DECIMAL(18,2))::DOUBLE AS denominator FROM mm WHERE total_lines > 0 AND age_band >= 40 AND channel IN ('employer', 'broker') GROUP BY 1, 2",
     "forecast_base": f"{_FORECAST} SELECT level, label, month_index, floor(actual * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS actual, floor(base * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS base FROM fc",
     "forecast_plain": f"{_PLAIN} {_ROUNDED.format(10000.0)}",
     "forecast_plain_scores": f"{_PLAIN} SELECT * FROM scores",

@@ -181,11 +181,23 @@ def logistic(df: DataFrame, label: str, covariates: list[str], c: float = 1e6) -
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    data = VectorAssembler(inputCols=covariates, outputCol="x").transform(df.select(F.col(label).cast("double").alias("y"), *[F.col(v).cast("double").alias(v) for v in covariates]))
-    fit = LogisticRegression(featuresCol="x", labelCol="y", regParam=1.0 / (c * max(1, df.count())), elasticNetParam=0.0, standardization=False, tol=1e-8, maxIter=60).fit(data)
+    data = VectorAssembler(inputCols=covariates, outputCol="_features").transform(df.select(F.col(label).cast("double").alias("_label"), *[F.col(v).cast("double").alias(v) for v in covariates]))
+    fit = LogisticRegression(featuresCol="_features", labelCol="_label", regParam=1.0 / (c * max(1, df.count())), elasticNetParam=0.0, standardization=False, tol=1e-8, maxIter=60).fit(data)
     return dict(zip(covariates, fit.coefficients.toArray().tolist())) | {"intercept": float(fit.intercept)}
 
 
+def logistic_slope(df: DataFrame, label: str, beta: dict[str, float]) -> DataFrame:
+    """(covariate, gradient, log_likelihood) of a logistic regression at given coefficients, the intercept among them: one pass."""
+    x = {c: F.lit(1.0) if c == "intercept" else F.col(c).cast("double") for c in beta}
+    score = sum((float(b) * x[c] for c, b in beta.items()), F.lit(0.0))
+    y = F.col(label).cast("double")
+    # log(1 + exp(s)) without overflow.
+    value = y * score - (F.greatest(score, F.lit(0.0)) + F.log1p(F.exp(-F.abs(score))))
+    sums = df.agg(F.sum(value).alias("value"), *[F.sum((y - 1.0 / (1.0 + F.exp(-score))) * x[c]).alias(c) for c in beta])
+    rows = F.array(*[F.struct(F.lit(c).alias("covariate"), F.round(c, 4).alias("gradient"), F.round("value", 4).alias("log_likelihood")) for c in beta])
+    return sums.select(F.explode(rows).alias("r")).select("r.*")
+
+
 def hazard(df: DataFrame) -> dict[str, float]:
     """Discrete-time hazard of lapsing on person-months."""
     return logistic(person_months(df), "lapsed", ["burden10", "utilisation_low", "is_individual", "had_denial", "tenure"])

@@ -91,6 +91,18 @@ def test_cox_sums_over_continuous_times(spark):
     assert np.abs(plain_cox(t, e, x, np.array(fit["beta"]))[1]).max() < 1e-6
 
 
+def test_logistic_slope_is_flat_at_the_fit(spark):
+    r = np.random.default_rng(9)
+    x, z = r.normal(size=600), r.normal(size=600)
+    y = r.random(600) < 1 / (1 + np.exp(-(0.8 * x - 0.5 * z - 0.3)))
+    df = spark.createDataFrame([(float(a), float(b), int(c)) for a, b, c in zip(x, z, y)], "x double, z double, y int")
+    fit = survival.logistic(df, "y", ["x", "z"])
+    assert all(abs(g.gradient) < 0.2 for g in survival.logistic_slope(df, "y", fit).collect())
+    at = {g.covariate: g for g in survival.logistic_slope(df, "y", {"x": 900.0, "intercept": 0.0}).collect()}
+    p = 1 / (1 + np.exp(-np.clip(900.0 * x, -700, 700)))
+    assert abs(at["x"].gradient - ((y - p) * x).sum()) < 1e-3 and np.isfinite(at["x"].log_likelihood)
+
+
 def test_log_rank_of_all_pairs(spark):
     r = np.random.default_rng(6)
     rows = [(int(a), int(b), g) for g, n in (("a", 50), ("b", 70), ("c", 3)) for a, b in zip(r.integers(1, 30, n), r.integers(0, 2, n))] + [(4, 1, None)]
