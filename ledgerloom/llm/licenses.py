@@ -17,7 +17,8 @@ of up to half a window lies in one.
 Fitting is Spark ML on some thousand fixed rows; scanning is column functions,
 joins and grouping alone. A template that asks for r of its n pairs can't be
 confirmed where none of its n - r + 1 rarest stands, so texts without any of
-those are done with after one look: nothing that could be confirmed is skipped.
+those, nor words that announce a licence, are done with after one look: nothing
+that could be confirmed is skipped.
 Each distinct piece is judged once, however often it stands. The weights are a
 table of fixed size, which the templates bound.
 
@@ -43,9 +44,10 @@ from ledgerloom.llm.common import keep
 
 #: How the families announce themselves, in notices and in short mentions.
 TEMPLATES = {
-    "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT", "MIT License", "MIT-licensed", "License: MIT", "licensed under MIT"),
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License", "SPDX-License-Identifier: Apache-2.0", "Apache License", "Apache 2.0", "Apache-licensed", "Apache-2.0"),
+    "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT", "MIT License", "MIT-licensed", "License: MIT", "Lizenz: MIT", "licensed under MIT"),
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License", "SPDX-License-Identifier: Apache-2.0", "Apache License", "Apache 2.0", "Apache-licensed", "Apache-2.0", "http://www.apache.org/licenses/LICENSE-2.0"),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "GNU General Public License", "GPL-3.0-only", "GPL-3.0-or-later", "GPL-3.0", "GPLv3", "GPL v3", "GNU GPL", "GPL version 3"),
+    "GPL-2.0": ("GNU General Public License, version 2", "GNU General Public License Version 2, June 1991", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-2.0", "GPLv2", "GPL v2", "GPL version 2"),
     "LGPL": ("under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "GNU Lesser General Public License", "LGPL-2.1-only", "LGPL-3.0-only", "LGPLv3", "GNU LGPL"),
     "AGPL-3.0": ("under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "GNU Affero General Public License", "AGPL-3.0-only", "AGPLv3", "GNU AGPL"),
     "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "BSD 3-Clause", "BSD 2-Clause", "BSD-3-Clause", "BSD-2-Clause", "BSD License", "BSD-licensed"),
@@ -56,7 +58,9 @@ TEMPLATES = {
     "CC-BY-NC": ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Commons Attribution-NonCommercial", "CC BY-NC", "CC-BY-NC-4.0"),
     "CC-BY-NC-SA": ("Commons Attribution-NonCommercial-ShareAlike", "CC BY-NC-SA", "CC-BY-NC-SA-4.0"),
     "CC-BY-ND": ("Commons Attribution-NoDerivatives", "CC BY-ND", "CC-BY-ND-4.0"),
-    "public-domain": ("This work is dedicated to the public domain under CC0 1.0 Universal.", "This is free and unencumbered software released into the public domain.", "CC0 1.0", "CC0-1.0"),
+    "public-domain": ("This work is dedicated to the public domain under CC0 1.0 Universal.", "This is free and unencumbered software released into the public domain.", "CC0 1.0", "CC0-1.0", "The Unlicense", "Unlicense"),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "ISC License", "License: ISC"),
+    "WTFPL": ("WTFPL", "WTFPL license"),
     "proprietary": ("All rights reserved.", "No part of this publication may be reproduced without permission"),
 }
 #: Sentences with words of licences that are none.
@@ -66,11 +70,16 @@ OTHERS = (
     "The apache helicopter landed under fire.", "MIT researchers released a study", "permission to land was granted", "the terms of the contract were met", "modification of the source is subject to review", "copyright law is a broad field", "This is free of charge for any person", "bsd and gnu are old names",
     "It is one of the oldest in the town and has been so for years.", "We went to see them and they were not at home.", "See the file for details.", "Copyright 2020 the authors.", "The commons were open to all and the attribution was disputed.",
     "The software and the files are in the other folder.", "A foundation was laid in the first year.", "Mozilla and boost are words that people say.", "The domain of the function is the public record.",
+    "MIT license plate frames for sale", "The MIT license plate was on the car.", "License plate frames with the Apache sign", "A GPL is a gallon per lap here.", "ISC is a club of sailors.",
 )
 #: Words that tell one licence from the next; with made-up names in their place a template is unknown.
-NAMES = r"(?i)\b(mit|apache|gnu|[al]?gplv?\d?|bsd|mozilla|mpl|boost|bsl|creative|commons|cc0?|affero|lesser)\b"
+NAMES = r"(?i)\b(mit|apache|gnu|[al]?gplv?\d?|bsd|mozilla|mpl|boost|bsl|creative|commons|cc0?|affero|lesser|isc|wtfpl|unlicense)\b"
 MADE_UP = ("Zebra", "Example", "Foo", "Harbour", "Acme", "Orchid")
 UNKNOWN = "unknown"
+#: What says that a licence follows, whichever it is; a piece with one is judged even if it is like no template.
+CUES = ("spdx-license-identifier", "licensed under", "license version", "lizenz")
+#: The least probability at which a piece names a family beside another one.
+SECOND = 0.2
 #: Words of a piece; share of a template's pairs that must be found (all of up to four).
 WINDOW, CONFIRM = 72, 0.6
 #: Rows with the same piece are dealt out over so many keys, as a third of all may have it.
@@ -112,7 +121,7 @@ def rarest(template: str, confirm: float = CONFIRM) -> list[str]:
 
 def gate(confirm: float = CONFIRM) -> str:
     """A pattern for words joined by single blanks, found wherever any template can be confirmed."""
-    parts = sorted({p for ts in TEMPLATES.values() for t in ts for p in rarest(t, confirm)})
+    parts = sorted({*CUES, *(p for ts in TEMPLATES.values() for t in ts for p in rarest(t, confirm))})
     return f"(?:^| )(?:{'|'.join(p.replace('.', '[.]') for p in parts)})(?: |$)"
 
 
@@ -188,7 +197,7 @@ def pieces(text: Column) -> Column:
 
 
 def judged(texts: DataFrame, confirm: float = CONFIRM) -> DataFrame:
-    """piece, family, chance, match for each distinct row of ``texts`` (piece: words joined by blanks); family unknown if not confirmed."""
+    """piece, family, chance, match for each distinct row of ``texts`` (piece: words joined by blanks), a row for each family named; family unknown, with the largest chance of any, if none is."""
     spark = texts.sparkSession
     weights, shift, families, heat, least, _ = fitted(spark)
     table = _values(spark, weights, "gram string, class int, weight double")
@@ -199,12 +208,16 @@ def judged(texts: DataFrame, confirm: float = CONFIRM) -> DataFrame:
     scores = exploded.join(F.broadcast(table), "gram").groupBy("key").agg(*by_class)
     z = F.array(*[F.struct(((F.coalesce(f"z{i}", F.lit(0.0)) + s) / heat).alias("z"), F.lit(f).alias("family")) for i, (s, f) in enumerate(zip(shift, families))])
     best = some.select("key").join(scores, "key", "left").select("key", z.alias("zs")).withColumn("top", F.array_max("zs"))
-    best = best.select("key", F.col("top.family").alias("family"), (1.0 / F.aggregate("zs", F.lit(0.0), lambda a, x: a + F.exp(x["z"] - F.col("top.z")))).alias("chance"))
+    odds = F.transform("zs", lambda x: F.exp(x["z"] - F.col("top.z")))
+    best = best.withColumn("odds", odds).withColumn("whole", F.aggregate("odds", F.lit(0.0), lambda a, x: a + x))
+    best = best.select("key", (1.0 / F.col("whole")).alias("most"), F.map_from_arrays(F.transform("zs", lambda x: x["family"]), F.transform("odds", lambda o: o / F.col("whole"))).alias("chances"))
     found = exploded.join(F.broadcast(known), "gram").groupBy("key", "family", "template").agg(F.count("*").alias("n"), F.max("needed").alias("needed"), F.max("size").alias("size"))
     found = found.filter("n >= needed").groupBy("key", "family").agg(F.max(F.col("n") / F.col("size")).alias("match"))
-    out = some.join(best, "key").join(found, ["key", "family"], "left").withColumn("match", F.coalesce("match", F.lit(0.0)))
-    sure = (F.col("family") != UNKNOWN) & (F.col("chance") >= least) & (F.col("match") > 0)
-    return out.select("piece", F.when(sure, F.col("family")).otherwise(F.lit(UNKNOWN)).alias("family"), "chance", "match")
+    likely = found.join(best, "key").withColumn("chance", F.col("chances")[F.col("family")]).filter(F.col("chance") >= SECOND)
+    sure = likely.groupBy("key").agg(F.sum("chance").alias("all"), F.collect_list(F.struct("family", "chance", "match")).alias("named")).filter(F.col("all") >= least)
+    none = F.array(F.struct(F.lit(UNKNOWN).alias("family"), F.col("most").alias("chance"), F.lit(0.0).alias("match")))
+    out = some.join(best.select("key", "most"), "key").join(sure.select("key", "named"), "key", "left")
+    return out.select("piece", F.explode(F.coalesce("named", none)).alias("x")).select("piece", "x.family", "x.chance", "x.match")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confirm: float = CONFIRM) -> DataFrame:
