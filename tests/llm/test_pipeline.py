@@ -6,6 +6,7 @@ import random
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline as p
 from ledgerloom.llm import bpe
@@ -73,3 +74,29 @@ def test_whole_run_encodes_what_is_left(spark, folder):
     for x in out:
         ids = library.encode_ordinary(texts[x.doc_id])
         assert x.n_tokens == len(ids) and x.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
+CLASHES = ("score", "predicted", "_first", "node", "component", "_time", "_times", "taken", "size", "n", "row", "shard", "spans", "kind", "ids", "held_out", "Doc")
+
+
+def test_clashing_columns_long_texts_and_repeated_rows(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(120)
+    long = ("harmless words and more of them " * 40_000).strip()
+    extra = spark.createDataFrame([(900, long, "en", "s0", 1), (901, "same here now", "en", "s1", 1), (901, "same here now", "en", "s1", 1)], docs.schema)
+    docs = docs.union(extra).select("*", *[F.lit(f"{c}!").alias(c) for c in CLASHES])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for i, (_, stage) in enumerate(p.STAGES):
+        now = stage(spark, now, str(tmp_path))
+        if i < len(p.STAGES) - 1:
+            assert now.columns == docs.columns and now.filter(" or ".join(f"`{c}` <> '{c}!'" for c in CLASHES)).isEmpty()
+            now = spark.createDataFrame(now.collect(), docs.schema)
+            assert {900, 901} <= {r.doc_id for r in now.select("doc_id").collect()}
+    assert {r.doc_id for r in now.collect()} >= {900, 901}
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert p.run(spark, str(tmp_path)).count() == 0
