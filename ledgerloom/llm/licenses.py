@@ -200,11 +200,15 @@ def judged(texts: DataFrame, confirm: float = CONFIRM) -> DataFrame:
     """piece, family, chance, match for each distinct row of ``texts`` (piece: words joined by blanks), a row for each family named; family unknown, with the largest chance of any, if none is."""
     spark = texts.sparkSession
     weights, shift, families, heat, least, _ = fitted(spark)
-    table = _values(spark, weights, "gram string, class int, weight double")
+    # A row a gram, its weights in one text: a literal for each would fill the driver when it parses them.
+    of = {}
+    for g, i, w in weights:
+        of.setdefault(g, [0.0] * len(families))[i] = w
+    table = _values(spark, [(g, " ".join(map(repr, w))) for g, w in of.items()], "gram string, texts string").select("gram", F.split("texts", " ").cast("array<double>").alias("weights"))
     known = _values(spark, [(f, f"{f}/{i}", needed(len(parts_of(t)), confirm), len(parts_of(t)), p) for f, ts in TEMPLATES.items() for i, t in enumerate(ts) for p in parts_of(t)], "family string, template string, needed int, size int, gram string")
     some = keep(texts.select("piece").distinct().withColumn("key", F.monotonically_increasing_id()))
     exploded = some.select("key", F.explode(grams(F.split("piece", " "))).alias("gram"))
-    by_class = [F.sum(F.when(F.col("class") == i, F.col("weight")).otherwise(0.0)).alias(f"z{i}") for i in range(len(families))]
+    by_class = [F.sum(F.get("weights", F.lit(i))).alias(f"z{i}") for i in range(len(families))]
     scores = exploded.join(F.broadcast(table), "gram").groupBy("key").agg(*by_class)
     z = F.array(*[F.struct(((F.coalesce(f"z{i}", F.lit(0.0)) + s) / heat).alias("z"), F.lit(f).alias("family")) for i, (s, f) in enumerate(zip(shift, families))])
     best = some.select("key").join(scores, "key", "left").select("key", z.alias("zs")).withColumn("top", F.array_max("zs"))
