@@ -47,9 +47,9 @@ from ledgerloom.llm.whitening import usable
 
 SAMPLE, PART, LEAF, BLOCK_CELLS, QUERIES, AT_ONCE = 4_096, 8_192, 256, 262_144, 1_024, 64
 #: The nodes of a block, in order, and their lists one after the other.
-STATE = "block long, node array<long>, code binary, scale array<double>, size array<long>, ids array<long>, sims array<double>, fresh array<boolean>"
-#: What a block knows of its nodes in a round: lists in both directions, the least product that is news, the share of lists to take part in.
-HELD = "part long, block long, node array<long>, code binary, scale array<double>, least array<double>, share array<double>, size array<long>, others array<long>, fresh array<boolean>"
+STATE = "block long, node array<long>, code binary, scale array<double>, size array<long>, ids array<long>, sims array<float>, fresh array<boolean>"
+#: What a block knows of its nodes in a round: lists in both directions (what is fresh first), the least product that is news, the share of lists to take part in.
+HELD = "part long, block long, node array<long>, code binary, scale array<double>, least array<float>, share array<float>, size array<long>, others array<long>, fresh array<boolean>"
 
 
 @dataclass(frozen=True)
@@ -94,16 +94,62 @@ def as_lists(row: np.ndarray, count: int, values: np.ndarray, kind: pa.DataType)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
+def ranks(values: np.ndarray) -> np.ndarray:
+    """The number of distinct smaller values."""
+    order, out = np.argsort(values), np.zeros(len(values), dtype=np.int64)
+    run = values[order]
+    out[order[1:]] = np.cumsum(run[1:] != run[:-1])
+    return out
+
+
+def ordered(*keys: np.ndarray) -> np.ndarray:
+    """Positions sorted by keys (whole, not negative; the first counts most), ties by position: as one number each where its bits suffice, which sorts many times faster."""
+    n = len(keys[0])
+    bits = [int(x.max(initial=0)).bit_length() for x in keys]
+    place = n.bit_length()
+    if sum(bits) + place > 63:
+        return np.lexsort(keys[::-1])
+    key = np.zeros(n, dtype=np.int64)
+    for x, b in zip(keys, bits):
+        key = (key << b) | x
+    key = (key << place) | np.arange(n)
+    key.sort()
+    return key & ((1 << place) - 1)
+
+
+def starting(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    first = np.zeros(len(sorted_keys[0]), dtype=bool)
+    first[:1] = True
+    for x in sorted_keys:
+        first[1:] |= x[1:] != x[:-1]
+    return first
+
+
+def within(run: np.ndarray) -> np.ndarray:
+    """The place of each entry in its run of equal ones, from 0."""
+    first = starting(run)
+    return np.arange(len(run)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+
+
 def leading(row: np.ndarray, id: np.ndarray, value: np.ndarray, k: int, prefer: np.ndarray | None = None) -> np.ndarray:
     """Positions of each row's k largest values (ties: smaller id), each id once (of equals, one that is preferred), sorted by row and rank."""
-    order = np.lexsort((-value, id, row) if prefer is None else (~prefer, id, row))
-    r, i = row[order], id[order]
-    first = np.ones(len(order), dtype=bool)
-    first[1:] = (r[1:] != r[:-1]) | (i[1:] != i[:-1])
-    order = order[first]
-    order = order[np.lexsort((id[order], -value[order], row[order]))]
-    r = row[order]
-    return order[np.arange(len(order)) - np.searchsorted(r, r) < k]
+    falling = np.argsort(-value)
+    # Small ids do as they are.
+    id = id if len(id) and id.min() >= 0 and int(id.max()) < 1 << 24 else ranks(id)
+    row, id, value = row[falling], id[falling], value[falling]
+    worse = np.cumsum(starting(value)) if len(value) else np.zeros(0, dtype=np.int64)
+    order = ordered(row, id) if prefer is None else ordered(row, id, ~prefer[falling])
+    order = order[starting(row[order], id[order])]
+    order = order[ordered(row[order], worse[order])]
+    return falling[order[within(row[order]) < k]]
+
+
+def dealt(part: np.ndarray) -> tuple[list, list[np.ndarray]]:
+    """The parts that there are, and the positions of each."""
+    order = ordered(part)
+    start = np.flatnonzero(starting(part[order]))
+    return part[order][start].tolist(), np.split(order, start[1:]) if len(order) else []
 
 
 def decoded(column, d: int) -> np.ndarray:
@@ -114,7 +160,7 @@ def decoded(column, d: int) -> np.ndarray:
 def products(code: np.ndarray, scale: np.ndarray) -> np.ndarray:
     """Products of all pairs of rows, to float32's precision."""
     x = code.astype(np.float32) * scale.astype(np.float32)[..., None]
-    return np.matmul(x, np.swapaxes(x, -1, -2)).astype(float)
+    return np.matmul(x, np.swapaxes(x, -1, -2))
 
 
 # Nodes.
@@ -208,11 +254,11 @@ def planted(codes: DataFrame, planes: Planes | None, seed: int, parts: int, d: i
             most = min(k, len(at) - 1)
             best = np.argpartition(-s, most - 1, axis=1)[:, :most] if most else np.zeros((len(at), 0), dtype=int)
             row = np.repeat(np.arange(len(at)), most)
-            yield pa.RecordBatch.from_arrays([pa.array(node[at]), as_lists(row, len(at), node[at][best].ravel(), pa.int64()), as_lists(row, len(at), np.take_along_axis(s, best, 1).ravel(), pa.float64())], names=["node", "ids", "sims"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[at]), as_lists(row, len(at), node[at][best].ravel(), pa.int64()), as_lists(row, len(at), np.take_along_axis(s, best, 1).ravel(), pa.float32())], names=["node", "ids", "sims"])
 
     routed = codes.mapInArrow(route, "node long, code binary, scale double, leaf long") if planes else codes.withColumn("leaf", F.lit(0))
-    dealt = routed.repartitionByRange(parts, "leaf", F.xxhash64("node"))
-    return dealt.mapInArrow(releasing(compare), "node long, ids array<long>, sims array<double>")
+    spread = routed.repartitionByRange(parts, "leaf", F.xxhash64("node"))
+    return spread.mapInArrow(releasing(compare), "node long, ids array<long>, sims array<float>")
 
 
 # NN-descent. The graph is kept a row a block, and so are the messages between blocks, so that a round moves few rows.
@@ -236,7 +282,7 @@ def flat(t: pa.Table, name: str) -> np.ndarray:
 
 def table_of(schema: str, **columns: list) -> pa.Table:
     """A table of ``schema``, a plain list of rows for each column; numpy arrays are lists."""
-    kinds = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()), "array<boolean>": pa.list_(pa.bool_())}
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<float>": pa.list_(pa.float32()), "array<double>": pa.list_(pa.float64()), "array<boolean>": pa.list_(pa.bool_())}
     return pa.table({name: pa.array(columns.get(name, []), kinds[kind]) for name, kind in (x.split(" ") for x in schema.split(", "))})
 
 
@@ -254,7 +300,7 @@ def packed(rows: DataFrame, d: int, blocks: int, k: int) -> DataFrame:
         at = leading(place, ids, sims, k)
         return state_of(t["block"][0].as_py(), node, b"".join(coded_rows["code"].to_pylist()), coded_rows["scale"].to_numpy(), place[at], ids[at], sims[at], np.ones(len(at), dtype=bool))
 
-    schema = "node long, code binary, scale double, ids array<long>, sims array<double>"
+    schema = "node long, code binary, scale double, ids array<long>, sims array<float>"
     return rows.mapInArrow(numbered(blocks), f"{schema}, block long").groupBy("block").applyInArrow(pack, STATE)
 
 
@@ -265,11 +311,9 @@ def links(blocks: int):
             for i in range(b.num_rows):
                 t = pa.Table.from_batches([b.slice(i, 1)])
                 node, ids, fresh = flat(t, "node"), flat(t, "ids"), flat(t, "fresh")
-                source, part = np.repeat(node, flat(t, "size")), part_of(ids, blocks)
-                order = np.argsort(part, kind="stable")
-                parts, start = np.unique(part[order], return_index=True)
-                cuts = np.split(order, start[1:]) if len(order) else []
-                out = table_of("part long, target array<long>, source array<long>, new array<boolean>", part=list(parts), target=[ids[c] for c in cuts], source=[source[c] for c in cuts], new=[fresh[c] for c in cuts])
+                source = np.repeat(node, flat(t, "size"))
+                parts, cuts = dealt(part_of(ids, blocks))
+                out = table_of("part long, target array<long>, source array<long>, new array<boolean>", part=parts, target=[ids[c] for c in cuts], source=[source[c] for c in cuts], new=[fresh[c] for c in cuts])
                 yield from out.to_batches()
 
     return releasing(work)
@@ -282,33 +326,38 @@ def listed(state: pa.Table, back: pa.Table, blocks: int, turn: int, s: Settings)
     node, size, ids, sims, fresh = (flat(state, c) for c in ("node", "size", "ids", "sims", "fresh"))
     n, row = len(node), np.repeat(np.arange(len(node)), size)
     target, source, new = (flat(back, c) if back.num_rows else np.zeros(0, dtype=int) for c in ("target", "source", "new"))
+    order = np.argsort(source, kind="stable")
+    target, source, new = target[order], source[order], new[order].astype(bool)
     place = np.searchsorted(node, target)
-    order = np.lexsort((source, drawn(source, target, turn), place))
-    place, source, new = place[order], source[order], new[order].astype(bool)
-    taken = np.arange(len(place)) - np.searchsorted(place, place) < s.reverse
-    share = np.minimum(1.0, 8.0 * s.reverse / np.maximum(np.bincount(place, minlength=n), 1))
-    low = np.full(n, np.inf)
-    np.minimum.at(low, row, sims)
-    least = np.where(size == s.k, low, -np.inf)
+    order = ordered(place, drawn(source, target, turn))
+    place, source, new = place[order], source[order], new[order]
+    taken = within(place) < s.reverse
+    share = np.minimum(1.0, 8.0 * s.reverse / np.maximum(np.bincount(place, minlength=n), 1)).astype(np.float32)
+    # A list stands in the order of its products.
+    least = np.full(n, -np.inf, dtype=np.float32)
+    least[size == s.k] = sims[(np.cumsum(size) - 1)[size == s.k]]
     row, others, fresh = np.concatenate([row, place[taken]]), np.concatenate([ids, source[taken]]), np.concatenate([fresh.astype(bool), new[taken]])
+    # Who lists a node and is listed by it is one of its list.
+    which = ranks(others)
+    order = ordered(row, which, ~fresh)
+    order = order[starting(row[order], which[order])]
     # A list without anything new has nothing to tell.
     alive = np.zeros(n, dtype=bool)
     alive[row[fresh]] = True
-    order = np.argsort(row, kind="stable")
     order = order[alive[row[order]]]
+    order = order[ordered(row[order], ~fresh[order])]
     row, others, fresh = row[order], others[order], fresh[order]
-    wanted = np.unique(others)
-    part = part_of(wanted, blocks)
-    by = np.argsort(part, kind="stable")
-    parts, start = np.unique(part[by], return_index=True)
-    cuts = np.split(wanted[by], start[1:]) if len(by) else []
+    wanted = np.sort(others)
+    wanted = wanted[starting(wanted)]
+    parts, cuts = dealt(part_of(wanted, blocks))
+    cuts = [wanted[c] for c in cuts]
     block_, m, none = state["block"][0].as_py(), len(parts), [None] * len(parts)
     return table_of(
         HELD, part=[None, *parts], block=[block_] * (m + 1), node=[node, *none], code=[state["code"][0].as_py(), *none], scale=[flat(state, "scale"), *none], least=[least, *none], share=[share, *none],
         size=[np.bincount(row, minlength=n), *none], others=[others, *cuts], fresh=[fresh, *none])
 
 
-GIVEN = "block long, other array<long>, code binary, scale array<double>, least array<double>, share array<double>"
+GIVEN = "block long, other array<long>, code binary, scale array<double>, least array<float>, share array<float>"
 
 
 def given(wanted: pa.Table, held: pa.Table, d: int) -> pa.Table:
@@ -322,7 +371,7 @@ def given(wanted: pa.Table, held: pa.Table, d: int) -> pa.Table:
     return table_of(GIVEN, block=wanted["block"].to_pylist(), other=asked, code=[code[a].tobytes() for a in at], scale=[scale[a] for a in at], least=[least[a] for a in at], share=[share[a] for a in at])
 
 
-NEWS = "part long, node array<long>, found array<long>, value array<double>"
+NEWS = "part long, node array<long>, found array<long>, value array<float>"
 
 
 def met(held: pa.Table, known: pa.Table, d: int, blocks: int, k: int) -> pa.Table:
@@ -331,41 +380,49 @@ def met(held: pa.Table, known: pa.Table, d: int, blocks: int, k: int) -> pa.Tabl
         return table_of(NEWS)
     id = flat(known, "other")
     order = np.argsort(id)
-    id, code = id[order], decoded(known["code"], d)[order]
-    scale, least, share = (flat(known, c)[order] for c in ("scale", "least", "share"))
+    id, m = id[order], len(id)
+    least, share = (flat(known, c)[order] for c in ("least", "share"))
+    # Two more entries: a product with the row after the last, which fills lists up, is below all.
+    x = np.zeros((m + 1, d + 2), dtype=np.float32)
+    x[:m, :d] = decoded(known["code"], d)[order] * flat(known, "scale").astype(np.float32)[order, None]
+    x[:m, d], x[m, d + 1] = 1, np.finfo(np.float32).min
+    least = np.append(least, np.float32(np.inf))
     node, size, others, fresh = flat(held, "node"), flat(held, "size"), flat(held, "others"), flat(held, "fresh").astype(bool)
-    n, row = len(node), np.repeat(np.arange(len(node)), size)
+    row = np.repeat(np.arange(len(node)), size)
     place = np.searchsorted(id, others)
     # Of very many lists a node takes part in its share.
     kept = drawn(others, node[row], 0) <= share[place] * (1 << 24)
     row, place, fresh = row[kept], place[kept], fresh[kept]
-    start = np.searchsorted(row, np.arange(n + 1))
-    width = int(np.diff(start).max(initial=0))
+    width, many = np.bincount(row, minlength=len(node)), np.bincount(row[fresh], minlength=len(node))
+    begin = np.cumsum(width) - width
+    some = np.flatnonzero(many)
+    some = some[ordered(many[some], width[some])]
     found: list[tuple[np.ndarray, ...]] = []
-    for i in range(0, n, AT_ONCE):
-        s = slice(start[i], start[min(i + AT_ONCE, n)])
-        if s.start == s.stop:
-            continue
-        line = row[s] - i
-        at, new = np.full((line[-1] + 1, width), -1), np.zeros((line[-1] + 1, width), dtype=bool)
-        column = np.arange(s.start, s.stop) - start[row[s]]
-        at[line, column], new[line, column] = place[s], fresh[s]
-        some = at >= 0
-        sims = products(code[at], scale[at])
-        good = (sims > least[at][:, :, None]) & (new[:, :, None] | new[:, None, :]) & some[:, :, None] & some[:, None, :] & (at[:, :, None] != at[:, None, :])
-        g, a, b = np.nonzero(good)
-        pair, one = np.unique(at[g, a] * len(id) + at[g, b], return_index=True)
-        found.append((pair // len(id), pair % len(id), sims[g[one], a[one], b[one]]))
-        if len(found) >= 32:
+    for i in range(0, len(some), AT_ONCE):
+        of = some[i : i + AT_ONCE]
+        column, n_new = np.arange(width[of].max()), int(many[of].max())
+        at = np.where(column < width[of, None], place[np.minimum(begin[of, None] + column, len(place) - 1)], m)
+        new = np.where(column[:n_new] < many[of, None], at[:, :n_new], m)
+        whole, part = x[at], x[new]
+        # Sums of both further entries: what is real has 1 and 0, what fills up 0 and the least number.
+        part[:, :, d:] = part[:, :, : d - 1 : -1]
+        sims = np.matmul(part, whole.swapaxes(1, 2))
+        sims[:, np.arange(n_new), np.arange(n_new)] = -np.inf
+        # Those that are new learn of all, the others of those that are new.
+        line, a, b = np.nonzero(sims > least[new][:, :, None])
+        found.append((new[line, a], at[line, b], sims[line, a, b]))
+        bar = np.where(column < many[of, None], np.float32(np.inf), least[at])
+        line, a, b = np.nonzero(sims > bar[:, None, :])
+        found.append((at[line, b], new[line, a], sims[line, a, b]))
+        if len(found) >= 64:
             found = [best_of(found, k)]
     if not found:
         return table_of(NEWS)
     u, w, sims = best_of(found, k)
-    part = part_of(id[u], blocks)
-    order = np.argsort(part, kind="stable")
-    parts, start = np.unique(part[order], return_index=True)
-    cuts = np.split(order, start[1:]) if len(order) else []
-    return table_of(NEWS, part=list(parts), node=[id[u[c]] for c in cuts], found=[id[w[c]] for c in cuts], value=[sims[c] for c in cuts])
+    real = w < m
+    u, w, sims = u[real], w[real], sims[real]
+    parts, cuts = dealt(part_of(id[u], blocks))
+    return table_of(NEWS, part=parts, node=[id[u[c]] for c in cuts], found=[id[w[c]] for c in cuts], value=[sims[c] for c in cuts])
 
 
 def best_of(found: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
@@ -437,7 +494,7 @@ def build(df: DataFrame, id: str = "vec_id", vector: str = "embedding", settings
     sample = vectors.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect()
     entries = np.array([r.node for r in sample]), np.array([r.v for r in sample])
     depth = min(6, max(0, (len(sample) // 64).bit_length() - 1))
-    first = codes.select("node", "code", "scale", F.array().cast("array<long>").alias("ids"), F.array().cast("array<double>").alias("sims"))
+    first = codes.select("node", "code", "scale", F.array().cast("array<long>").alias("ids"), F.array().cast("array<float>").alias("sims"))
     # The last deals at random, so that what the planes part is linked from the start.
     for seed in range(s.trees + 1):
         grown = planted(codes, Planes.plant(entries[1], depth, seed) if seed < s.trees else None, seed, -(-n // PART), d, s.k)
@@ -476,13 +533,6 @@ def gathered(rows: pa.Table) -> pa.Table:
     return beams_of(rows["block"][0].as_py(), rows["query"].to_numpy(), flat(rows, "v"), none, none, none.astype(float), none.astype(bool), asking, todo)
 
 
-def dealt(part: np.ndarray) -> tuple[list, list[np.ndarray]]:
-    """The parts that there are, and the positions of each."""
-    order = np.argsort(part, kind="stable")
-    parts, start = np.unique(part[order], return_index=True)
-    return parts.tolist(), np.split(order, start[1:]) if len(order) else []
-
-
 def asking(blocks: int):
     """What is to open, to the blocks that list it."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -503,15 +553,18 @@ def heard(asked: pa.Table, held: pa.Table) -> pa.Table:
     if not asked.num_rows or not held.num_rows:
         return table_of(HEARD)
     node, size, ids = flat(held, "node"), flat(held, "size"), flat(held, "ids")
-    begin = np.concatenate([[0], np.cumsum(size)])
+    begin, which = np.concatenate([[0], np.cumsum(size)]), ranks(ids)
     out_query, out_node = [], []
     for i in range(asked.num_rows):
         query, at = asked["query"][i].values.to_numpy(), np.searchsorted(node, asked["node"][i].values.to_numpy())
         many = size[at]
         place = np.repeat(begin[at] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-        pair = np.unique(np.stack([np.repeat(query, many), ids[place]]), axis=1)
-        out_query.append(pair[0])
-        out_node.append(pair[1])
+        # What a block asks stands by query.
+        line = np.repeat(np.cumsum(starting(query)) - 1, many)
+        order = ordered(line, which[place])
+        order = order[starting(line[order], which[place[order]])]
+        out_query.append(np.repeat(query, many)[order])
+        out_node.append(ids[place[order]])
     return table_of(HEARD, block=asked["block"].to_pylist(), query=out_query, node=out_node)
 
 
@@ -529,13 +582,13 @@ def posed(beams: pa.Table, told: pa.Table, blocks: int, width: int) -> pa.Table:
     r = np.concatenate([row, listed_row, np.repeat(np.arange(n), flat(beams, "asks"))])
     x = np.concatenate([ids, flat(told, "node") if told.num_rows else ids[:0], todo])
     known = np.arange(len(r)) < len(row)
-    order = np.lexsort((~known, x, r))
-    r, x, known = r[order], x[order], known[order]
-    first = np.ones(len(r), dtype=bool)
-    first[1:] = (r[1:] != r[:-1]) | (x[1:] != x[:-1])
-    r, x = r[first & ~known], x[first & ~known]
+    which = ranks(x)
+    order = ordered(r, which, ~known)
+    order = order[starting(r[order], which[order])]
+    order = order[~known[order]]
+    r, x = r[order], x[order]
     parts, cuts = dealt(part_of(x, blocks))
-    some = [np.unique(r[c], return_counts=True) for c in cuts]
+    some = [(r[c][begin], np.diff(begin, append=len(c))) for c in cuts for begin in [np.flatnonzero(starting(r[c]))]]
     return table_of(POSED, part=parts, block=[beams["block"][0].as_py()] * len(parts), query=[query[q] for q, _ in some], v=[v[q].ravel() for q, _ in some], least=[least[q] for q, _ in some], size=[m for _, m in some], node=[x[c] for c in cuts])
 
 
