@@ -39,7 +39,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import cut, keep, releasing, table
@@ -286,6 +286,28 @@ def table_of(schema: str, **columns: list) -> pa.Table:
     return pa.table({name: pa.array(columns.get(name, []), kinds[kind]) for name, kind in (x.split(" ") for x in schema.split(", "))})
 
 
+def paired(left: DataFrame, right: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` of both sides' rows with one ``to``, as a cogroup gives them; both go through one shuffle, so that the driver plans and starts half the stages."""
+    names = [c for c in left.columns if c != "to"], [c for c in right.columns if c != "to"]
+    both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)), allowMissingColumns=True)
+
+    def run(t: pa.Table) -> pa.Table:
+        return work(*(t.filter(pa.compute.equal(t["side"], i)).select(c) for i, c in enumerate(names)))
+
+    return both.groupBy("to").applyInArrow(run, schema)
+
+
+def to(df: DataFrame, column: str) -> DataFrame:
+    return df.withColumn("to", F.col(column))
+
+
+def tallied(df: DataFrame, measure: Column) -> tuple[DataFrame, int]:
+    """The rows with no lineage behind them, and a sum or count that is observed as they are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, measure.alias("n")))
+    return out, seen.get["n"] or 0
+
+
 def state_of(block: int, node: np.ndarray, code: bytes, scale: np.ndarray, row: np.ndarray, ids: np.ndarray, sims: np.ndarray, fresh: np.ndarray) -> pa.Table:
     return table_of(STATE, block=[block], node=[node], code=[code], scale=[scale], size=[np.bincount(row, minlength=len(node))], ids=[ids], sims=[sims], fresh=[fresh])
 
@@ -445,15 +467,27 @@ def renewed(state: pa.Table, news: pa.Table, k: int) -> pa.Table:
     return state_of(state["block"][0].as_py(), node, state["code"][0].as_py(), flat(state, "scale"), row[at], ids[at], sims[at], ~old[at])
 
 
+#: GIVEN, and of the block's own row what it needs to compare.
+KNOWN = f"{GIVEN}, node array<long>, size array<long>, others array<long>, fresh array<boolean>"
+
+
+def answered(t: pa.Table, d: int) -> pa.Table:
+    """KNOWN: what each block needs of this one, and its own row (``other`` null) for the next step."""
+    alone = pa.compute.is_null(t["part"])
+    own = t.filter(alone)
+    known = given(t.filter(pa.compute.invert(alone)).select(["part", "block", "others"]), own, d)
+    kinds = table_of(KNOWN).schema
+    mine = pa.schema([kinds.field(c) for c in ("block", "node", "size", "others", "fresh")])
+    return pa.concat_tables([known, own.select(mine.names).cast(mine)], promote_options="default")
+
+
 def descended(state: DataFrame, d: int, blocks: int, turn: int, s: Settings) -> DataFrame:
-    """The graph after one round."""
-    by = state.groupBy("block")
+    """The graph after one round: four steps, a shuffle each, the last with the graph as it was."""
     back = state.mapInArrow(links(blocks), "part long, target array<long>, source array<long>, new array<boolean>")
-    held = cut(by.cogroup(back.groupBy("part")).applyInArrow(lambda a, b: listed(a, b, blocks, turn, s), HELD))
-    own, wanted = held.filter("part is null"), held.filter("part is not null").select("part", "block", "others")
-    known = wanted.groupBy("part").cogroup(own.select("block", "node", "code", "scale", "least", "share").groupBy("block")).applyInArrow(lambda a, b: given(a, b, d), GIVEN)
-    news = own.select("block", "node", "size", "others", "fresh").groupBy("block").cogroup(known.withColumnRenamed("block", "part").groupBy("part")).applyInArrow(lambda a, b: met(a, b, d, blocks, s.k), NEWS)
-    return by.cogroup(news.groupBy("part")).applyInArrow(lambda a, b: renewed(a, b, s.k), STATE)
+    held = paired(to(state, "block"), to(back, "part"), lambda a, b: listed(a, b, blocks, turn, s), HELD)
+    known = held.groupBy(F.coalesce("part", "block")).applyInArrow(lambda t: answered(t, d), KNOWN)
+    news = known.groupBy("block").applyInArrow(lambda t: met(t.filter(pa.compute.is_valid(t["node"])), t.filter(pa.compute.is_valid(t["other"])), d, blocks, s.k), NEWS)
+    return paired(to(state, "block"), to(news, "part"), lambda a, b: renewed(a, b, s.k), STATE)
 
 
 def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -501,8 +535,7 @@ def build(df: DataFrame, id: str = "vec_id", vector: str = "embedding", settings
         first = first.union(grown.select("node", F.lit(None).cast("binary"), F.lit(None).cast("double"), "ids", "sims"))
     state = cut(packed(first, d, blocks, s.k))
     for turn in range(s.rounds):
-        state = cut(descended(state, d, blocks, turn, s))
-        fresh = state.agg(F.sum(F.size(F.filter("fresh", lambda f: f)))).first()[0]
+        state, fresh = tallied(descended(state, d, blocks, turn, s), F.sum(F.size(F.filter("fresh", lambda f: f))))
         if fresh <= s.settled * n * s.k:
             break
     graph = keep(state.mapInArrow(unpacked, "node long, ids array<long>"))
@@ -641,13 +674,13 @@ def greedy(index: Index, starts: DataFrame, count: int) -> DataFrame:
     width, blocks, held = index.settings.beam, index.blocks, index.blocks_of
     state = starts.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(max(1, -(-count // QUERIES))))).groupBy("block").applyInArrow(gathered, BEAMS)
     state = cut(state)
-    for _ in range(index.settings.search_rounds):
-        asked = state.mapInArrow(asking(blocks), ASKED)
-        told = asked.groupBy("part").cogroup(held.select("block", "node", "size", "ids").groupBy("block")).applyInArrow(heard, HEARD)
-        new = state.groupBy("block").cogroup(told.withColumnRenamed("block", "part").groupBy("part")).applyInArrow(lambda a, b: posed(a, b, blocks, width), POSED)
-        found = new.groupBy("part").cogroup(held.select("block", "node", "v").groupBy("block")).applyInArrow(lambda a, b: scored(a, b, width), SCORED)
-        state = cut(state.groupBy("block").cogroup(found.withColumnRenamed("block", "part").groupBy("part")).applyInArrow(lambda a, b: advanced(a, b, width), BEAMS))
-        if not state.agg(F.sum(F.size("todo"))).first()[0]:
+    listing, vectors = (to(held.select("block", "node", *c), "block") for c in (("size", "ids"), ("v",)))
+    for _ in range(index.settings.search_rounds if count else 0):
+        told = paired(to(state.mapInArrow(asking(blocks), ASKED), "part"), listing, heard, HEARD)
+        new = paired(to(state, "block"), to(told, "block"), lambda a, b: posed(a, b, blocks, width), POSED)
+        found = paired(to(new, "part"), vectors, lambda a, b: scored(a, b, width), SCORED)
+        state, todo = tallied(paired(to(state, "block"), to(found, "block"), lambda a, b: advanced(a, b, width), BEAMS), F.sum(F.size("todo")))
+        if not todo:
             break
     return state.mapInArrow(finished, "query long, ids array<long>, sims array<double>")
 
@@ -655,9 +688,9 @@ def greedy(index: Index, starts: DataFrame, count: int) -> DataFrame:
 def nearest(index: Index, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score) for ``queries`` (query_id), ids of indexed rows: the k nearest other rows found."""
     asked = keep(queries.select("query_id").distinct().join(index.rows.select(F.col("id").alias("query_id"), "node"), "query_id"))
-    own = cut(asked.select(F.col("node").alias("query")).distinct())
+    own, count = tallied(asked.select(F.col("node").alias("query")).distinct(), F.count("*"))
     starts = own.join(index.vectors.withColumnRenamed("node", "query"), "query").join(index.graph.withColumnRenamed("node", "query"), "query").select("query", "v", F.concat(F.array("query"), "ids").alias("starts"))
-    found = greedy(index, starts, own.count()).select("query", F.explode(F.arrays_zip("ids", "sims")).alias("x")).select("query", F.col("x.ids").alias("node"), F.col("x.sims").alias("score"))
+    found = greedy(index, starts, count).select("query", F.explode(F.arrays_zip("ids", "sims")).alias("x")).select("query", F.col("x.ids").alias("node"), F.col("x.sims").alias("score"))
     return expanded(index, asked, found, k)
 
 

@@ -180,3 +180,43 @@ def test_a_round_finds_what_all_pairs_of_each_list_give():
     # Products within rounding of the bar may fall to either side.
     assert len(want) > 500 and set(want) <= set(got_)
     assert all(abs(v - x[u] @ x[w]) < 1e-5 and v > sims[u].min() - 1e-5 for (u, w), v in got_.items())
+
+
+def jobs_of(spark, name, work):
+    """The Spark jobs that ``work`` starts."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        work()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_round_is_four_shuffles_and_one_result(spark):
+    """What the driver plans, sends out and keeps grows with the stages of a run; a round was twelve jobs, one of the search ten."""
+    r = np.random.default_rng(9)
+    df = frame(spark, [(i, [float(c) for c in v]) for i, v in enumerate(r.standard_normal((300, 8)).astype(np.float32))]).cache()
+    made = {}
+    build = [jobs_of(spark, f"build{n}", lambda: made.update({n: g.build(df, settings=g.Settings(k=4, reverse=4, trees=1, rounds=n, settled=-1.0, beam=8))})) for n in (1, 3)]
+    assert 0 < build[1] - build[0] <= 10
+    asked = df.select(F.col("vec_id").alias("query_id")).filter("query_id % 20 = 0")
+    search = [jobs_of(spark, f"search{n}", lambda: g.nearest(g.Index(**{**vars(made[1]), "settings": g.Settings(beam=256, k=4, search_rounds=n)}), asked).count()) for n in (1, 3)]
+    assert 0 < search[1] - search[0] <= 10
+
+
+def test_both_sides_of_a_step_keep_their_rows(spark):
+    """Rows of either side alone, of both, and none."""
+    left = spark.createDataFrame([(1, 10, [1, 2]), (2, 20, [3])], "to long, a long, ids array<long>")
+    right = spark.createDataFrame([(2, [4, 5], 0.5), (2, [6], 1.5), (3, [], 2.5)], "to long, ids array<long>, b double")
+
+    def work(x, y):
+        assert x.column_names == ["a", "ids"] and y.column_names == ["ids", "b"]
+        return pa.table({"a": pa.array([x["a"].to_pylist()], pa.list_(pa.int64())), "ids": pa.array([x["ids"].to_pylist()], pa.list_(pa.list_(pa.int64()))), "b": pa.array([sorted(y["b"].to_pylist())], pa.list_(pa.float64()))})
+
+    out = g.paired(left, right, work, "a array<long>, ids array<array<long>>, b array<double>").collect()
+    assert sorted((r.a, r.ids, r.b) for r in out) == [([], [], [2.5]), ([10], [[1, 2]], []), ([20], [[3]], [0.5, 1.5])]
+    assert g.tallied(left, F.sum("a"))[1] == 30 and g.tallied(left.filter("a < 0"), F.count("*"))[1] == 0
+
+
+def test_no_queries(spark):
+    assert got(frame(spark, [(i, [1.0, float(i)]) for i in range(1, 9)]), 5, 20) == {}
